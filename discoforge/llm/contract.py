@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import minhash
+from . import embeddings, minhash, mix, secrets
 from .common import table
 
 
@@ -13,7 +13,27 @@ def op10_minmax_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op4_linked_secrets(spark, sf_dir):
+    """Secrets in every whole text, certain ones and linked parts."""
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == secrets.KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
+
+
+def op6_apportioned_mix(spark, sf_dir):
+    """The words that a mix by weights 5, 2, 1 takes of every document."""
+    return mix.mix(table(spark, sf_dir, "documents"))
+
+
+def op9_tiled_embedding_duplicates(spark, sf_dir):
+    """All links of cosine 0.9 or more between embeddings, as counts and components."""
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
+
+
 QUERIES = {
+    "op9_tiled_embedding_duplicates": op9_tiled_embedding_duplicates,
+    "op4_linked_secrets": op4_linked_secrets,
+    "op6_apportioned_mix": op6_apportioned_mix,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
 }
 
@@ -49,3 +69,112 @@ with recursive words as (
 select s.doc_id, len(s.s)::bigint as n_shingles, min(r.other) as component_id, min(r.other) = s.doc_id as kept
 from sets s join reach r on s.doc_id = r.doc_id group by s.doc_id, len(s.s)
 """
+
+ORACLE_SQL["op6_apportioned_mix"] = r"""
+with sized as (
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size from documents
+), named as (
+  select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as nth from sized group by source
+), capped as (
+  select *, 3.0::double * source_size as cap, [5.0, 2.0, 1.0][((nth - 1) % 3 + 1)::int]::double as w, sum(source_size) over ()::double as total from named
+), levels as (
+  select *, (total - coalesce(sum(cap) over up, 0)) / (sum(w) over () - coalesce(sum(w) over up, 0)) as level
+  from capped window up as (order by cap / w, nth rows between unbounded preceding and 1 preceding)
+), targets as (
+  select *, case when cap / w <= level then cap else w * (select l.level from levels l where l.cap / l.w > l.level order by l.cap / l.w, l.nth limit 1) end as target,
+    round(total / 16)::bigint as seats
+  from levels
+), ranked as (
+  select source, row_number() over (order by target / (2 * k - 1) desc, source nulls last, k) as place, seats from (select *, unnest(range(1, seats + 1)) as k from targets)
+), quotas as (
+  select t.source, t.source_size, t.target, (select count(*) from ranked r where r.source is not distinct from t.source and r.place <= r.seats) as blocks from targets t
+), laid as (
+  select s.doc_id, s.source, s.size, q.source_size, q.target, q.blocks, md5('mix:' || coalesce(s.doc_id::varchar, '')) as key,
+    ('0x' || substr(md5('mix:' || coalesce(s.doc_id::varchar, '')), 1, 8))::bigint % greatest(1, ceil(q.source_size / 1048576))::bigint as shard
+  from sized s join quotas q on s.source is not distinct from q.source
+), shards as (
+  select source, shard, blocks, sum(size)::bigint as shard_size from laid group by all
+), places as (
+  select source, shard, row_number() over (partition by source order by shard_size / (2 * k - 1) desc, shard, k) as place, blocks
+  from (select *, unnest(range(1, blocks + 1)) as k from shards where shard_size > 0)
+), filled as (
+  select s.source, s.shard, s.shard_size, least(3 * s.shard_size, 16 * (select count(*) from places p where p.source is not distinct from s.source and p.shard = s.shard and p.place <= p.blocks)) as quota from shards s
+), ordered as (
+  select l.*, f.shard_size, f.quota, case when f.shard_size > 0 then f.quota // f.shard_size else 0 end as times,
+    coalesce(sum(l.size) over (partition by l.source, l.shard order by l.key, l.doc_id, l.size rows between unbounded preceding and 1 preceding), 0) as before
+  from laid l join filled f on l.source is not distinct from f.source and l.shard = f.shard
+)
+select doc_id, source, size, source_size, target, (times * size + greatest(0, least(size, quota - times * shard_size - before)))::bigint as taken from ordered
+"""
+
+
+def _secret_spans_sql() -> str:
+    """DuckDB spans of one kind: list of {start, kind, end}, from the pieces between the matches."""
+    kinds = []
+    for n, kind in enumerate(secrets.KINDS):
+        pattern = secrets.PATTERNS[kind].replace("'", "''")
+        keep = "true"
+        if kind == "assign":
+            keep = f"length(v[i]) >= {secrets.ASSIGN_LEAST}"
+        if kind == "weak":
+            keep = "regexp_matches(m[i], '[0-9]') and regexp_matches(m[i], '[A-Za-z]')"
+        value = f"regexp_extract_all(t, '{pattern}', 2)" if kind == "assign" else "[]"
+        kinds.append(f"""
+  select n, {n} as kind, s + length(m[i]) as "end", s as start from (
+    select n, m, v, i, (list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0))::bigint as s
+    from (select *, unnest(range(1, len(m) + 1)) as i from (
+      select n, regexp_extract_all(t, '{pattern}') as m, {value} as v, string_split_regex(t, '{pattern}') as p from texts where regexp_matches(t, '{pattern}')))
+  ) where {keep}""")
+    return "\n  union all".join(kinds)
+
+
+ORACLE_SQL["op4_linked_secrets"] = rf"""
+with texts as (
+  select row_number() over () as n, doc_id, coalesce(text, '') as t from documents
+), raw as ({_secret_spans_sql()}
+), base as (
+  select * from raw where kind < 3
+), endpoints as (
+  select * from raw r where kind = 5 and not exists (from base b where b.n = r.n and r.start < b."end" and b.start < r."end")
+), idents as (
+  select * from raw r where kind = 3 and not exists (from base b where b.n = r.n and r.start < b."end" and b.start < r."end")
+), certain as (
+  from base union all from endpoints union all from idents
+), parts as (
+  select *, case kind when 0 then 's' when 1 then 'i' when 2 then 's' when 3 then 'i' when 4 then 's' else 'e' end as role,
+    (select len(string_split_regex(t[1:start], '\n[\x20\t]*\r?\n')) from texts where texts.n = c.n) as scope
+  from (
+    from certain
+    union all
+    select * from raw r where kind = 4 and not exists (from certain b where b.n = r.n and r.start < b."end" and b.start < r."end")
+  ) c
+), added as (
+  select x.n, x.kind, x."end", x.start from parts x
+  where x.kind >= 3 and exists (from parts y where y.n = x.n and y.scope = x.scope and greatest(x.start - y."end", y.start - x."end") <= {secrets.REACH}
+    and x.role <> y.role and (x.role = 's' or y.role = 's'))
+), named as (
+  select *, ['assign', 'access', 'hex', 'ident', 'weak', 'endpoint'][kind + 1] || ':' || start || ':' || "end" as label from (from base union all from added)
+)
+select any_value(t.doc_id) as doc_id,
+  count(*) filter (kind = 0)::bigint as n_assign, count(*) filter (kind = 1)::bigint as n_access, count(*) filter (kind = 2)::bigint as n_hex,
+  sha256(coalesce(string_agg(label, ',' order by start, kind) filter (kind < 3), '')) as base_sha256,
+  coalesce(string_agg(label, ',' order by start, kind), '') as spans
+from texts t left join named on t.n = named.n group by t.n
+"""
+
+
+ORACLE_SQL["op9_tiled_embedding_duplicates"] = r"""
+with recursive vectors as (
+  select vec_id, embedding::double[] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0
+), links as (
+  select x.vec_id as a, y.vec_id as b from vectors x join vectors y on x.vec_id <> y.vec_id and len(x.e) = len(y.e)
+  where list_cosine_similarity(x.e, y.e) >= 0.9
+), reach(vec_id, other) as (
+  select vec_id, vec_id from embeddings
+  union
+  select r.vec_id, l.b from reach r join links l on r.other = l.a
+)
+select v.vec_id, (select count(*) from links l where l.a = v.vec_id)::bigint as n_links, min(r.other) as component_id, min(r.other) = v.vec_id as kept
+from embeddings v join reach r on v.vec_id = r.vec_id group by v.vec_id
+"""
