@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import embeddings, minhash, mix, secrets
+from . import decontaminate, embeddings, minhash, mix, secrets
 from .common import table
 
 
@@ -13,6 +13,11 @@ def op10_minmax_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op3_simhash_leaks(spark, sf_dir):
+    """Benchmark items that documents hold, with the best window of each."""
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_linked_secrets(spark, sf_dir):
     """Secrets in every whole text, certain ones and linked parts."""
     found = secrets.find_secrets(table(spark, sf_dir, "documents"))
@@ -31,6 +36,7 @@ def op9_tiled_embedding_duplicates(spark, sf_dir):
 
 
 QUERIES = {
+    "op3_simhash_leaks": op3_simhash_leaks,
     "op9_tiled_embedding_duplicates": op9_tiled_embedding_duplicates,
     "op4_linked_secrets": op4_linked_secrets,
     "op6_apportioned_mix": op6_apportioned_mix,
@@ -178,3 +184,29 @@ with recursive vectors as (
 select v.vec_id, (select count(*) from links l where l.a = v.vec_id)::bigint as n_links, min(r.other) as component_id, min(r.other) = v.vec_id as kept
 from embeddings v join reach r on v.vec_id = r.vec_id group by v.vec_id
 """
+
+
+ORACLE_SQL["op3_simhash_leaks"] = r"""
+with words as (
+  select doc_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents where text is not null
+), items as (
+  select item_id, list_filter(string_split_regex(lower(text), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from benchmark
+), held as (
+  select doc_id, len(w) as n_words, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as s from words where len(w) >= 5
+), asked as (
+  select item_id, len(w) as n_words, list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) as t from items where len(w) >= 5
+), seeds as (
+  select distinct d.doc_id, d.pos, a.item_id from (select doc_id, unnest(s) as g, generate_subscripts(s, 1) as pos from held) d
+  join (select item_id, unnest(t) as g from asked) a on d.g = a.g
+), windows as (
+  select distinct s.doc_id, s.item_id, unnest(range(greatest(1, s.pos - len(a.t) + 1), least(s.pos, len(h.s) - len(a.t) + 1) + 1)) as start
+  from seeds s join asked a on s.item_id = a.item_id join held h on s.doc_id = h.doc_id
+), shared as (
+  select w.doc_id, w.item_id, w.start, a.n_words, len(a.t) as n,
+    list_sum(list_transform(list_distinct(a.t), lambda g: least(len(list_filter(a.t, lambda x: x = g)), len(list_filter(h.s[w.start:w.start + len(a.t) - 1], lambda x: x = g))))) as c
+  from windows w join asked a on w.item_id = a.item_id join held h on w.doc_id = h.doc_id
+), scored as (
+  select *, c / (2 * n - c)::double as similarity, row_number() over (partition by doc_id, item_id order by c desc, start) as place from shared
+)
+select doc_id, item_id, similarity, (start - 1)::bigint as start_word, n_words::bigint as n_words from scored where place = 1 and similarity >= 0.8
+"""
