@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, minhash, mix, secrets
+from . import decontaminate, embeddings, langid, minhash, mix, quality, secrets
 from .common import table
 
 
@@ -30,6 +30,17 @@ def op6_apportioned_mix(spark, sf_dir):
     return mix.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_kneser_ney_language(spark, sf_dir):
+    """The language of every whole text by Kneser-Ney character models."""
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
+def op8_ordinal_quality(spark, sf_dir):
+    """Expected grade of every document, its chance of the best grade, and whether it is kept."""
+    found = quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "_quality.expected_grade", "_quality.tail_prob", "_quality.kept")
+
+
 def op9_tiled_embedding_duplicates(spark, sf_dir):
     """All links of cosine 0.9 or more between embeddings, as counts and components."""
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
@@ -37,6 +48,8 @@ def op9_tiled_embedding_duplicates(spark, sf_dir):
 
 QUERIES = {
     "op3_simhash_leaks": op3_simhash_leaks,
+    "op7_kneser_ney_language": op7_kneser_ney_language,
+    "op8_ordinal_quality": op8_ordinal_quality,
     "op9_tiled_embedding_duplicates": op9_tiled_embedding_duplicates,
     "op4_linked_secrets": op4_linked_secrets,
     "op6_apportioned_mix": op6_apportioned_mix,
