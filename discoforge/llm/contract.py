@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, minhash, mix, quality, secrets
+from . import decontaminate, embeddings, langid, licenses, minhash, mix, pages, quality, secrets
 from .common import table
 
 
@@ -13,6 +13,17 @@ def op10_minmax_near_duplicates(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), shingle_words=4, percent=80)
 
 
+def op1_page_differencing(spark, sf_dir):
+    """The main text of every page."""
+    return pages.main_text(table(spark, sf_dir, "pages"))
+
+
+def op2_sentence_rule_licenses(spark, sf_dir):
+    """Licences of every whole text, and its known licence sentences in order."""
+    found = licenses.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.array_join("licenses", ",").alias("licenses"), F.array_join("sentences", ",").alias("sentences"))
+
+
 def op3_simhash_leaks(spark, sf_dir):
     """Benchmark items that documents hold, with the best window of each."""
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -47,6 +58,8 @@ def op9_tiled_embedding_duplicates(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_page_differencing": op1_page_differencing,
+    "op2_sentence_rule_licenses": op2_sentence_rule_licenses,
     "op3_simhash_leaks": op3_simhash_leaks,
     "op7_kneser_ney_language": op7_kneser_ney_language,
     "op8_ordinal_quality": op8_ordinal_quality,
@@ -56,7 +69,7 @@ QUERIES = {
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
 }
 
-ORACLE_SQL = {}
+ORACLE_SQL = {"op2_sentence_rule_licenses": licenses.oracle()}
 
 ORACLE_SQL["op10_minmax_near_duplicates"] = r"""
 with recursive words as (

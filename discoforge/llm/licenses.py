@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -101,6 +102,11 @@ def rule_pattern(sentences: tuple[str, ...]) -> str:
     return rf"(\|[0-9]+){{0,{GAP}}}".join(rf"\|{names.index(s) + 1}" for s in sentences) + r"\|"
 
 
+def longer(name: str, sentences: tuple[str, ...]) -> list[tuple[str, ...]]:
+    """Rules of other licences that go on where this one ends; where one of them matches, this one doesn't count."""
+    return [rule for other, rule in RULES if other != name and len(rule) > len(sentences) and rule[: len(sentences)] == sentences]
+
+
 #: Every known sentence holds one of these words, so a text without them holds none.
 HINT = "(?i)licen[sc]e|rights|permission|copyright|warrant|redistribut|liable|contributors"
 
@@ -110,8 +116,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
     licenses: the licences whose rules match, by name; sentences: identifiers of the known sentences in order.
     A text is read line by line and, for licences with wrapped lines, by paragraphs; both find sentences, and
-    the reading with more of them counts, by lines if equal. A rule with a longer form hides its shorter ones
-    only by giving the same licence. Rows stay where they are: nothing is shuffled.
+    the reading with more of them counts, by lines if equal. Rows stay where they are: nothing is shuffled.
 
     Null and empty texts, and texts without known sentences, have empty arrays. Repeated rows repeat. Other
     columns are ignored; an empty table gives an empty result.
@@ -123,7 +128,8 @@ def scan(docs: DataFrame) -> DataFrame:
     read = read.select("doc_id", F.when(F.size("wrapped") > F.size("lines"), F.col("wrapped")).otherwise(F.col("lines")).alias("ids"))
     names = F.array(*[F.lit(n) for n in SENTENCES])
     sequence = read.select("doc_id", "ids", _sequence(F.col("ids")).alias("seq"))
-    matched = F.array_compact(F.array(*[F.when(F.col("seq").rlike(rule_pattern(rule)), F.lit(name)) for name, rule in RULES]))
+    met = lambda name, rule: reduce(lambda c, r: c & ~F.col("seq").rlike(rule_pattern(r)), longer(name, rule), F.col("seq").rlike(rule_pattern(rule)))
+    matched = F.array_compact(F.array(*[F.when(met(name, rule), F.lit(name)) for name, rule in RULES]))
     return sequence.select("doc_id", F.array_sort(F.array_distinct(matched)).alias("licenses"), F.transform("ids", lambda n: F.element_at(names, n)).alias("sentences"))
 
 
@@ -137,15 +143,16 @@ def oracle() -> str:
         clean = f"list_transform({pieces}, lambda s: trim(regexp_replace(lower(s), '[^a-z0-9]+', ' ', 'g')))"
         return f"list_filter(list_transform({clean}, lambda s: {known}[s]), lambda n: n is not null)"
 
-    rules = ", ".join(f"case when regexp_matches(seq, '{rule_pattern(rule)}') then '{name}' end" for name, rule in RULES)
+    met = lambda rule: f"regexp_matches(seq, '{rule_pattern(rule)}')"
+    rules = ", ".join(f"case when {' and not '.join(met(r) for r in [rule, *longer(name, rule)])} then '{name}' end" for name, rule in RULES)
     names = "[" + ", ".join(f"'{n}'" for n in SENTENCES) + "]"
     return rf"""
 with texts as (
   select doc_id, case when regexp_matches(text, '{HINT}') then text else '' end as t from documents
-), both as (
+), readings as (
   select doc_id, {ids(r"\x01|\n")} as lines, {ids(r"\x01|\n[ \x09\x0B-\x0D]*\n")} as wrapped from texts
 ), chosen as (
-  select doc_id, case when len(wrapped) > len(lines) then wrapped else lines end as ids from both
+  select doc_id, case when len(wrapped) > len(lines) then wrapped else lines end as ids from readings
 ), laid as (
   select doc_id, ids, case when len(ids) > 0 then '|' || array_to_string(ids, '|') || '|' else '' end as seq from chosen
 )
