@@ -48,8 +48,7 @@ def op7_kneser_ney_language(spark, sf_dir):
 
 def op8_ordinal_quality(spark, sf_dir):
     """Expected grade of every document, its chance of the best grade, and whether it is kept."""
-    found = quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return found.select("doc_id", "_quality.expected_grade", "_quality.tail_prob", "_quality.kept")
+    return quality.graded(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op9_tiled_embedding_duplicates(spark, sf_dir):
@@ -57,7 +56,15 @@ def op9_tiled_embedding_duplicates(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def pipeline(spark, sf_dir):
+    """All stages of the corpus pipeline over documents."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES = {
+    "pipeline": pipeline,
     "op1_page_differencing": op1_page_differencing,
     "op2_sentence_rule_licenses": op2_sentence_rule_licenses,
     "op3_simhash_leaks": op3_simhash_leaks,

@@ -168,11 +168,14 @@ def ratings_of(labels: DataFrame) -> DataFrame:
 
 
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs with a column of its own, _quality, the struct of grader. No row moves: the text is graded in place."""
+    """(doc_id, expected_grade, tail_prob, kept) of each row of docs. No row moves: the text is graded in place.
+
+    Other columns are ignored; an empty table gives an empty result.
+    """
     model = train(docs, ratings_of(labels))
-    return docs.withColumn("_quality", grader(model)("text"))
+    return docs.select("doc_id", grader(model)("text").alias("q")).select("doc_id", "q.*")
 
 
 def good_ones(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without those whose chance of the best grade is too low; the columns stay as they are."""
-    return graded(docs, labels).where("_quality.kept").select(docs.columns)
+    return docs.where(grader(train(docs, ratings_of(labels)))("text")["kept"])

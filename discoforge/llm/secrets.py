@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stash
+from .common import fresh, stash
 
 
 def _either_case(word: str) -> str:
@@ -124,16 +124,17 @@ def mask(docs: DataFrame, by: str = "<SECRET>") -> DataFrame:
 
     Overlapping spans are one stretch. Rows without spans stay as they are, null text too.
     """
-    spans = find_secrets(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"), F.col("spans").alias("_s")).distinct()
-    rows = docs.withColumn("_g", F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_g") == F.col("_h")), "left")
+    d, h, s, g = fresh(docs, "span_doc", "span_hash", "spans", "text_hash")
+    spans = find_secrets(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("spans").alias(s)).distinct()
+    rows = docs.withColumn(g, F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(g) == F.col(h)), "left")
 
     def step(acc, x):
         start = F.greatest(acc["at"], x["start"])
         gap = F.substring(F.col("text"), acc["at"] + 1, start - acc["at"])
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(by))).otherwise(acc["out"]).alias("out"))
 
-    cut = F.aggregate("_s", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col("_s").isNotNull(), cut).otherwise(F.col("text")))
+    cut = F.aggregate(s, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
+    rows = rows.withColumn("text", F.when(F.col(s).isNotNull(), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col("_s").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col(s).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)
