@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, licenses, minhash, mix, pages, quality, secrets
+from . import decontaminate, embeddings, langid, licenses, lmscore, minhash, mix, pages, quality, secrets
 from .common import table
 
 
@@ -36,6 +36,12 @@ def op4_linked_secrets(spark, sf_dir):
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(secrets.as_text(F.col("base")), 256).alias("base_sha256"), secrets.as_text(F.col("spans")).alias("spans"))
 
 
+def op5_stupid_backoff_scores(spark, sf_dir):
+    """The score of every document under the trigram counts of all others."""
+    found = lmscore.scores(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", F.round("log_score", 4).alias("log_score"), F.round(F.col("log_score") / F.nullif(F.col("n_words"), F.lit(0)), 6).alias("mean_score"))
+
+
 def op6_apportioned_mix(spark, sf_dir):
     """The words that a mix by weights 5, 2, 1 takes of every document."""
     return mix.mix(table(spark, sf_dir, "documents"))
@@ -72,6 +78,7 @@ QUERIES = {
     "op8_ordinal_quality": op8_ordinal_quality,
     "op9_tiled_embedding_duplicates": op9_tiled_embedding_duplicates,
     "op4_linked_secrets": op4_linked_secrets,
+    "op5_stupid_backoff_scores": op5_stupid_backoff_scores,
     "op6_apportioned_mix": op6_apportioned_mix,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
 }
@@ -243,3 +250,34 @@ with words as (
 )
 select doc_id, item_id, similarity, (start - 1)::bigint as start_word, n_words::bigint as n_words from scored where place = 1 and similarity >= 0.8
 """
+
+
+ORACLE_SQL["op5_stupid_backoff_scores"] = r"""
+with texts as (
+  select row_number() over () as r, doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w from documents
+), places as (
+  select r, unnest(range(1, len(w) + 1)) as i, len(w) as size, w from texts
+), grams as (
+  select r, i, size, w[i] as g1, case when i > 1 then w[i - 1] || ' ' || w[i] end as g2, case when i > 2 then w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] end as g3 from places
+), own1 as (select r, g1, count(*) as n from grams group by all), all1 as (select g1, sum(n) as n from own1 group by all
+), own2 as (select r, g2, count(*) as n from grams where g2 is not null group by all), all2 as (select g2, sum(n) as n from own2 group by all
+), own3 as (select r, g3, count(*) as n from grams where g3 is not null group by all), all3 as (select g3, sum(n) as n from own3 group by all
+), others as (
+  select g.r, g.i, g.size, a1.n - o1.n as c1, a2.n - o2.n as c2, a3.n - o3.n as c3, (select sum(n) from all1) as total
+  from grams g join own1 o1 on g.r = o1.r and g.g1 = o1.g1 join all1 a1 on g.g1 = a1.g1
+  left join own2 o2 on g.r = o2.r and g.g2 = o2.g2 left join all2 a2 on g.g2 = a2.g2
+  left join own3 o3 on g.r = o3.r and g.g3 = o3.g3 left join all3 a3 on g.g3 = a3.g3
+), before as (
+  select *, lag(c1) over (partition by r order by i) as b1, lag(c2) over (partition by r order by i) as b2 from others
+), one as (
+  select *, greatest(c1, 0.5)::double / greatest(1, total - size) as s1 from before
+), two as (
+  select *, case when i < 2 then s1 when c2 > 0 then c2::double / b1 else 0.4::double * s1 end as s2 from one
+), three as (
+  select r, ln(case when i < 3 then s2 when c3 > 0 then c3::double / b2 else 0.4::double * s2 end) as s3 from two
+), summed as (
+  select r, count(*) as n_words, sum(s3) as log_score from three group by r
+)
+select t.doc_id, coalesce(s.n_words, 0)::bigint as n_words, round(coalesce(s.log_score, 0), 4) as log_score, round(s.log_score / s.n_words, 6) as mean_score
+from texts t left join summed s on t.r = s.r
+"""
