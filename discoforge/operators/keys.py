@@ -85,15 +85,16 @@ def or_key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]])
     return reduce(DataFrame.unionByName, joins).distinct()
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, block: list[str], left_title: str, right_title: str, order: list[str], threshold: float = 0.7) -> DataFrame:
+def fuzzy_matches(left: DataFrame, right: DataFrame, block: list[str], left_title: str, right_title: str, order: list[str], threshold: float = 0.7, also: Column | None = None) -> DataFrame:
     """J09. For each left row its best right row of the same block with title similarity of threshold or more.
 
-    Equi-join on the block; lengths are tested before the edit distance. Of equal scores the first by order
-    wins. Columns of the right side come with the prefix r_. score is the similarity.
+    Equi-join on the block; lengths are tested before the edit distance, and what else pairs must meet. Of equal
+    scores the first by order wins. Columns of the right side come with the prefix r_. score is the similarity.
     """
     marked = left.withColumn("_row", F.struct(*left.columns))
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(b) == F.col(f"r_{b}") for b in block])
+    same = same if also is None else same & also
     met = marked.join(named, same & may_reach(left_title, f"r_{right_title}", round(10 * threshold)))
     scored = met.withColumn("score", similarity(left_title, f"r_{right_title}")).where(F.col("score") >= threshold)
     nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("score"), *[f"r_{c}" for c in order]))
