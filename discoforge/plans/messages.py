@@ -46,19 +46,19 @@ def tracks(messages: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     named by several releases counts once, at its first.
     """
     m = parsed(messages, xml)
-    releases = m.select(key, "version", F.posexplode("m.ReleaseList.Release").alias("release_at", "release"))
-    album_like = (F.col("release.ReleaseType") == "Album") | ((F.col("version") == "382") & (F.col("release._IsMainRelease") == "true"))
+    releases = m.select(key, "version", F.posexplode("m.ReleaseList.Release").alias("release_at", "_release"))
+    album_like = (F.col("_release.ReleaseType") == "Album") | ((F.col("version") == "382") & (F.col("_release._IsMainRelease") == "true"))
     first = F.row_number().over(Window.partitionBy(key).orderBy("release_at"))
-    albums = releases.where(F.coalesce(album_like, F.lit(False))).withColumn("_nth", first).where("_nth = 1").select(key, F.col("release").alias("album"))
-    inner = F.flatten(F.transform("release.TrackReleaseList.TrackRelease", lambda t: F.coalesce(t["ReleaseResourceReferenceList"]["ReleaseResourceReference"], F.array(t["LinkedReleaseResourceReference"]))))
-    untyped = F.coalesce(F.col("release.ReleaseType"), F.lit("")) == ""
-    nested = ((F.col("release.ReleaseType") == "Album") | (untyped & (F.col("version") != "382"))) & (F.size(F.coalesce(inner, F.array().cast("array<string>"))) > 0)
-    refs = F.when(nested, inner).otherwise(F.col("release.ReleaseResourceReferenceList.ReleaseResourceReference"))
-    named = releases.select(key, "release_at", "release", nested.alias("nested"), F.posexplode(refs).alias("ref_at", "ref")).withColumn("ref", clean("ref"))
+    albums = releases.where(F.coalesce(album_like, F.lit(False))).withColumn("_nth", first).where("_nth = 1").select(key, F.col("_release").alias("album"))
+    inner = F.flatten(F.transform("_release.TrackReleaseList.TrackRelease", lambda t: F.coalesce(t["ReleaseResourceReferenceList"]["ReleaseResourceReference"], F.array(t["LinkedReleaseResourceReference"]))))
+    untyped = F.coalesce(F.col("_release.ReleaseType"), F.lit("")) == ""
+    nested = ((F.col("_release.ReleaseType") == "Album") | (untyped & (F.col("version") != "382"))) & (F.size(F.coalesce(inner, F.array().cast("array<string>"))) > 0)
+    refs = F.when(nested, inner).otherwise(F.col("_release.ReleaseResourceReferenceList.ReleaseResourceReference"))
+    named = releases.select(key, "release_at", "_release", nested.alias("nested"), F.posexplode(refs).alias("ref_at", "ref")).withColumn("ref", clean("ref"))
     recordings = m.select(key, "version", F.explode("m.ResourceList.SoundRecording").alias("sr")).withColumn("ref", clean("sr.ResourceReference"))
     met = named.join(recordings, [key, "ref"]).join(albums, key, "left")
     nth = F.row_number().over(Window.partitionBy(key, "ref").orderBy("release_at", "ref_at"))
-    met = met.withColumn("_nth", nth).where("_nth = 1").withColumn("rel", F.when(F.col("nested"), F.col("release")).otherwise(F.coalesce("album", "release")))
+    met = met.withColumn("_nth", nth).where("_nth = 1").withColumn("rel", F.when(F.col("nested"), F.col("_release")).otherwise(F.coalesce("album", "_release")))
 
     sr, d, rel = F.col("sr"), F.get("sr.SoundRecordingDetailsByTerritory", F.lit(0)), F.col("rel")
     rel_d = F.get("rel.ReleaseDetailsByTerritory", F.lit(0))

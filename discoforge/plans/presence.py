@@ -102,8 +102,8 @@ def matrix_by_keys(sources: dict[str, DataFrame]) -> DataFrame:
     """J08 as one plan of joins and aggregations, for groups of any size.
 
     Rows with a code are keyed by it; rows without take the code that their file name has elsewhere in the
-    group, else the file name; what is left joins the most similar keyed title of its sequence number, else is
-    keyed by number and title. It differs from matrix() where a track's code and file name point to different
+    group, else the file name; what is left joins, source by source, the most similar title of its sequence
+    number so far, else is keyed by number and title. It differs from matrix() where a track's code and file name point to different
     rows, and where titles of one source are alike.
     """
     rows = prepared(sources)
@@ -111,13 +111,17 @@ def matrix_by_keys(sources: dict[str, DataFrame]) -> DataFrame:
     rows = rows.join(codes, ["group", "file"], "left")
     rows = rows.withColumn("key", F.coalesce("code", "code_of_file", F.concat(F.lit("f:"), "file")))
     value = lambda c: first_value(F.col(c), ["rank", "ord"], clean(F.col(c).cast("string")).isNotNull()).alias(c)
-    keyed = rows.where("key is not null").groupBy("group", "key").agg(value("title"), value("sequence_no"), F.min(F.struct("rank", "ord")).alias("at"))
-    loose = rows.where("key is null")
-    near = fuzzy_matches(loose.select("group", "sequence_no", "title", "rank", "ord"), keyed, ["group", "sequence_no"], "title", "title", ["at"], THRESHOLD)
-    near = near.select("group", "rank", "ord", F.col("r_key").alias("near_key"))
+    seen = rows.where("key is not null").groupBy("group", "key").agg(value("title"), value("sequence_no"), F.min(F.struct("rank", "ord")).alias("at"))
+    every = rows.where("key is not null")
     own = F.concat(F.lit("seq:"), F.coalesce(F.col("sequence_no").cast("string"), F.lit("?")), F.lit(":"), "title_key")
-    loose = loose.join(near, ["group", "rank", "ord"], "left").withColumn("key", F.coalesce("near_key", own)).drop("near_key")
-    every = rows.where("key is not null").unionByName(loose)
+    for rank in range(len(sources)):  # a source's rows without keys meet all keyed rows and those of the sources before
+        loose = rows.where(F.col("key").isNull() & (F.col("rank") == rank))
+        near = fuzzy_matches(loose.select("group", "sequence_no", "title", "rank", "ord"), seen, ["group", "sequence_no"], "title", "title", ["at"], THRESHOLD)
+        near = near.select("group", "rank", "ord", F.col("r_key").alias("near_key"))
+        loose = loose.join(near, ["group", "rank", "ord"], "left").withColumn("key", F.coalesce("near_key", own))
+        every = every.unionByName(loose.drop("near_key"))
+        fresh = loose.where("near_key is null").groupBy("group", "key").agg(value("title"), value("sequence_no"), F.min(F.struct("rank", "ord")).alias("at"))
+        seen = seen.unionByName(fresh)
     names = list(sources)
     out = every.groupBy("group", "key").agg(
         F.max("code").alias("isrc"),

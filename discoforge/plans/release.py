@@ -65,7 +65,7 @@ def plan(tracks: DataFrame, release: str, parties: Parties, today: str, override
     )
     heads = laid.groupBy(release).agg(
         first_value(album, ["place", "ord"]).alias("album"),
-        F.bool_or(F.coalesce("explicit", F.lit(False))).alias("explicit"),
+        F.bool_or(F.coalesce("explicit", F.lit(False))).alias("any_explicit"),
         F.sum(F.coalesce("duration_sec", F.lit(0))).alias("seconds"),
     )
     heads = heads.where(F.col("album.year").rlike(r"^\d{4}$"))
@@ -82,10 +82,10 @@ def plan(tracks: DataFrame, release: str, parties: Parties, today: str, override
         F.when(F.coalesce("duration_sec", F.lit(0)) != 0, full_iso("duration_sec")).alias("duration"),
         stored_md5("audio_hash_md5", F.col("audio") if "audio" in tracks.columns else F.lit(None).cast("binary")).alias("md5"),
     )
-    out = joined.groupBy(release, "album", "explicit", "seconds").agg(F.array_sort(F.collect_list(track)).alias("tracks"))  # a release is an album: a few dozen tracks
+    out = joined.groupBy(release, "album", "any_explicit", "seconds").agg(F.array_sort(F.collect_list(track)).alias("tracks"))  # a release is an album: a few dozen tracks
     image = F.col("album.image_asset")
     art = F.struct(image.alias("asset"), F.concat(image, F.lit("." + artwork_ext.lstrip("."))).alias("filename"), F.concat(F.lit("A"), image).alias("ref"), F.concat(F.lit("T"), image).alias("tech"))
-    return out.select(release, "album", "explicit", full_iso("seconds").alias("duration"), "tracks", art.alias("artwork"))
+    return out.select(release, "album", F.col("any_explicit").alias("explicit"), full_iso("seconds").alias("duration"), "tracks", art.alias("artwork"))
 
 
 def validate(tracks: DataFrame, release: str) -> DataFrame:
