@@ -120,19 +120,18 @@ def scores(docs: DataFrame, block_chars: int = BLOCK_CHARS) -> DataFrame:
     documents; if they never hold it, BACKOFF times the score after one word, and then after none, by its share
     of all their words. log_score sums the natural logarithms.
 
-    Documents form blocks by a hash of their ids. A block's distinct n-grams go, sorted and packed, to the
+    Documents form blocks by a hash of id and text, so many rows of one id, or without one, spread too. A block's distinct n-grams go, sorted and packed, to the
     partitions of the count table by hash; the partition answers each block with its totals, and the block's
     documents, dealt out once for both, are scored. So a frequent n-gram is one entry a block, and what moves
     grows with the text. Every step is a shuffle of one plan, so a lost executor costs only its part.
 
     Words are runs of anything but ASCII white space, A-Z in lower case. Null, empty and wordless texts have no
-    words and log_score 0. Repeated rows count as other documents. Rows with a null doc_id are in block 0, like
-    others there. Other columns are ignored; an empty table gives an empty result.
+    words and log_score 0. Repeated rows count as other documents. Rows with a null doc_id are scored like others. Other columns are ignored; an empty table gives an empty result.
     """
     chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-chars // block_chars))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    laid = docs.select("doc_id", "text", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.lit(blocks)), F.lit(0)).cast("int").alias("block"))
+    laid = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)).cast("int").alias("block"))
     counted = laid.groupBy("block").applyInPandas(_count(max(1, blocks // 2)), _COUNTED)
     answered = counted.groupBy("bucket").applyInPandas(_total, _ANSWERED)
     return laid.groupBy("block").cogroup(answered.groupBy("block")).applyInPandas(_score(), f"doc_id {kind}, n_words long, log_score double")

@@ -189,21 +189,22 @@ COPY_SHARE = 0.9
 def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
     """The page's text without the lines it shares with its neighbour and the lines beside the article.
 
-    A declared article is kept whole, shared passages included, and nothing around it. Without one, the lines
-    that aren't beside the article by their markup stay, unless shared.
+    The lines of both pages are aligned and the shared ones deleted, as are those beside the article by their
+    markup. An exact check by a declared article follows: its lines come back, shared passages included, since
+    articles quote each other, and what is left around it goes.
     """
-    if any(z == MAIN for _, z in page):
-        keep = [z == MAIN for _, z in page]
-    else:
-        plain = np.array([z == PLAIN for _, z in page], bool)
-        keep = plain
-        if neighbour and plain.any():
-            same = shared([t for t, _ in page], [t for t, _ in neighbour]) & plain
-            size = np.array([len(t) for t, _ in page])
-            if size[same].sum() < COPY_SHARE * size[plain].sum():
-                keep = plain & ~same
-        if not plain.any():
-            keep = np.array([True] * len(page), bool)  # names misled: all of it is better than nothing
+    plain = np.array([z == PLAIN for _, z in page], bool)
+    size = np.array([len(t) for t, _ in page], np.int64)
+    same = shared([t for t, _ in page], [t for t, _ in neighbour]) if neighbour else np.zeros(len(page), bool)
+    open_ = np.array([z != EDGE for _, z in page], bool)
+    if size[same & open_].sum() >= COPY_SHARE * size[open_].sum():
+        same[:] = False
+    keep = plain & ~same
+    declared = np.array([z == MAIN for _, z in page], bool)
+    if declared.any():
+        keep = declared
+    elif not plain.any():
+        keep = np.ones(len(page), bool)  # names misled: all of it is better than nothing
     return "\n".join(t for (t, _), k in zip(page, keep) if k)
 
 
