@@ -21,15 +21,17 @@ def resolve(df: DataFrame, candidates: list[tuple[str, list[str]]], urls: list[s
     def struct(ok: bool, **known: Column) -> Column:
         return F.struct(F.lit(ok).alias("ok"), *[c.alias(n) for n, c in (empty() | known).items()])
 
-    found, first_source = [], []
-    for source, columns in candidates:
+    found, first_source, columns_in = [], [], df.columns
+    for n, (source, columns) in enumerate(candidates):
         here = [F.col(c) for c in columns if c in df.columns]
         if not here:
             continue
         value = F.coalesce(*[F.nullif(c, F.lit("")) for c in here])
-        place = F.coalesce(mount_line(value), value)
-        at = bucket_and_key(place, anchor, buckets)
-        url = F.nullif(F.regexp_extract(place, r"(https?://\S+)", 1), F.lit(""))
+        # a column each, so that a long expression is worked out once and not at every use
+        df = df.withColumn(f"_place{n}", F.coalesce(mount_line(value), value))
+        df = df.withColumn(f"_at{n}", bucket_and_key(F.col(f"_place{n}"), anchor, buckets))
+        at = F.col(f"_at{n}")
+        url = F.nullif(F.regexp_extract(f"_place{n}", r"(https?://\S+)", 1), F.lit(""))
         found.append(F.when(at.isNotNull(), struct(True, kind=F.lit("store"), bucket=at["bucket"], key=at["key"], path=F.concat(F.lit("/"), at["bucket"], F.lit("/"), at["key"]), filename=F.substring_index(at["key"], "/", -1), source=F.lit(source))))
         found.append(F.when(url.isNotNull(), struct(True, kind=F.lit("url"), url=url, filename=F.substring_index(url, "/", -1), source=F.lit(source))))
         first_source.append(F.when(~blank(value), F.lit(source)))
@@ -39,7 +41,7 @@ def resolve(df: DataFrame, candidates: list[tuple[str, list[str]]], urls: list[s
         found.append(F.when(url.rlike("(?i)^https?://"), struct(True, kind=F.lit("url"), url=url, filename=F.substring_index(url, "/", -1), source=F.lit("url field"))))
     any_source = F.coalesce(*first_source) if first_source else F.lit(None).cast("string")
     missing = struct(False, source=any_source, reason=F.when(any_source.isNotNull(), "unparseable-path").otherwise("no-audio-field"))
-    return df.withColumn("audio", F.coalesce(*found, missing))
+    return df.select(*[F.col(c) for c in columns_in if c != "audio"], F.coalesce(*found, missing).alias("audio"))
 
 
 def bucket_of(audio: str = "audio") -> Column:
