@@ -22,6 +22,8 @@ ROUNDS, RATE, RIDGE = 1000, 0.3, 1e-5
 KEEP_FROM = 0.5
 
 _MARKS = string.punctuation.encode()
+#: Hashes of ids fall on so many places.
+_PLACES = 1 << 62
 
 
 #: Shares of a text count as features from these values on.
@@ -120,14 +122,17 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3) -> OrdinalModel
 
     Of several ratings of a document the least counts; null grades and ids don't. Shares of grades are counted
     over all ratings; the weights are fitted to at most SAMPLE_A_GRADE documents of each grade, the only rows
-    that reach the driver, as numbers of buckets.
+    that reach the driver, as numbers of buckets. They are ranked by hash among the lowest hashes only, about
+    four times as many, so a grade of any size has a small ranking.
     """
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
-    nth = F.row_number().over(Window.partitionBy("grade").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    sample = rated.withColumn("nth", nth).where(F.col("nth") <= SAMPLE_A_GRADE).select("doc_id", "grade")
-    share = np.zeros(grades)
+    share, near = np.zeros(grades), F.lit(False)
+    place = F.xxhash64("doc_id").bitwiseAND(F.lit(_PLACES - 1))
     for r in rated.groupBy("grade").agg(F.count("*").alias("n")).collect():
         share[int(r["grade"])] = r["n"]
+        near |= (F.col("grade") == r["grade"]) & (place < F.lit(min(_PLACES, _PLACES * 4 * SAMPLE_A_GRADE // r["n"])))
+    nth = F.row_number().over(Window.partitionBy("grade").orderBy(place, "doc_id"))
+    sample = rated.where(near).withColumn("nth", nth).where(F.col("nth") <= SAMPLE_A_GRADE).select("doc_id", "grade")
 
     def of_batch(batches):
         seen = _Features()
