@@ -61,6 +61,14 @@ def _similarity(a: str, b: str) -> Column:
     return both / (F.size(a) + F.size(b) - both)
 
 
+def _starts(at: str, n: str, need: str) -> Column:
+    """Starts of the windows of n that hold need or more of the sorted positions at. Each start goes with the first position it holds."""
+    p = F.col(at)
+    low = lambda i: F.greatest(F.coalesce(F.get(p, i - 1) + 1, F.lit(0)), F.get(p, i + F.col(need) - 1) - F.col(n) + 1)
+    held = lambda i: F.when(low(i) <= F.get(p, i), F.sequence(low(i), F.get(p, i))).otherwise(F.array().cast("array<int>"))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - F.col(need)), held))
+
+
 def benchmark_parts(benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """(item_id, n_words, k, shingles) of each part of an item; k is the shingle's length, less in short items."""
     rows = benchmark.select("item_id", _words(F.col("text")).alias("w")).where(F.size("w") > 0)
@@ -74,9 +82,9 @@ def benchmark_parts(benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of a document for each item it holds.
 
-    A window has as many words as the item, or as a part of a long item, and slides by a word. Only windows in
-    line with a shingle of the benchmark, give or take the words that the threshold lets go missing, are
-    fingerprinted; others can't reach it. Blocks of the fingerprint find all items of that length within the
+    A window has as many words as the item, or as a part of a long item, and slides by a word. Every window that
+    holds as many shingles of items of its length as the threshold asks for is fingerprinted, in whatever order
+    they stand; others can't reach it. Blocks of the fingerprint find all items of that length within the
     radius; the weighted Jaccard similarity of the shingles, threshold or more, decides. Words are runs of
     anything but ASCII white space, in lower case.
 
@@ -85,7 +93,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
     item_id is left out. Other columns are ignored; an empty table gives an empty result.
     """
     parts = stash(benchmark_parts(benchmark.where("item_id is not null"), shingle_words))
-    hit = parts.select("k", "n_words", F.size("shingles").alias("n"), F.posexplode("shingles").alias("off", "h")).distinct()
+    hit = parts.select("k", "n_words", F.size("shingles").alias("n"), F.explode("shingles").alias("h")).distinct()
     small = hit.count() <= BROADCAST_ROWS
     near = F.broadcast if small else (lambda df: df)
     lengths = sorted(r["k"] for r in parts.select("k").distinct().collect())  # shingle_words numbers at most
@@ -93,14 +101,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
     by_k = lambda k: split.select("doc_id", F.posexplode(_shingles("w", k)).alias("pos", "h"))
     seeds = None
     for k in lengths:
-        found = by_k(k).join(near(hit.where(F.col("k") == k)), "h").select("doc_id", "k", "n_words", "n", (F.col("pos") - F.col("off")).alias("at"), "pos")
+        found = by_k(k).join(near(hit.where(F.col("k") == k)), "h").select("doc_id", "k", "n_words", "n", "pos")
         seeds = found if seeds is None else seeds.union(found)
     if seeds is None:
         return parts.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("n_words")).limit(0)
-    votes = seeds.groupBy("doc_id", "k", "n_words", "n", "at").agg(F.count_distinct("pos").alias("votes"))
-    # a window whose every shingle is in line needs no neighbours
-    slack = F.when(F.col("votes") >= F.col("n"), 0).otherwise(F.ceil((1 - threshold) * F.col("n"))).cast("int")
-    starts = votes.groupBy("doc_id", "k", "n_words", "n").agg(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("at") - slack, F.col("at") + slack)))).alias("starts"))
+    placed = seeds.groupBy("doc_id", "k", "n_words", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
+    # a of 2n - a shingles in common, a / (2n - a) >= threshold; the small part is for rounding
+    placed = placed.withColumn("need", F.greatest(F.lit(1), F.ceil(2 * threshold * F.col("n") / (1 + threshold) - 1e-9)).cast("int")).where("size(at) >= need")
+    starts = placed.select("doc_id", "k", "n_words", "n", _starts("at", "n", "need").alias("starts")).where("size(starts) > 0")
     starts = stash(starts.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n_words", "n", "starts")).alias("asked")))
 
     held = split.join(starts, "doc_id").select("doc_id", "asked", *[_shingles("w", k).alias(f"s{k}") for k in lengths])
