@@ -75,6 +75,20 @@ GAP = 1
 _END = r"(?<=[.!?:;])[\x20\x09-\x0D]+|\n"
 _WRAPPED_END = r"(?<=[.!?:;])[\x20\x09-\x0D]+|\n[\x20\x09\x0B-\x0D]*\n"
 
+#: Known sentences run across these marks in the notices: the words before the mark, and those after it.
+JOINTS = (
+    ("this program is free software", "you can redistribute"),
+    ("published by the free software foundation", "either version"),
+    ("but without any warranty", "without even the implied"),
+    ("the mozilla public license v", "2 0"),
+)
+
+
+def _joint() -> str:
+    """The regular expression of the joints with their marks; its group is what stays."""
+    words = lambda s: s.replace(" ", "[^A-Za-z0-9]+")
+    return "(?i)(?:" + "|".join(rf"(?<j{n}>{words(a)})[.:;](?=[\x20\x09-\x0D][^A-Za-z0-9]*{words(b)})" for n, (a, b) in enumerate(JOINTS)) + ")"
+
 
 def normalise(sentence: str) -> str:
     """Lower-case ASCII letters and digits, with one space for anything between them."""
@@ -115,20 +129,23 @@ def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, licenses, sentences) of each row of docs.
 
     licenses: the licences whose rules match, by name; sentences: identifiers of the known sentences in order.
-    A text is read line by line and, for licences with wrapped lines, by paragraphs; both find sentences, and
-    the reading with more of them counts, by lines if equal. Rows stay where they are: nothing is shuffled.
+    A text is read line by line and, for licences with wrapped lines, by paragraphs; the rules are matched on
+    both readings, and the licences of either count. The sentences are those of the reading with more of them,
+    by lines if equal. Known sentences go on over the marks that stand within them (JOINTS). Rows stay where they are: nothing is shuffled.
 
     Null and empty texts, and texts without known sentences, have empty arrays. Repeated rows repeat. Other
     columns are ignored; an empty table gives an empty result.
     """
     assert all(re.search(HINT, s) for s in SENTENCES.values())
     none = F.array().cast("array<int>")
-    text = F.when(F.col("text").rlike(HINT), F.col("text"))
-    read = docs.select("doc_id", F.coalesce(_ids(text, _END), none).alias("lines"), F.coalesce(_ids(text, _WRAPPED_END), none).alias("wrapped"))
-    read = read.select("doc_id", F.when(F.size("wrapped") > F.size("lines"), F.col("wrapped")).otherwise(F.col("lines")).alias("ids"))
+    text = F.when(F.col("text").rlike(HINT), F.regexp_replace("text", _joint(), "".join(f"${{j{n}}}" for n in range(len(JOINTS)))))
+    read = docs.select("doc_id", text.alias("text"))
+    read = read.select("doc_id", F.coalesce(_ids(F.col("text"), _END), none).alias("lines"), F.coalesce(_ids(F.col("text"), _WRAPPED_END), none).alias("wrapped"))
     names = F.array(*[F.lit(n) for n in SENTENCES])
-    sequence = read.select("doc_id", "ids", _sequence(F.col("ids")).alias("seq"))
-    met = lambda name, rule: reduce(lambda c, r: c & ~F.col("seq").rlike(rule_pattern(r)), longer(name, rule), F.col("seq").rlike(rule_pattern(rule)))
+    ids = F.when(F.size("wrapped") > F.size("lines"), F.col("wrapped")).otherwise(F.col("lines"))
+    sequence = read.select("doc_id", ids.alias("ids"), _sequence(F.col("lines")).alias("seq"), _sequence(F.col("wrapped")).alias("seq2"))
+    held = lambda rule: F.col("seq").rlike(rule_pattern(rule)) | F.col("seq2").rlike(rule_pattern(rule))
+    met = lambda name, rule: reduce(lambda c, r: c & ~held(r), longer(name, rule), held(rule))
     matched = F.array_compact(F.array(*[F.when(met(name, rule), F.lit(name)) for name, rule in RULES]))
     return sequence.select("doc_id", F.array_sort(F.array_distinct(matched)).alias("licenses"), F.transform("ids", lambda n: F.element_at(names, n)).alias("sentences"))
 
