@@ -182,25 +182,29 @@ def _row_lengths(x: list, y: list) -> np.ndarray:
     return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
 
 
-#: If a page shares so much of the text that might go with its neighbour, the two are copies and nothing is deleted.
+#: If a page shares so much of the text that might go with its neighbour, the two may be copies, and a second page beside it is asked too.
 COPY_SHARE = 0.9
 
 
-def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None) -> str:
+def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None, other: list[tuple[str, int]] | None = None) -> str:
     """The page's text without the lines it shares with its neighbour and the lines beside the article.
 
     The lines of both pages are aligned and the shared ones deleted, as are those beside the article by their
-    markup. An exact check by a declared article follows: its lines come back, shared passages included, since
-    articles quote each other, and what is left around it goes.
+    markup. A page that shares nearly all of its text with its neighbour is a copy or a short article on a large
+    template: lines that a second page, if any, doesn't share stay, and all stay if none would be left. An exact
+    check by a declared article follows: its lines come back, shared passages included, since articles quote each
+    other, and what is left around it goes.
     """
     plain = np.array([z == PLAIN for _, z in page], bool)
     size = np.array([len(t) for t, _ in page], np.int64)
     same = shared([t for t, _ in page], [t for t, _ in neighbour]) if neighbour else np.zeros(len(page), bool)
     open_ = np.array([z != EDGE for _, z in page], bool)
-    if size[same & open_].sum() >= COPY_SHARE * size[open_].sum():
-        same[:] = False
-    keep = plain & ~same
     declared = np.array([z == MAIN for _, z in page], bool)
+    if other and not declared.any() and size[same & open_].sum() >= COPY_SHARE * size[open_].sum():
+        same &= shared([t for t, _ in page], [t for t, _ in other])
+    keep = plain & ~same
+    if not keep.any():
+        keep = plain
     if declared.any():
         keep = declared
     elif not plain.any():
@@ -219,26 +223,30 @@ def nearness(a: str, b: str) -> int:
 
 
 def _difference(batches):
-    """Rows come in order of host and path. Each page is held until the next one has come."""
-    before = page = None
-
-    def settle(after):
-        row, mine = page
-        sides = [s for s in (before, after) if s is not None and s[0][2] == row[2]]
-        best = max(sides, key=lambda s: nearness(s[0][3], row[3]), default=None)
-        text = article(mine, best[1] if best else None)
+    """Rows come in order of host and path. Each page is held until the next two have come."""
+    near, at = [], 0  # up to two pages before the one at, itself, those after
+
+    def settle():
+        nonlocal at
+        row, mine = near[at]
+        beside = lambda n: sorted((near[i] for i in (at - n, at + n) if 0 <= i < len(near) and near[i][0][2] == row[2]), key=lambda s: -nearness(s[0][3], row[3]))
+        sides = [*beside(1), *beside(2)][:2]
+        text = article(mine, *[s[1] for s in sides] or [None])
+        if at == 2:
+            near.pop(0)
+        else:
+            at += 1
         return row[0], row[1], text, len(text)
 
     for batch in batches:
         out = []
         for row in batch[["page_id", "url", "host", "path", "html"]].itertuples(index=False, name=None):
-            new = (row[:4], blocks(row[4]))
-            if page is not None:
-                out.append(settle(new))
-            before, page = page, new
+            near.append((row[:4], blocks(row[4])))
+            if len(near) > at + 2:
+                out.append(settle())
         yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
-    if page is not None:
-        yield pd.DataFrame([settle(None)], columns=["page_id", "url", "text", "n_chars"])
+    if near:
+        yield pd.DataFrame([settle() for _ in range(len(near) - at)], columns=["page_id", "url", "text", "n_chars"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
@@ -246,10 +254,11 @@ def main_text(pages: DataFrame) -> DataFrame:
 
     Pages are dealt out and put in order by host and path, so that a page's neighbours by path stand next to it
     and a host of any size spreads over tasks; of the two neighbours the one with more of the path in common is
-    compared. The first page of a task has the one after it. Lines are aligned by longest common subsequence.
+    compared, and where the two share nearly all, the other one too. The first page of a task or host has the two
+    after it, the last one the two before. Lines are aligned by longest common subsequence.
 
     Null and empty html give an empty text. A null url is a host and path of its own. Repeated rows and urls
-    each give their row; copies of a page keep their text. Other columns are ignored, an empty table gives an
+    each give their row; copies of a page keep the text that not all pages beside them have. Other columns are ignored, an empty table gives an
     empty result.
     """
     url = F.coalesce(F.col("url"), F.lit(""))
