@@ -15,17 +15,26 @@ def first_value(value: Column, order: list, when: Column | None = None) -> Colum
 
 
 def artist_rollup(songs: DataFrame, order: list[str]) -> DataFrame:
-    """A01. By artist: songs, distinct albums, ids in order, title and URL of the first song with a URL; most songs first."""
+    """A01. By artist: songs, distinct albums, least and greatest id, title and URL of the first song with a URL; most songs first.
+
+    The ids themselves are rows of artist_record_ids: an artist may have any number of them.
+    """
     has_url = ~F.coalesce(F.col("url"), F.lit("")).isin("")
     out = songs.groupBy("artist").agg(
         F.count("*").alias("songs"),
         F.count_distinct(F.when(F.coalesce(F.col("album"), F.lit("")) != "", F.col("album"))).alias("albums"),
         first_value(F.struct("title", "url"), order, has_url).alias("sample"),
-        F.transform(F.array_sort(F.collect_list(F.struct(*order, F.col("record_id").alias("v")))), lambda x: x["v"]).alias("record_ids"),
+        F.min("record_id").alias("first_id"),
+        F.max("record_id").alias("last_id"),
     )
     return out.orderBy(F.desc("songs"), "artist")
 
 
+def artist_record_ids(songs: DataFrame, order: list[str]) -> DataFrame:
+    """A01. (artist, record_id) of every song, by artist and then in order; ranges of the sort split an artist of any size."""
+    return songs.orderBy("artist", *order, "record_id").select("artist", "record_id")
+
+
 def tag_counts(df: DataFrame, tag: str) -> DataFrame:
     """A02. Rows by trimmed tag, blank ones left out, in order whatever the case."""
     return df.select(clean(tag).alias("tag")).where("tag is not null").groupBy("tag").agg(F.count("*").alias("n")).orderBy(F.lower("tag"), "tag")

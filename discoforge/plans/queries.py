@@ -194,7 +194,7 @@ def artist_rollup(spark, sf_dir):
     songs = t(spark, sf_dir, "lineitem").join(t(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     songs = songs.select(F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.col("p_name").alias("title"), F.when(F.col("p_size") > 25, F.concat(F.lit("u"), F.col("p_partkey").cast("string"))).alias("url"), F.col("l_orderkey").alias("record_id"), "l_partkey")
     out = rollups.artist_rollup(songs, ["l_partkey", "record_id"])
-    return out.select("artist", "songs", "albums", F.col("sample.url").alias("sample_url"), F.array_max("record_ids").alias("last_id"))
+    return out.select("artist", "songs", "albums", F.col("sample.url").alias("sample_url"), "last_id")
 
 
 @query("select event_type as tag, count(*) as n from events group by event_type")
