@@ -196,7 +196,7 @@ with texts as (
   ) c
 ), added as (
   select x.n, x.kind, x."end", x.start from parts x
-  where x.kind >= 3 and exists (from parts y where y.n = x.n and y.scope = x.scope and greatest(x.start - y."end", y.start - x."end") <= {secrets.REACH}
+  where x.kind >= 3 and exists (from parts y where y.n = x.n and y.scope = x.scope
     and x.role <> y.role and (x.role = 's' or y.role = 's'))
 ), named as (
   select *, ['assign', 'access', 'hex', 'ident', 'weak', 'endpoint'][kind + 1] || ':' || start || ':' || "end" as label from (from base union all from added)

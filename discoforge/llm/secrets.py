@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, stash
@@ -27,76 +27,106 @@ PATTERNS = {
 }
 ROLES = {"assign": "secret", "access": "id", "hex": "secret", "ident": "id", "weak": "secret", "endpoint": "endpoint"}
 ASSIGN_LEAST = 6
-#: Parts belong together up to this distance within a scope; blank lines end a scope.
-REACH = 160
+#: A blank line ends a scope. No pattern of a part holds a line break.
+BLANK, _BLANK_LINE = len(KINDS), r"\n[\x20\t]*\r?\n"
+#: Texts are cut at every so many code points, so that a place in the middle is found without reading up to it.
+PIECE = 1024
 _SPAN = "array<struct<start:int,kind:int,end:int>>"
+_MARK = "array<struct<kind:int,nth:int,skip:int,size:int,keep:boolean>>"
 
 
-def _spans(text: Column, kind: str) -> Column:
-    """All matches of a kind, by start: the text falls apart at the matches, so lengths add up to positions."""
-    pattern = F.lit(PATTERNS[kind])
-    found = F.regexp_extract_all(text, pattern, F.lit(0))
-    parts = [F.slice(F.split(text, PATTERNS[kind], -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit")]
-    if kind == "assign":
-        parts.append(F.regexp_extract_all(text, pattern, F.lit(2)).alias("value"))
+def _marks(text: Column, kind: int) -> Column:
+    """All matches of a kind in order: how far each lies behind the last one, its length, and whether it counts."""
+    name, pattern = (KINDS[kind], PATTERNS[KINDS[kind]]) if kind < BLANK else ("blank", _BLANK_LINE)
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    parts = [F.slice(F.split(text, pattern, -1), F.lit(1), F.size(found)).alias("gap"), found.alias("hit")]
+    if name == "assign":
+        parts.append(F.regexp_extract_all(text, F.lit(pattern), F.lit(2)).alias("value"))
 
     def keep(x):
-        if kind == "assign":
+        if name == "assign":
             return F.length(x["value"]) >= ASSIGN_LEAST
-        if kind == "weak":
+        if name == "weak":
             return x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Za-z]")
         return F.lit(True)
 
-    def step(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["hit"])
-        span = F.struct(start.alias("start"), F.lit(KINDS.index(kind)).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.when(keep(x), F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
+    one = lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("nth"), F.length(x["gap"]).alias("skip"), F.length(x["hit"]).alias("size"), keep(x).alias("keep"))
+    return F.when(text.rlike(pattern), F.transform(F.arrays_zip(*parts), one)).otherwise(F.array().cast(_MARK))
 
-    laid = F.aggregate(F.arrays_zip(*parts), F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(PATTERNS[kind]), laid).otherwise(F.array().cast(_SPAN))
 
+def scan(docs: DataFrame) -> DataFrame:
+    """(row, doc_id, h, marks) of each row of docs: matches of every kind, and blank lines where parts could link.
 
-def _overlap(x, y):
-    return (x["start"] < y["end"]) & (y["start"] < x["end"])
+    h is a hash of the text, row a number of the row; only lengths leave the scan.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("h"), text.alias("t"))
+    rows = rows.select("row", "doc_id", "h", "t", *[_marks(F.col("t"), k).alias(n) for k, n in enumerate(KINDS)])
+    blank = F.when(F.size("ident") + F.size("weak") + F.size("endpoint") > 0, _marks(F.col("t"), BLANK)).otherwise(F.array().cast(_MARK))
+    return rows.select("row", "doc_id", "h", F.concat(*KINDS, blank).alias("marks"))
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, base, parts) of each row of docs: certain spans, and weak parts off them with their scope.
+def _off(spans: DataFrame, target: Column, blocker: Column) -> DataFrame:
+    """spans without the targets that overlap a blocker of their row.
 
-    h is a hash of the text, which with doc_id stands for the row.
+    A sweep each way: of the blockers that start no later the one that reaches furthest, and the next that starts
+    no earlier, tell. Of equal starts blockers come first.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), text.alias("t"), *[_spans(text, k).alias(k) for k in KINDS])
-    rows = rows.withColumn("base", F.array_sort(F.concat(*KINDS[:3])))
-    endpoints_off = F.filter("endpoint", lambda x: ~F.exists("base", lambda y: _overlap(x, y)))
-    rows = rows.withColumn("endpoint", endpoints_off)
-    off = lambda kind, others: F.filter(kind, lambda x: ~F.exists(others, lambda y: _overlap(x, y)))
-    rows = rows.withColumn("ident", off("ident", F.col("base")))
-    rows = rows.withColumn("weak", off("weak", F.concat("base", "endpoint", "ident")))
-    some = (F.size("weak") + F.size("ident") + F.size("endpoint") > 0) & (F.size("base") + F.size("weak") + F.size("ident") + F.size("endpoint") > 1)
-    parts = F.when(some, F.concat("base", "ident", "weak", "endpoint")).otherwise(F.array().cast(_SPAN))
-    # the scope of a part: how many blank lines come before it
-    scope = lambda x: F.size(F.split(F.substring(F.col("t"), F.lit(1), x["start"]), r"\n[\x20\t]*\r?\n"))
-    return rows.select("doc_id", "h", "base", F.transform(parts, lambda x: F.struct(x["start"].alias("start"), x["kind"].alias("kind"), x["end"].alias("end"), scope(x).alias("scope"))).alias("parts"))
-
-
-def link(found: DataFrame) -> DataFrame:
-    """(doc_id, h, added): weak parts that a part of another role stands near, one of the two being a secret.
-
-    An interval join: parts meet by row, scope and stretch of REACH code points, then by distance. A stretch
-    holds a bounded number of parts, so no key grows with a document.
+    up = Window.partitionBy("row").orderBy("start", target, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    down = Window.partitionBy("row").orderBy(F.desc("start"), target, "kind").rowsBetween(Window.unboundedPreceding, 0)
+    swept = spans.withColumn("reach", F.max(F.when(blocker, F.col("end"))).over(up)).withColumn("next", F.min(F.when(blocker, F.col("start"))).over(down))
+    hit = F.coalesce(F.col("reach") > F.col("start"), F.lit(False)) | F.coalesce(F.col("next") < F.col("end"), F.lit(False))
+    return swept.where(~(target & hit)).drop("reach", "next")
+
+
+def place(found: DataFrame) -> DataFrame:
+    """(row, start, kind, end, scope) of the marks that count, parts off the certain spans only.
+
+    Positions are running sums, so a text of any number of matches takes one ordered pass. The scope is the number
+    of blank lines before.
+    """
+    marks = found.select("row", F.explode("marks").alias("m")).select("row", "m.*")
+    behind = Window.partitionBy("row", "kind").orderBy("nth").rowsBetween(Window.unboundedPreceding, 0)
+    spans = marks.withColumn("end", F.sum(F.col("skip") + F.col("size")).over(behind).cast("int")).where("keep")
+    spans = spans.select("row", (F.col("end") - F.col("size")).alias("start"), "kind", "end")
+    kind = F.col("kind")
+    spans = _off(spans, kind.isin(KINDS.index("ident"), KINDS.index("endpoint")), kind < 3)
+    spans = _off(spans, kind == KINDS.index("weak"), (kind != KINDS.index("weak")) & (kind != BLANK))
+    so_far = Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    return spans.withColumn("scope", F.count(F.when(kind == BLANK, 1)).over(so_far)).where(kind != BLANK)
+
+
+def link(spans: DataFrame) -> DataFrame:
+    """The certain spans, and the weak parts whose scope holds a part of another role, one of the two being a secret.
+
+    The interval join of parts and scopes: both stand in one order, so a part falls into the scope that is open
+    where it starts, and a scope needs to tell only which roles it holds. No pairs arise.
     """
     roles = F.array(*[F.lit(ROLES[k]) for k in KINDS])
-    parts = found.where(F.size("parts") > 0).select("doc_id", "h", "parts").distinct().select("doc_id", "h", F.explode("parts").alias("p")).select("doc_id", "h", "p.*")
-    parts = parts.withColumn("role", F.element_at(roles, F.col("kind") + 1))
-    weak = parts.where(F.col("kind") >= 3).withColumn("cell", F.explode(F.sequence(F.floor((F.col("start") - REACH) / REACH), F.floor((F.col("end") + REACH) / REACH)))).alias("x")
-    near = parts.withColumn("cell", F.explode(F.sequence(F.floor(F.col("start") / REACH), F.floor(F.col("end") / REACH)))).alias("y")
-    together = F.col("x.doc_id").eqNullSafe(F.col("y.doc_id")) & (F.col("x.h") == F.col("y.h")) & (F.col("x.scope") == F.col("y.scope")) & (F.col("x.cell") == F.col("y.cell"))
-    apart = F.greatest(F.col("x.start") - F.col("y.end"), F.col("y.start") - F.col("x.end"))
-    complete = (F.col("x.role") != F.col("y.role")) & ((F.col("x.role") == "secret") | (F.col("y.role") == "secret"))
-    linked = weak.join(near, together & (apart <= REACH) & complete).select("x.doc_id", "x.h", F.struct("x.start", "x.kind", "x.end").alias("s"))
-    return linked.groupBy("doc_id", "h").agg(F.collect_set("s").alias("added"))
+    spans = spans.withColumn("role", F.element_at(roles, F.col("kind") + 1))
+    within = Window.partitionBy("row", "scope")
+    holds = lambda *names: F.max(F.col("role").isin(*names)).over(within)
+    spans = spans.withColumn("secret", holds("secret")).withColumn("other", holds("id", "endpoint"))
+    complete = F.when(F.col("role") == "secret", F.col("other")).otherwise(F.col("secret"))
+    return spans.where((F.col("kind") < 3) | complete).select("row", "start", "kind", "end")
+
+
+def _found(docs: DataFrame) -> DataFrame:
+    """find_secrets, with cuts for mask: where a stretch of spans starts and the one before it ends, and the last end."""
+    rows = stash(scan(docs))
+    linked = link(place(rows.where(F.size("marks") > 0)))
+    before = F.coalesce(F.max("end").over(Window.partitionBy("row").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    linked = linked.withColumn("from", before)
+    span, cut = F.struct("start", "kind", "end"), F.struct(F.col("start").alias("to"), "from")
+    by_row = linked.groupBy("row").agg(
+        F.sort_array(F.collect_list(F.when(F.col("kind") < 3, span))).alias("base"),
+        F.sort_array(F.collect_list(span)).alias("spans"),
+        F.sort_array(F.collect_list(F.when(F.col("start") >= F.col("from"), cut))).alias("cuts"),
+        F.max("end").alias("last"),
+    )
+    none = F.array().cast(_SPAN)
+    out = rows.select("row", "doc_id", "h").join(by_row, "row", "left")
+    return out.select("doc_id", "h", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"), "cuts", "last")
 
 
 def find_secrets(docs: DataFrame) -> DataFrame:
@@ -107,10 +137,7 @@ def find_secrets(docs: DataFrame) -> DataFrame:
     same result, each its own row; a null doc_id is a value like another. Other columns are ignored, and an
     empty table gives an empty result. Only positions leave the scan.
     """
-    found = stash(scan(docs))
-    added = link(found).withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-    out = found.join(added, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
-    return out.select("doc_id", "h", "base", F.array_sort(F.concat("base", F.coalesce("added", F.array().cast(_SPAN)))).alias("spans"))
+    return _found(docs).select("doc_id", "h", "base", "spans")
 
 
 def as_text(spans: Column) -> Column:
@@ -122,19 +149,22 @@ def as_text(spans: Column) -> Column:
 def mask(docs: DataFrame, by: str = "<SECRET>") -> DataFrame:
     """docs with each stretch of secret spans in text replaced, and n_chars, if there, of the new text.
 
-    Overlapping spans are one stretch. Rows without spans stay as they are, null text too.
+    Overlapping spans are one stretch. Rows without spans stay as they are, null and empty text too; rows that are
+    alike get the same text, and a null doc_id is a value like another. Work and memory grow with a text's length.
     """
-    d, h, s, g = fresh(docs, "span_doc", "span_hash", "spans", "text_hash")
-    spans = find_secrets(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("spans").alias(s)).distinct()
+    d, h, c, e, g, p = fresh(docs, "span_doc", "span_hash", "span_cuts", "span_last", "text_hash", "text_pieces")
+    spans = _found(docs).where(F.size("spans") > 0).select(F.col("doc_id").alias(d), F.col("h").alias(h), F.col("cuts").alias(c), F.col("last").alias(e)).distinct()
     rows = docs.withColumn(g, F.xxhash64("text")).join(spans, F.col("doc_id").eqNullSafe(F.col(d)) & (F.col(g) == F.col(h)), "left")
+    rows = rows.withColumn(p, F.when(F.col(c).isNotNull(), F.regexp_extract_all("text", F.lit(rf"(?s).{{1,{PIECE}}}"), F.lit(0))))
 
-    def step(acc, x):
-        start = F.greatest(acc["at"], x["start"])
-        gap = F.substring(F.col("text"), acc["at"] + 1, start - acc["at"])
-        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], gap, F.lit(by))).otherwise(acc["out"]).alias("out"))
+    def part(start, end):
+        """Code points start to end, from the pieces that hold them."""
+        first = F.floor(start / PIECE).cast("int")
+        held = F.slice(p, first + 1, F.floor((end - 1) / PIECE).cast("int") - first + 1)
+        return F.when(end > start, F.substring(F.array_join(held, ""), start - first * PIECE + 1, end - start)).otherwise("")
 
-    cut = F.aggregate(s, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text"))))
-    rows = rows.withColumn("text", F.when(F.col(s).isNotNull(), cut).otherwise(F.col("text")))
+    cut = F.concat(F.array_join(F.transform(c, lambda x: F.concat(part(x["from"], x["to"]), F.lit(by))), ""), part(F.col(e), F.length("text")))
+    rows = rows.withColumn("text", F.when(F.col(c).isNotNull(), cut).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
-        rows = rows.withColumn("n_chars", F.when(F.col(s).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+        rows = rows.withColumn("n_chars", F.when(F.col(c).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
     return rows.select(docs.columns)

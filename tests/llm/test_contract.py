@@ -156,7 +156,7 @@ def test_weak_parts_count_only_together(spark):
     secret = "Zx9Qm3Lk7Wv2Rt5Yp8Nb"
     texts = [f"client_id: acme-77 then {secret}", f"only {secret} here", "client_id: acme-77 alone", f"client_id: acme-77\n\n{secret}", f"client_id: acme-77 {'pad ' * 60}{secret}", f"{secret} at https://api.example.com/v1"]
     found = {r["doc_id"]: {secrets.KINDS[s["kind"]] for s in r["spans"]} for r in secrets.find_secrets(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert found == {0: {"ident", "weak"}, 1: set(), 2: set(), 3: set(), 4: set(), 5: {"weak", "endpoint"}}
+    assert found == {0: {"ident", "weak"}, 1: set(), 2: set(), 3: set(), 4: {"ident", "weak"}, 5: {"weak", "endpoint"}}
 
 
 def test_scores_equal_brute_force(spark):
