@@ -10,15 +10,19 @@ from pyspark.sql import functions as F
 
 from .common import components, forest, stash
 
-#: Vectors that fit the axes; these only decide how early a comparison stops, never its result.
+#: Vectors that fit the axes and cells; these only decide how early a comparison stops, never its result.
 SAMPLE = 4096
-#: Vectors of a range of the first axis; ranges are compared in pairs, tile by tile.
-RANGE_VECTORS = 4096
+#: A band of a cell holds about so many vectors; two bands meet in a task and are compared tile by tile.
+BAND_VECTORS = 4096
 TILE = 1024
-#: Axes that the first bound takes, and how far a float32 bound may be off.
-LEADING, SLACK = 16, 1e-5
-#: Above this share of open pairs a tile is multiplied out whole.
+#: Axes that cells are cut along and that the first bound takes; each further bound takes twice as many.
+LEADING = 16
+#: How far a float32 bound may be off.
+SLACK = 1e-5
+#: Above this share of open pairs a tile goes on whole, below it pair by pair.
 OPEN_SHARE = 0.02
+#: Sampled vectors that a cell rests on at least.
+CELL_SAMPLE = 8
 
 
 def _usable(batches):
@@ -46,46 +50,134 @@ def _axes(sample: pd.DataFrame) -> np.ndarray:
     return np.linalg.eigh(u.T @ u)[1][:, ::-1].copy()
 
 
-def _place(axes: np.ndarray, edges: np.ndarray | None, reach: float):
-    """The first coordinate; with edges, the range that it falls in and the ranges that hold any vector within reach."""
+def _steps(dim: int) -> list[int]:
+    """Numbers of axes after which the bounds are drawn: LEADING, twice that and so on, below the dimension."""
+    out = [min(LEADING, dim)]
+    while out[-1] * 2 < dim:
+        out.append(out[-1] * 2)
+    return out
+
+
+def _suffixes(turned: np.ndarray, steps: list[int]) -> np.ndarray:
+    """Norm of what lies behind each step, a column a step."""
+    so_far = np.cumsum(turned**2, axis=1)
+    return np.sqrt(np.maximum(0, 1 - so_far[:, [n - 1 for n in steps]]))
+
+
+class Cells:
+    """Boxes of a space: each cut at the median of a sample along its widest axis, down to `count` boxes."""
+
+    def __init__(self, sample: np.ndarray, count: int):
+        self.cuts: list[tuple[int, float, int, int]] = []  # axis, place, and what lies below and above: a cut, or a cell as ~number
+        self.count = 0
+        self.root = self._cut(sample, count)
+
+    def _cut(self, points: np.ndarray, count: int) -> int:
+        axis = int(np.argmax(points.max(axis=0) - points.min(axis=0))) if len(points) else 0
+        if count > 1 and len(points) >= 2 * CELL_SAMPLE:
+            place = float(np.median(points[:, axis]))
+            low = points[:, axis] < place
+            if low.any():
+                me = len(self.cuts)
+                self.cuts.append((axis, place, 0, 0))
+                self.cuts[me] = (axis, place, self._cut(points[low], count // 2), self._cut(points[~low], count - count // 2))
+                return me
+        self.count += 1
+        return ~(self.count - 1)
+
+    def of(self, points: np.ndarray) -> np.ndarray:
+        """The cell of each point."""
+        at = np.full(len(points), self.root)
+        while (inner := at >= 0).any():
+            for n in np.unique(at[inner]):
+                axis, place, low, high = self.cuts[n]
+                own = at == n
+                at[own] = np.where(points[own, axis] < place, low, high)
+        return ~at
+
+
+def _coordinates(vectors, axes: np.ndarray) -> np.ndarray:
+    """Leading coordinates and the norm of the rest: no two vectors lie nearer to each other than these do."""
+    turned = _unit(list(vectors)) @ axes
+    steps = _steps(axes.shape[0])[:1]
+    return np.hstack([turned[:, : steps[0]], _suffixes(turned, steps)])
+
+
+def _boxes(axes: np.ndarray, cells: Cells):
+    def of_batch(batches):
+        """Number and least and greatest coordinates of the vectors of each cell, batch by batch."""
+        for batch in batches:
+            if len(batch):
+                x = _coordinates(batch["vector"], axes)
+                cell = cells.of(x)
+                for c in np.unique(cell):
+                    own = x[cell == c]
+                    for k, (lo, hi) in enumerate(zip(own.min(axis=0), own.max(axis=0))):
+                        yield pd.DataFrame({"cell": [c], "axis": [k], "n": [len(own)], "lo": [lo], "hi": [hi]})
+
+    return of_batch
+
+
+def _place(axes: np.ndarray, cells: Cells, low: np.ndarray, high: np.ndarray, bands: np.ndarray, reach: float):
+    """Each vector with its band, and the bands of all cells whose box holds a point within reach of it."""
+    first = np.cumsum(bands) - bands
 
     def of_batch(batches):
         for batch in batches:
             if not len(batch):
                 continue
-            lead = _unit(list(batch["vector"])) @ axes[:, 0]
-            if edges is None:
-                yield pd.DataFrame({"lead": lead})
-                continue
-            at = np.searchsorted(edges, lead, side="right")
-            lower, upper = np.append(-np.inf, edges), np.append(edges, np.inf)
-            first, last = np.searchsorted(upper, lower[at] - reach, side="left"), np.searchsorted(lower, upper[at] + reach, side="right") - 1
-            yield batch[["vec_id", "n", "vector"]].assign(at=at, first=first, last=last)
+            x = _coordinates(batch["vector"], axes)
+            cell = cells.of(x)
+            apart = np.zeros((len(x), len(low)))
+            for k in range(x.shape[1]):
+                apart += np.maximum(0, np.maximum(low[None, :, k] - x[:, k, None], x[:, k, None] - high[None, :, k])) ** 2
+            met = [np.concatenate([np.arange(first[c], first[c] + bands[c]) for c in np.nonzero(row)[0]]) for row in apart <= reach**2]
+            own = np.array([xxhash.xxh3_64_intdigest(v) for v in batch["vector"]], np.uint64) % bands[cell].astype(np.uint64)
+            yield batch[["vec_id", "n", "vector"]].assign(at=first[cell] + own.astype(np.int64), met=met)
 
     return of_batch
 
 
-def _linked(x: np.ndarray, y: np.ndarray, threshold: float, bx: np.ndarray, by: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows of two tiles with cosine of at least threshold. bx, by: leading coordinates and norm of the rest."""
-    open_ = bx @ by.T >= threshold - SLACK  # leading products plus the most that the rest can add
-    some = int(open_.sum())
-    if some > OPEN_SHARE * open_.size:
-        return np.nonzero(x @ y.T >= threshold)
+def _linked(u: np.ndarray, turned: np.ndarray, suffix: np.ndarray, steps: list[int], p: np.ndarray, q: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows p and q with cosine of at least threshold.
+
+    Products are summed over the leading axes first. What the rest can add is at most the product of the norms
+    behind them; pairs that can't reach the threshold any more are given up at each step, the others are
+    multiplied out in double precision.
+    """
+    least, before, whole = threshold - SLACK, 0, np.float32(0)
+    for k, upto in enumerate(steps):
+        whole = whole + turned[p, before:upto] @ turned[q, before:upto].T
+        open_ = whole + np.outer(suffix[p, k], suffix[q, k]) >= least
+        before = upto
+        if np.count_nonzero(open_) <= OPEN_SHARE * open_.size:
+            break
+    else:
+        return np.nonzero(u[p] @ u[q].T >= threshold)
     r, c = np.nonzero(open_)
-    yes = np.zeros(some, bool)
-    for at in range(0, some, 20_000):
-        s = slice(at, at + 20_000)
-        yes[s] = np.einsum("ij,ij->i", x[r[s]], y[c[s]]) >= threshold
+    so_far = whole[r, c]
+    for k in range(k + 1, len(steps)):
+        so_far = so_far + _products(turned[:, before : steps[k]], p[r], q[c])
+        on = so_far + suffix[p[r], k] * suffix[q[c], k] >= least
+        r, c, so_far, before = r[on], c[on], so_far[on], steps[k]
+    yes = _products(u, p[r], q[c]) >= threshold
     return r[yes], c[yes]
 
 
+def _products(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of the rows a and b of x, a few at a time."""
+    out = [np.einsum("ij,ij->i", x[a[at : at + 20_000]], x[b[at : at + 20_000]]) for at in range(0, len(a), 20_000)]
+    return np.concatenate([np.zeros(0, x.dtype), *out])
+
+
 def _compare(axes: np.ndarray, threshold: float):
     def of_group(group: pd.DataFrame) -> pd.DataFrame:
-        """Links of one pair of ranges: (a, null, n) for each vector with links, (a, b, 0) for a forest of them."""
+        """Links of one pair of bands: (a, null, n) for each vector with links, (a, b, 0) for a forest of them."""
         u = _unit(list(group["vector"]))
+        steps = _steps(u.shape[1])
         turned = u @ axes
-        k = min(LEADING, u.shape[1])
-        bound = np.hstack([turned[:, :k], np.sqrt(np.maximum(0, 1 - (turned[:, :k] ** 2).sum(axis=1, keepdims=True)))]).astype(np.float32)
+        suffix = _suffixes(turned, steps).astype(np.float32)
+        turned = turned.astype(np.float32)
         ids, weight, at = group["vec_id"].to_numpy(), group["n"].to_numpy(), group["at"].to_numpy()
         rows, cols = np.nonzero(at == group["bi"].iloc[0])[0], np.nonzero(at == group["bj"].iloc[0])[0]
         same = group["bi"].iloc[0] == group["bj"].iloc[0]
@@ -94,7 +186,7 @@ def _compare(axes: np.ndarray, threshold: float):
         for i in range(0, len(rows), TILE):
             for j in range(i if same else 0, len(cols), TILE):
                 p, q = rows[i : i + TILE], cols[j : j + TILE]
-                r, c = _linked(u[p], u[q], threshold, bound[p], bound[q])
+                r, c = _linked(u, turned, suffix, steps, p, q, threshold)
                 if same and i == j:
                     r, c = r[r < c], c[r < c]
                 np.add.at(links, p[r], weight[q[c]])
@@ -110,14 +202,17 @@ def _compare(axes: np.ndarray, threshold: float):
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of each row: all links of cosine >= threshold, 0 < threshold <= 1.
 
-    Vectors equal in all components fall together by a 128-bit digest and count with their number. The others are
-    put in order along the first principal axis and cut into ranges; two ranges meet in a task unless they lie
-    further apart on that axis than linked unit vectors can. There, tile by tile, the leading axes and the norms
-    of the rest bound every cosine, and only pairs that can still reach the threshold are multiplied out, in
-    double precision. Counts and a forest of the links leave a task, no list of pairs.
+    Vectors equal in all components fall together by a 128-bit digest and count with their number. The others
+    fall into cells, boxes along the leading principal axes and the norm behind these, and large cells into bands
+    by a hash. Two bands meet in a task, but for vectors whose distance to the other cell's box, as all its
+    vectors draw it, is further than linked unit vectors can be. There, tile by tile, products of the leading
+    axes are summed up and the norms of the rest bound every cosine, step by step; only pairs that can still reach
+    the threshold are multiplied out, in double precision. Counts and a forest of the links leave a task, no list
+    of pairs. How often a vector moves depends on how many cells lie within reach of it: few where vectors form
+    clusters, up to all bands where every direction is alike.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-    different length don't link, each length has its own axes. A row with a null vec_id is compared with nothing.
+    different length don't link, each length has its own axes and a pass of its own. A row with a null vec_id is compared with nothing.
     Repeated vec_ids share a component and its link count. Other columns are ignored; no rows, no result rows.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
@@ -129,12 +224,16 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     found = None
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own = reps.where(F.col("dim") == dim)
-        axes = _axes(own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas())
-        lead = own.select("vector").mapInPandas(_place(axes, None, 0), "lead double")
-        parts = -(-n // RANGE_VECTORS)
-        edges = np.unique(lead.approxQuantile("lead", [k / parts for k in range(1, parts)], 0.1 / parts)) if parts > 1 else np.zeros(0)
-        placed = own.mapInPandas(_place(axes, edges, float(np.sqrt(2 - 2 * threshold)) + 1e-9), f"vec_id {kind}, n long, vector binary, at int, first int, last int")
-        met = placed.select("vec_id", "n", "vector", "at", F.explode(F.sequence("first", "last")).alias("other"))
+        sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
+        axes = _axes(sample)
+        cells = Cells(_coordinates(sample["vector"], axes), -(-n // BAND_VECTORS))
+        boxes = own.select("vector").mapInPandas(_boxes(axes, cells), "cell int, axis int, n long, lo double, hi double")
+        boxes = boxes.groupBy("cell", "axis").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # a sample's cells times LEADING + 1
+        low, high, bands = np.full((cells.count, boxes["axis"].max() + 1), np.inf), np.full((cells.count, boxes["axis"].max() + 1), -np.inf), np.zeros(cells.count, np.int64)
+        low[boxes["cell"], boxes["axis"]], high[boxes["cell"], boxes["axis"]] = boxes["lo"], boxes["hi"]
+        bands[boxes["cell"]] = -(-boxes["n"] // BAND_VECTORS)
+        placed = own.mapInPandas(_place(axes, cells, low, high, bands, float(np.sqrt(2 - 2 * threshold)) + 1e-7), f"vec_id {kind}, n long, vector binary, at long, met array<long>")
+        met = placed.select("vec_id", "n", "vector", "at", F.explode("met").alias("other"))
         met = met.select("vec_id", "n", "vector", "at", F.least("at", "other").alias("bi"), F.greatest("at", "other").alias("bj"))
         links = met.groupBy("bi", "bj").applyInPandas(_compare(axes, threshold), f"a {kind}, b {kind}, links long")
         found = links if found is None else found.union(links)
