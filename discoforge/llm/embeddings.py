@@ -12,8 +12,10 @@ from .common import components, forest, stash
 
 #: Vectors that fit the axes and cells; these only decide how early a comparison stops, never its result.
 SAMPLE = 4096
-#: A band of a cell holds about so many vectors; two bands meet in a task and are compared tile by tile.
-BAND_VECTORS = 4096
+#: A band of a cell holds about so many bytes of vectors, less where there would be fewer bands than LEAST_BANDS;
+#: two bands meet in a task and are compared tile by tile. Larger bands move less: where every direction is alike, a
+#: vector moves to all of them.
+BAND_BYTES, LEAST_BANDS = 32 << 20, 4
 TILE = 1024
 #: Axes that cells are cut along and that the first bound takes; each further bound takes twice as many.
 LEADING = 16
@@ -64,6 +66,10 @@ def _suffixes(turned: np.ndarray, steps: list[int]) -> np.ndarray:
     return np.sqrt(np.maximum(0, 1 - so_far[:, [n - 1 for n in steps]]))
 
 
+def _band_vectors(n: int, dim: int) -> int:
+    return max(TILE, min(BAND_BYTES // (8 * dim), -(-n // LEAST_BANDS)))
+
+
 class Cells:
     """Boxes of a space: each cut at the median of a sample along its widest axis, down to `count` boxes."""
 
@@ -226,12 +232,12 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         own = reps.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
         axes = _axes(sample)
-        cells = Cells(_coordinates(sample["vector"], axes), -(-n // BAND_VECTORS))
+        cells = Cells(_coordinates(sample["vector"], axes), -(-n // _band_vectors(n, dim)))
         boxes = own.select("vector").mapInPandas(_boxes(axes, cells), "cell int, axis int, n long, lo double, hi double")
         boxes = boxes.groupBy("cell", "axis").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # a sample's cells times LEADING + 1
         low, high, bands = np.full((cells.count, boxes["axis"].max() + 1), np.inf), np.full((cells.count, boxes["axis"].max() + 1), -np.inf), np.zeros(cells.count, np.int64)
         low[boxes["cell"], boxes["axis"]], high[boxes["cell"], boxes["axis"]] = boxes["lo"], boxes["hi"]
-        bands[boxes["cell"]] = -(-boxes["n"] // BAND_VECTORS)
+        bands[boxes["cell"]] = -(-boxes["n"] // _band_vectors(n, dim))
         placed = own.mapInPandas(_place(axes, cells, low, high, bands, float(np.sqrt(2 - 2 * threshold)) + 1e-7), f"vec_id {kind}, n long, vector binary, at long, met array<long>")
         met = placed.select("vec_id", "n", "vector", "at", F.explode("met").alias("other"))
         met = met.select("vec_id", "n", "vector", "at", F.least("at", "other").alias("bi"), F.greatest("at", "other").alias("bj"))

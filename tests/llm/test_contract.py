@@ -84,7 +84,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
 
 
 def test_embeddings_equal_brute_force(spark, monkeypatch):
-    monkeypatch.setattr(embeddings, "BAND_VECTORS", 20)
+    monkeypatch.setattr(embeddings, "BAND_BYTES", 20 * 24 * 8)
     monkeypatch.setattr(embeddings, "LEADING", 4)
     monkeypatch.setattr(embeddings, "TILE", 16)
     rng = np.random.default_rng(5)
