@@ -79,6 +79,10 @@ def test_near_duplicates_equal_brute_force(spark):
 def test_near_duplicates_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(minhash, "BLOCK_DOCS", 16)
     texts = copies(3, 2, 70)
+    for g in range(2):  # near the edge of the group: its members link with few of the others
+        own = texts[70 * g].split()
+        for i in range(12):
+            texts[200 + 20 * g + i] = " ".join([f"y{g}"] * (i // 3) + own[: 60 - i])
     got = minhash.near_duplicates(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), shingle_words=4)
     assert {r["doc_id"]: r["component_id"] for r in got.collect()} == classes({k: shingles(t, 4) for k, t in texts.items()})
 
