@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, stash
+from .common import SPACE, fresh, stash
 
 SHINGLE_WORDS, THRESHOLD = 5, 0.8
 #: Bits by which two fingerprints may differ. Windows of similarity 0.8 differ in 10 of 64 bits, give or take 3.
 RADIUS = 19
+#: Blocks of a fingerprint.
+BLOCKS = 5
 #: Longer items are cut into equal parts of at most so many words.
 PART_WORDS = 512
 #: The benchmark's shingles are broadcast up to this many (about 50 MB), else joined by a shuffle.
@@ -44,20 +47,35 @@ def _fingerprint(shingles: Column) -> Column:
     return F.aggregate(shingles, zero, add, bits)
 
 
-def _blocks(fingerprint: Column, radius: int) -> Column:
-    """radius + 1 blocks of the 64 bits: fingerprints within the radius agree in one of them at least."""
-    n, at, out = radius + 1, 0, []
-    for b in range(n):
-        width = 64 // n + (b < 64 % n)
+def _blocks(fingerprint: Column) -> Column:
+    """The 64 bits in BLOCKS parts."""
+    at, out = 0, []
+    for width in _widths():
         out.append(F.shiftrightunsigned(fingerprint, at).bitwiseAND(F.lit((1 << width) - 1)).cast("int"))
         at += width
     return F.array(*out)
 
 
+def _widths() -> list[int]:
+    return [64 // BLOCKS + (b < 64 % BLOCKS) for b in range(BLOCKS)]
+
+
+def _probes(radius: int) -> Column:
+    """For each block the values to flip its bits by: fingerprints within the radius agree in one block after one of them.
+
+    Of BLOCKS blocks that differ in radius bits together, one differs in radius // BLOCKS bits at most.
+    """
+    masks = {w: [sum(1 << i for i in c) for n in range(radius // BLOCKS + 1) for c in combinations(range(w), n)] for w in set(_widths())}
+    return F.array(*[F.array(*[F.lit(m) for m in masks[w]]) for w in _widths()])
+
+
 def _similarity(a: str, b: str) -> Column:
     """Weighted Jaccard of two bags of shingles: the sum of the lesser counts by that of the greater ones."""
     count = lambda c, h: F.size(F.filter(c, lambda x: x == h))
-    both = F.aggregate(F.array_distinct(b), F.lit(0), lambda acc, h: acc + F.least(count(a, h), count(b, h)))
+    repeats = lambda c: F.size(F.array_distinct(c)) < F.size(c)
+    common = F.array_intersect(a, b)
+    counted = F.aggregate(common, F.lit(0), lambda acc, h: acc + F.least(count(a, h), count(b, h)))
+    both = F.when(repeats(F.col(a)) & repeats(F.col(b)), counted).otherwise(F.size(common))
     return both / (F.size(a) + F.size(b) - both)
 
 
@@ -79,59 +97,95 @@ def benchmark_parts(benchmark: DataFrame, shingle_words: int = SHINGLE_WORDS) ->
     return rows.select("item_id", F.size("w").alias("n_words"), "k", by_k.alias("shingles")).distinct()
 
 
+def _rare(parts: DataFrame) -> DataFrame:
+    """(k, h, part): the shingles of each part of which a window that is alike must hold one.
+
+    A window that shares `need` of n shingles misses n - need at most, so it holds one of any n - need + 1 of them;
+    the rarest in the benchmark bring up the fewest documents.
+    """
+    each = parts.select("part", "k", "n", "need", F.explode("shingles").alias("h"))
+    common = each.groupBy("k", "h").agg(F.countDistinct("part").alias("df"))
+    ranked = each.join(common, ["k", "h"]).groupBy("part", "k", "n", "need").agg(F.sort_array(F.collect_list(F.struct("df", "h"))).alias("s"))
+    return ranked.select("part", "k", F.explode(F.expr("array_distinct(slice(s.h, 1, n - need + 1))")).alias("h"))
+
+
+def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle_words: int, radius: int) -> DataFrame | None:
+    """(key, doc_id, item_id, start, n_words, similarity) of each window alike to an item; key is a hash of id and text. None for an empty benchmark."""
+    parts = benchmark_parts(benchmark.where("item_id is not null"), shingle_words).withColumn("n", F.size("shingles")).withColumn("part", F.xxhash64("k", "shingles"))
+    # a of 2n - a shingles in common, a / (2n - a) >= threshold; the small part is for rounding
+    parts = stash(parts.withColumn("need", F.greatest(F.lit(1), F.ceil(2 * threshold * F.col("n") / (1 + threshold) - 1e-9)).cast("int")))
+    shingles = parts.agg(F.sum("n")).first()[0] or 0
+    near = F.broadcast if shingles <= BROADCAST_ROWS else (lambda df: df)
+    lengths = sorted(r["k"] for r in parts.select("k").distinct().collect())  # shingle_words numbers at most
+    if not lengths:
+        return None
+    kinds = parts.select("part", "k", "n_words", "n", "need").distinct()
+    rare = stash(_rare(parts.dropDuplicates(["part"])))
+    split = docs.where("text is not null").select(F.xxhash64("doc_id", "text").alias("key"), "doc_id", _words(F.col("text")).alias("w"))
+    all_of = lambda parts: reduce(lambda x, y: x.union(y), parts)
+    met = all_of([split.select("key", F.explode(F.array_distinct(_shingles("w", k))).alias("h")).join(near(rare.where(F.col("k") == k)), "h").select("key", "part") for k in lengths])
+    met = stash(met.distinct())
+
+    # where the shingles of each part that a document met stand in it
+    held = split.join(met.select("key").distinct(), "key").dropDuplicates(["key", "doc_id"])
+    held = stash(held.select("key", "doc_id", *[_shingles("w", k).alias(f"s{k}") for k in lengths]))
+    asked = met.join(kinds, "part").join(near(parts.select("part", F.explode("shingles").alias("h")).distinct()), "part")
+    at = all_of([held.select("key", F.lit(k).alias("k"), F.posexplode(f"s{k}").alias("pos", "h")) for k in lengths])
+    placed = asked.join(at, ["key", "k", "h"]).groupBy("key", "part", "k", "n_words", "n", "need").agg(F.sort_array(F.collect_set("pos")).alias("at")).where("size(at) >= need")
+    starts = placed.select("key", "k", "n_words", "n", F.explode(_starts("at", "n", "need")).alias("start")).distinct()
+    starts = starts.groupBy("key", "k", "n_words", "n").agg(F.collect_list("start").alias("starts")).groupBy("key").agg(F.collect_list(F.struct("k", "n_words", "n", "starts")).alias("asked"))
+
+    rows = held.join(starts, "key").select("key", "doc_id", F.explode("asked").alias("q"), *[f"s{k}" for k in lengths])
+    of_k = reduce(lambda out, k: F.when(F.col("q.k") == k, F.col(f"s{k}")).otherwise(out), lengths, F.array().cast("array<bigint>"))
+    rows = rows.select("key", "doc_id", "q.k", "q.n_words", "q.n", of_k.alias("s"), F.explode("q.starts").alias("start")).where("start >= 0 and start + n <= size(s)")
+    windows = rows.select("key", "doc_id", "k", "n_words", "start", F.expr("slice(s, start + 1, n)").alias("s"))
+    windows = stash(windows.withColumn("f", _fingerprint(F.col("s"))))
+
+    items = stash(parts.dropDuplicates(["part"]).select("part", "k", "n_words", F.col("shingles").alias("t")).withColumn("g", _fingerprint(F.col("t"))))
+    left = windows.select("key", "k", "n_words", "start", "f").distinct().select("*", F.posexplode(_blocks(F.col("f"))).alias("b", "v"))
+    right = items.select("part", "k", "n_words", "g", F.posexplode(F.arrays_zip(_blocks(F.col("g")).alias("v"), _probes(radius).alias("m"))).alias("b", "x"))
+    right = right.select("part", "k", "n_words", "g", "b", F.explode(F.transform("x.m", lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
+    found = left.join(near(right) if shingles * 64 <= BROADCAST_ROWS else right, ["k", "n_words", "b", "v"])
+    alike = F.zip_with(_blocks(F.col("f")), _blocks(F.col("g")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius // BLOCKS)
+    once = F.array_position(alike, True) == F.col("b") + 1  # a pair that agrees in several blocks counts in the first
+    found = found.where(once & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)).select("key", "k", "n_words", "start", "part")
+    found = found.join(near(items.select("part", "t")), "part").join(windows.select("key", "doc_id", "k", "n_words", "start", "s"), ["key", "k", "n_words", "start"])
+    sure = found.select("key", "doc_id", "part", "start", "n_words", _similarity("s", "t").alias("similarity")).where(F.col("similarity") >= threshold)
+    return sure.join(parts.select("part", "item_id").distinct(), "part").drop("part")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, shingle_words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_words): the best window of a document for each item it holds.
 
     A window has as many words as the item, or as a part of a long item, and slides by a word. Every window that
-    holds as many shingles of items of its length as the threshold asks for is fingerprinted, in whatever order
-    they stand; others can't reach it. Blocks of the fingerprint find all items of that length within the
-    radius; the weighted Jaccard similarity of the shingles, threshold or more, decides. Words are runs of
+    holds as many shingles of a part as the threshold asks for is fingerprinted, in whatever order they stand;
+    others can't reach it. Blocks of the fingerprint, with a few bits flipped, find all items of that length within
+    the radius; the weighted Jaccard similarity of the shingles, threshold or more, decides. Words are runs of
     anything but ASCII white space, in lower case.
 
     Null, empty and wordless texts have no windows and wordless items no parts. Items of fewer words than a
-    shingle are one shingle. Of equal windows the first counts. Repeated rows give one result; a null doc_id or
-    item_id is left out. Other columns are ignored; an empty table gives an empty result.
+    shingle are one shingle. Of equal windows the first counts. Rows count by id and text; repeated rows give one
+    result, and rows of one id, or without an id, the best of theirs. A null item_id is left out. Other columns
+    are ignored; an empty table gives an empty result.
     """
-    parts = stash(benchmark_parts(benchmark.where("item_id is not null"), shingle_words))
-    hit = parts.select("k", "n_words", F.size("shingles").alias("n"), F.explode("shingles").alias("h")).distinct()
-    small = hit.count() <= BROADCAST_ROWS
-    near = F.broadcast if small else (lambda df: df)
-    lengths = sorted(r["k"] for r in parts.select("k").distinct().collect())  # shingle_words numbers at most
-    split = docs.where("doc_id is not null and text is not null").select("doc_id", _words(F.col("text")).alias("w"))
-    by_k = lambda k: split.select("doc_id", F.posexplode(_shingles("w", k)).alias("pos", "h"))
-    seeds = None
-    for k in lengths:
-        found = by_k(k).join(near(hit.where(F.col("k") == k)), "h").select("doc_id", "k", "n_words", "n", "pos")
-        seeds = found if seeds is None else seeds.union(found)
-    if seeds is None:
-        return parts.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.lit(0.0).alias("similarity"), F.lit(0).cast("long").alias("start_word"), F.lit(0).cast("long").alias("n_words")).limit(0)
-    placed = seeds.groupBy("doc_id", "k", "n_words", "n").agg(F.array_sort(F.collect_set("pos")).alias("at"))
-    # a of 2n - a shingles in common, a / (2n - a) >= threshold; the small part is for rounding
-    placed = placed.withColumn("need", F.greatest(F.lit(1), F.ceil(2 * threshold * F.col("n") / (1 + threshold) - 1e-9)).cast("int")).where("size(at) >= need")
-    starts = placed.select("doc_id", "k", "n_words", "n", _starts("at", "n", "need").alias("starts")).where("size(starts) > 0")
-    starts = stash(starts.groupBy("doc_id").agg(F.collect_list(F.struct("k", "n_words", "n", "starts")).alias("asked")))
-
-    held = split.join(starts, "doc_id").select("doc_id", "asked", *[_shingles("w", k).alias(f"s{k}") for k in lengths])
-    rows = held.select("doc_id", F.explode("asked").alias("q"), *[f"s{k}" for k in lengths])
-    of_k = reduce(lambda out, k: F.when(F.col("q.k") == k, F.col(f"s{k}")).otherwise(out), lengths, F.array().cast("array<bigint>"))
-    rows = rows.select("doc_id", "q.k", "q.n_words", "q.n", of_k.alias("s"), F.explode("q.starts").alias("start")).where("start >= 0 and start + n <= size(s)")
-    windows = rows.select("doc_id", "k", "n_words", "start", F.expr("slice(s, start + 1, n)").alias("s"))
-    windows = stash(windows.withColumn("f", _fingerprint(F.col("s"))))
-
-    blocked = lambda df: df.withColumn("blocks", _blocks(F.col("f"), radius)).select("*", F.posexplode("blocks").alias("b", "v"))
-    items = stash(parts.withColumn("f", _fingerprint(F.col("shingles"))).withColumnRenamed("shingles", "t"))
-    left = blocked(windows.select("doc_id", "k", "n_words", "start", "f"))
-    right = blocked(items.select("k", "n_words", "item_id", "f", F.xxhash64("t").alias("part"))).select("k", "n_words", "item_id", "part", F.col("f").alias("g"), F.col("blocks").alias("theirs"), "b", "v")
-    met = left.join(near(right), ["k", "n_words", "b", "v"])
-    first = F.array_position(F.zip_with("blocks", "theirs", lambda x, y: x == y), True) == F.col("b") + 1  # a pair once
-    met = met.where(first & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)).select("doc_id", "k", "n_words", "start", "item_id", "part")
-    met = met.join(near(items.select("k", "n_words", "item_id", "t", F.xxhash64("t").alias("part"))), ["k", "n_words", "item_id", "part"])
-    met = met.join(windows.select("doc_id", "k", "n_words", "start", "s").distinct(), ["doc_id", "k", "n_words", "start"])
-    sure = met.select("doc_id", "item_id", "start", "n_words", _similarity("s", "t").alias("similarity")).where(F.col("similarity") >= threshold)
+    sure = _matches(docs, benchmark, threshold, shingle_words, radius)
+    if sure is None:
+        kinds = [df.schema[c].dataType.simpleString() for df, c in ((docs, "doc_id"), (benchmark, "item_id"))]
+        return docs.sparkSession.createDataFrame([], f"doc_id {kinds[0]}, item_id {kinds[1]}, similarity double, start_word long, n_words long")
     best = sure.groupBy("doc_id", "item_id").agg(F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("m"))
     return best.select("doc_id", "item_id", "m.similarity", (-F.col("m.back")).cast("long").alias("start_word"), F.col("m.n_words").cast("long").alias("n_words"))
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that hold a benchmark item; the columns stay as they are."""
-    return docs.join(leaks(docs, benchmark).select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """docs without the rows that hold a benchmark item; the columns stay as they are.
+
+    Rows count by id and text, so rows without an id go too if they hold one, and another text of the same id stays.
+    Null and empty texts stay. Of an empty table, or by an empty benchmark, nothing goes.
+    """
+    found = _matches(docs, benchmark, THRESHOLD, SHINGLE_WORDS, RADIUS)
+    if found is None:
+        return docs
+    key, doc = fresh(docs, "leak_key", "leak_doc")
+    gone = found.select(F.col("key").alias(key), F.col("doc_id").alias(doc)).distinct()
+    own = F.xxhash64("doc_id", "text")
+    return docs.join(gone, (own == F.col(key)) & F.col("doc_id").eqNullSafe(F.col(doc)), "left_anti").select(docs.columns)

@@ -72,11 +72,11 @@ def test_licenses(docs):
 
 def test_leaks(docs, benchmark):
     found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.leaks(docs, benchmark).collect()}
-    assert set(found) == {(1, 1), (2, 1), (6, 5), (8, 4)}
+    assert set(found) == {(1, 1), (2, 1), (None, 1), (6, 5), (8, 4)}
     assert found[1, 1]["similarity"] == 1 and found[8, 4]["start_word"] == 10
     left = decontaminate.without_leaks(docs, benchmark)
     assert left.columns == docs.columns
-    assert sorted(r["doc_id"] or 0 for r in left.collect()) == [0, 3, 4, 5, 7, 9]
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 4, 5, 7, 9]
     assert decontaminate.leaks(docs.limit(0), benchmark).count() == 0
     assert decontaminate.leaks(docs, benchmark.limit(0)).count() == 0
     assert decontaminate.without_leaks(docs, benchmark.limit(0)).count() == len(ROWS)
