@@ -13,7 +13,7 @@ from .common import WordHashes, mixed
 
 BACKOFF = 0.4
 #: A block of documents holds about so many characters, a partition of the count table the n-grams of two blocks.
-BLOCK_CHARS = 12_000_000
+BLOCK_CHARS = 8_000_000
 #: What a document adds to its block besides its characters, so that rows without text fill blocks too.
 ROW_CHARS = 32
 #: A word that no other document holds counts as so many.
