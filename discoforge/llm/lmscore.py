@@ -67,6 +67,12 @@ def _blocks(batches, block_chars: int):
         yield block()
 
 
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and the place of each value among them."""
+    out, at = np.unique(values, return_inverse=True)
+    return out, at.astype(np.int32)
+
+
 class _Grams:
     """The words of a block's documents, end to end, and the distinct words, pairs and triples of words among them.
 
@@ -78,18 +84,20 @@ class _Grams:
         seen = WordHashes()
         words = [seen.of(t.lower().split()) for t in texts]
         self.sizes = np.array([len(w) for w in words], np.int64)
-        self.doc = np.repeat(np.arange(len(texts)), self.sizes)
+        self.doc = np.repeat(np.arange(len(texts), dtype=np.int32), self.sizes)
         every = np.concatenate([np.zeros(0, np.uint64), *words])
-        self.pair_at = np.nonzero(self.doc[1:] == self.doc[:-1])[0]  # place of a pair's first word
-        self.triple_at = np.nonzero(self.doc[2:] == self.doc[:-2])[0]
-        self.words, self.word_of = np.unique(every, return_inverse=True)
+        self.pair_at = np.nonzero(self.doc[1:] == self.doc[:-1])[0].astype(np.int32)  # place of a pair's first word
+        self.triple_at = np.nonzero(self.doc[2:] == self.doc[:-2])[0].astype(np.int32)
+        del words
+        self.words, self.word_of = _distinct(every)
         pairs = mixed(mixed(every[self.pair_at] + np.uint64(1)) + every[self.pair_at + 1] + np.uint64(2))
-        self.pairs, self.pair_of = np.unique(pairs, return_inverse=True)
-        pair_from = np.zeros(len(every), np.int64)
+        self.pairs, self.pair_of = _distinct(pairs)
+        pair_from = np.zeros(len(every), np.int32)
         pair_from[self.pair_at] = self.pair_of
         self.context_of = pair_from[self.triple_at]  # the pair that a triple begins with
         triples = (self.context_of.astype(np.uint64) << np.uint64(32)) | (mixed(every[self.triple_at + 2]) >> np.uint64(32))
-        self.triples, self.triple_of = np.unique(triples, return_inverse=True)
+        del every, pairs, pair_from
+        self.triples, self.triple_of = _distinct(triples)
 
 
 def _count(block_chars: int, buckets: int):
@@ -152,7 +160,7 @@ def _total(part: pa.Table) -> pa.Table:
 
 def _others(at: np.ndarray, doc: np.ndarray, totals: np.ndarray) -> np.ndarray:
     """How often other documents hold each n-gram. at: its number among the block's distinct ones, doc: its document."""
-    _, own, times = np.unique(doc * len(totals) + at, return_inverse=True, return_counts=True)
+    _, own, times = np.unique(doc.astype(np.int64) * len(totals) + at, return_inverse=True, return_counts=True)
     return (totals[at].astype(np.int64) - times[own]).astype(np.float64)
 
 
