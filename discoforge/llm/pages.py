@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from html import unescape
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -184,31 +186,33 @@ def _row_lengths(x: list, y: list) -> np.ndarray:
 
 #: If a page shares so much of the text that might go with its neighbour, the two may be copies, and a second page beside it is asked too.
 COPY_SHARE = 0.9
+#: A declared article is the body if it holds so much of what the page has for itself.
+BODY_SHARE = 0.5
+#: A range of pages in order of their paths holds about so many characters.
+RANGE_CHARS = 8_000_000
 
 
 def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None, other: list[tuple[str, int]] | None = None) -> str:
     """The page's text without the lines it shares with its neighbour and the lines beside the article.
 
-    The lines of both pages are aligned and the shared ones deleted, as are those beside the article by their
-    markup. A page that shares nearly all of its text with its neighbour is a copy or a short article on a large
-    template: lines that a second page, if any, doesn't share stay, and all stay if none would be left. An exact
-    check by a declared article follows: its lines come back, shared passages included, since articles quote each
-    other, and what is left around it goes.
+    The lines of both pages are aligned; what is not shared is the page's own text, and lines beside the article by
+    their markup are no part of it. A page that shares nearly all of its text with its neighbour is a copy or a
+    short article on a large template: there only lines that a second page, if any, shares too count as shared, and
+    all stay if none would be left. If a declared article holds most of the own text, it is the body: the shared
+    lines in it come back, since articles quote each other, and own lines around it go. An article that holds
+    less is a card or a teaser, and its markup decides nothing.
     """
-    plain = np.array([z == PLAIN for _, z in page], bool)
     size = np.array([len(t) for t, _ in page], np.int64)
+    plain, main = (np.array([z == zone for _, z in page], bool) for zone in (PLAIN, MAIN))
+    open_ = plain | main
     same = shared([t for t, _ in page], [t for t, _ in neighbour]) if neighbour else np.zeros(len(page), bool)
-    open_ = np.array([z != EDGE for _, z in page], bool)
-    declared = np.array([z == MAIN for _, z in page], bool)
-    if other and not declared.any() and size[same & open_].sum() >= COPY_SHARE * size[open_].sum():
+    if other and size[same & open_].sum() >= COPY_SHARE * size[open_].sum():
         same &= shared([t for t, _ in page], [t for t, _ in other])
-    keep = plain & ~same
-    if not keep.any():
-        keep = plain
-    if declared.any():
-        keep = declared
-    elif not plain.any():
-        keep = np.ones(len(page), bool)  # names misled: all of it is better than nothing
+    keep = open_ & ~same
+    if main.any() and size[keep & main].sum() >= BODY_SHARE * size[keep].sum():
+        keep = main
+    elif not keep.any():
+        keep = open_ if open_.any() else np.ones(len(page), bool)  # a copy; or names misled: all of it is better than nothing
     return "\n".join(t for (t, _), k in zip(page, keep) if k)
 
 
@@ -223,39 +227,100 @@ def nearness(a: str, b: str) -> int:
 
 
 def _difference(batches):
-    """Rows come in order of host and path. Each page is held until the next two have come."""
+    """Rows come by range, in order of host and path; each page is held until the next two of its range have come. Rows that are not the range's own only stand beside others."""
     near, at = [], 0  # up to two pages before the one at, itself, those after
 
     def settle():
         nonlocal at
         row, mine = near[at]
-        beside = lambda n: sorted((near[i] for i in (at - n, at + n) if 0 <= i < len(near) and near[i][0][2] == row[2]), key=lambda s: -nearness(s[0][3], row[3]))
+        beside = lambda n: sorted((near[i] for i in (at - n, at + n) if 0 <= i < len(near) and near[i][0][4] == row[4]), key=lambda s: -nearness(s[0][5], row[5]))
         sides = [*beside(1), *beside(2)][:2]
-        text = article(mine, *[s[1] for s in sides] or [None])
+        text = article(mine, *[s[1] for s in sides] or [None]) if row[1] else None
         if at == 2:
             near.pop(0)
         else:
             at += 1
-        return row[0], row[1], text, len(text)
+        return [] if text is None else [(row[2], row[3], text, len(text))]
+
+    def rest():
+        nonlocal at
+        out = [r for _ in range(len(near) - at) for r in settle()]
+        near.clear()
+        at = 0
+        return out
 
     for batch in batches:
         out = []
-        for row in batch[["page_id", "url", "host", "path", "html"]].itertuples(index=False, name=None):
-            near.append((row[:4], blocks(row[4])))
+        for row in batch[["part", "own", "page_id", "url", "host", "path", "html"]].itertuples(index=False, name=None):
+            if near and near[0][0][0] != row[0]:
+                out += rest()
+            near.append((row[:6], blocks(row[6])))
             if len(near) > at + 2:
-                out.append(settle())
-        yield pd.DataFrame(out, columns=["page_id", "url", "text", "n_chars"])
-    if near:
-        yield pd.DataFrame([settle() for _ in range(len(near) - at)], columns=["page_id", "url", "text", "n_chars"])
+                out += settle()
+        yield _frame(out)
+    yield _frame(rest())
+
+
+def _frame(rows: list) -> pd.DataFrame:
+    out = pd.DataFrame(rows, columns=["page_id", "url", "text", "n_chars"])
+    return out.astype({"n_chars": "int64"})
+
+
+_ORDER = ["host", "path", "link", "number", "seal"]
+
+
+def _ends(batches):
+    """The first two keys of a task's rows, which come in order, and the last two."""
+    first, last = [], []
+    for batch in batches:
+        for row in batch[_ORDER].itertuples(index=False, name=None):
+            if len(first) < 2:
+                first.append(row)
+            last = [*last[-1:], row]
+    if first:
+        part = TaskContext.get().partitionId()
+        yield pd.DataFrame([(part, side, *key) for side, keys in (("first", first), ("last", last)) for key in keys], columns=["part", "side", *_ORDER])
+
+
+class Ranges:
+    """Ranges of the order of pages. A page is of one range, and stands beside the pages of the next if it is one of the two before or after them."""
+
+    def __init__(self, ends: list[tuple[str, list[tuple], list[tuple]]]):
+        self.starts = [first[0] for _, first, _ in ends]
+        before, after = [], []  # from where on, and up to where, pages stand beside a range
+        held: list[tuple] = []
+        for _, _, last in ends:
+            before.append(held[-2:][0] if held else None)
+            held += last
+        held = []
+        for _, first, _ in reversed(ends):
+            after.append(held[:2][-1] if held else None)
+            held = first + held
+        self.before, self.after = before, after[::-1]
+
+    def of(self, key: tuple) -> list[int]:
+        """The range of a page, and then those beside which it stands."""
+        at = max(0, bisect_right(self.starts, key) - 1)
+        out = [at]
+        n = at + 1
+        while n < len(self.starts) and key >= self.before[n]:
+            out.append(n)
+            n += 1
+        n = at - 1
+        while n >= 0 and key <= self.after[n]:
+            out.append(n)
+            n -= 1
+        return out
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) of each row of pages: the article, its blocks joined by line breaks.
 
-    Pages are dealt out and put in order by host and path, so that a page's neighbours by path stand next to it
-    and a host of any size spreads over tasks; of the two neighbours the one with more of the path in common is
-    compared, and where the two share nearly all, the other one too. The first page of a task or host has the two
-    after it, the last one the two before. Lines are aligned by longest common subsequence.
+    Pages are put in order by host, path and the rest of the url, so that a page's neighbours by path stand next to
+    it, and cut into ranges, so that a host of any size spreads over tasks; the pages at the ends of a range stand
+    beside the next range too, so the cuts don't matter to the texts. Of the two neighbours the one with more of the
+    path in common is compared, and where the two share nearly all, the other one too. The first page of a host
+    has the two after it, the last one the two before. Lines are aligned by longest common subsequence.
 
     Null and empty html give an empty text. A null url is a host and path of its own. Repeated rows and urls
     each give their row; copies of a page keep the text that not all pages beside them have. Other columns are ignored, an empty table gives an
@@ -264,6 +329,21 @@ def main_text(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:www\.)?([^/?#]*)", 1))
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
-    rows = pages.select("page_id", "url", host.alias("host"), path.alias("path"), "html")
-    rows = rows.repartitionByRange("host", "path").sortWithinPartitions("host", "path", "page_id")
-    return rows.mapInPandas(_difference, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
+    number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
+    rows = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), url.alias("link"), number.alias("number"), F.xxhash64("html").alias("seal"))
+    parts = max(1, (rows.agg(F.sum(F.length("html"))).first()[0] or 0) // RANGE_CHARS)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(_ORDER).dtypes)
+    laid = rows.select(_ORDER).repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
+    found: dict[int, tuple[int, list, list]] = {}
+    for r in laid.mapInPandas(_ends, f"part int, side string, {kinds}").collect():  # four keys a range at most
+        ends = found.setdefault(r["part"], (r["part"], [], []))
+        ends[1 if r["side"] == "first" else 2].append(tuple(r[c] for c in _ORDER))
+    ranges = Ranges([(n, sorted(a), sorted(b)) for n, a, b in sorted(found.values())])
+
+    @F.pandas_udf("array<int>")
+    def places(host: pd.Series, path: pd.Series, link: pd.Series, number: pd.Series, seal: pd.Series) -> pd.Series:
+        return pd.Series([ranges.of(key) for key in zip(host, path, link, number, seal)], dtype=object)
+
+    placed = rows.select("*", F.posexplode(places(*_ORDER)).alias("beside", "part")).withColumn("own", F.col("beside") == 0)
+    placed = placed.repartition(max(1, len(found)), "part").sortWithinPartitions("part", *_ORDER)
+    return placed.mapInPandas(_difference, f"page_id {pages.schema['page_id'].dataType.simpleString()}, url string, text string, n_chars long")
