@@ -17,15 +17,27 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a local one only where the setting is absent, as in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or os.path.join(tempfile.gettempdir(), "discoforge-checkpoints")
+    """The folder of spark.checkpoint.dir. Only a session on one machine, as in tests, may do without the setting."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = os.path.join(tempfile.gettempdir(), "discoforge-checkpoints")
+    if not folder:
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return folder
 
 
 def stash(df: DataFrame) -> DataFrame:
-    """Write df as a Parquet table in the shared folder and read it back: no lineage stays, and a lost executor costs no work before this point."""
-    path = f"{shared_folder(df.sparkSession).rstrip('/')}/stash-{uuid.uuid4().hex}"
+    """Write df as a Parquet table in the shared folder and read it back: no lineage stays, and a lost executor costs no work before this point.
+
+    All tables of an application lie in one folder, which its file system deletes when the application ends.
+    """
+    spark = df.sparkSession
+    folder = f"{shared_folder(spark).rstrip('/')}/stash-{spark.sparkContext.applicationId}"
+    path = f"{folder}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

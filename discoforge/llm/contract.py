@@ -118,7 +118,7 @@ from sets s join reach r on s.doc_id = r.doc_id group by s.doc_id, len(s.s)
 
 ORACLE_SQL["op6_apportioned_mix"] = r"""
 with sized as (
-  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size from documents
+  select doc_id, source, len(list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> ''))::bigint as size, md5('mix:' || coalesce(doc_id::varchar, md5(text), '')) as key from documents
 ), named as (
   select source, sum(size)::bigint as source_size, row_number() over (order by source nulls last) as nth from sized group by source
 ), capped as (
@@ -135,8 +135,8 @@ with sized as (
 ), quotas as (
   select t.source, t.source_size, t.target, (select count(*) from ranked r where r.source is not distinct from t.source and r.place <= r.seats) as blocks from targets t
 ), laid as (
-  select s.doc_id, s.source, s.size, q.source_size, q.target, q.blocks, md5('mix:' || coalesce(s.doc_id::varchar, '')) as key,
-    ('0x' || substr(md5('mix:' || coalesce(s.doc_id::varchar, '')), 1, 8))::bigint % greatest(1, ceil(q.source_size / 1048576))::bigint as shard
+  select s.doc_id, s.source, s.size, q.source_size, q.target, q.blocks, s.key,
+    ('0x' || substr(s.key, 1, 8))::bigint % greatest(1, ceil(q.source_size / 1048576))::bigint as shard
   from sized s join quotas q on s.source is not distinct from q.source
 ), shards as (
   select source, shard, blocks, sum(size)::bigint as shard_size from laid group by all

@@ -10,13 +10,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import stash
+
 ORDER = 4
 #: Documents of a language that the models may be fitted to, and more of them that calibrate the score.
 FIT_DOCS, CALIBRATE_DOCS = 300, 60
 #: Characters that are looked up together.
 CHUNK = 1 << 20
-#: Share of the calibrating documents that are rejected.
-REJECTED_SHARE = 0.005
+#: Rejected are texts further above all but this share of the calibrating documents than so many nats a character: other
+#: topics of a known language stay well below, other languages and scripts lie above.
+REJECTED_SHARE, REJECTED_MARGIN = 0.005, 0.5
+#: Hashes of ids fall on so many places.
+_PLACES = 1 << 62
 UNKNOWN = "und"
 _BITS = 16
 
@@ -127,29 +132,28 @@ class Models:
 
     def entropies(self, texts) -> np.ndarray:
         """Cross-entropy a character of each text, a column a language; NaN without letters. All characters count."""
-        out, held, rows, size = np.full((len(texts), len(self.langs)), np.nan), [], [], 0
+        sums, counts, held, rows, size = np.zeros((len(texts), len(self.langs))), np.zeros(len(texts)), [], [], 0
 
         def settle():
-            every = np.concatenate(held)
-            kinds, at = np.unique(every, return_inverse=True)
+            kinds, at = np.unique(np.concatenate(held), return_inverse=True)
             logs = self.log_probs(kinds)
             starts = np.cumsum([0] + [len(h) for h in held[:-1]])
-            lengths = np.array([len(h) for h in held])
             for k in range(len(self.langs)):
-                out[rows, k] = -np.add.reduceat(logs[:, k].astype(np.float64)[at], starts) / lengths
+                np.add.at(sums[:, k], rows, np.add.reduceat(logs[:, k].astype(np.float64)[at], starts))
 
         for i, text in enumerate(texts):
-            g = grams(codes(text))
-            if len(g):
-                held.append(g)
+            every = grams(codes(text))
+            counts[i] = len(every)
+            for start in range(0, len(every), CHUNK):
+                held.append(every[start : start + CHUNK])
                 rows.append(i)
-                size += len(g)
-            if held and (size > CHUNK or i == len(texts) - 1):
-                settle()
-                held, rows, size = [], [], 0
+                size += len(held[-1])
+                if size >= CHUNK:
+                    settle()
+                    held, rows, size = [], [], 0
         if held:
             settle()
-        return out
+        return np.where(counts[:, None] > 0, -sums / np.maximum(counts, 1)[:, None], np.nan)
 
     def predict(self, texts) -> pd.DataFrame:
         """lang_pred, score, entropy and rejected of each text. Of equal entropies the first language by name wins."""
@@ -178,7 +182,7 @@ class Models:
             return float((heat * gap[np.arange(len(h)), truth] + np.log(np.exp(-heat * gap).sum(axis=1))).mean())
 
         self.heat = min((2.0**k for k in np.arange(-2, 7, 0.25)), key=loss)
-        self.most = float(np.quantile(h.min(axis=1), 1 - REJECTED_SHARE)) + 0.5
+        self.most = float(np.quantile(h.min(axis=1), 1 - REJECTED_SHARE)) + REJECTED_MARGIN
 
 
 def held_out(doc_id):
@@ -190,13 +194,17 @@ def train(docs: DataFrame) -> Models | None:
     """Models of the languages that docs (doc_id, text, lang) name; None if they name none.
 
     Of each language at most FIT_DOCS + CALIBRATE_DOCS documents take part, those with the least hashes of their
-    ids, with their whole texts. Only counts of n-grams and the calibrating texts reach the driver. Every sixth
-    of them, the first excepted, calibrates.
+    ids, with their whole texts; of several rows of an id the least text. They are ranked among the lowest hashes
+    only, about four times as many, so a language of any size has a small ranking. Only counts of n-grams and the
+    calibrating texts reach the driver. Every sixth of them, the first excepted, calibrates.
     """
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
     named = docs.where("lang is not null and text is not null and doc_id is not null")
-    chosen = named.select("doc_id", "lang").distinct().withColumn("nth", nth).where(F.col("nth") <= FIT_DOCS + CALIBRATE_DOCS).select("doc_id", "lang", "nth")
-    sample = named.join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text", "nth").cache()
+    place, most, near = F.xxhash64("doc_id").bitwiseAND(F.lit(_PLACES - 1)), FIT_DOCS + CALIBRATE_DOCS, F.lit(False)
+    for r in named.groupBy("lang").agg(F.count("*").alias("n")).collect():  # a row a language
+        near |= (F.col("lang") == r["lang"]) & (place < F.lit(min(_PLACES, _PLACES * 4 * most // r["n"])))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(place, "doc_id"))
+    chosen = named.where(near).select("doc_id", "lang").distinct().withColumn("nth", nth).where(F.col("nth") <= most).select("doc_id", "lang", "nth")
+    sample = stash(named.join(F.broadcast(chosen), ["doc_id", "lang"]).groupBy("doc_id", "lang", "nth").agg(F.min("text").alias("text")).select("lang", "text", "nth"))
 
     def count(batches):
         for batch in batches:
@@ -207,7 +215,6 @@ def train(docs: DataFrame) -> Models | None:
     calibrating = (F.col("nth") % 6 == 0) & (F.col("nth") > 1)
     counted = sample.where(~calibrating).mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toPandas()
     known = sample.where(calibrating).select("lang", "text").toPandas().sort_values(["lang", "text"])
-    sample.unpersist()
     langs = sorted(counted["lang"].unique())
     if not langs:
         return None

@@ -70,18 +70,18 @@ def mix(docs: DataFrame, weights: tuple = WEIGHTS, block_words: int = BLOCK_WORD
     its quota, over again for whole repeats. Only (doc_id, source, size) leaves the scan; a hot source is spread
     over its shards.
 
-    Null text has size 0. A null source is a source of its own, the last. A null doc_id hashes like an empty
-    string; equal ids fall in the same shard, in order of size, and rows equal in both are alike. Empty and
+    Null text has size 0. A null source is a source of its own, the last. Rows without an id are placed by their
+    texts; equal ids fall in the same shard, in order of size, and rows equal in both are alike. Empty and
     wordless tables take nothing. Other columns are ignored, whatever their names.
     """
-    sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size")))
+    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.md5(F.col("text")), F.lit(""))))
+    sized = stash(docs.select("doc_id", "source", word_count(F.col("text")).alias("size"), key.alias("key")))
     sources = stash(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights))
     seats = F.round(F.sum("source_size").over(Window.partitionBy(F.lit(1))) / block_words).cast("long")
     parties = sources.withColumn("seats", seats).withColumn("all", F.lit(1))
     quotas = stash(sainte_lague(parties, ["all"], "target", "seats", ["source"]).select("source", "source_size", "target", F.col("quota").alias("blocks")))
     named = quotas.withColumnRenamed("source", "s")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    laid = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn("key", key)
+    laid = sized.join(named, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     laid = laid.withColumn("shard", F.pmod(F.conv(F.substring("key", 1, 8), 16, 10).cast("long"), F.greatest(F.lit(1), F.ceil(F.col("source_size") / shard_words))))
     laid = stash(laid)
     shards = laid.groupBy("source", "shard", "blocks").agg(F.sum("size").alias("shard_size"))

@@ -122,7 +122,7 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3) -> OrdinalModel
 
     Of several ratings of a document the least counts; null grades and ids don't. Shares of grades are counted
     over all ratings; the weights are fitted to at most SAMPLE_A_GRADE documents of each grade, the only rows
-    that reach the driver, as numbers of buckets. They are ranked by hash among the lowest hashes only, about
+    that reach the driver, as numbers of buckets; of several rows of an id the least text counts. They are ranked by hash among the lowest hashes only, about
     four times as many, so a grade of any size has a small ranking.
     """
     rated = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.min("grade").alias("grade"))
@@ -139,7 +139,8 @@ def train(docs: DataFrame, ratings: DataFrame, grades: int = 3) -> OrdinalModel
         for batch in batches:
             yield pd.DataFrame({"grade": batch["grade"], "buckets": [features(t, seen) for t in batch["text"]]})
 
-    found = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("grade", "text").mapInPandas(of_batch, "grade int, buckets array<int>").toPandas()
+    texts = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").groupBy("doc_id", "grade").agg(F.min("text").alias("text"))
+    found = texts.select("grade", "text").mapInPandas(of_batch, "grade int, buckets array<int>").toPandas()
     known = found["grade"].to_numpy(np.int64)
     if len(np.unique(known)) < 2:
         return None
@@ -175,12 +176,16 @@ def ratings_of(labels: DataFrame) -> DataFrame:
 def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, expected_grade, tail_prob, kept) of each row of docs. No row moves: the text is graded in place.
 
-    Other columns are ignored; an empty table gives an empty result.
+    Null and empty texts, and texts of white space, have grade 0, chance 0 and aren't kept; a text of any length is
+    graded whole. Alike texts get alike grades, whatever their ids, and a null doc_id is kept as it is; a chance of just
+    KEEP_FROM is kept. Ratings without an id or of unknown documents teach nothing, of several of an id the least
+    counts; without ratings of two grades every text with words is kept. Repeated rows repeat. Other columns are
+    ignored; an empty table gives an empty result.
     """
     model = train(docs, ratings_of(labels))
     return docs.select("doc_id", grader(model)("text").alias("q")).select("doc_id", "q.*")
 
 
 def good_ones(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without those whose chance of the best grade is too low; the columns stay as they are."""
+    """docs without those whose chance of the best grade is too low; the columns stay as they are. Rows without words go, as graded says."""
     return docs.where(grader(train(docs, ratings_of(labels)))("text")["kept"])
