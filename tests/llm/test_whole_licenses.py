@@ -1,6 +1,9 @@
 """Every rule on its notice as it is published, and notices that only one of the readings finds."""
 
+import pandas as pd
+
 from discoforge.llm import licenses
+from tests.comparing import duck
 
 APACHE = """Licensed under the Apache License, Version 2.0 (the "License");
 you may not use this file except in compliance with the License.
@@ -62,6 +65,37 @@ BSD3 = (
 MPL = """This Source Code Form is subject to the terms of the Mozilla Public
 License, v. 2.0. If a copy of the MPL was not distributed with this
 file, You can obtain one at https://mozilla.org/MPL/2.0/."""
+LGPL = GPL2.replace("This program", "This library").replace("GNU General", "GNU Lesser General").replace("version 2", "version 2.1")
+ISC = """Copyright (c) 2021, A. Holder
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES
+WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF
+MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE."""
+ZLIB = """This software is provided 'as-is', without any express or implied
+warranty. In no event will the authors be held liable for any damages
+arising from the use of this software.
+
+Permission is granted to anyone to use this software for any purpose,
+including commercial applications, and to alter it and redistribute it
+freely, subject to the following restrictions:"""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+
+Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled
+binary, for any purpose, commercial or non-commercial, and by any
+means."""
+BOOST = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization
+obtaining a copy of the software and accompanying documentation covered by
+this license (the "Software") to use, reproduce, display, distribute,
+execute, and transmit the Software, and to prepare derivative works of the
+Software, and to permit third-parties to whom the Software is furnished to
+do so, all subject to the following:"""
 NOTICES = {
     "Apache-2.0": [APACHE, "Licensed under the Apache License, Version 2.0.", APACHE.partition("\nYou may")[0]],
     "MIT": [MIT, MIT.partition("\n\nTHE SOFTWARE")[0], "Released under the MIT License.", "Licensed under the MIT License"],
@@ -69,7 +103,7 @@ NOTICES = {
     "GPL-3.0-or-later": [GPL3, " ".join(GPL3.split()), "\n".join(f" * {x}".rstrip() for x in GPL3.split("\n"))],
     "GPL-2.0": ["Licensed under the GNU General Public License, version 2."],
     "GPL-2.0-or-later": [GPL2, " ".join(GPL2.split())],
-    "BSD-3-Clause": [BSD3],
+    "BSD-3-Clause": [BSD3, BSD3.replace("the copyright holder nor", "Example Labs, Inc. nor"), "Copyright (c) 1999 Example Labs\n\n" + BSD3],
     "BSD-2-Clause": [BSD2],
     "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
     "CC-BY-4.0": ["Licensed under CC BY 4.0."],
@@ -77,6 +111,15 @@ NOTICES = {
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."],
     "MPL-2.0": [MPL, " ".join(MPL.split())],
     "all-rights-reserved": ["All rights reserved."],
+    "LGPL-2.1-or-later": [LGPL],
+    "LGPL-3.0-or-later": [GPL3.replace("GNU General", "GNU Lesser General")],
+    "AGPL-3.0-or-later": [GPL3.replace("GNU General", "GNU Affero General")],
+    "ISC": [ISC],
+    "Zlib": [ZLIB],
+    "Unlicense": [UNLICENSE],
+    "BSL-1.0": [BOOST, "Distributed under the Boost Software License, Version 1.0.\n(See accompanying file.)"],
+    "EPL-2.0": ["This program and the accompanying materials are made\navailable under the terms of the Eclipse Public License 2.0\nwhich is available at https://www.eclipse.org/legal/epl-2.0/"],
+    "BSD": ["Licensed under the BSD license."],
 }
 
 
@@ -104,3 +147,15 @@ def test_licences_of_both_readings(spark):
 
 def test_marks_between_other_sentences_stay(spark):
     assert found(spark, ["This program is free software; enjoy it. Licensed under the MIT License.", "All of it without any warranty; Licensed under the MIT License."]) == [["MIT"], ["MIT"]]
+
+
+def test_a_shorter_rule_counts_where_it_stands_alone(spark):
+    assert found(spark, [BSD2 + "\n\nPart two of the text.\n\n" + BSD3, BSD3]) == [["BSD-2-Clause", "BSD-3-Clause"], ["BSD-3-Clause"]]
+
+
+def test_sql_reads_the_notices_alike(spark, tmp_path):
+    texts = [text for texts in NOTICES.values() for text in texts] + [APACHE + "\n\nReleased under the MIT License\n" + BSD3 + "\n\n" + BSD2, None, ""]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    pd.DataFrame({"doc_id": range(len(texts)), "text": texts}).to_parquet(f"{tmp_path}/documents.parquet")
+    want = {r.doc_id: (r.licenses, r.sentences) for r in duck(licenses.oracle(), str(tmp_path)).itertuples()}
+    assert {r["doc_id"]: (",".join(r["licenses"]), ",".join(r["sentences"])) for r in licenses.scan(table).collect()} == want
