@@ -180,6 +180,45 @@ def slug(c: Column | str, most: int = 60, default: str = "show") -> Column:
     return F.coalesce(F.nullif(F.left(kept, F.lit(most)), F.lit("")), F.lit(default))
 
 
+def extension(name: Column | str, default: str = "") -> Column:
+    """The extension of a file name with its point, in lower case; the default if it has none."""
+    return F.coalesce(F.nullif(F.lower(F.regexp_extract(basename(name), r"^.+(\.[^.]+)$", 1)), F.lit("")), F.lit(default))
+
+
+def audio_key(prefix: str, name: Column | str, *parts: Column | str) -> Column:
+    """W18. Object key of a recording: its artist, album and title, those that are there, and the file's extension."""
+    return F.concat(F.lit(prefix), _known_parts(*parts), extension(name))
+
+
+def artwork_key(prefix: str, name: Column | str, *parts: Column | str) -> Column:
+    """W18. Object key of a cover: its artist, album and catalogue number, and the file's extension."""
+    return F.concat(F.lit(f"{prefix}artwork/"), _known_parts(*parts), extension(name, ".jpg"))
+
+
+def _known_parts(*parts: Column | str) -> Column:
+    return F.array_join(F.filter(F.array(*[path_part(p) for p in parts]), lambda p: (p != "") & (p != "Unknown")), "_")
+
+
+def episode_audio_key(show: Column | str, number: Column, title: Column | str) -> Column:
+    """W18. Object key of an episode: its show, its number with three digits or 'ep', and its title."""
+    return F.concat(F.lit("podcasts/audio/"), slug(show), F.lit("/"), F.coalesce(_three(number), F.lit("ep")), F.lit("-"), slug(title), F.lit(".mp3"))
+
+
+def episode_art_key(show: Column | str, number: Column, stamp: Column, name: Column | str) -> Column:
+    """W18. Object key of an episode's cover; without a number a stamp keeps it apart from the others."""
+    return F.concat(F.lit("artwork/podcast-"), slug(show), F.lit("-ep"), F.coalesce(_three(number), stamp.cast("string")), extension(name, ".jpg"))
+
+
+def playlist_art_key(playlist: Column | str, name: Column | str) -> Column:
+    """W18. Object key of a playlist's cover, the same for each cover of it."""
+    return F.concat(F.lit("artwork/playlist-"), slug(playlist), extension(name, ".jpg"))
+
+
+def _three(number: Column) -> Column:
+    n = F.nullif(number, F.lit(0)).cast("string")
+    return F.when(F.length(n) < 3, F.lpad(n, 3, "0")).otherwise(n)
+
+
 def hashtag(c: Column | str) -> Column:
     """F43. # and the words of a name with capital initials; null if it has none."""
     words = F.filter(F.split(F.regexp_replace(col(c), "['’]", ""), "[^a-zA-Z0-9]+"), lambda x: x != "")

@@ -91,7 +91,7 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, block: list[str], left_titl
     Equi-join on the block; lengths are tested before the edit distance, and what else pairs must meet. Of equal
     scores the first by order wins. Columns of the right side come with the prefix r_. score is the similarity.
     """
-    marked = left.withColumn("_row", F.struct(*left.columns))
+    marked = left.withColumn("_row", F.monotonically_increasing_id())  # rows that are alike stay rows of their own
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(b) == F.col(f"r_{b}") for b in block])
     same = same if also is None else same & also
@@ -102,7 +102,34 @@ def fuzzy_matches(left: DataFrame, right: DataFrame, block: list[str], left_titl
 
 
 def elsewhere(incoming: DataFrame, existing: DataFrame, key: str, group: str) -> DataFrame:
-    """J07. incoming with other_group: the least other group in which existing holds its key, null if none."""
-    held = existing.select(F.col(key).alias("_k"), F.col(group).alias("_g")).where("_k is not null").distinct()
-    met = incoming.join(held, (F.col(key) == F.col("_k")) & (F.col(group) != F.col("_g")), "left")
-    return met.groupBy(*incoming.columns).agg(F.min("_g").alias("other_group"))
+    """J07. incoming with other_group: the least other group in which existing holds its key, null if none.
+
+    Of a key's groups the least two tell, so a key of any number of groups is one row; incoming keeps its rows,
+    repeated ones too. A row without a key or group has no other group.
+    """
+    held = existing.select(F.col(key).alias("_k"), F.col(group).alias("_g")).where("_k is not null and _g is not null").distinct()
+    nth = F.row_number().over(Window.partitionBy("_k").orderBy("_g"))
+    two = held.withColumn("_nth", nth).where("_nth <= 2").groupBy("_k").agg(F.min("_g").alias("_g1"), F.max(F.when(F.col("_nth") == 2, F.col("_g"))).alias("_g2"))
+    other = F.when(F.col(group) != F.col("_g1"), F.col("_g1")).when(F.col(group) == F.col("_g1"), F.col("_g2"))
+    return incoming.join(two, F.col(key) == F.col("_k"), "left").withColumn("other_group", other).drop("_k", "_g1", "_g2")
+
+
+def distinct_in_order(df: DataFrame, columns: list[str], order: list[str]) -> DataFrame:
+    """A09, P23. The distinct values of columns, nulls in them left out, with at: where each was seen first by order."""
+    known = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in columns])
+    return df.where(known).groupBy(*columns).agg(F.min(F.struct(*order)).alias("at"))
+
+
+def prefix_join(left: DataFrame, right: DataFrame, prefix: str, name: str, most: int = 64) -> DataFrame:
+    """J16. Left rows with the right rows whose name starts with their prefix; no prefix, no rows.
+
+    An equi-join on the name's beginnings, one for each length that prefixes have; these are `most` at most, and
+    longer prefixes are tested on their first `most` characters and then whole.
+    """
+    asked = left.withColumn("_p", F.left(F.col(prefix), F.lit(most))).where("_p <> ''")
+    lengths = sorted(r[0] for r in asked.select(F.length("_p")).distinct().collect())
+    if not lengths:
+        return left.join(right, F.lit(False))
+    starts = F.array_distinct(F.array(*[F.left(F.col(name), F.lit(n)) for n in lengths]))
+    named = right.withColumn("_p", F.explode(starts))
+    return asked.join(named, "_p").where(F.col(name).startswith(F.col(prefix))).drop("_p")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discoforge.functions.text import clean, trimmed
+from discoforge.functions.values import number_in_container
 
 
 def first_value(value: Column, order: list, when: Column | None = None) -> Column:
@@ -61,21 +62,45 @@ def audit(df: DataFrame, bucket: Column) -> DataFrame:
     return counted.withColumn("pct", F.round(100 * F.col("n") / whole, 1))
 
 
-def systematic_sample(df: DataFrame, order: list[str], k: int, rows_a_part: int = 1_000_000) -> DataFrame:
-    """A14. Every n-th row by order, n = max(1, rows / k). The first column of order is a number without nulls.
+def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
+    """df with the place of each row by order, 1 .. over the whole table; order should be total.
 
-    Rows fall into parts by quantiles of that column; positions are counted within parts and shifted by the
-    sizes of the parts before, so no task orders all rows.
+    Rows are cut into ranges and put in order within each; a row's place is its place there and the sizes of the
+    ranges before, so no task orders all rows.
     """
-    rows = df.count()
-    parts = max(1, rows // rows_a_part)
-    edges = sorted(set(df.approxQuantile(order[0], [n / parts for n in range(1, parts)], 0.1 / parts))) if parts > 1 else []
-    part = F.size(F.filter(F.array(*[F.lit(e) for e in edges]).cast("array<double>"), lambda e: e <= F.col(order[0])))
-    laid = df.withColumn("_part", part)
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = [F.col(c) if isinstance(c, str) else c for c in order]
+    laid = df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).withColumn("_id", F.monotonically_increasing_id())
+    laid = laid.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over ranges, not rows
     starts = laid.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
-    placed = laid.withColumn("_nth", F.row_number().over(Window.partitionBy("_part").orderBy(*order))).join(F.broadcast(starts), "_part")  # one row a part
-    return placed.where((F.col("_before") + F.col("_nth") - 1) % max(1, rows // k) == 0).drop("_part", "_nth", "_before")
+    placed = laid.join(F.broadcast(starts), "_part")  # one row a range
+    return placed.withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_id", "_part", "_nth", "_before")
+
+
+def systematic_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:
+    """A14. Every n-th row by order, n = max(1, rows / k)."""
+    step = max(1, df.count() // k)
+    return positions(df, order, "_at").where((F.col("_at") - 1) % step == 0).drop("_at")
+
+
+def album_totals(tracks: DataFrame, album: str, duration: str, explicit: str) -> DataFrame:
+    """A05, A06. By album: the sum of its durations, null as none, and whether any track is explicit."""
+    return tracks.groupBy(album).agg(F.sum(F.coalesce(duration, F.lit(0)).cast("bigint")).alias("seconds"), F.bool_or(F.coalesce(explicit, F.lit(False))).alias("explicit"))
+
+
+def status(df: DataFrame, counted: list[str]) -> DataFrame:
+    """A13. One row: rows of a table, and how many have each of some columns."""
+    return df.agg(F.count("*").alias("rows"), *[F.count_if(clean(F.col(c).cast("string")).isNotNull()).alias(f"with_{c}") for c in counted])
+
+
+def problem_report(df: DataFrame, bucket: Column, names: dict[str, str]) -> DataFrame:
+    """W24. The rows that go into a report, with the sheet that each belongs on; buckets without a sheet are left out.
+
+    A sheet is a value of the column, so writing by partitions of it gives one folder a sheet.
+    """
+    sheet = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
+    return df.withColumn("sheet", F.try_element_at(sheet, bucket)).where("sheet is not null")
 
 
 def tallies(results: DataFrame, action: str = "action") -> DataFrame:
@@ -96,6 +121,11 @@ def by_sequence(seq: Column | str, missing: int | None = 999) -> Column:
     return F.coalesce(c, F.lit(missing)) if missing is not None else c.asc_nulls_last()
 
 
+def by_number_in_name(name: str, missing: int = 999) -> Column:
+    """O06. Sort key of the track number in a container's file name; none counts as missing."""
+    return F.coalesce(number_in_container(name), F.lit(missing).cast("bigint"))
+
+
 def listing_order(album: str, seq: str, title: str | None = None, locale: bool = False) -> list[Column]:
     """O03, O04, O05. Album whatever its case, sequence with null last, title; locale sorts texts as people do, accents by their letters."""
     text = lambda c: F.collate(F.coalesce(F.col(c), F.lit("")), "UNICODE_CI") if locale else F.lower(F.coalesce(F.col(c), F.lit("")))

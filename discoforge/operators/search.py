@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from discoforge.functions.text import blank, clean, isrc_lookup, search_key
 
+from .keys import distinct_in_order
+from .rollups import positions
+
 
 def condition(column: str, wanted: str) -> Column:
     """P17. One field of a find: '==v' is exact, '*' any value that isn't blank, '*t*' holds t, 't*' starts with t; else exact. Case doesn't count."""
@@ -82,8 +85,7 @@ def federated(sources: dict[str, DataFrame]) -> DataFrame:
         F.transform(F.array_sort(F.collect_set(F.struct("rank", "source"))), lambda x: x["source"]).alias("sources"),
     )
     songs = songs.withColumn("n_sources", F.size("sources"))
-    nth = F.row_number().over(Window.orderBy(F.desc("n_sources"), F.lower(F.coalesce("artist", F.lit(""))), F.lower(F.coalesce("title", F.lit(""))), "key"))
-    return songs.withColumn("position", nth)
+    return positions(songs, [F.desc("n_sources"), F.lower(F.coalesce("artist", F.lit(""))), F.lower(F.coalesce("title", F.lit(""))), "key"])
 
 
 def lookup_tracks(cache: DataFrame, catalogue: str) -> DataFrame:
@@ -113,3 +115,12 @@ def eligible(df: DataFrame) -> DataFrame:
     url = lambda c: F.coalesce(clean(c).rlike("(?i)^https?://"), F.lit(False))
     out = df.withColumns({"has_audio": url("s3_url"), "has_artwork": url("artwork_url"), "has_isrc": ~blank("isrc")})
     return out.withColumn("eligible", F.col("has_audio") & F.col("has_artwork"))
+
+
+def batch(songs: DataFrame, asked: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """W45. What to do with each asked song, once, in the order of asking: make its video, skip it or fail, with the reason."""
+    wanted = distinct_in_order(asked, [key], order)
+    met = wanted.join(eligible(songs).select(key, "eligible"), key, "left")
+    state = F.when(F.col("eligible").isNull(), "failed").when(F.col("eligible"), "done").otherwise("skipped")
+    reason = F.when(F.col("eligible").isNull(), "no such song").when(~F.col("eligible"), "no audio or artwork")
+    return met.select(key, "at", state.alias("state"), reason.alias("reason"))

@@ -86,6 +86,19 @@ def guarded_actions(df: DataFrame, edits: DataFrame, key: str, seen: str, have:
     return joined.withColumn("ok", F.coalesce(F.col("_have").cast("string") == F.col(seen).cast("string"), F.lit(False))).drop("_k", "_have")
 
 
+def update_by_id(df: DataFrame, edits: DataFrame, key: str) -> DataFrame:
+    """W08, W09. df with the fields of edits, a row an id, where its id is theirs. Fields that df lacks are left out, null leaves a value as it is."""
+    here = [c for c in edits.columns if c in df.columns and c != key]
+    news = edits.select(F.col(key).alias("_id"), *[F.col(c).alias(f"_new_{c}") for c in here])
+    met = df.join(news, F.col(key) == F.col("_id"), "left")
+    return met.withColumns({c: F.coalesce(F.col(f"_new_{c}"), F.col(c)) for c in here}).select(df.columns)
+
+
+def delete_by_id(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """W10. df without the rows of some ids; rows without an id stay."""
+    return df.join(ids.select(key).distinct(), key, "left_anti").select(df.columns)
+
+
 def known_fields(df: DataFrame, fields: list[str]) -> tuple[DataFrame, list[str]]:
     """W06, P09. The columns that the target knows, and the names dropped."""
     return df.select(*[c for c in df.columns if c in fields]), [c for c in df.columns if c not in fields]
@@ -155,9 +168,11 @@ def missing_after(written: DataFrame, stored: DataFrame, key: list[str]) -> Data
 def file_state(wanted: DataFrame, listing: DataFrame, folder: str, key: str, extensions: tuple[str, ...] = (".jpg", ".jpeg", ".png", ".webp")) -> DataFrame:
     """W42. wanted with path: the first of its files in the order of extensions that the listing holds."""
     tries = F.posexplode(F.array(*[F.lit(e) for e in extensions])).alias("_rank", "_ext")
-    asked = wanted.select("*", tries).withColumn("_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.col(key), F.col("_ext")))
+    rows = wanted.withColumn("_id", F.monotonically_increasing_id())  # rows that are alike stay rows of their own
+    asked = rows.select("*", tries).withColumn("_path", F.concat(F.lit(folder.rstrip("/") + "/"), F.col(key), F.col("_ext")))
     met = asked.join(listing.select(F.col("path").alias("_path"), F.lit(True).alias("_there")), "_path", "left")
-    return met.groupBy(*wanted.columns).agg(F.min(F.when(F.col("_there"), F.struct("_rank", "_path")))["_path"].alias("path"))
+    best = F.min(F.when(F.col("_there"), F.struct("_rank", "_path")))["_path"].alias("path")
+    return met.groupBy("_id", *wanted.columns).agg(best).drop("_id")
 
 
 def repaired_paths(df: DataFrame, column: str, bases: list[str], scheme: str = "moviemac:", name_scheme: str = "movie:") -> DataFrame:

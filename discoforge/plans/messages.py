@@ -121,3 +121,22 @@ def with_files(rows: DataFrame, files: str = "files", wanted: str = "audio_file"
 def chosen(rows: DataFrame, positions: list[int] | None) -> DataFrame:
     """P27. Rows at the chosen positions, from 1; all for None."""
     return rows if positions is None else rows.where(reduce(lambda a, b: a | b, [F.col("ord") == p for p in positions], F.lit(False)))
+
+
+# Fields of the catalogue's import layout and the columns that fill them.
+IMPORT_FIELDS = {"Title": "title", "ISRC": "isrc", "Artist": "artist_name", "Album": "album_title", "Label": "label", "Genre": "genre", "Year": "year", "Duration": "duration_sec", "Language": "language", "RightsHolder": "rights_holder", "RightsYear": "rights_year", "Territories": "territories"}
+
+
+def import_fields(rows: DataFrame, submitter: str) -> Column:
+    """P34. Map of import field to text of a parsed track: blank for what is missing, credits a line each."""
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in rows.columns else F.lit("")
+    credits = F.array_join(F.transform("credits", lambda c: F.concat(c["name"], F.lit(" ("), F.coalesce(c["role"], F.lit("")), F.lit(")"))), "\n") if "credits" in rows.columns else F.lit("")
+    given = {f: text(c) for f, c in IMPORT_FIELDS.items()} | {"Explicit": F.when(F.col("explicit"), "Yes").otherwise("No"), "Credits": credits, "SubmittedBy": F.lit(submitter)}
+    return F.create_map(*[x for f, c in given.items() for x in (F.lit(f), c)])
+
+
+def imported(rows: DataFrame, positions: list[int] | None, submitter: str) -> DataFrame:
+    """W38. The chosen tracks of messages as records to create, with ok and error; a track without title and code fails."""
+    named = clean("title").isNotNull() | clean("isrc").isNotNull()
+    out = chosen(rows, positions).withColumn("fields", import_fields(rows, submitter))
+    return out.withColumn("ok", named).withColumn("action", F.when(named, "created").otherwise("failed")).withColumn("error", F.when(~named, "neither title nor code"))

@@ -5,9 +5,7 @@ The tables stand in for catalogues: customers, orders and parts for records of s
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from discoforge.functions import languages, text, values
@@ -15,23 +13,7 @@ from discoforge.operators import keys, rollups, search, validation, writes
 from discoforge.plans import audio, presence, replicate
 from discoforge.sources import sheets
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+from .registry import query, t
 
 LINE_KEY = ["l_orderkey", "l_linenumber"]
 LINE_ORDER = ["l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"]
@@ -86,18 +68,19 @@ def last_wins(spark, sf_dir):
     return keys.last_wins(t(spark, sf_dir, "lineitem"), LINE_KEY, LINE_ORDER).select(*LINE_KEY, "l_partkey", "l_suppkey", "l_extendedprice")
 
 
-@query("""
-with by_key as (select l_orderkey, max(l_partkey) as p from lineitem group by l_orderkey),
-by_part as (select l_partkey, max(l_orderkey) as o from lineitem group by l_partkey)
-select o_orderkey, case when k.l_orderkey is not null then 'orderkey' when q.l_partkey is not null then 'partkey' end as match_via
+@query(f"""
+with by_key as (select distinct on (l_orderkey) l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem order by l_orderkey, l_linenumber desc, {', '.join(c + ' desc' for c in LINE_ORDER)}),
+by_part as (select distinct on (l_partkey) l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem order by l_partkey, l_orderkey desc, l_linenumber desc, {', '.join(c + ' desc' for c in LINE_ORDER)})
+select o_orderkey, case when k.l_orderkey is not null then 'orderkey' when q.l_partkey is not null then 'partkey' end as match_via,
+  case when k.l_orderkey is not null then k.l_linenumber else q.l_linenumber end as line, case when k.l_orderkey is not null then k.l_partkey else q.l_partkey end as part, case when k.l_orderkey is not null then k.l_suppkey else q.l_suppkey end as supplier
 from orders left join by_key k on case when o_orderkey % 3 <> 0 then o_orderkey end = k.l_orderkey left join by_part q on o_custkey = q.l_partkey
 """)
 def prioritised_join(spark, sf_dir):
-    """Orders find a line by their key, every third only by another one."""
+    """Orders find their last line by their key, every third only by another one."""
     orders = t(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     lines = t(spark, sf_dir, "lineitem").select(*LINE_KEY, *LINE_ORDER)
     found = keys.prioritised_join(orders, lines, [("orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderkey")), F.col("l_orderkey")), ("partkey", F.col("o_custkey"), F.col("l_partkey"))], [*LINE_KEY, *LINE_ORDER])
-    return found.select("o_orderkey", "match_via")
+    return found.select("o_orderkey", "match_via", F.col("match.l_linenumber").alias("line"), F.col("match.l_partkey").alias("part"), F.col("match.l_suppkey").alias("supplier"))
 
 
 @query("select c_custkey, s_suppkey from customer join supplier on c_custkey = s_suppkey union select c_custkey, s_suppkey from customer join supplier on c_nationkey = s_nationkey and s_suppkey % 10 = 0")
@@ -108,17 +91,17 @@ def or_key_join(spark, sf_dir):
     return keys.or_key_join(customer, supplier, [("c_custkey", "s_suppkey"), ("c_nationkey", "s_nation")]).select("c_custkey", "s_suppkey")
 
 
-@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null)")
+@query("select c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_custkey is not null and o_totalprice > 300000)")
 def unmatched_left(spark, sf_dir):
-    """Customers without orders."""
-    orders = t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    """Customers without large orders."""
+    orders = t(spark, sf_dir, "orders").where("o_totalprice > 300000").select(F.col("o_custkey").alias("c_custkey"))
     return keys.unmatched(t(spark, sf_dir, "customer"), orders, ["c_custkey"]).select("c_custkey", "c_name")
 
 
-@query("select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where l_partkey is not null)")
+@query("select p_partkey, p_name from part where p_partkey not in (select l_partkey from lineitem where l_partkey is not null and l_quantity > 49)")
 def unmatched_right(spark, sf_dir):
-    """Parts that no line names."""
-    lines = t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("p_partkey"))
+    """Parts that no line names in the largest quantity."""
+    lines = t(spark, sf_dir, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("p_partkey"))
     return keys.unmatched(t(spark, sf_dir, "part"), lines, ["p_partkey"]).select("p_partkey", "p_name")
 
 
@@ -220,7 +203,7 @@ def audit_buckets(spark, sf_dir):
 @query("select o_orderkey from (select o_orderkey, row_number() over (order by o_orderkey) - 1 as n, greatest(1, count(*) over () // 40) as step from orders) where n % step = 0")
 def systematic_sample(spark, sf_dir):
     """Every n-th order for a sample of forty or a few more."""
-    return rollups.systematic_sample(t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 40, rows_a_part=5000)
+    return rollups.systematic_sample(t(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], 40)
 
 
 @query(f"select l_orderkey, l_partkey, l_suppkey, l_quantity from lineitem qualify row_number() over (partition by l_orderkey order by l_linenumber, {LINE_ORDER_SQL}) = 1")
@@ -230,11 +213,11 @@ def album_from_first(spark, sf_dir):
     return t(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(first.alias("h")).select("l_orderkey", "h.*")
 
 
-@query("select l_orderkey, sum(coalesce(nullif(l_quantity, 10), 0)::bigint)::bigint as seconds, bool_or(l_returnflag = 'R') as any_returned from lineitem group by l_orderkey")
+@query("select l_orderkey, sum(coalesce(nullif(l_quantity, 10), 0)::bigint)::bigint as seconds, coalesce(bool_or(l_returnflag = 'R'), false) as explicit from lineitem group by l_orderkey")
 def album_totals(spark, sf_dir):
     """Total length and any flag of an order."""
-    lines = t(spark, sf_dir, "lineitem").withColumn("q", F.nullif("l_quantity", F.lit(10.0)))
-    return lines.groupBy("l_orderkey").agg(F.sum(F.coalesce("q", F.lit(0)).cast("long")).alias("seconds"), F.bool_or(F.col("l_returnflag") == "R").alias("any_returned"))
+    lines = t(spark, sf_dir, "lineitem").select("l_orderkey", F.nullif("l_quantity", F.lit(10.0)).alias("duration"), F.when(F.col("l_returnflag") == "R", True).alias("flag"))
+    return rollups.album_totals(lines, "l_orderkey", "duration", "flag")
 
 
 @query(f"select l_orderkey, l_linenumber, l_partkey from lineitem qualify row_number() over (partition by l_orderkey, l_linenumber order by {LINE_ORDER_SQL}) > 1")
@@ -302,7 +285,7 @@ with tracks as (
   select l_orderkey as release, l_linenumber, 'ZA' || 'ABC' || lpad((l_partkey % 10000000)::varchar, case when l_partkey % 9 = 0 then 6 else 7 end, '0') as isrc,
     case when l_suppkey % 11 = 0 then '' else 'T' || l_partkey end as title, case when l_suppkey % 7 <> 0 then 'A' || l_suppkey end as artist_name, (l_quantity * 60)::bigint as duration_sec,
     case when l_returnflag = 'R' then null else 'en' end as language, case when l_linestatus = 'O' then '12-6' else '1996' end as year, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus
-  from lineitem where l_orderkey % 50 = 0
+  from lineitem
 ), placed as (select *, row_number() over (partition by release order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus) as position from tracks)
 """
 
@@ -325,9 +308,9 @@ select release, position::int as position, v.rule, v.severity from (
 """
 )
 def validate_rules(spark, sf_dir):
-    """Line items of some orders as tracks of releases, one row a violation."""
+    """Line items as tracks of releases, one row a violation."""
     part = F.col("l_partkey")
-    tracks = t(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 0").select(
+    tracks = t(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("release"), "l_linenumber", *LINE_ORDER,
         F.concat(F.lit("ZAABC"), F.when(part % 9 == 0, F.lpad((part % 10000000).cast("string"), 6, "0")).otherwise(F.lpad((part % 10000000).cast("string"), 7, "0"))).alias("isrc"),
         F.when(F.col("l_suppkey") % 11 == 0, "").otherwise(F.concat(F.lit("T"), part.cast("string"))).alias("title"),
@@ -394,15 +377,14 @@ def json_props(spark, sf_dir):
 
 
 @query("""
-select p_partkey, row_number() over (order by coalesce(s, 999), p_partkey)::int as place_999, row_number() over (order by s nulls last, p_partkey)::int as place_last
-from (select p_partkey, case when p_size % 7 = 0 then null when p_size % 11 = 0 then 1000 + p_size else p_size end as s from part where p_partkey <= 2000)
+select p_partkey, row_number() over (order by coalesce(s, 999), p_partkey) as place_999, row_number() over (order by s nulls last, p_partkey) as place_last
+from (select p_partkey, case when p_size % 7 = 0 then null when p_size % 11 = 0 then 1000 + p_size else p_size end as s from part)
 """)
 def null_seq_sort(spark, sf_dir):
     """Places by sequence number with null as 999 and as last."""
     s = F.when(F.col("p_size") % 7 == 0, None).when(F.col("p_size") % 11 == 0, F.lit(1000) + F.col("p_size")).otherwise(F.col("p_size"))
-    rows = t(spark, sf_dir, "part").where("p_partkey <= 2000").select("p_partkey", s.alias("s"))
-    place = lambda key: F.row_number().over(Window.orderBy(key, "p_partkey"))
-    return rows.select("p_partkey", place(rollups.by_sequence("s")).alias("place_999"), place(rollups.by_sequence("s", None)).alias("place_last"))
+    rows = rollups.positions(t(spark, sf_dir, "part").select("p_partkey", s.alias("s")), [rollups.by_sequence("s"), "p_partkey"], "place_999")
+    return rollups.positions(rows, [rollups.by_sequence("s", None), "p_partkey"], "place_last").select("p_partkey", "place_999", "place_last")
 
 
 @query("""
@@ -417,7 +399,7 @@ def magic_bytes(spark, sf_dir):
 
 @query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
 def html_title(spark, sf_dir):
-    """One element of a marked-up text."""
+    """One element of a marked-up text."""
     return t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
 
 
@@ -509,15 +491,17 @@ def exists_elsewhere(spark, sf_dir):
 
 
 @query("""
-with tracks as (select l_orderkey as ord_key, l_linenumber as sequence_no, l_orderkey % 100 as cat, 'I' || l_partkey as isrc, row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax) as ord from lineitem where l_orderkey % 20 = 0)
-select p_partkey as id, min(ord) as ord from part join tracks on (cat = p_partkey % 100 and sequence_no = p_size % 7 + 1) or isrc = 'I' || p_partkey group by p_partkey
+with tracks as (select l_orderkey % 1000 as cat, l_linenumber as sequence_no, 'I' || l_partkey as isrc, l_orderkey, l_linenumber, l_partkey, l_suppkey from lineitem),
+met as (select p_partkey as id, tr.* from part join tracks tr on cat = p_partkey % 1000 and sequence_no = p_size % 7 + 1
+  union all select p_partkey, tr.* from part join tracks tr on isrc = 'I' || p_partkey)
+select distinct on (id) id, l_orderkey, l_linenumber, l_partkey, l_suppkey from met order by id, l_orderkey, l_linenumber, l_partkey, l_suppkey
 """)
 def canonical_track(spark, sf_dir):
-    """The first track with a place in a catalogue, or with the code."""
-    ord_ = F.row_number().over(Window.orderBy(*LINE_KEY, *LINE_ORDER[:-2]))
-    tracks = t(spark, sf_dir, "lineitem").where("l_orderkey % 20 = 0").select((F.col("l_orderkey") % 100).alias("catalogue_no"), F.col("l_linenumber").alias("sequence_no"), F.concat(F.lit("I"), F.col("l_partkey").cast("string")).alias("isrc"), ord_.alias("ord"))
-    wanted = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 100).alias("catalogue_no"), (F.col("p_size") % 7 + 1).alias("sequence_no"), F.concat(F.lit("I"), F.col("p_partkey").cast("string")).alias("isrc"))
-    return replicate.canonical_track(tracks, wanted).select("id", F.col("ord").cast("long").alias("ord"))
+    """The first track with a place in a catalogue, or with the code."""
+    first = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+    tracks = t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % 1000).alias("catalogue_no"), F.col("l_linenumber").alias("sequence_no"), F.concat(F.lit("I"), F.col("l_partkey").cast("string")).alias("isrc"), F.struct(*first).alias("ord"))
+    wanted = t(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), (F.col("p_partkey") % 1000).alias("catalogue_no"), (F.col("p_size") % 7 + 1).alias("sequence_no"), F.concat(F.lit("I"), F.col("p_partkey").cast("string")).alias("isrc"))
+    return replicate.canonical_track(tracks, wanted).select("id", "ord.*")
 
 
 @query("""
@@ -543,11 +527,11 @@ def mapped_sheet(spark, sf_dir):
 
 
 @query("""
-select l_orderkey, l_linenumber, l_partkey as match_part, row_number() over (partition by l_orderkey order by coalesce(l_linenumber, 999), l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)::int as place from lineitem
+select l_orderkey, l_linenumber, l_partkey as match_part, row_number() over (partition by l_orderkey order by lower(l_returnflag), l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity, l_discount, l_tax, l_returnflag, l_linestatus)::int as place from lineitem
 """)
 def listing_places(spark, sf_dir):
-    """Places of lines within their order."""
-    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(rollups.by_sequence("l_linenumber"), *LINE_ORDER))
+    """Places of lines within their order, by flag and number."""
+    place = F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*rollups.listing_order("l_returnflag", "l_linenumber"), *LINE_ORDER))
     return t(spark, sf_dir, "lineitem").select(*LINE_KEY, F.col("l_partkey").alias("match_part"), place.alias("place"))
 
 
@@ -568,3 +552,6 @@ def merged_values(spark, sf_dir):
     every = part.select("p_brand").union(part.select(F.upper("p_type")))
     merged = rollups.merged_values(part.select("p_brand"), part.select(F.upper("p_type").alias("p_brand")), "p_brand").select(F.lower("p_brand").alias("k"))
     return merged.join(every.groupBy(F.lower("p_brand").alias("k")).agg(F.count("*").alias("n")), "k")
+
+
+from . import queries_fields, queries_records, queries_tables  # noqa: E402, F401  they register theirs

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discoforge.functions.text import asset_part, clean, split_names
-from discoforge.functions.values import asset_number, full_iso, iso_date, stored_md5, wave_name
+from discoforge.functions.values import asset_number, full_iso, iso_date, short_iso, stored_md5, wave_name
 from discoforge.operators.rollups import first_value
 from discoforge.operators.validation import check, release_rules, track_rules, with_position
 
@@ -262,6 +262,119 @@ def render(plans: DataFrame, parties: Parties, message_id: Column, created: Colu
     return plans.withColumn("xml", document(root))
 
 
+def render_simple(tracks: DataFrame, release: str, parties: Parties, message_id: Column, created: Column, this_year: int) -> DataFrame:
+    """W21. One row a release with xml, the short message: recordings in order of their numbers, none counting as 999, one deal.
+
+    The album's fields, album_title, album_artist, barcode, catalogue_no, album_year, album_genre and artwork_filename,
+    are those of the release's first row by ord; tracks take artist, year and genre from it where they lack them.
+    """
+    columns = ["isrc", "title", "artist_name", "duration_sec", "year", "genre", "language", "explicit", "audio_filename", "sequence_no"]
+    place = F.coalesce(F.nullif("sequence_no", F.lit(0)), F.lit(999))
+    listed = F.array_sort(F.collect_list(F.struct(place.alias("place"), "ord", *columns)))
+    album = first_value(F.struct("album_title", "album_artist", "barcode", "catalogue_no", "album_year", "album_genre", "artwork_filename"), ["ord"])
+    rows = tracks.groupBy(release).agg(listed.alias("listed"), album.alias("album"))
+    rows = rows.withColumn("tracks", F.transform("listed", lambda t, i: F.struct((i + 1).cast("string").alias("n"), *[t[c].alias(c) for c in columns])))
+    album, some = F.col("album"), lambda c: clean(c.cast("string")).isNotNull()
+    has_art, label = some(album["artwork_filename"]), F.lit(parties.label)
+    own = {"Namespace": parties.sender_id}
+    ref = lambda t: F.concat(F.lit("A"), t["n"])
+    year = lambda t: either(t["year"], album["album_year"])
+    artist = lambda t: either(t["artist_name"], album["album_artist"])
+
+    def genre(value: Column) -> E:
+        return E("Genre", [E("GenreText", value)], shown=some(value))
+
+    def recording(t: Column) -> E:
+        return E("SoundRecording", [
+            E("SoundRecordingType", "MusicalWorkSoundRecording"),
+            E("SoundRecordingId", [E("ISRC", t["isrc"])]),
+            E("ResourceReference", ref(t)),
+            E("ReferenceTitle", [E("TitleText", t["title"])]),
+            E("Duration", short_iso(F.coalesce(t["duration_sec"], F.lit(0)))),
+            E("SoundRecordingDetailsByTerritory", [
+                E("TerritoryCode", "Worldwide"),
+                E("Title", [E("TitleText", t["title"])]),
+                _artist(artist(t)),
+                E("LabelName", label),
+                _line("PLine", year(t), F.concat(F.lit("(P) "), year(t), F.lit(" "), label)),
+                genre(either(t["genre"], album["album_genre"])),
+                E("LanguageOfPerformance", t["language"], shown=some(t["language"])),
+                _warning(F.coalesce(t["explicit"], F.lit(False))),
+                E("TechnicalSoundRecordingDetails", [
+                    E("TechnicalResourceDetailsReference", F.concat(F.lit("T"), t["n"])),
+                    E("AudioCodecType", "PCM"),
+                    E("File", [E("FileName", either(t["audio_filename"], F.concat(either(t["isrc"], ref(t)), F.lit(".wav")))), E("FilePath", "resources/")]),
+                ]),
+            ]),
+        ])
+
+    image = E("Image", [
+        E("ImageType", "FrontCoverImage"),
+        E("ImageId", [E("ProprietaryId", F.concat(F.coalesce(album["catalogue_no"], F.lit("")), F.lit("_artwork")), own)]),
+        E("ResourceReference", "ARTWORK"),
+        E("ReferenceTitle", [E("TitleText", F.concat(F.coalesce(album["album_title"], F.lit("")), F.lit(" Cover")))]),
+        E("ImageDetailsByTerritory", [
+            E("TerritoryCode", "Worldwide"),
+            E("TechnicalImageDetails", [E("TechnicalResourceDetailsReference", "TART"), E("File", [E("FileName", album["artwork_filename"]), E("FilePath", "resources/")])]),
+        ]),
+    ], shown=has_art)
+    main = E("Release", [
+        E("ReleaseId", [E("ICPN", album["barcode"], shown=some(album["barcode"])), E("CatalogNumber", album["catalogue_no"], own, shown=some(album["catalogue_no"]))]),
+        E("ReleaseReference", "R0"),
+        E("ReferenceTitle", [E("TitleText", album["album_title"])]),
+        E("ReleaseResourceReferenceList", [
+            Each(F.col("tracks"), lambda t: E("ReleaseResourceReference", ref(t), {"ReleaseResourceType": "PrimaryResource"})),
+            E("ReleaseResourceReference", "ARTWORK", {"ReleaseResourceType": "SecondaryResource"}, shown=has_art),
+        ]),
+        E("ReleaseType", "Album"),
+        E("ReleaseDetailsByTerritory", [
+            E("TerritoryCode", "Worldwide"),
+            E("DisplayArtistName", album["album_artist"]),
+            E("LabelName", label),
+            genre(album["album_genre"]),
+            E("ParentalWarningType", "NotExplicit"),
+            E("ReleaseDate", album["album_year"], shown=some(album["album_year"])),
+        ]),
+    ], {"IsMainRelease": "true"})
+
+    def track_release(t: Column) -> E:
+        return E("Release", [
+            E("ReleaseId", [E("ISRC", t["isrc"])]),
+            E("ReleaseReference", F.concat(F.lit("R"), t["n"])),
+            E("ReferenceTitle", [E("TitleText", t["title"])]),
+            E("ReleaseResourceReferenceList", [E("ReleaseResourceReference", ref(t))]),
+            E("ReleaseType", "TrackRelease"),
+            E("ReleaseDetailsByTerritory", [
+                E("TerritoryCode", "Worldwide"),
+                E("DisplayArtistName", artist(t)),
+                E("LabelName", label),
+                genre(either(t["genre"], album["album_genre"])),
+                _warning(F.coalesce(t["explicit"], F.lit(False))),
+                E("SequenceNumber", t["sequence_no"].cast("string"), shown=F.coalesce(t["sequence_no"] != 0, F.lit(False))),
+            ]),
+        ])
+
+    deal = E("Deal", [E("DealTerms", [
+        E("CommercialModelType", "PayAsYouGoModel"),
+        E("Usage", [E("UseType", "OnDemandStream"), E("UseType", "PermanentDownload")]),
+        E("TerritoryCode", "Worldwide"),
+        E("ValidityPeriod", [E("StartDate", F.concat(either(album["album_year"], F.lit(str(this_year))), F.lit("-01-01")))]),
+    ])])
+    root = E("NewReleaseMessage", [
+        E("MessageHeader", [
+            E("MessageThreadId", message_id), E("MessageId", message_id),
+            _party("MessageSender", parties.sender_id, parties.sender_name),
+            _party("MessageRecipient", parties.recipient_id, parties.recipient_name),
+            E("MessageCreatedDateTime", created), E("MessageControlType", "LiveMessage"),
+        ], {"xmlns": ""}),
+        E("UpdateIndicator", "OriginalMessage", {"xmlns": ""}),
+        E("ResourceList", [Each(F.col("tracks"), recording), image], {"xmlns": ""}),
+        E("ReleaseList", [main, Each(F.col("tracks"), track_release)], {"xmlns": ""}),
+        E("DealList", [E("ReleaseDeal", [E("DealReleaseReference", "R0"), deal])], {"xmlns": ""}),
+    ], {"MessageSchemaVersionId": "ern/382", "xmlns": "http://ddex.net/xml/ern/382", "xmlns:xsi": "http://www.w3.org/2001/XMLSchema-instance"})
+    return rows.select(release, "album", "tracks", document(root).alias("xml"))
+
+
 def files(plans: DataFrame, release: str) -> DataFrame:
     """W41. The files of a package: path and hash, tracks first."""
     track = F.transform("tracks", lambda t: F.struct(F.concat(F.lit("resources/"), t["wav"]).alias("path"), t["md5"].alias("md5")))

@@ -109,6 +109,14 @@ def bulk_update(listing: DataFrame, cache: DataFrame) -> DataFrame:
     return prioritised_join(listing, cache, keys, ["ord"]).withColumn("ok", F.col("match").isNotNull())
 
 
+def by_filename(files: DataFrame, cache: DataFrame) -> DataFrame:
+    """P22. Files with their metadata row, by the barcode and number in their names; null if a name has none."""
+    from discoforge.functions.values import barcode_and_number
+
+    held = F.when(clean("barcode").isNotNull() & F.col("seq").isNotNull(), F.struct(clean("barcode").alias("barcode"), F.col("seq").cast("bigint").alias("seq")))
+    return prioritised_join(files, cache, [("filename", barcode_and_number("filename"), held)], ["ord"])
+
+
 def enrich(records: DataFrame, sheet: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """J02. Records with their sheet row by code, else track number; the records and the sheet rows that are left over."""
     within = lambda key: F.when(key.isNotNull(), F.struct(F.col("catalogue_no"), key.alias("k")))

@@ -16,45 +16,45 @@ from discoforge.operators.validation import check, sheet_rules
 
 # Track fields and the headers that mean them, in lower case with single spaces.
 TRACK_HEADERS = {
-    "title": "title|track title|track name|song title|song|tracktitle|trackname|songtitle|song name|songname|name",
-    "version_title": "version|mix|edit|version title|track version|versiontitle|trackversion|mix version|mixversion",
-    "artist_name": "artist|artist name|performer|main artist|track artist|artistname|mainartist|trackartist|act",
-    "featuring": "featuring|feat|featured artist|ft|featuredartist|feat.|ft.",
-    "composer": "composer|composers|writer|writers|songwriter|songwriters|writers / composers|writers/composers|composers / writers|composers/writers",
-    "lyricist": "lyricist|lyric writer",
-    "producer": "producer|producers",
-    "album_title": "album|album title|release title|albumtitle|releasetitle|album name|albumname",
-    "album_artist": "album artist|albumartist",
-    "album_upc": "upc|barcode|ean",
-    "catalogue": "cat no|catalogue|catalogue number|cat#|cat. #|album catalogue number|album catalogue no|cataloguenumber|catalogno|catno|cat number|catnumber|catalog|catalog number|catalognumber",
-    "isrc": "isrc|isrc code|isrc #|isrc number|isrc no|isrc no.|track isrc|isrccode|isrcnumber|trackisrc",
-    "iswc": "iswc",
-    "label_name": "label|record label|recordlabel|labelname",
-    "publisher": "publisher|publishers|music publisher|musicpublisher",
-    "sequence_no": "sequence|sequence number|sequence no|sequence no.|seq|seq no|seq #|seq.|track seq|sequencenumber|trackseq",
-    "track_number": "track|track no|track number|#|tracknumber|trackno",
-    "disc_number": "disc|disc no|cd",
-    "year": "year|release year|date|release date",
-    "genre": "genre|track genre|album genre",
-    "subgenre": "subgenre|sub-genre|style",
-    "bpm": "bpm|tempo",
-    "key_sig": "key|key sig|musical key",
-    "mood": "mood",
-    "language": "language|audio language|language code",
-    "explicit": "explicit|parental advisory",
-    "duration_sec": "duration",
-    "territories": "territory|territories|rights territory",
-    "sync_licensed": "sync|sync licensed|sync cleared",
-    "rights_holder": "rights holder|master rights",
-    "p_line": "p line|℗ line|p-line|pline|album p line|album ℗ line",
-    "c_line": "c line|© line|c-line|cline|album c line|album © line|copyright line",
-    "rights_year": "rights year|copyright year|℗ year",
-    "pro_name": "pro|pro name|collecting society",
-    "pro_ipi": "ipi|ipi number",
-    "submitter_email": "email|contact email",
-    "notes": "notes|comments",
+    "title": ["title", "track title", "track name", "song title", "song", "tracktitle", "trackname", "songtitle", "song name", "songname", "name"],
+    "version_title": ["version", "mix", "edit", "version title", "track version", "versiontitle", "trackversion", "mix version", "mixversion"],
+    "artist_name": ["artist", "artist name", "performer", "main artist", "track artist", "artistname", "mainartist", "trackartist", "act"],
+    "featuring": ["featuring", "feat", "featured artist", "ft", "featuredartist", "feat.", "ft."],
+    "composer": ["composer", "composers", "writer", "writers", "songwriter", "songwriters", "writers / composers", "writers/composers", "composers / writers", "composers/writers"],
+    "lyricist": ["lyricist", "lyric writer"],
+    "producer": ["producer", "producers"],
+    "album_title": ["album", "album title", "release title", "albumtitle", "releasetitle", "album name", "albumname"],
+    "album_artist": ["album artist", "albumartist"],
+    "album_upc": ["upc", "barcode", "ean"],
+    "catalogue": ["cat no", "catalogue", "catalogue number", "cat#", "cat. #", "album catalogue number", "album catalogue no", "cataloguenumber", "catalogno", "catno", "cat number", "catnumber", "catalog", "catalog number", "catalognumber"],
+    "isrc": ["isrc", "isrc code", "isrc #", "isrc number", "isrc no", "isrc no.", "track isrc", "isrccode", "isrcnumber", "trackisrc"],
+    "iswc": ["iswc"],
+    "label_name": ["label", "record label", "recordlabel", "labelname"],
+    "publisher": ["publisher", "publishers", "music publisher", "musicpublisher"],
+    "sequence_no": ["sequence", "sequence number", "sequence no", "sequence no.", "seq", "seq no", "seq #", "seq.", "track seq", "sequencenumber", "trackseq"],
+    "track_number": ["track", "track no", "track number", "#", "tracknumber", "trackno"],
+    "disc_number": ["disc", "disc no", "cd"],
+    "year": ["year", "release year", "date", "release date"],
+    "genre": ["genre", "track genre", "album genre"],
+    "subgenre": ["subgenre", "sub-genre", "style"],
+    "bpm": ["bpm", "tempo"],
+    "key_sig": ["key", "key sig", "musical key"],
+    "mood": ["mood"],
+    "language": ["language", "audio language", "language code"],
+    "explicit": ["explicit", "parental advisory"],
+    "duration_sec": ["duration"],
+    "territories": ["territory", "territories", "rights territory"],
+    "sync_licensed": ["sync", "sync licensed", "sync cleared"],
+    "rights_holder": ["rights holder", "master rights"],
+    "p_line": ["p line", "℗ line", "p-line", "pline", "album p line", "album ℗ line"],
+    "c_line": ["c line", "© line", "c-line", "cline", "album c line", "album © line", "copyright line"],
+    "rights_year": ["rights year", "copyright year", "℗ year"],
+    "pro_name": ["pro", "pro name", "collecting society"],
+    "pro_ipi": ["ipi", "ipi number"],
+    "submitter_email": ["email", "contact email"],
+    "notes": ["notes", "comments"],
 }
-_TRACK_OF = {alias: field for field, aliases in TRACK_HEADERS.items() for alias in aliases.split("|")}
+_TRACK_OF = {alias: field for field, aliases in TRACK_HEADERS.items() for alias in aliases}
 
 # Metadata fields and their headers, by priority.
 METADATA_HEADERS = {
@@ -88,31 +88,31 @@ METADATA_NUMBERED = {"composer": ["Composer", "Composer 2", "Composer 3"], "prod
 
 # Intake headers in lower case and the columns of the metadata sheet that they fill.
 INTAKE_HEADERS = {
-    "Album title": "album title",
-    "Album artist": "album artist",
-    "Label": "label",
-    "Original Release Date": "original release date",
-    "Release Date": "release date",
-    "Track name": "track name",
-    "ISRC": "isrc*|isrc",
-    "Language": "language*|language",
-    "#": "track number",
-    "Track artist": "track artist (if different from album artist)|track artist",
-    "Duration": "track duration|duration",
-    "Performing contributors": "featuredartist (if any)|featured artist (if any)|featured artist",
-    "Album genre": "genre",
-    "Writers / Composers": "composer(s)|composers|writer(s)|writers",
-    "Producers": "producer(s)|producers",
-    "Publishers": "publisher(s)|publishers",
-    "Barcode": "upc|barcode",
-    "Cat #": "reference catalogue number|cat #|catalogue number",
-    "Album ID": "external / client identifier|external/client identifier",
-    "Explicit": "lyrical content rating|explicit",
-    "Explicit lyrics": "explicit lyrics",
-    "Album ℗ line": "℗ p line|p line|℗ line",
-    "Album © line": "© c line|c line|© line",
+    "Album title": ["album title"],
+    "Album artist": ["album artist"],
+    "Label": ["label"],
+    "Original Release Date": ["original release date"],
+    "Release Date": ["release date"],
+    "Track name": ["track name"],
+    "ISRC": ["isrc*", "isrc"],
+    "Language": ["language*", "language"],
+    "#": ["track number"],
+    "Track artist": ["track artist (if different from album artist)", "track artist"],
+    "Duration": ["track duration", "duration"],
+    "Performing contributors": ["featuredartist (if any)", "featured artist (if any)", "featured artist"],
+    "Album genre": ["genre"],
+    "Writers / Composers": ["composer(s)", "composers", "writer(s)", "writers"],
+    "Producers": ["producer(s)", "producers"],
+    "Publishers": ["publisher(s)", "publishers"],
+    "Barcode": ["upc", "barcode"],
+    "Cat #": ["reference catalogue number", "cat #", "catalogue number"],
+    "Album ID": ["external / client identifier", "external/client identifier"],
+    "Explicit": ["lyrical content rating", "explicit"],
+    "Explicit lyrics": ["explicit lyrics"],
+    "Album ℗ line": ["℗ p line", "p line", "℗ line"],
+    "Album © line": ["© c line", "c line", "© line"],
 }
-_INTAKE_OF = {alias: column for column, aliases in INTAKE_HEADERS.items() for alias in aliases.split("|")}
+_INTAKE_OF = {alias: column for column, aliases in INTAKE_HEADERS.items() for alias in aliases}
 INTAKE_SECOND = {"genre": "Track genre", "language*": "Audio language", "language": "Audio language"}
 
 

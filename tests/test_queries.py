@@ -3,7 +3,8 @@ import os
 import pytest
 
 import __spark_entry__
-from discoforge.plans.queries import ORACLE_SQL, QUERIES
+import discoforge.plans.queries  # noqa: F401  registers all
+from discoforge.plans.registry import ORACLE_SQL, QUERIES
 from tests.comparing import SF, duck, rows
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no supplied tables")
