@@ -100,7 +100,7 @@ def problem_report(df: DataFrame, bucket: Column, names: dict[str, str]) -> Data
     A sheet is a value of the column, so writing by partitions of it gives one folder a sheet.
     """
     sheet = F.create_map(*[F.lit(x) for pair in names.items() for x in pair])
-    return df.withColumn("sheet", F.try_element_at(sheet, bucket)).where("sheet is not null")
+    return df.select("*", F.explode(F.array_compact(F.array(F.try_element_at(sheet, bucket)))).alias("sheet"))
 
 
 def tallies(results: DataFrame, action: str = "action") -> DataFrame:

@@ -41,7 +41,8 @@ def resolve(df: DataFrame, candidates: list[tuple[str, list[str]]], urls: list[s
         found.append(F.when(url.rlike("(?i)^https?://"), struct(True, kind=F.lit("url"), url=url, filename=F.substring_index(url, "/", -1), source=F.lit("url field"))))
     any_source = F.coalesce(*first_source) if first_source else F.lit(None).cast("string")
     missing = struct(False, source=any_source, reason=F.when(any_source.isNotNull(), "unparseable-path").otherwise("no-audio-field"))
-    return df.select(*[F.col(c) for c in columns_in if c != "audio"], F.coalesce(*found, missing).alias("audio"))
+    # a generated column: what filters and joins ask of it later is not worked out again from the fields
+    return df.select(*[F.col(c) for c in columns_in if c != "audio"], F.explode(F.array(F.coalesce(*found, missing))).alias("audio"))
 
 
 def bucket_of(audio: str = "audio") -> Column:

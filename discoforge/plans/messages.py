@@ -26,7 +26,8 @@ SCHEMA = f"struct<ResourceList:struct<SoundRecording:array<{_RECORDING}>,Image:a
 def parsed(messages: DataFrame, xml: str = "xml") -> DataFrame:
     """S20. messages with m, the nested message, and version: 382, 383 or 41 by what its text names."""
     version = F.when(F.col(xml).contains("ern/382"), "382").when(F.col(xml).contains("ern/383"), "383").otherwise("41")
-    return messages.withColumns({"m": F.from_xml(F.col(xml), SCHEMA, {"ignoreNamespace": "true"}), "version": version})
+    # generated, so that a message is parsed once and not for each field that is asked of it
+    return messages.select("*", version.alias("version"), F.explode(F.array(F.from_xml(F.col(xml), SCHEMA, {"ignoreNamespace": "true"}))).alias("m"))
 
 
 def _first(array: Column, test, value) -> Column:
@@ -45,7 +46,7 @@ def tracks(messages: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     form takes a release for the album by its type or as the main one, the newer by its type alone. A recording
     named by several releases counts once, at its first.
     """
-    m = parsed(messages, xml)
+    m = parsed(messages, xml).select(key, "version", "m").repartition(key)  # releases and recordings read one shuffle, and one parse
     releases = m.select(key, "version", F.posexplode("m.ReleaseList.Release").alias("release_at", "_release"))
     album_like = (F.col("_release.ReleaseType") == "Album") | ((F.col("version") == "382") & (F.col("_release._IsMainRelease") == "true"))
     first = F.row_number().over(Window.partitionBy(key).orderBy("release_at"))

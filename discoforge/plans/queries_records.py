@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from discoforge.operators import keys, writes
@@ -114,16 +114,15 @@ def metadata_rows(spark, sf_dir):
 
 
 _MESSAGE_ROWS = """
-with lines as (select l_orderkey as release, row_number() over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) as n, l_partkey, l_suppkey, l_quantity::bigint as q, l_returnflag from lineitem)
+with lines as (select c_custkey // 10 as release, row_number() over (partition by c_custkey // 10 order by c_custkey) as n, c_custkey as l_partkey, c_nationkey as l_suppkey, c_custkey % 50 as q, case when c_custkey % 3 = 0 then 'R' else 'N' end as l_returnflag from customer)
 """
 
 
 def _lines(spark, sf_dir) -> DataFrame:
-    """Line items numbered within their orders."""
-    from pyspark.sql import Window
-
-    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_shipdate", "l_quantity"))
-    return t(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("release"), nth.alias("n"), "l_partkey", "l_suppkey", F.col("l_quantity").cast("long").alias("q"), "l_returnflag")
+    """Customers as tracks of releases of ten."""
+    k = F.col("c_custkey")
+    rows = t(spark, sf_dir, "customer").select(F.floor(k / 10).alias("release"), k.alias("l_partkey"), F.col("c_nationkey").alias("l_suppkey"), (k % 50).alias("q"), F.when(k % 3 == 0, "R").otherwise("N").alias("l_returnflag"))
+    return rows.withColumn("n", F.row_number().over(Window.partitionBy("release").orderBy("l_partkey")))
 
 
 @query(_MESSAGE_ROWS + """
@@ -132,7 +131,7 @@ select release, n::int as ord, 'A' || n as ref, 'Song & ' || l_partkey as title,
 from lines
 """)
 def message_tracks(spark, sf_dir):
-    """Messages in two forms, an order each, as tracks."""
+    """Messages in two forms as tracks."""
     n, old = F.col("n").cast("string"), F.col("release") % 2 == 0
     esc = lambda tag, *content: _s(f"<{tag}>", *content, f"</{tag.split()[0]}>")
     artist = lambda who: esc("PartyName", esc("FullName", who))
@@ -152,7 +151,7 @@ def message_tracks(spark, sf_dir):
     old = F.col("release") % 2 == 0
     main = F.concat(esc("ReleaseId", esc("ICPN", _s("60", F.col("release"))), esc("CatalogNumber", _s("CAT", F.col("release")))), esc("ReferenceTitle", esc("TitleText", _s("Album ", F.col("release")))), esc("ReleaseResourceReferenceList", F.col("r")), esc("ReleaseType", "Album"))
     xml = F.concat(F.when(old, '<ern:NewReleaseMessage xmlns:ern="http://x.example/ern/382">').otherwise('<ern:NewReleaseMessage xmlns:ern="http://x.example/ern/41">'), esc("ResourceList", F.col("x")), esc("ReleaseList", esc("Release", main)), F.lit("</ern:NewReleaseMessage>"))
-    found = messages.tracks(rows.select("release", xml.alias("xml")), "release")
+    found = messages.tracks(rows.select("release", xml.alias("xml")).repartition("release"), "release")
     credits = F.array_join(F.transform("credits", lambda c: F.concat_ws(":", c["name"], c["role"])), "|")
     return found.select("release", "ord", "ref", "title", "artist_name", "album_title", "isrc", "barcode", "catalogue_no", "duration_sec", "track_number", "explicit", F.col("rights_year").cast("int").alias("rights_year"), credits.alias("credits"), "audio_file", F.when(F.col("release") % 2 == 0, "382").otherwise("41").alias("form"))
 
@@ -167,7 +166,7 @@ select release, n::int as ord, 'Song & ' || l_partkey as title, 'Artist ' || l_s
 from lines
 """)
 def release_messages(spark, sf_dir):
-    """Orders planned and rendered as messages, read back as tracks."""
+    """Releases planned and rendered as messages, read back as tracks."""
     k = F.col("release")
     none = F.lit(None).cast("string")
     tracks = _lines(spark, sf_dir).select(
@@ -178,7 +177,7 @@ def release_messages(spark, sf_dir):
     )
     parties = release.Parties("PADPIDA1", "Sender & Co", "PADPIDA2", "Store", "Label", "SOC")
     plans = release.plan(tracks, "release", parties, "2024-05-06")
-    xml = release.render(plans, parties, _s("msg", k), F.lit("2024-05-06T07:08:09+00:00"), "2024-05-06")
+    xml = release.render(plans, parties, _s("msg", k), F.lit("2024-05-06T07:08:09+00:00"), "2024-05-06").select("release", "duration", "xml").repartition("release")  # one shuffle that all readers share
     found = messages.tracks(xml.select("release", "xml"), "release").where(F.col("ref").startswith("A"))
     credits = F.array_join(F.transform("credits", lambda c: F.concat_ws(":", c["name"], c["role"])), "|")
     held = xml.select("release", F.size(F.split("xml", "<SoundRecording>")).alias("m"), F.regexp_extract("xml", "<MessageId>([^<]*)", 1).alias("message_id"), F.col("duration").alias("whole"))
@@ -189,19 +188,19 @@ def release_messages(spark, sf_dir):
 
 @query(_MESSAGE_ROWS + """
 , placed as (select *, row_number() over (partition by release order by case when n % 3 = 0 then 999 else n end, n) as place from lines)
-select release, place::int as ord, 'A' || place as ref, 'Song ' || l_partkey as title, case when n % 2 = 0 then 'Various' else 'Artist ' || l_suppkey end as artist_name, 'Album ' || release as album_title, (q * 60)::double as duration_sec, l_returnflag = 'R' as explicit, 'zaabc' || l_partkey || '.wav' as audio_file,
+select release, place::int as ord, 'A' || place as ref, 'Song ' || l_partkey as title, case when n % 2 = 0 then 'Various' else 'Artist ' || l_suppkey end as artist_name, 'Album ' || release as album_title, nullif(q * 60, 0)::double as duration_sec, l_returnflag = 'R' as explicit, 'zaabc' || l_partkey || '.wav' as audio_file,
   case when release % 2 = 0 then 2 else 0 end as covers, case when release % 3 = 0 then '2024-01-01' else '1999-01-01' end as starts
-from placed where q > 0
+from placed
 """)
 def short_messages(spark, sf_dir):
-    """Orders rendered as short messages, read back as tracks."""
+    """Releases rendered as short messages, read back as tracks."""
     k, n = F.col("release"), F.col("n")
     none = F.lit(None).cast("string")
     tracks = _lines(spark, sf_dir).select(
         "release", n.alias("ord"), F.when(n % 3 != 0, n).alias("sequence_no"), _s("ZAABC", F.col("l_partkey")).alias("isrc"), _s("Song ", F.col("l_partkey")).alias("title"), F.when(n % 2 == 0, "").otherwise(_s("Artist ", F.col("l_suppkey"))).alias("artist_name"), (F.col("q") * 60).alias("duration_sec"), none.alias("year"), none.alias("genre"), F.lit("en").alias("language"), F.when(F.col("l_returnflag") == "R", True).alias("explicit"), none.alias("audio_filename"),
         _s("Album ", k).alias("album_title"), F.lit("Various").alias("album_artist"), F.lit("601").alias("barcode"), F.lit("CAT").alias("catalogue_no"), F.when(k % 3 != 0, "1999").alias("album_year"), F.lit("Pop").alias("album_genre"), F.when(k % 2 == 0, "c.jpg").alias("artwork_filename"),
     )
-    xml = release.render_simple(tracks, "release", _PARTIES, _s("m", k), F.lit("2024-05-06T07:08:09+00:00"), 2024)
+    xml = release.render_simple(tracks, "release", _PARTIES, _s("m", k), F.lit("2024-05-06T07:08:09+00:00"), 2024).select("release", "xml").repartition("release")  # one shuffle that all readers share
     found = messages.tracks(xml.select("release", "xml"), "release").where("title is not null")
     held = xml.select("release", (F.size(F.split("xml", ">ARTWORK<")) - 1).alias("covers"), F.regexp_extract("xml", "<StartDate>([^<]*)", 1).alias("starts"))
     return found.join(held, "release").select("release", "ord", "ref", "title", "artist_name", "album_title", "duration_sec", "explicit", "audio_file", "covers", "starts")

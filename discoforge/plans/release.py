@@ -259,7 +259,7 @@ def render(plans: DataFrame, parties: Parties, message_id: Column, created: Colu
         E("ReleaseList", [main, Each(tracks, track_release)], {"xmlns": ""}),
         deals,
     ], {"xmlns": "http://ddex.net/xml/ern/382", "xmlns:xsi": "http://www.w3.org/2001/XMLSchema-instance", "MessageSchemaVersionId": "ern/382"})
-    return plans.withColumn("xml", document(root))
+    return plans.select("*", F.explode(F.array(document(root))).alias("xml"))  # generated: rendered once, whatever is asked of it
 
 
 def render_simple(tracks: DataFrame, release: str, parties: Parties, message_id: Column, created: Column, this_year: int) -> DataFrame:
@@ -372,7 +372,7 @@ def render_simple(tracks: DataFrame, release: str, parties: Parties, message_id:
         E("ReleaseList", [main, Each(F.col("tracks"), track_release)], {"xmlns": ""}),
         E("DealList", [E("ReleaseDeal", [E("DealReleaseReference", "R0"), deal])], {"xmlns": ""}),
     ], {"MessageSchemaVersionId": "ern/382", "xmlns": "http://ddex.net/xml/ern/382", "xmlns:xsi": "http://www.w3.org/2001/XMLSchema-instance"})
-    return rows.select(release, "album", "tracks", document(root).alias("xml"))
+    return rows.select(release, "album", "tracks", F.explode(F.array(document(root))).alias("xml"))
 
 
 def files(plans: DataFrame, release: str) -> DataFrame:
