@@ -27,28 +27,33 @@ OPEN_SHARE = 0.02
 CELL_SAMPLE = 8
 
 
-def _usable(batches):
-    for batch in batches:
-        out = []
-        for vec_id, v in zip(batch["vec_id"], batch["embedding"]):
-            x = None if v is None else np.asarray(v, np.float64) + 0.0
-            if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
-                out.append((vec_id, 0, None, None, None))
-            else:
-                low, high = np.frombuffer(xxhash.xxh3_128_digest(x.tobytes()), np.int64)
-                out.append((vec_id, len(x), int(low), int(high), x.tobytes()))
-        yield pd.DataFrame(out, columns=["vec_id", "dim", "low", "high", "vector"]).astype({"low": "Int64", "high": "Int64"})
-
-
-def _unit(vectors) -> np.ndarray:
-    x = np.frombuffer(b"".join(vectors), np.float64).reshape(len(vectors), -1)
+def _usable(kind: str):
+    def of_batch(batches):
+        """Each vector's length, digest and bytes, of the numbers' own kind; none of these for vectors that can't link."""
+        for batch in batches:
+            out = []
+            for vec_id, v in zip(batch["vec_id"], batch["embedding"]):
+                x = None if v is None else np.asarray(v, np.float64) + 0.0
+                if x is None or not len(x) or not np.isfinite(x).all() or not x.any():
+                    out.append((vec_id, 0, None, None, None))
+                else:
+                    raw = x.astype(kind).tobytes()
+                    low, high = np.frombuffer(xxhash.xxh3_128_digest(raw), np.int64)
+                    out.append((vec_id, len(x), int(low), int(high), raw))
+            yield pd.DataFrame(out, columns=["vec_id", "dim", "low", "high", "vector"]).astype({"low": "Int64", "high": "Int64"})
+
+    return of_batch
+
+
+def _unit(vectors, kind: str) -> np.ndarray:
+    x = np.frombuffer(b"".join(vectors), kind).reshape(len(vectors), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def _axes(sample: pd.DataFrame) -> np.ndarray:
+def _axes(sample: pd.DataFrame, kind: str) -> np.ndarray:
     """Columns: the axes by falling second moment."""
-    u = _unit(list(sample["vector"]))
+    u = _unit(list(sample["vector"]), kind)
     return np.linalg.eigh(u.T @ u)[1][:, ::-1].copy()
 
 
@@ -102,19 +107,19 @@ class Cells:
         return ~at
 
 
-def _coordinates(vectors, axes: np.ndarray) -> np.ndarray:
+def _coordinates(vectors, kind: str, axes: np.ndarray) -> np.ndarray:
     """Leading coordinates and the norm of the rest: no two vectors lie nearer to each other than these do."""
-    turned = _unit(list(vectors)) @ axes
+    turned = _unit(list(vectors), kind) @ axes
     steps = _steps(axes.shape[0])[:1]
     return np.hstack([turned[:, : steps[0]], _suffixes(turned, steps)])
 
 
-def _boxes(axes: np.ndarray, cells: Cells):
+def _boxes(kind: str, axes: np.ndarray, cells: Cells):
     def of_batch(batches):
         """Number and least and greatest coordinates of the vectors of each cell, batch by batch."""
         for batch in batches:
             if len(batch):
-                x = _coordinates(batch["vector"], axes)
+                x = _coordinates(batch["vector"], kind, axes)
                 cell = cells.of(x)
                 for c in np.unique(cell):
                     own = x[cell == c]
@@ -124,7 +129,7 @@ def _boxes(axes: np.ndarray, cells: Cells):
     return of_batch
 
 
-def _place(axes: np.ndarray, cells: Cells, low: np.ndarray, high: np.ndarray, bands: np.ndarray, reach: float):
+def _place(kind: str, axes: np.ndarray, cells: Cells, low: np.ndarray, high: np.ndarray, bands: np.ndarray, reach: float):
     """Each vector with its band, and the bands of all cells whose box holds a point within reach of it."""
     first = np.cumsum(bands) - bands
 
@@ -132,7 +137,7 @@ def _place(axes: np.ndarray, cells: Cells, low: np.ndarray, high: np.ndarray, ba
         for batch in batches:
             if not len(batch):
                 continue
-            x = _coordinates(batch["vector"], axes)
+            x = _coordinates(batch["vector"], kind, axes)
             cell = cells.of(x)
             apart = np.zeros((len(x), len(low)))
             for k in range(x.shape[1]):
@@ -176,10 +181,10 @@ def _products(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.concatenate([np.zeros(0, x.dtype), *out])
 
 
-def _compare(axes: np.ndarray, threshold: float):
+def _compare(kind: str, axes: np.ndarray, threshold: float):
     def of_group(group: pd.DataFrame) -> pd.DataFrame:
         """Links of one pair of bands: (a, null, n) for each vector with links, (a, b, 0) for a forest of them."""
-        u = _unit(list(group["vector"]))
+        u = _unit(list(group["vector"]), kind)
         steps = _steps(u.shape[1])
         turned = u @ axes
         suffix = _suffixes(turned, steps).astype(np.float32)
@@ -222,7 +227,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     Repeated vec_ids share a component and its link count. Other columns are ignored; no rows, no result rows.
     """
     kind = vectors.schema["vec_id"].dataType.simpleString()
-    rows = stash(vectors.select("vec_id", "embedding").mapInPandas(_usable, f"vec_id {kind}, dim int, low long, high long, vector binary"))
+    number = "<f4" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "<f8"
+    rows = stash(vectors.select("vec_id", "embedding").mapInPandas(_usable(number), f"vec_id {kind}, dim int, low long, high long, vector binary"))
     full = rows.where("dim > 0 and vec_id is not null")
     classes = stash(full.groupBy("dim", "low", "high").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")))
     keyed = full.join(classes.withColumnRenamed("rep", "vec_id"), ["dim", "low", "high", "vec_id"]).dropDuplicates(["dim", "low", "high"])
@@ -231,17 +237,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
     for dim, n in sorted((r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()):
         own = reps.where(F.col("dim") == dim)
         sample = own.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("vector").toPandas()
-        axes = _axes(sample)
-        cells = Cells(_coordinates(sample["vector"], axes), -(-n // _band_vectors(n, dim)))
-        boxes = own.select("vector").mapInPandas(_boxes(axes, cells), "cell int, axis int, n long, lo double, hi double")
+        axes = _axes(sample, number)
+        cells = Cells(_coordinates(sample["vector"], number, axes), -(-n // _band_vectors(n, dim)))
+        boxes = own.select("vector").mapInPandas(_boxes(number, axes, cells), "cell int, axis int, n long, lo double, hi double")
         boxes = boxes.groupBy("cell", "axis").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # a sample's cells times LEADING + 1
         low, high, bands = np.full((cells.count, boxes["axis"].max() + 1), np.inf), np.full((cells.count, boxes["axis"].max() + 1), -np.inf), np.zeros(cells.count, np.int64)
         low[boxes["cell"], boxes["axis"]], high[boxes["cell"], boxes["axis"]] = boxes["lo"], boxes["hi"]
         bands[boxes["cell"]] = -(-boxes["n"] // _band_vectors(n, dim))
-        placed = own.mapInPandas(_place(axes, cells, low, high, bands, float(np.sqrt(2 - 2 * threshold)) + 1e-7), f"vec_id {kind}, n long, vector binary, at long, met array<long>")
+        placed = own.mapInPandas(_place(number, axes, cells, low, high, bands, float(np.sqrt(2 - 2 * threshold)) + 1e-7), f"vec_id {kind}, n long, vector binary, at long, met array<long>")
         met = placed.select("vec_id", "n", "vector", "at", F.explode("met").alias("other"))
         met = met.select("vec_id", "n", "vector", "at", F.least("at", "other").alias("bi"), F.greatest("at", "other").alias("bj"))
-        links = met.groupBy("bi", "bj").applyInPandas(_compare(axes, threshold), f"a {kind}, b {kind}, links long")
+        links = met.groupBy("bi", "bj").applyInPandas(_compare(number, axes, threshold), f"a {kind}, b {kind}, links long")
         found = links if found is None else found.union(links)
     same = full.join(classes, ["dim", "low", "high"]).select("vec_id", "rep", "n")
     if found is None:
