@@ -17,7 +17,7 @@ RADIUS = 19
 BLOCKS = 5
 #: Longer items are cut into equal parts of at most so many words.
 PART_WORDS = 512
-#: The benchmark's shingles are broadcast up to this many (about 50 MB), else joined by a shuffle.
+#: The benchmark's shingles, and its fingerprints with flipped bits, are broadcast up to this many rows (about 50 MB and 150 MB), else joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 #: 16 sums of 4 counters, 16 bits each.
 _ONES, _LANES = 0x0001000100010001, 16
@@ -60,13 +60,13 @@ def _widths() -> list[int]:
     return [64 // BLOCKS + (b < 64 % BLOCKS) for b in range(BLOCKS)]
 
 
-def _probes(radius: int) -> Column:
+def _probes(radius: int) -> list[list[int]]:
     """For each block the values to flip its bits by: fingerprints within the radius agree in one block after one of them.
 
     Of BLOCKS blocks that differ in radius bits together, one differs in radius // BLOCKS bits at most.
     """
     masks = {w: [sum(1 << i for i in c) for n in range(radius // BLOCKS + 1) for c in combinations(range(w), n)] for w in set(_widths())}
-    return F.array(*[F.array(*[F.lit(m) for m in masks[w]]) for w in _widths()])
+    return [masks[w] for w in _widths()]
 
 
 def _similarity(a: str, b: str) -> Column:
@@ -114,8 +114,9 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle_wo
     parts = benchmark_parts(benchmark.where("item_id is not null"), shingle_words).withColumn("n", F.size("shingles")).withColumn("part", F.xxhash64("k", "shingles"))
     # a of 2n - a shingles in common, a / (2n - a) >= threshold; the small part is for rounding
     parts = stash(parts.withColumn("need", F.greatest(F.lit(1), F.ceil(2 * threshold * F.col("n") / (1 + threshold) - 1e-9)).cast("int")))
-    shingles = parts.agg(F.sum("n")).first()[0] or 0
-    near = F.broadcast if shingles <= BROADCAST_ROWS else (lambda df: df)
+    probes, size = _probes(radius), parts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("shingles"), F.count("*").alias("parts")).first()
+    near = F.broadcast if size["shingles"] <= BROADCAST_ROWS else (lambda df: df)
+    beside = F.broadcast if size["parts"] * sum(map(len, probes)) <= BROADCAST_ROWS else (lambda df: df)
     lengths = sorted(r["k"] for r in parts.select("k").distinct().collect())  # shingle_words numbers at most
     if not lengths:
         return None
@@ -143,9 +144,9 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle_wo
 
     items = stash(parts.dropDuplicates(["part"]).select("part", "k", "n_words", F.col("shingles").alias("t")).withColumn("g", _fingerprint(F.col("t"))))
     left = windows.select("key", "k", "n_words", "start", "f").distinct().select("*", F.posexplode(_blocks(F.col("f"))).alias("b", "v"))
-    right = items.select("part", "k", "n_words", "g", F.posexplode(F.arrays_zip(_blocks(F.col("g")).alias("v"), _probes(radius).alias("m"))).alias("b", "x"))
+    right = items.select("part", "k", "n_words", "g", F.posexplode(F.arrays_zip(_blocks(F.col("g")).alias("v"), F.array(*[F.array(*map(F.lit, m)) for m in probes]).alias("m"))).alias("b", "x"))
     right = right.select("part", "k", "n_words", "g", "b", F.explode(F.transform("x.m", lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
-    found = left.join(near(right) if shingles * 64 <= BROADCAST_ROWS else right, ["k", "n_words", "b", "v"])
+    found = left.join(beside(right), ["k", "n_words", "b", "v"])
     alike = F.zip_with(_blocks(F.col("f")), _blocks(F.col("g")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius // BLOCKS)
     once = F.array_position(alike, True) == F.col("b") + 1  # a pair that agrees in several blocks counts in the first
     found = found.where(once & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)).select("key", "k", "n_words", "start", "part")
