@@ -188,8 +188,9 @@ def _row_lengths(x: list, y: list) -> np.ndarray:
 COPY_SHARE = 0.9
 #: A declared article is the body if it holds so much of what the page has for itself.
 BODY_SHARE = 0.5
-#: A range of pages in order of their paths holds about so many characters.
-RANGE_CHARS = 8_000_000
+#: A range of pages in order of their paths holds about so many characters; more where there would be more ranges than
+#: MOST_RANGES, of each of which the driver holds four keys.
+RANGE_CHARS, MOST_RANGES = 16_000_000, 10_000
 
 
 def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None, other: list[tuple[str, int]] | None = None) -> str:
@@ -331,7 +332,7 @@ def main_text(pages: DataFrame) -> DataFrame:
     path = F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)
     number = F.coalesce(F.col("page_id").cast("string"), F.lit(""))
     rows = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), url.alias("link"), number.alias("number"), F.xxhash64("html").alias("seal"))
-    parts = max(1, (rows.agg(F.sum(F.length("html"))).first()[0] or 0) // RANGE_CHARS)
+    parts = min(MOST_RANGES, max(1, (rows.agg(F.sum(F.length("html"))).first()[0] or 0) // RANGE_CHARS))
     kinds = ", ".join(f"{c} {t}" for c, t in rows.select(_ORDER).dtypes)
     laid = rows.select(_ORDER).repartitionByRange(parts, *_ORDER).sortWithinPartitions(*_ORDER)
     found: dict[int, tuple[int, list, list]] = {}
