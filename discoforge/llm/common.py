@@ -110,24 +110,53 @@ def forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return ends[other], ends[least[other]]
 
 
+#: A node of so many links, or of a hundred-thousandth of all if that is more, is a hub: there are 200,000 at most.
+HUB_LINKS, HUB_SHARE = 1000, 100_000
+
+
+def _with(rows: DataFrame, key: str, up: DataFrame, name: str, least: int) -> DataFrame:
+    """rows with the label that up (a, p, links) gives their key; null if it gives none.
+
+    Hubs are looked up in a broadcast of bounded size, so the rows that name one don't meet in one task.
+    """
+    labels = up.select(F.col("a").alias("_a"), F.col("p").alias(name), "links")
+    hubs = F.broadcast(labels.where(F.col("links") >= least).drop("links"))
+    others = labels.where(F.col("links") < least).drop("links")
+    of_hubs = rows.join(hubs, F.col(key) == F.col("_a")).drop("_a")
+    return of_hubs.unionByName(rows.join(hubs, F.col(key) == F.col("_a"), "left_anti").join(others, F.col(key) == F.col("_a"), "left").drop("_a"))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of each end of an edge; component is the least node that it reaches.
 
     Each round lets every node take the least label next to it, follows that label once more, and rewrites the
-    edges between labels; edges within a label go. A hot label costs no large group: minima are summed before
-    the shuffle, and joins on it can be split. Each round is written, so it survives lost executors.
+    edges between labels; edges within a label go. Minima are summed before the shuffle, and hubs are looked up
+    apart from the other nodes, so a hot node makes no large task. Each round is written, so it survives lost
+    executors.
     """
     edges = stash(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").distinct())
     labels = None
-    while not edges.isEmpty():
+    while (n := edges.count()) > 0:
+        least = max(HUB_LINKS, n // HUB_SHARE)
         both = edges.union(edges.select("b", "a"))
-        up = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("p"))
-        over = up.alias("x").join(up.alias("y"), F.col("x.p") == F.col("y.a"), "left").select(F.col("x.a").alias("node"), F.coalesce("y.p", "x.p").alias("up"))
-        over = stash(over)
-        labels = over.withColumnRenamed("up", "component") if labels is None else labels.join(over.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("up", "component").alias("component"))
+        up = stash(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("links")).select("a", F.least("a", "m").alias("p"), "links"))
+        over = stash(_with(up, "p", up.select("a", "p", "links"), "next", least).select("a", F.coalesce("next", "p").alias("p"), "links"))
+        step = over.select(F.col("a").alias("node"), F.col("p").alias("up"))
+        labels = step.withColumnRenamed("up", "component") if labels is None else _followed(labels, over, least)
         labels = stash(labels)
-        edges = edges.join(over.select(F.col("node").alias("a"), F.col("up").alias("ua")), "a").join(over.select(F.col("node").alias("b"), F.col("up").alias("ub")), "b")
+        edges = _with(_with(edges, "a", over, "ua", least), "b", over, "ub", least)
         edges = stash(edges.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).where("a <> b").distinct())
     if labels is None:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return labels
+
+
+def _followed(labels: DataFrame, over: DataFrame, least: int) -> DataFrame:
+    """labels (node, component), each component followed to the label that the round gave it.
+
+    A component may stand for more nodes than it has links to others, so its nodes count as its links here.
+    """
+    sizes = labels.groupBy("component").agg(F.count("*").alias("links"))
+    least = max(least, labels.count() // HUB_SHARE)
+    given = over.select("a", "p").join(sizes, F.col("a") == F.col("component")).select("a", "p", "links")
+    return _with(labels, "component", given, "up", least).select("node", F.coalesce("up", "component").alias("component"))

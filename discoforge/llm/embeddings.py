@@ -243,7 +243,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9) -> DataFrame:
         boxes = boxes.groupBy("cell", "axis").agg(F.sum("n").alias("n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).toPandas()  # a sample's cells times LEADING + 1
         low, high, bands = np.full((cells.count, boxes["axis"].max() + 1), np.inf), np.full((cells.count, boxes["axis"].max() + 1), -np.inf), np.zeros(cells.count, np.int64)
         low[boxes["cell"], boxes["axis"]], high[boxes["cell"], boxes["axis"]] = boxes["lo"], boxes["hi"]
-        bands[boxes["cell"]] = -(-boxes["n"] // _band_vectors(n, dim))
+        bands[boxes["cell"]] = -(-2 * boxes["n"] // (3 * _band_vectors(n, dim)))  # up to half as many again, rather than two small bands
         placed = own.mapInPandas(_place(number, axes, cells, low, high, bands, float(np.sqrt(2 - 2 * threshold)) + 1e-7), f"vec_id {kind}, n long, vector binary, at long, met array<long>")
         met = placed.select("vec_id", "n", "vector", "at", F.explode("met").alias("other"))
         met = met.select("vec_id", "n", "vector", "at", F.least("at", "other").alias("bi"), F.greatest("at", "other").alias("bj"))
