@@ -29,12 +29,12 @@ def says(wrong: Column, *message: Column | str) -> Column:
 
 def release_rules() -> list[Rule]:
     """Of a release's first track."""
-    date = lambda c: says(~blank(c) & iso_date(c).isNull(), f"{c} \"", F.col(c), "\" is not a date")
+    date = lambda c: says(~blank(c) & iso_date(c).isNull(), f"Release: {c} \"", F.col(c), "\" can't be read as a date")
     return [
-        ("V01", "E", says(~F.coalesce(F.trim("barcode").rlike(r"^\d{13}$"), F.lit(False)), "Barcode must be 13 digits, got \"", F.trim("barcode"), "\"")),
-        ("V02", "E", says(blank("catalogue_no"), "Catalogue number is missing")),
-        ("V02", "E", says(blank("album_title"), "Album title is missing")),
-        ("V02", "E", says(blank("album_artist") & blank("artist_name"), "Album artist is missing")),
+        ("V01", "E", says(~F.coalesce(F.trim("barcode").rlike(r"^\d{13}$"), F.lit(False)), "Release: the barcode \"", F.trim("barcode"), "\" is not of 13 digits")),
+        ("V02", "E", says(blank("catalogue_no"), "Release: no catalogue number")),
+        ("V02", "E", says(blank("album_title"), "Release: no title")),
+        ("V02", "E", says(blank("album_artist") & blank("artist_name"), "Release: no artist")),
         ("V07", "E", date("original_release_date")),
         ("V07", "E", date("release_date")),
     ]
@@ -53,55 +53,56 @@ def with_position(tracks: DataFrame, release: str, order: list[str]) -> DataFram
 
 def track_rules() -> list[Rule]:
     """Of tracks with position and again. Of a code one message at most."""
-    at, name = F.concat(F.lit("Track "), F.col("position").cast("string")), F.concat(F.lit(" (\""), F.coalesce("title", F.lit("")), F.lit("\")"))
+    at = F.concat(F.lit("Position "), F.col("position").cast("string"), F.lit(": "))
     year = F.trim(F.col("year").cast("string"))
     none = F.coalesce("duration_sec", F.lit(0)) == 0
     code = F.coalesce(
-        says(blank("isrc"), at, name, " has no ISRC"),
-        says(~F.col("isrc").rlike(ISRC_FORM), at, " ISRC \"", F.col("isrc"), "\" doesn't match the required format"),
-        says(F.col("again"), "Duplicate ISRC across the release: ", F.col("isrc")),
+        says(blank("isrc"), at, "no recording code"),
+        says(~F.col("isrc").rlike(ISRC_FORM), at, "\"", F.col("isrc"), "\" is no recording code"),
+        says(F.col("again"), at, "recording code ", F.col("isrc"), " stood before"),
     )
     return [
         ("V03", "E", code),
-        ("V04", "E", says(blank("title"), at, " has no title")),
-        ("V04", "E", says(blank("artist_name"), at, name, " has no artist")),
-        ("V04", "E", says(none, at, name, " has no duration")),
-        ("V05", "W", says(blank("language"), at, name, " has no language code")),
-        ("V06", "E", F.coalesce(says(blank(F.col("year").cast("string")), at, name, " has no year"), says(~year.rlike(r"^\d{4}$"), at, name, " has invalid year \"", year, "\""))),
-        ("V08", "W", says(~none & (F.col("duration_sec") < 30), at, name, " is only ", F.col("duration_sec"), "s long")),
-        ("V08", "W", says(F.col("duration_sec") > 1800, at, name, " is ", F.floor(F.col("duration_sec") / 60 + 0.5), " min long")),
+        ("V04", "E", says(blank("title"), at, "no title")),
+        ("V04", "E", says(blank("artist_name"), at, "no artist")),
+        ("V04", "E", says(none, at, "no duration")),
+        ("V05", "W", says(blank("language"), at, "no language")),
+        ("V06", "E", F.coalesce(says(blank(F.col("year").cast("string")), at, "no year"), says(~year.rlike(r"^\d{4}$"), at, "the year \"", year, "\" is not of four digits"))),
+        ("V08", "W", says(~none & (F.col("duration_sec") < 30), at, "lasts ", F.col("duration_sec"), " s, under half a minute")),
+        ("V08", "W", says(F.col("duration_sec") > 1800, at, "lasts ", F.floor(F.col("duration_sec") / 60 + 0.5), " min, over half an hour")),
     ]
 
 
 def file_rules() -> list[Rule]:
     """Of rows with kind (audio, artwork), position, size, looks_right."""
     empty = F.coalesce("size", F.lit(0)) == 0
-    audio = F.col("kind") == "audio"
+    audio, at = F.col("kind") == "audio", F.concat(F.lit("Position "), F.col("position").cast("string"), F.lit(": "))
     return [
-        ("V09", "E", says(audio & empty, "Track ", F.col("position"), " audio file is missing or empty")),
-        ("V09", "W", says(audio & ~empty & ~F.col("looks_right"), "Track ", F.col("position"), " doesn't look like a RIFF/WAVE file")),
-        ("V09", "E", says(~audio & empty, "Artwork is missing or empty")),
-        ("V09", "W", says(~audio & ~empty & ~F.col("looks_right"), "Artwork doesn't look like a JPEG")),
+        ("V09", "E", says(audio & empty, at, "the audio file is absent or of size 0")),
+        ("V09", "W", says(audio & ~empty & ~F.col("looks_right"), at, "the audio file doesn't start as wave files do")),
+        ("V09", "E", says(~audio & empty, "Cover: absent or of size 0")),
+        ("V09", "W", says(~audio & ~empty & ~F.col("looks_right"), "Cover: doesn't start as JPEG files do")),
     ]
 
 
 def audio_rules() -> list[Rule]:
     """Of rows with format, sample_rate, bit_depth, channels, bitrate_kbps, duration_sec and isrc."""
     return [
-        ("V10", "W", says((F.col("sample_rate") > 0) & (F.col("sample_rate") < 44100), "Low sample rate (", F.col("sample_rate"), " Hz)")),
-        ("V10", "W", says((F.col("bit_depth") > 0) & (F.col("bit_depth") < 16), "Low bit depth (", F.col("bit_depth"), "-bit)")),
-        ("V10", "W", says(F.col("channels") == 1, "Mono file: confirm")),
-        ("V10", "W", says(F.col("format").isin("mp3", "aiff"), "Non-standard format: needs approval")),
-        ("V10", "W", says((F.col("format") == "mp3") & (F.col("bitrate_kbps") > 0) & (F.col("bitrate_kbps") < 320), "Lossy source at low bitrate (", F.col("bitrate_kbps"), " kbps)")),
-        ("V10", "W", says((F.col("duration_sec") > 0) & (F.col("duration_sec") < 60), "Very short track (", F.col("duration_sec"), "s): confirm")),
-        ("V10", "W", says(F.col("duration_sec") > 720, "Long track (", F.floor(F.col("duration_sec") / 60 + 0.5), " min): confirm")),
-        ("V10", "W", says(blank("isrc"), "No ISRC found: enter it by hand")),
+        ("V10", "W", says((F.col("sample_rate") > 0) & (F.col("sample_rate") < 44100), "Sampled at ", F.col("sample_rate"), " Hz, under 44100")),
+        ("V10", "W", says((F.col("bit_depth") > 0) & (F.col("bit_depth") < 16), "Samples of ", F.col("bit_depth"), " bits, under 16")),
+        ("V10", "W", says(F.col("channels") == 1, "One channel only")),
+        ("V10", "W", says(F.col("format").isin("mp3", "aiff"), "Files of format ", F.col("format"), " have to be asked for")),
+        ("V10", "W", says((F.col("format") == "mp3") & (F.col("bitrate_kbps") > 0) & (F.col("bitrate_kbps") < 320), "Compressed to ", F.col("bitrate_kbps"), " kbps, under 320")),
+        ("V10", "W", says((F.col("duration_sec") > 0) & (F.col("duration_sec") < 60), "Lasts ", F.col("duration_sec"), " s, under a minute")),
+        ("V10", "W", says(F.col("duration_sec") > 720, "Lasts ", F.floor(F.col("duration_sec") / 60 + 0.5), " min, over twelve")),
+        ("V10", "W", says(blank("isrc"), "The file holds no recording code")),
     ]
 
 
 def sheet_rules() -> list[Rule]:
     """Of rows of a track sheet with row_number."""
+    at = F.concat(F.lit("Line "), F.col("row_number").cast("string"), F.lit(": "))
     return [
-        ("V11", "E", says(blank("title"), "Row ", F.col("row_number"), ": missing title")),
-        ("V11", "E", says(blank("artist_name"), "Row ", F.col("row_number"), ": missing artist")),
+        ("V11", "E", says(blank("title"), at, "no title")),
+        ("V11", "E", says(blank("artist_name"), at, "no artist")),
     ]

@@ -72,7 +72,13 @@ def relocated(df: DataFrame, files: DataFrame, key: list[str], title: str) -> Da
     return df.join(best, key, "left")
 
 
+#: Tracks and files that a group of match_files may have; larger ones are for match_files_by_rank.
+MOST_ROWS = 20_000
+
+
 def _pair(group: pd.DataFrame) -> pd.DataFrame:
+    if len(group) > MOST_ROWS:
+        raise ValueError(f"group {group['group'].iloc[0]} has {len(group)} rows: take match_files_by_rank")
     tracks = group[group["side"] == "track"].sort_values("ord")
     left = [(r.ord, r.words) for r in group[group["side"] == "file"].sort_values("ord").itertuples() if r.words]
     out = []
@@ -88,7 +94,8 @@ def _pair(group: pd.DataFrame) -> pd.DataFrame:
 def match_files(tracks: DataFrame, files: DataFrame) -> DataFrame:
     """J10. (group, track_ord, file_ord): tracks, in order, each take a file of their catalogue by title, exact or one holding the other.
 
-    A file serves once, so the order decides; a catalogue is one small group. Files without a name match none.
+    A file serves once, so the order decides; a catalogue is one small group, and one of more than MOST_ROWS fails.
+    Files without a name match none; rows without a group form one.
     tracks: group, ord, title. files: group, ord, name.
     """
     rows = tracks.select("group", "ord", F.lit("track").alias("side"), title_words("title").alias("words")).unionByName(files.select("group", "ord", F.lit("file").alias("side"), title_words("name").alias("words")))

@@ -13,6 +13,8 @@ from discoforge.operators.keys import fuzzy_matches
 from discoforge.operators.rollups import first_value
 
 THRESHOLD = 0.7
+#: Rows that a group of the exact matrix may have; larger ones are for matrix_by_keys.
+MOST_ROWS = 20_000
 _ROW = ["isrc", "title", "artist", "sequence_no", "filename"]
 
 
@@ -44,6 +46,8 @@ def _alike(a: str, b: str) -> float:
 def _merge(names: list[str], last_name: str | None):
     def of_group(group: pd.DataFrame) -> pd.DataFrame:
         """One catalogue's matrix. Tracks join rows one after another; the order decides, so it can't be a join."""
+        if len(group) > MOST_ROWS:
+            raise ValueError(f"group {group['group'].iloc[0]} has {len(group)} rows: take matrix_by_keys")
         rows: list[dict] = []
         by_code: dict[str, dict] = {}
         by_file: dict[str, dict] = {}
@@ -88,7 +92,7 @@ def matrix(sources: dict[str, DataFrame], sheet: str | None = None) -> DataFrame
     same sequence number; it then points both keys at that row, so a conflict never merges two rows. Blanks
     are filled by the first value, ids by the last. position sorts by sequence number, null as 999.
     sheet names the source that is matched by code and title only. A group is a catalogue number: a few hundred
-    rows, put together in one task.
+    rows, put together in one task; a group of more than MOST_ROWS fails. Rows without a group form one.
     """
     names = list(sources)
     schema = "group string, n long, isrc string, title string, artist string, sequence_no long, filename string, " + ", ".join([*(f"in_{s} boolean" for s in names), *(f"{s}_id string" for s in names)])

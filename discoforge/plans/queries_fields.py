@@ -104,9 +104,9 @@ def object_keys(spark, sf_dir):
 
 
 @query("""
-select o_orderkey as release, unnest(list_filter([case when o_orderkey % 3 = 0 then {'rule': 'V01', 'message': 'Barcode must be 13 digits, got "12"'} end, case when o_orderkey % 5 = 0 then {'rule': 'V02', 'message': 'Catalogue number is missing'} end,
-  case when o_orderkey % 7 = 0 then {'rule': 'V02', 'message': 'Album title is missing'} end, case when o_orderkey % 11 = 0 then {'rule': 'V02', 'message': 'Album artist is missing'} end,
-  case when o_orderkey % 2 = 0 then {'rule': 'V07', 'message': 'original_release_date "soon" is not a date'} end, case when o_orderkey % 13 = 0 then {'rule': 'V07', 'message': 'release_date "2024-13" is not a date'} end], lambda x: x is not null), recursive := true)
+select o_orderkey as release, unnest(list_filter([case when o_orderkey % 3 = 0 then {'rule': 'V01', 'message': 'Release: the barcode "12" is not of 13 digits'} end, case when o_orderkey % 5 = 0 then {'rule': 'V02', 'message': 'Release: no catalogue number'} end,
+  case when o_orderkey % 7 = 0 then {'rule': 'V02', 'message': 'Release: no title'} end, case when o_orderkey % 11 = 0 then {'rule': 'V02', 'message': 'Release: no artist'} end,
+  case when o_orderkey % 2 = 0 then {'rule': 'V07', 'message': 'Release: original_release_date "soon" can''t be read as a date'} end, case when o_orderkey % 13 = 0 then {'rule': 'V07', 'message': 'Release: release_date "2024-13" can''t be read as a date'} end], lambda x: x is not null), recursive := true)
 from orders
 """)
 def release_checks(spark, sf_dir):
@@ -153,7 +153,7 @@ def file_checks(spark, sf_dir):
 
 
 @query("""
-select c_custkey as ord, case when c_custkey % 4 = 0 then 'Row ' || (c_custkey + 2) || ': missing title' end as first_error, ((c_custkey % 4 = 0)::int + (c_custkey % 6 = 0)::int)::int as n_errors, 'Row ' || (c_custkey + 2) || ': unrecognised columns: Odd, Other' as warning
+select c_custkey as ord, case when c_custkey % 4 = 0 then 'Line ' || (c_custkey + 2) || ': no title' end as first_error, ((c_custkey % 4 = 0)::int + (c_custkey % 6 = 0)::int)::int as n_errors, 'Line ' || (c_custkey + 2) || ': columns without a meaning: Odd, Other' as warning
 from customer where c_custkey % 10 <> 0
 """)
 def sheet_checks(spark, sf_dir):

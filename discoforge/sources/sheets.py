@@ -157,7 +157,7 @@ def track_sheet(sheet: DataFrame) -> DataFrame:
     out = rows.select("ord", (F.col("ord") + 2).alias("row_number"), *[c.alias(f) for f, c in typed.items()])
     out = check(out, sheet_rules())
     if unknown:
-        note = F.concat(F.lit("Row "), F.col("row_number").cast("string"), F.lit(": unrecognised columns: " + ", ".join(unknown)))
+        note = F.concat(F.lit("Line "), F.col("row_number").cast("string"), F.lit(": columns without a meaning: " + ", ".join(unknown)))
         out = out.withColumn("warnings", F.concat("warnings", F.array(note)))
     return out.orderBy(F.col("sequence_no").asc_nulls_last(), "ord")
 

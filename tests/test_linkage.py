@@ -140,3 +140,26 @@ def test_systematic_sample_in_parts_is_the_same(spark):
     df = spark.range(1000)
     whole = sorted(r[0] for r in rollups.systematic_sample(df, ["id"], 7).collect())
     assert whole == list(itertools.islice(range(0, 1000, 142), 8))
+
+
+def test_repeated_rows_stay(spark):
+    rows = spark.createDataFrame([("a", "g1"), ("a", "g1"), ("b", "g2"), (None, "g1"), ("a", None)], "isrc string, grp string")
+    held = spark.createDataFrame([("a", "g1"), ("a", "g3"), ("a", "g2"), ("b", "g2")], "isrc string, grp string")
+    got = sorted(((r["isrc"], r["grp"], r["other_group"]) for r in keys.elsewhere(rows, held, "isrc", "grp").collect()), key=str)
+    assert got == sorted([("a", "g1", "g2"), ("a", "g1", "g2"), ("b", "g2", None), (None, "g1", None), ("a", None, None)], key=str)
+    titles = spark.createDataFrame([("k", "The Long Road"), ("k", "The Long Road")], "b string, title string")
+    assert keys.fuzzy_matches(titles, spark.createDataFrame([("k", "The Long Roads")], "b string, title string"), ["b"], "title", "title", ["title"]).count() == 2
+
+
+def test_prefixes_of_several_lengths(spark):
+    left = spark.createDataFrame([("60",), ("601",), ("",), (None,), ("x" * 70,)], "p string")
+    right = spark.createDataFrame([("601_1.wav",), ("60.wav",), (None,), ("x" * 71,)], "name string")
+    assert sorted((r["p"][:3], r["name"][:3]) for r in keys.prefix_join(left, right, "p", "name").collect()) == [("60", "60."), ("60", "601"), ("601", "601"), ("xxx", "xxx")]
+    assert keys.prefix_join(left.limit(0), right, "p", "name").count() == 0
+
+
+def test_positions_count_all_rows(spark):
+    df = spark.createDataFrame([(i % 7, i) for i in range(500)], "a int, b int").repartition(5)
+    got = [(r["a"], r["b"]) for r in sorted(rollups.positions(df, ["a", "b"]).collect(), key=lambda r: r["position"])]
+    assert got == sorted((i % 7, i) for i in range(500))
+    assert rollups.positions(df.limit(0), ["a"]).count() == 0

@@ -85,8 +85,8 @@ def test_validation(spark):
     bad = track(3, isrc="bad", title="", duration_sec=0, language=None, year="12-6")
     tracks = spark.createDataFrame([track(1, barcode="12", release_date="soon"), track(2, isrc="ZAABC9600001", duration_sec=20), bad], SCHEMA)
     r = release.validate(tracks, "release").first()
-    assert [m.split(" ")[0] for m in r["errors"]] == ["Barcode", "release_date", "Duplicate", "Track", "Track", "Track", "Track"]
-    assert len(r["warnings"]) == 2 and "only 20s" in r["warnings"][0]
+    assert [m.split(" ")[0] for m in r["errors"]] == ["Release:", "Release:", *["Position"] * 5]
+    assert len(r["warnings"]) == 2 and "lasts 20 s" in r["warnings"][0]
 
 
 def test_files_and_sidecar(spark, rendered):

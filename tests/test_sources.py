@@ -38,8 +38,8 @@ def test_track_sheet(spark):
     sheet = spark.createDataFrame(rows, "ord long, `Track_Name` string, Artist string, `#` string, `Seq.` string, Year string, Odd string, hidden boolean")
     got = sheets.track_sheet(sheet).collect()
     assert [(r["ord"], r["track_number"], r["sequence_no"], r["year"], r["errors"], r["warnings"]) for r in got] == [
-        (1, 1, 3, None, ["Row 3: missing title"], ["Row 3: unrecognised columns: Odd"]),
-        (0, 4, None, 2024, [], ["Row 2: unrecognised columns: Odd"]),
+        (1, 1, 3, None, ["Line 3: no title"], ["Line 3: columns without a meaning: Odd"]),
+        (0, 4, None, 2024, [], ["Line 2: columns without a meaning: Odd"]),
     ]
 
 
