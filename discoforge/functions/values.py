@@ -25,6 +25,11 @@ def leading_float(c: Column | str) -> Column:
     return F.regexp_extract(col(c).cast("string"), rf"^[{WHITE}]*({_FLOAT})", 1).try_cast("double")
 
 
+def bound(x: Column, f) -> Column:
+    """f of a value that is worked out once, however often f uses it."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def _half_up(x: Column) -> Column:
     return F.floor(x + 0.5).cast("bigint")
 
@@ -42,9 +47,7 @@ def _clock(s: Column) -> tuple[Column, Column]:
     return parts, F.forall(parts, lambda x: x.isNotNull())
 
 
-def seconds(c: Column | str) -> Column:
-    """F13. Whole seconds of '270', 'PT4M30S', '04:30' or '00:04:30'; null for anything else."""
-    s = trimmed(col(c).cast("string"))
+def _seconds(s: Column) -> Column:
     parts, numbers = _clock(s)
     p = lambda i: F.get(parts, F.lit(i))
     return (
@@ -55,15 +58,21 @@ def seconds(c: Column | str) -> Column:
     )
 
 
+def seconds(c: Column | str) -> Column:
+    """F13. Whole seconds of '270', 'PT4M30S', '04:30' or '00:04:30'; null for anything else."""
+    return bound(trimmed(col(c).cast("string")), _seconds)
+
+
 def seconds_of_time_field(c: Column | str, minutes_as_hours: bool = True) -> Column:
     """F14. seconds; h:mm:00 of over an hour is read as minutes and seconds, which a time field took for hours."""
-    s = trimmed(col(c).cast("string"))
-    parts, numbers = _clock(s)
-    p = lambda i: F.get(parts, F.lit(i))
-    mistaken = numbers & (F.size(parts) == 3) & (p(2) == 0) & (p(0) > 0) & (p(0) * 3600 + p(1) * 60 > 3600)
-    if not minutes_as_hours:
-        return seconds(c)
-    return F.when(~s.rlike(_ISO) & mistaken, _half_up(p(0) * 60 + p(1))).otherwise(seconds(c))
+
+    def of(s: Column) -> Column:
+        parts, numbers = _clock(s)
+        p = lambda i: F.get(parts, F.lit(i))
+        mistaken = numbers & (F.size(parts) == 3) & (p(2) == 0) & (p(0) > 0) & (p(0) * 3600 + p(1) * 60 > 3600)
+        return F.when(~s.rlike(_ISO) & mistaken, _half_up(p(0) * 60 + p(1))).otherwise(_seconds(s))
+
+    return bound(trimmed(col(c).cast("string")), of) if minutes_as_hours else seconds(c)
 
 
 def sheet_seconds(c: Column | str) -> Column:
@@ -138,10 +147,13 @@ def day_fraction_clock(v: Column | str) -> Column:
 
 def sheet_value(c: Column | str, duration: bool = False) -> Column:
     """F22, F23, P13. A cell as text: fractions of a day in duration columns and day numbers are written out; null for blank."""
-    text = clean(c)
-    number = F.when(text.rlike(rf"^{_FLOAT}$"), text.try_cast("double"))
-    out = F.when((number > 40000) & (number < 70000), serial_date(number)).otherwise(text)
-    return F.when((number >= 0) & (number < 1), day_fraction_clock(number)).otherwise(out) if duration else out
+
+    def of(text: Column) -> Column:
+        number = F.when(text.rlike(rf"^{_FLOAT}$"), text.try_cast("double"))
+        out = F.when((number > 40000) & (number < 70000), serial_date(number)).otherwise(text)
+        return F.when((number >= 0) & (number < 1), day_fraction_clock(number)).otherwise(out) if duration else out
+
+    return bound(clean(c), of)
 
 
 # Tokens that mean yes.

@@ -21,9 +21,9 @@ LINE_ORDER_SQL = ", ".join(LINE_ORDER)
 
 
 @query("""
-with members as (select 'g' || c_custkey % 25 as grp, c_custkey as k, c_name as title, c_mktsegment as artist from customer),
-buyers as (select 'g' || o_custkey % 25 as grp, o_custkey as k, max(o_orderpriority) as title, count(*) as n from orders group by o_custkey),
-movers as (select 'g' || o_custkey % 25 as grp, o_custkey as k, max(l_returnflag) as title, count(*) as n from orders join lineitem on o_orderkey = l_orderkey group by o_custkey),
+with members as (select 'g' || c_custkey // 50 as grp, c_custkey as k, c_name as title, c_mktsegment as artist from customer),
+buyers as (select 'g' || o_custkey // 50 as grp, o_custkey as k, max(o_orderpriority) as title, count(*) as n from orders group by o_custkey),
+movers as (select 'g' || o_custkey // 50 as grp, o_custkey as k, max(l_returnflag) as title, count(*) as n from orders join lineitem on o_orderkey = l_orderkey group by o_custkey),
 every as (select coalesce(m.grp, b.grp, v.grp) as grp, coalesce(m.k, b.k, v.k) as k, coalesce(m.title, b.title, v.title) as title, m.artist,
   coalesce(b.n, v.n) as sequence_no, m.k is not null as in_members, b.k is not null as in_buyers, v.k is not null as in_movers,
   m.k::varchar as members_id, b.k::varchar as buyers_id, v.k::varchar as movers_id,
@@ -34,7 +34,7 @@ select grp as "group", 'C' || k as key, 'C' || k as isrc, title, artist, sequenc
 """)
 def presence_matrix_by_key(spark, sf_dir):
     """Customers, customers with orders and customers with line items, joined by code."""
-    group = lambda c: F.concat(F.lit("g"), (F.col(c) % 25).cast("string")).alias("group")
+    group = lambda c: F.concat(F.lit("g"), F.floor(F.col(c) / 50).cast("string")).alias("group")
     code = lambda c: F.concat(F.lit("c"), F.col(c).cast("string")).alias("isrc")
     none = F.lit(None).cast("string")
     customer, orders = t(spark, sf_dir, "customer"), t(spark, sf_dir, "orders")
