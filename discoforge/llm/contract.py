@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, embeddings, langid, licenses, lmscore, minhash, mix, pages, quality, secrets
+from . import decontaminate, embeddings, langid, licenses, lmscore, minhash, mix, pages, pieces, quality, ranking, secrets, whitening
 from .common import table
 
 
@@ -62,6 +62,23 @@ def op9_tiled_embedding_duplicates(spark, sf_dir):
     return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=0.9)
 
 
+def op11_max_tree_search(spark, sf_dir):
+    """The 50 best documents of each benchmark item."""
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_agenda_pieces(spark, sf_dir):
+    """Ids of every whole text by a public vocabulary, and what they decode to, as digests."""
+    import public_tokenizers
+
+    return pieces.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op13_upper_triangle_whitening(spark, sf_dir):
+    """Whitened leading components of every vector."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark, sf_dir):
     """All stages of the corpus pipeline over documents."""
     import corpus_pipeline
@@ -81,6 +98,9 @@ QUERIES = {
     "op5_stupid_backoff_scores": op5_stupid_backoff_scores,
     "op6_apportioned_mix": op6_apportioned_mix,
     "op10_minmax_near_duplicates": op10_minmax_near_duplicates,
+    "op11_max_tree_search": op11_max_tree_search,
+    "op12_agenda_pieces": op12_agenda_pieces,
+    "op13_upper_triangle_whitening": op13_upper_triangle_whitening,
 }
 
 ORACLE_SQL = {"op2_sentence_rule_licenses": licenses.oracle()}
@@ -281,3 +301,27 @@ with texts as (
 select t.doc_id, coalesce(s.n_words, 0)::bigint as n_words, round(coalesce(s.log_score, 0), 4) as log_score, round(s.log_score / s.n_words, 6) as mean_score
 from texts t left join summed s on t.r = s.r
 """
+
+
+ORACLE_SQL["op11_max_tree_search"] = r"""
+with texts as (
+  select row_number() over () as r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+  from documents where text is not null
+), held as (
+  select r, doc_id, len(w) as n, w from texts where len(w) > 0
+), whole as (
+  select count(*) as docs, sum(n)::bigint as words from held
+), asked as (
+  select distinct item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as t from benchmark
+), postings as (
+  select r, any_value(doc_id) as doc_id, any_value(n) as n, t, count(*) as tf from (select r, doc_id, n, unnest(w) as t from held) where t in (select t from asked) group by r, t
+), weights as (
+  select t, floor(1000 * ln((2 * any_value(docs) + 2)::double / (2 * count(*) + 1)))::bigint as w from postings, whole group by t
+), scored as (
+  select a.item_id, p.r, any_value(p.doc_id) as doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * (50 + (50 * p.n * docs) // words))))::bigint as score
+  from asked a join postings p on a.t = p.t join weights w on p.t = w.t, whole group by a.item_id, p.r
+), ranked as (
+  select item_id, row_number() over (partition by item_id order by score desc, doc_id) as rank, doc_id, score from scored where score > 0
+)
+select item_id, rank::int as rank, doc_id, score from ranked where rank <= 50
+"""
