@@ -1,8 +1,9 @@
 """Whitening of embeddings: covariances as sums of centred products, one Spark SQL expression for each pair of dimensions.
 
-The sums of the upper triangle are one aggregation: each task keeps one number a pair, and one row a task is
-shuffled. The matrix is put together and decomposed by LAPACK on the driver, where it grows with the dimensions
-only, and every row is projected where it lies.
+The sums of the upper triangle are one aggregation by pairs of blocks of dimensions, so that its code stays small
+whatever their number: a task keeps one number for each pair of dimensions and shuffles these. The matrix is put
+together and decomposed by LAPACK on the driver, where it grows with the dimensions only, and every row is
+projected where it lies.
 """
 
 from __future__ import annotations
@@ -17,8 +18,8 @@ from .common import stash
 SCALE, OFFSET = 64, 1_000_000
 #: Entries of this size and beyond have no exact integer form; they count like infinite ones.
 LARGEST = float(1 << 40)
-#: Dimensions in a block. Up to so many, one aggregation sums all pairs; beyond, one aggregation a pair of blocks, which reads the columns of two.
-BLOCK_DIMS = 64
+#: Dimensions in a block: its square is the number of sums in the aggregation, which Spark compiles as one piece up to 100 columns.
+BLOCK_DIMS = 8
 COMPONENTS = 16
 
 
@@ -28,21 +29,19 @@ def _integers(embedding: Column) -> Column:
     return F.when(whole, F.transform(embedding, lambda c: F.floor(c.cast("double") * SCALE) + OFFSET))
 
 
-def covariance(rows: DataFrame, centred: list[str]) -> np.ndarray:
-    """The covariance matrix, divisor the number of rows, of columns given as SQL expressions that are centred already."""
-    d = len(centred)
-    out, n = np.zeros((d, d)), 0
-    starts = range(0, d, BLOCK_DIMS)
-    for p in starts:
-        for q in range(p, d, BLOCK_DIMS):
-            used = sorted({*range(p, min(p + BLOCK_DIMS, d)), *range(q, min(q + BLOCK_DIMS, d))})
-            pairs = [(i, j) for i in used if i < p + BLOCK_DIMS for j in used if j >= max(i, q)]
-            values = rows.selectExpr(*[f"{centred[i]} as c{i}" for i in used])
-            sums = values.agg(F.count("*"), *[F.expr(f"sum(c{i} * c{j})") for i, j in pairs]).head()
-            n = sums[0]
-            for (i, j), total in zip(pairs, sums[1:]):
-                out[i, j] = out[j, i] = total
-    return out / n
+def covariance(rows: DataFrame, centred: Column, d: int, n: int) -> np.ndarray:
+    """The covariance matrix, divisor n, of n rows with d numbers in an array column that is centred already."""
+    blocks = -(-d // BLOCK_DIMS)
+    pairs = F.array(*[F.struct(F.lit(p * BLOCK_DIMS).alias("p"), F.lit(q * BLOCK_DIMS).alias("q")) for p in range(blocks) for q in range(p, blocks)])
+    padded = rows.select(F.concat(centred, F.array_repeat(F.lit(0.0), blocks * BLOCK_DIMS - d)).alias("c"))
+    values = padded.select("c", F.explode(pairs).alias("at")).selectExpr("at.p", "at.q", *[f"c[at.p + {i}] as a{i}" for i in range(BLOCK_DIMS)], *[f"c[at.q + {i}] as b{i}" for i in range(BLOCK_DIMS)])
+    sums = values.groupBy("p", "q").agg(*[F.expr(f"sum(a{i} * b{j})") for i in range(BLOCK_DIMS) for j in range(BLOCK_DIMS)])
+    out = np.zeros((blocks * BLOCK_DIMS,) * 2)
+    for p, q, *found in sums.collect():  # a row a pair of blocks
+        square = np.array(found).reshape(BLOCK_DIMS, BLOCK_DIMS)
+        out[p : p + BLOCK_DIMS, q : q + BLOCK_DIMS] = square
+        out[q : q + BLOCK_DIMS, p : p + BLOCK_DIMS] = square.T
+    return out[:d, :d] / n
 
 
 class Whitener:
@@ -56,9 +55,10 @@ class Whitener:
         #: Components with variance beyond rounding; the others aren't whitened.
         self.live = variances > len(sums) * np.finfo(float).eps * max(variances.max(initial=0), 0)
 
-    def centred(self) -> list[str]:
-        """SQL of x - mean of each column."""
-        return [f"(cast(x{i} - {w}L as double) - {r / self.n!r}D)" for i, (w, r) in enumerate(zip(self.whole, self.rest))]
+    def centred(self, x: Column) -> Column:
+        """x - mean of each dimension: first the whole part, exactly."""
+        means = F.array(*[F.struct(F.lit(w).cast("long").alias("whole"), F.lit(r / self.n).alias("rest")) for w, r in zip(self.whole, self.rest)])
+        return F.zip_with(x, means, lambda v, m: (v - m["whole"]).cast("double") - m["rest"])
 
     def deviations(self, x: np.ndarray) -> list[int | None]:
         """Sum over dimensions of (n * x - S)^2, exact; None beyond 64 bits."""
@@ -84,13 +84,12 @@ def round_half_up(a: int, b: int) -> int:
     return (2 * a + b) // (2 * b)
 
 
-def fit(vectors: DataFrame, components: int) -> Whitener:
-    """The whitener of rows of columns x0, x1, .. of integers, at least one row."""
-    names = vectors.columns
-    sums = vectors.agg(F.count("*"), *[F.sum(F.col(c).cast("decimal(20,0)")) for c in names]).head()
-    n, sums = sums[0], [int(s) for s in sums[1:]]
-    whitener = Whitener(n, sums, np.zeros(len(names)), np.zeros((len(names), 0)))
-    values, axes = np.linalg.eigh(covariance(vectors, whitener.centred()))
+def fit(vectors: DataFrame, d: int, components: int) -> Whitener:
+    """The whitener of rows with an array x of d integers, at least one row."""
+    totals = vectors.select(F.posexplode("x")).groupBy("pos").agg(F.count("*"), F.sum(F.col("col").cast("decimal(20,0)"))).orderBy("pos").collect()  # a row a dimension
+    n, sums = totals[0][1], [int(r[2]) for r in totals]
+    whitener = Whitener(n, sums, np.zeros(d), np.zeros((d, 0)))
+    values, axes = np.linalg.eigh(covariance(vectors, whitener.centred(F.col("x")), d, n))
     order = np.argsort(-values, kind="stable")
     total = float(values.sum())
     out = Whitener(n, sums, values[order][:components], axes[:, order][:, :components])
@@ -103,12 +102,13 @@ def _matrix(column: pa.ListArray, d: int) -> np.ndarray:
 
 
 def _scores(whitener: Whitener):
-    """Arrow batches of (x) to the live components of each as columns."""
+    """Arrow batches of (x) to arrays of the live components."""
 
     def of_batches(batches):
         for b in batches:
             w = whitener.projected(_matrix(b.column(0), len(whitener.whole)))[:, whitener.live]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in w.T], [f"w{k}" for k in range(w.shape[1])])
+            offsets = np.arange(0, w.size + 1, w.shape[1], dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(offsets, w.ravel())], ["w"])
 
     return of_batches
 
@@ -161,12 +161,12 @@ def whiten(vectors: DataFrame, components: int = COMPONENTS) -> DataFrame:
         return vectors.sparkSession.createDataFrame([], out_schema)
     d = lengths[0]["d"]
     usable = usable.where(F.size("x") == d)
-    distinct = usable.select("x").distinct()  # copies fall together in each task before the shuffle
-    fitted = stash(distinct.select(*[F.col("x")[i].alias(f"x{i}") for i in range(d)]))
-    whitener = fit(fitted, components)
+    fitted = stash(usable.select("x").distinct())  # copies fall together in each task before the shuffle
+    whitener = fit(fitted, d, components)
     error = None
     if (live := int(whitener.live.sum())) > 0:
-        scores = fitted.select(F.array(*fitted.columns)).mapInArrow(_scores(whitener), ", ".join(f"w{k} double" for k in range(live)))
-        means = scores.agg(*[F.avg(c) for c in scores.columns]).head()
-        error = float(np.abs(covariance(scores, [f"(w{k} - ({means[k]!r}D))" for k in range(live)]) - np.eye(live)).max())
+        scores = fitted.mapInArrow(_scores(whitener), "w array<double>")
+        means = [r[1] for r in scores.select(F.posexplode("w")).groupBy("pos").agg(F.avg("col")).orderBy("pos").collect()]
+        away = F.zip_with("w", F.array(*map(F.lit, means)), lambda w, m: w - m)
+        error = float(np.abs(covariance(scores, away, live, whitener.n) - np.eye(live)).max())
     return usable.mapInArrow(_whitened(whitener, error), out_schema)
