@@ -10,6 +10,7 @@ import hashlib
 import heapq
 import re
 from functools import lru_cache
+from itertools import chain
 
 import pyarrow as pa
 import sentencepiece
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 #: White space as SentencePiece writes it in pieces.
 MARK = "▁"
 PART = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
-#: Parts up to this length are kept with their ids; the store is emptied when it is full.
+#: Parts up to this length are kept with their ids: so many of late, and as many from before.
 SHORT_CHARS, PARTS_KEPT = 40, 500_000
 
 
@@ -27,6 +28,24 @@ class DifferentIds(ValueError):
     """The library encodes a text in another way: the model isn't a merge-type vocabulary without symbols of its own."""
 
 
+class Kept(dict):
+    """Ids of parts, worked out when first asked for. Full, it becomes the older half, so frequent parts stay."""
+
+    def __init__(self, ids_of):
+        self.ids_of, self.older = ids_of, {}
+
+    def __missing__(self, part: str) -> tuple[int, ...]:
+        got = self.older.get(part)
+        if got is None:
+            got = tuple(self.ids_of(part))
+        if len(part) <= SHORT_CHARS:
+            if len(self) >= PARTS_KEPT:
+                self.older = dict(self)
+                self.clear()
+            self[part] = got
+        return got
+
+
 class Agenda:
     """Ids of texts by a vocabulary of scored pieces. Picklable by its model's bytes only; tasks build their own."""
 
@@ -45,7 +64,7 @@ class Agenda:
         self.has_bytes = all(lib.is_byte(i) for i in self.bytes)
         #: A cut before a mark is safe if no piece holds a mark behind another character.
         self.cuts = not any(p[n] == MARK and p[n - 1] != MARK for p in self.ids for n in range(1, len(p)))
-        self.kept: dict[str, tuple[int, ...]] = {}
+        self.kept = Kept(self.ids_of)
 
     def merged(self, part: str) -> list[str]:
         """The symbols that a part ends up with."""
@@ -110,17 +129,7 @@ class Agenda:
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text."""
-        ids, kept = [], self.kept
-        for part in self.parts(text):
-            got = kept.get(part)
-            if got is None:
-                got = tuple(self.ids_of(part))
-                if len(part) <= SHORT_CHARS:
-                    if len(kept) >= PARTS_KEPT:
-                        kept.clear()
-                    kept[part] = got
-            ids += got
-        return ids
+        return list(chain.from_iterable(map(self.kept.__getitem__, self.parts(text))))
 
 
 @lru_cache(maxsize=2)
