@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from discoforge.functions.text import clean, trimmed
 from discoforge.functions.values import number_in_container
 
+from .cuts import positions
+
 
 def first_value(value: Column, order: list, when: Column | None = None) -> Column:
     """Aggregate: value of the first row by order, of those that meet a condition. Partial minima, no sort."""
@@ -62,22 +64,6 @@ def audit(df: DataFrame, bucket: Column) -> DataFrame:
     return counted.withColumn("pct", F.round(100 * F.col("n") / whole, 1))
 
 
-def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
-    """df with the place of each row by order, 1 .. over the whole table; order should be total.
-
-    Rows are cut into ranges and put in order within each; a row's place is its place there and the sizes of the
-    ranges before, so no task orders all rows.
-    """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    columns = [F.col(c) if isinstance(c, str) else c for c in order]
-    laid = df.repartitionByRange(parts, *columns).sortWithinPartitions(*columns).withColumn("_id", F.monotonically_increasing_id())
-    laid = laid.withColumn("_part", F.shiftright("_id", 33)).withColumn("_nth", F.col("_id").bitwiseAND(F.lit((1 << 33) - 1)))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # over ranges, not rows
-    starts = laid.groupBy("_part").agg(F.count("*").alias("_n")).select("_part", before.alias("_before"))
-    placed = laid.join(F.broadcast(starts), "_part")  # one row a range
-    return placed.withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_id", "_part", "_nth", "_before")
-
-
 def systematic_sample(df: DataFrame, order: list[str], k: int) -> DataFrame:
     """A14. Every n-th row by order, n = max(1, rows / k)."""
     step = max(1, df.count() // k)

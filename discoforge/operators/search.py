@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from discoforge.functions.text import blank, clean, isrc_lookup, search_key
 
+from .cuts import positions
 from .keys import distinct_in_order
-from .rollups import positions
 
 
 def condition(column: str, wanted: str) -> Column:

@@ -6,6 +6,7 @@ take, and save() writes versions side by side.
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from discoforge.functions.text import blank, clean
 
+from .cuts import in_order, linked, positions
 from .keys import first_wins, last_wins
 
 
@@ -136,9 +138,10 @@ def upsert(base: DataFrame, incoming: DataFrame, key: list[str], order: list[str
 
 
 def upsert_by_any(base: DataFrame, incoming: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """W12, W15, W34. incoming with record_id of the base row that it updates, by the first key that finds one, and action.
+    """W12, W15 for rows that each come alone. incoming with record_id of the base row that it updates, by the first key that finds one, and action.
 
-    Rows with none of the keys fail: another field could meet rows of other tracks.
+    Rows don't see what others of the batch write: upsert_in_order does. Rows with none of the keys fail: another
+    field could meet rows of other tracks.
     """
     out = incoming
     for n, k in enumerate(keys):
@@ -150,6 +153,73 @@ def upsert_by_any(base: DataFrame, incoming: DataFrame, keys: list[str], order:
     return out.select(*incoming.columns, found.alias("record_id"), action.alias("action"))
 
 
+class _Records:
+    """The records that rows of one component can meet, by what their keys are just now. Holds a record's keys and no rows."""
+
+    def __init__(self, n_keys: int):
+        self.keys: list[list] = []
+        self.names: list[tuple] = []  # record_id of a stored record, or the number of the row that created it
+        self.holders: list[dict] = [{} for _ in range(n_keys)]
+
+    def _hold(self, record: int, values: tuple) -> None:
+        for k, value in enumerate(values):
+            if value is not None and self.keys[record][k] != value:
+                self.keys[record][k] = value
+                heapq.heappush(self.holders[k].setdefault(value, []), record)
+
+    def _first(self, k: int, value) -> int | None:
+        held = self.holders[k].get(value)
+        while held and self.keys[held[0]][k] != value:
+            heapq.heappop(held)  # has another key meanwhile
+        return held[0] if held else None
+
+    def add(self, name: tuple, values: tuple) -> None:
+        self.keys.append([None] * len(values))
+        self.names.append(name)
+        self._hold(len(self.keys) - 1, values)
+
+    def step(self, row, stored, *values):
+        """Result rows of a stored record (row null) or an incoming row."""
+        if row is None:
+            self.add((stored, None), values)
+            return []
+        record = next((r for k, v in enumerate(values) if v is not None and (r := self._first(k, v)) is not None), None)
+        if record is None:
+            self.add((None, row), values)
+            return [(row, None, row, "created")]
+        self._hold(record, values)
+        return [(row, *self.names[record], "updated")]
+
+
+def upsert_in_order(base: DataFrame, incoming: DataFrame, keys: list[str], order: list, arrival: list) -> DataFrame:
+    """W12, W31, W34 for a batch. incoming with record_id, created_by and action; each row sees what the rows before it wrote.
+
+    A row updates the first record, by order and then by creation, that holds its first key, else its second, and so
+    on; its keys then are the record's. Else it creates one. record_id is a stored record's; created_by numbers
+    the row of the batch that created the record, 1 for the first by arrival, which should be total. Rows
+    without any key fail. Blank keys count as none.
+
+    Rows and records that no key joins, over any others, can't meet, so each component of the key graph is a
+    unit of its own; within one the order decides, and its rows stream through one task that remembers the
+    component's records, not its rows. Stored records that share no key with the batch stay out of it.
+    """
+    named = [f"_key{n}" for n in range(len(keys))]
+    values = [F.when(~blank(k), F.col(k).cast("string")).alias(n) for k, n in zip(keys, named)]
+    rows = positions(incoming, arrival, "_row")
+    asked = rows.select("_row", F.lit(None).cast("string").alias("_stored"), F.lit(None).cast("long").alias("_place"), *values)
+    nth = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    stored = base.select(F.lit(None).cast("long").alias("_row"), F.col("record_id").cast("string").alias("_stored"), nth.alias("_nth"), *values)
+    known = [stored.join(asked.select(n).where(F.col(n).isNotNull()).distinct(), n, "left_semi").select(stored.columns) for n in named]
+    near = reduce(DataFrame.union, known).distinct()
+    both = positions(near, ["_nth", "_stored"], "_place").drop("_nth").unionByName(asked)
+    units = linked(both, named, "_unit").where("_unit is not null")
+    schema = "_row long, record_id string, created_by long, action string"
+    done = in_order(units, "_unit", [F.col("_place").asc_nulls_last(), "_row"], lambda n=len(keys): _Records(n).step, ["_row", "_stored", *named], schema)
+    out = rows.join(done, "_row", "left").withColumn("action", F.coalesce("action", F.lit("failed")))
+    kind = base.schema["record_id"].dataType
+    return out.select(*incoming.columns, F.col("record_id").cast(kind).alias("record_id"), "created_by", "action")
+
+
 def retag(df: DataFrame, ids: DataFrame, key: str, column: str, value: str | None, most: int = 2000) -> DataFrame:
     """W16. df with a value in a column of the rows with these ids; more ids than allowed are refused. None takes the tag off."""
     asked = ids.select(F.col(key).alias("_id")).distinct()

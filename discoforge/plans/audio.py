@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import heapq
+from collections import deque
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from discoforge.functions.text import blank, title_words
 from discoforge.functions.values import bucket_and_key, mount_line
+from discoforge.operators.cuts import in_order, linked
+from discoforge.operators.similar import contained
 
 
 def resolve(df: DataFrame, candidates: list[tuple[str, list[str]]], urls: list[str], anchor: str, buckets: list[str]) -> DataFrame:
@@ -58,48 +62,83 @@ def verified(df: DataFrame, files: DataFrame) -> DataFrame:
     return out.withColumn("exists", F.when(~F.col("audio.ok"), F.lit(False)).when(F.col("audio.kind") == "store", F.coalesce("_there", F.lit(False)))).drop("_path", "_there")
 
 
-def relocated(df: DataFrame, files: DataFrame, key: list[str], title: str) -> DataFrame:
+def relocated(df: DataFrame, files: DataFrame, title: str) -> DataFrame:
     """J11. df with found_path: a file of the same folder whose title is the track's, or holds it or is held by it; the exact first, then by path.
 
-    Folders are the equi-key; within one, titles are compared.
+    Within a folder titles meet by an index of their runs of letters, so large folders are no product.
     """
     folder = lambda c: F.regexp_replace(c, "/[^/]+$", "")
-    listed = files.select(folder(F.col("path")).alias("_folder"), F.col("path").alias("_path"), title_words("name").alias("_name")).where("_name <> ''")
+    listed = files.select(folder(F.col("path")).alias("block"), F.col("path"), title_words("name").alias("text")).where("text <> ''").groupBy("block", "text").agg(F.min("path").alias("path"))
     asked = df.withColumn("_want", title_words(title)).withColumn("_in", folder(F.col("audio.path")))
-    fits = (F.col("_name") == F.col("_want")) | F.col("_name").contains(F.col("_want")) | F.col("_want").contains(F.col("_name"))
-    met = asked.where("_want <> ''").join(listed, (F.col("_in") == F.col("_folder")) & fits)
-    best = met.groupBy(*key).agg(F.min(F.struct((F.col("_name") != F.col("_want")).alias("loose"), "_path"))["_path"].alias("found_path"))
-    return df.join(best, key, "left")
-
-
-#: Tracks and files that a group of match_files may have; larger ones are for match_files_by_rank.
-MOST_ROWS = 20_000
-
-
-def _pair(group: pd.DataFrame) -> pd.DataFrame:
-    if len(group) > MOST_ROWS:
-        raise ValueError(f"group {group['group'].iloc[0]} has {len(group)} rows: take match_files_by_rank")
-    tracks = group[group["side"] == "track"].sort_values("ord")
-    left = [(r.ord, r.words) for r in group[group["side"] == "file"].sort_values("ord").itertuples() if r.words]
-    out = []
-    for t in tracks.itertuples():
-        exact = next((f for f in left if f[1] == t.words), None) if t.words else None
-        hit = exact or (next((f for f in left if f[1] in t.words or t.words in f[1]), None) if t.words else None)
-        if hit:
-            left.remove(hit)
-            out.append((t.group, t.ord, hit[0]))
-    return pd.DataFrame(out, columns=["group", "track_ord", "file_ord"])
+    wanted = asked.select(F.col("_in").alias("block"), F.col("_want").alias("text")).where("block is not null")
+    met = _holding(wanted, listed).join(listed.select("block", F.col("text").alias("name"), "path"), ["block", "name"])
+    best = met.groupBy("block", "want").agg(F.min(F.struct((F.col("name") != F.col("want")).alias("loose"), "path"))["path"].alias("found_path"))
+    return asked.join(best, (F.col("_in") == F.col("block")) & (F.col("_want") == F.col("want")), "left").select(*df.columns, "found_path")
+
+
+def _holding(wanted: DataFrame, listed: DataFrame) -> DataFrame:
+    """(block, want, name): texts of a block that are equal or of which one holds the other."""
+    inside = contained(wanted, listed).select("block", F.col("part").alias("want"), F.col("whole").alias("name"))
+    around = contained(listed, wanted).select("block", F.col("whole").alias("want"), F.col("part").alias("name"))
+    return inside.union(around).distinct()
+
+
+class _Shelf:
+    """Files of one unit by title, first come first, and which titles of tracks may take which. Gives each track its file."""
+
+    def __init__(self):
+        self.fitting: dict[str, list[str]] = {}
+        self.files: dict[str, deque] = {}
+        self.heads: dict[str, list] = {}
+
+    def step(self, kind, group, ord_, want, name):
+        if kind == 0:
+            self.fitting.setdefault(want, []).append(name)
+        elif kind == 1:
+            self.files.setdefault(name, deque()).append(ord_)
+        elif (taken := self._take(want)) is not None:
+            return [(group, ord_, taken)]
+        return []
+
+    def _take(self, want: str):
+        if self.files.get(want):
+            return self.files[want].popleft()
+        if want not in self.heads:
+            self.heads[want] = [(self.files[n][0], n) for n in self.fitting.get(want, ()) if self.files.get(n)]
+            heapq.heapify(self.heads[want])
+        heads = self.heads[want]
+        while heads:
+            first, name = heads[0]
+            left = self.files[name]
+            if not left:
+                heapq.heappop(heads)
+            elif left[0] != first:
+                heapq.heapreplace(heads, (left[0], name))  # others took its first ones meanwhile
+            else:
+                return left.popleft()
+        return None
 
 
 def match_files(tracks: DataFrame, files: DataFrame) -> DataFrame:
     """J10. (group, track_ord, file_ord): tracks, in order, each take a file of their catalogue by title, exact or one holding the other.
 
-    A file serves once, so the order decides; a catalogue is one small group, and one of more than MOST_ROWS fails.
-    Files without a name match none; rows without a group form one.
+    A file serves once, so the order decides. Titles that no chain of such pairs joins don't compete: each
+    component of the pairs, found by an index of letters, is a unit whose files and tracks stream through one task, which
+    remembers titles and numbers of files. Files without a name match none; rows without a group form one.
     tracks: group, ord, title. files: group, ord, name.
     """
-    rows = tracks.select("group", "ord", F.lit("track").alias("side"), title_words("title").alias("words")).unionByName(files.select("group", "ord", F.lit("file").alias("side"), title_words("name").alias("words")))
-    return rows.groupBy("group").applyInPandas(_pair, "group string, track_ord long, file_ord long")
+    block = F.coalesce(F.concat(F.lit("="), "group"), F.lit("")).alias("block")
+    t = tracks.select("group", block, "ord", title_words("title").alias("text"))
+    f = files.select("group", block, "ord", title_words("name").alias("text"))
+    pairs = _holding(t, f)
+    of = lambda c: F.concat("block", F.lit("\0"), c)
+    pairs = linked(pairs.withColumn("_t", of("want")).withColumn("_f", of("name")), ["_t", "_f"], "_unit")
+    none = lambda kind: F.lit(None).cast(kind)
+    rows = pairs.select("_unit", F.lit(0).alias("kind"), none("string").alias("group"), none("long").alias("ord"), "want", "name")
+    units = lambda c: pairs.select(F.col(c).alias("_k"), "_unit").distinct()
+    rows = rows.unionByName(f.withColumn("_k", of("text")).join(units("_f"), "_k").select("_unit", F.lit(1).alias("kind"), "group", F.col("ord").cast("long").alias("ord"), none("string").alias("want"), F.col("text").alias("name")))
+    rows = rows.unionByName(t.withColumn("_k", of("text")).join(units("_t"), "_k").select("_unit", F.lit(2).alias("kind"), "group", F.col("ord").cast("long").alias("ord"), F.col("text").alias("want"), none("string").alias("name")))
+    return in_order(rows, "_unit", ["kind", "ord", "want", "name"], lambda: _Shelf().step, ["kind", "group", "ord", "want", "name"], "group string, track_ord long, file_ord long")
 
 
 def match_files_by_rank(tracks: DataFrame, files: DataFrame) -> DataFrame:

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from discoforge.functions.text import clean, filename_key, isrc_lookup, title_key
+from discoforge.operators.cuts import in_order, linked, positions
 from discoforge.operators.keys import fuzzy_matches
 from discoforge.operators.rollups import first_value
+from discoforge.operators.similar import Alike
 
 THRESHOLD = 0.7
-#: Rows that a group of the exact matrix may have; larger ones are for matrix_by_keys.
-MOST_ROWS = 20_000
 _ROW = ["isrc", "title", "artist", "sequence_no", "filename"]
 
 
@@ -25,64 +25,60 @@ def prepared(sources: dict[str, DataFrame]) -> DataFrame:
     return out.withColumns({"code": isrc_lookup("isrc"), "file": filename_key("filename"), "title_key": title_key("title"), "sequence_no": F.col("sequence_no").cast("long")})
 
 
-def _distance(a: str, b: str) -> int:
-    row = list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        corner, row[0] = row[0], i
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, corner + (x != y))
-    return row[-1]
-
-
-def _alike(a: str, b: str) -> float:
-    longest = max(len(a), len(b))
-    if not longest:
-        return 1.0
-    if abs(len(a) - len(b)) > (1 - THRESHOLD) * longest + 1e-9:
-        return 0.0
-    return 1 - _distance(a, b) / longest
-
-
-def _merge(names: list[str], last_name: str | None):
-    def of_group(group: pd.DataFrame) -> pd.DataFrame:
-        """One catalogue's matrix. Tracks join rows one after another; the order decides, so it can't be a join."""
-        if len(group) > MOST_ROWS:
-            raise ValueError(f"group {group['group'].iloc[0]} has {len(group)} rows: take matrix_by_keys")
-        rows: list[dict] = []
-        by_code: dict[str, dict] = {}
-        by_file: dict[str, dict] = {}
-        for t in group.sort_values(["rank", "ord"]).to_dict("records"):
-            code, file = t["code"] or None, t["file"] or None
-            seq = None if pd.isna(t["sequence_no"]) else int(t["sequence_no"])
-            sheet = t["source"] == last_name  # the sheet goes by code and title only
-            row = by_code.get(code) if code else None
-            if row is None and file and not sheet:
-                row = by_file.get(file)
-            if row is None and seq is not None and (t["title"] or sheet):
-                near = [(_alike(r["title_key"], t["title_key"]), -n, r) for n, r in enumerate(rows) if r["sequence_no"] == seq]
-                best = max(near, key=lambda x: x[:2], default=None)
-                row = best[2] if best and best[0] >= THRESHOLD else None
-            if row is None:
-                row = dict.fromkeys(_ROW) | {"title_key": "", "n": len(rows), "ids": {}}
-                rows.append(row)
-            if code:
-                by_code[code] = row
-            if file and not sheet:
-                by_file[file] = row
-            row["ids"][t["source"]] = t["record_id"]
-            news = {"isrc": code, "title": t["title"], "artist": t["artist"], "filename": None if sheet else t["filename"]}
-            if not row["title"] and t["title"]:
-                row["title_key"] = t["title_key"]
-            row.update({k: row[k] or v or None for k, v in news.items()})
-            if row["sequence_no"] is None:
-                row["sequence_no"] = seq
-        out = [
-            {"group": group["group"].iloc[0], "n": r["n"], **{k: r[k] for k in _ROW}, **{f"in_{s}": s in r["ids"] for s in names}, **{f"{s}_id": r["ids"].get(s) for s in names}}
-            for r in rows
-        ]
-        return pd.DataFrame(out).astype({"sequence_no": "Int64"})
-
-    return of_group
+class _Rows:
+    """The matrix rows that tracks of one unit can join: what codes and file names point to, and titles by sequence number."""
+
+    def __init__(self):
+        self.by_code: dict[str, int] = {}
+        self.by_file: dict[str, int] = {}
+        self.known: dict[int, list] = {}  # sequence number and title key of each row, by the track that made it
+        self.numbers: dict[int, Alike] = {}
+        self.untitled: dict[int, list[int]] = {}  # heaps of rows, by sequence number
+
+    def _file(self, row: int) -> None:
+        seq, key, _ = self.known[row]
+        if seq is not None:
+            self.numbers.setdefault(seq, Alike(THRESHOLD)).add(key, row)
+            if key == "":
+                heapq.heappush(self.untitled.setdefault(seq, []), row)
+
+    def _retitled(self, row: int, key: str) -> None:
+        """A row without a title gets one: it goes from the empty key, which it may share, to its own."""
+        seq, _, _ = self.known[row]
+        self.known[row][1:] = [key, True]
+        if seq is None or key == "":
+            return
+        alike, untitled = self.numbers[seq], self.untitled[seq]
+        if alike.least[""] == row:
+            while untitled and self.known[untitled[0]][1] != "":
+                heapq.heappop(untitled)
+            if untitled:
+                alike.least[""] = untitled[0]
+            else:
+                alike.drop("")
+        alike.add(key, row)
+
+    def step(self, track, code, file, seq, title, key, sheet):
+        row = self.by_code.get(code) if code else None
+        if row is None and file and not sheet:
+            row = self.by_file.get(file)
+        if row is None and seq is not None and (title or sheet) and seq in self.numbers:
+            row = self.numbers[seq].best(key)
+        if row is None:
+            row = track
+            self.known[row] = [seq, key if title else "", bool(title)]
+            self._file(row)
+        else:
+            if title and not self.known[row][2]:
+                self._retitled(row, key)
+            if self.known[row][0] is None and seq is not None:
+                self.known[row][0] = seq
+                self._file(row)
+        if code:
+            self.by_code[code] = row
+        if file and not sheet:
+            self.by_file[file] = row
+        return [(track, row)]
 
 
 def matrix(sources: dict[str, DataFrame], sheet: str | None = None) -> DataFrame:
@@ -91,15 +87,34 @@ def matrix(sources: dict[str, DataFrame], sheet: str | None = None) -> DataFrame
     A track joins the row that its code points to, else its file name's, else the most similar title of the
     same sequence number; it then points both keys at that row, so a conflict never merges two rows. Blanks
     are filled by the first value, ids by the last. position sorts by sequence number, null as 999.
-    sheet names the source that is matched by code and title only. A group is a catalogue number: a few hundred
-    rows, put together in one task; a group of more than MOST_ROWS fails. Rows without a group form one.
+    sheet names the source that is matched by code and title only. Rows without a group form one.
+
+    Tracks of a group that no code, file name or sequence number joins, over any others, never meet. So these
+    components are the units, not the groups; a unit's tracks stream through one task in their order, which remembers
+    pointers and titles of its rows only. What rows hold then is an aggregation, and places within a group are
+    counted over ranges: a group may have any number of rows.
     """
     names = list(sources)
-    schema = "group string, n long, isrc string, title string, artist string, sequence_no long, filename string, " + ", ".join([*(f"in_{s} boolean" for s in names), *(f"{s}_id string" for s in names)])
-    rows = prepared(sources).withColumn("record_id", F.col("record_id").cast("string"))
-    out = rows.groupBy("group").applyInPandas(_merge(names, sheet), schema)
-    nth = F.row_number().over(Window.partitionBy("group").orderBy(F.coalesce("sequence_no", F.lit(999)), "n"))
-    return out.withColumn("position", nth).drop("n")
+    rows = prepared(sources).withColumn("record_id", F.col("record_id").cast("string")).withColumn("sheet", F.col("source") == F.lit(sheet or ""))
+    rows = positions(rows.withColumn("_g", F.coalesce(F.concat(F.lit("="), "group"), F.lit(""))), ["rank", "ord", "_g", "record_id"], "_track")
+    key = lambda c, when=F.lit(True): F.when(when & (F.col(c).cast("string") != ""), F.concat("_g", F.lit("\0"), F.col(c).cast("string")))
+    keyed = rows.withColumns({"_by_code": key("code"), "_by_file": key("file", ~F.col("sheet")), "_by_seq": key("sequence_no")})
+    units = linked(keyed, ["_by_code", "_by_file", "_by_seq"], "_unit").where("_unit is not null")
+    joined = in_order(units, "_unit", ["_track"], lambda: _Rows().step, ["_track", "code", "file", "sequence_no", "title", "title_key", "sheet"], "_track long, _row long")
+    held = rows.join(joined, "_track", "left").withColumn("_row", F.coalesce("_row", "_track"))
+    value = lambda c, name=None: first_value(F.col(c), ["_track"], F.col(c).cast("string") != "").alias(name or c)
+    name_of_file = first_value(F.col("filename"), ["_track"], (F.col("filename") != "") & ~F.col("sheet")).alias("filename")
+    out = held.groupBy("_g", "group", "_row").agg(
+        value("code", "isrc"),
+        *[value(c) for c in ("title", "artist", "sequence_no")],
+        name_of_file,
+        *[F.bool_or(F.col("source") == s).alias(f"in_{s}") for s in names],
+        *[F.max(F.when(F.col("source") == s, F.struct("_track", "record_id")))["record_id"].alias(f"{s}_id") for s in names],
+    )
+    placed = positions(out, ["_g", F.coalesce("sequence_no", F.lit(999)), "_row"], "_place")
+    first = placed.groupBy("_g").agg(F.min("_place").alias("_first"))
+    placed = placed.join(first, "_g").withColumn("position", (F.col("_place") - F.col("_first") + 1).cast("int"))
+    return placed.select("group", "isrc", "title", "artist", "sequence_no", "filename", *[f"in_{s}" for s in names], *[f"{s}_id" for s in names], "position")
 
 
 def matrix_by_keys(sources: dict[str, DataFrame]) -> DataFrame:

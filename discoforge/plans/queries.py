@@ -407,17 +407,19 @@ def html_title(spark, sf_dir):
 with target as (select c_custkey as ord, 'r' || c_custkey as record_id, 'c' || c_nationkey as catalogue_no, 'I' || c_custkey as isrc, (c_custkey % 40)::bigint as sequence_no from customer),
 by_code as (select catalogue_no, isrc, arg_max(record_id, ord) as record_id from target group by 1, 2),
 by_seq as (select catalogue_no, sequence_no, arg_max(record_id, ord) as record_id from target group by 1, 2),
-source as (select o_orderkey, 'c' || o_custkey % 30 as catalogue_no, case when o_orderkey % 4 <> 0 then 'I' || o_custkey end as isrc, case when o_orderkey % 2 = 0 then (o_orderkey % 60)::bigint end as sequence_no from orders)
-select o_orderkey, coalesce(c.record_id, s.record_id) as record_id, case when coalesce(c.record_id, s.record_id) is not null then 'updated' when exists (from target t where t.isrc = x.isrc and t.catalogue_no <> x.catalogue_no) then 'exists-other-catalogue' else 'created' end as action
-from source x left join by_code c on x.catalogue_no = c.catalogue_no and x.isrc = c.isrc left join by_seq s on x.catalogue_no = s.catalogue_no and x.sequence_no = s.sequence_no
+source as (select o_orderkey, 'c' || o_custkey % 30 as catalogue_no, case when o_orderkey % 4 = 0 then null when o_custkey % 3 = 1 then 'N' || o_custkey else 'I' || o_custkey end as isrc, case when o_orderkey % 2 = 0 then (o_orderkey % 60)::bigint end as sequence_no from orders),
+met as (select x.*, coalesce(c.record_id, s.record_id) as record_id, exists (from target t where t.isrc = x.isrc and t.catalogue_no <> x.catalogue_no) as held
+  from source x left join by_code c on x.catalogue_no = c.catalogue_no and x.isrc = c.isrc left join by_seq s on x.catalogue_no = s.catalogue_no and x.sequence_no = s.sequence_no)
+select o_orderkey, record_id, case when record_id is not null then 'updated' when held or (isrc is not null and o_orderkey > min(case when record_id is null and not held then o_orderkey end) over (partition by isrc)) then 'exists-other-catalogue' else 'created' end as action
+from met
 """)
 def replicate_actions(spark, sf_dir):
-    """Orders as tracks of one system, customers of another."""
+    """Orders as tracks of one system, customers of another; a third of the codes are new and come several times."""
     text_of = lambda x, c: F.concat(F.lit(x), c.cast("string"))
     target = t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ord"), text_of("r", F.col("c_custkey")).alias("record_id"), text_of("c", F.col("c_nationkey")).alias("catalogue_no"), text_of("I", F.col("c_custkey")).alias("isrc"), (F.col("c_custkey") % 40).alias("sequence_no"))
     k = F.col("o_orderkey")
-    source = t(spark, sf_dir, "orders").select("o_orderkey", text_of("c", F.col("o_custkey") % 30).alias("catalogue_no"), F.when(k % 4 != 0, text_of("I", F.col("o_custkey"))).alias("isrc"), F.when(k % 2 == 0, k % 60).alias("sequence_no"), F.lit("song").alias("title"))
-    return replicate.replicate(source, target).select("o_orderkey", "record_id", "action")
+    source = t(spark, sf_dir, "orders").select("o_orderkey", text_of("c", F.col("o_custkey") % 30).alias("catalogue_no"), F.when(k % 4 != 0, F.concat(F.when(F.col("o_custkey") % 3 == 1, "N").otherwise("I"), F.col("o_custkey").cast("string"))).alias("isrc"), F.when(k % 2 == 0, k % 60).alias("sequence_no"), F.lit("song").alias("title"))
+    return replicate.replicate(source, target, arrival=["o_orderkey"]).select("o_orderkey", "record_id", "action")
 
 
 @query("""

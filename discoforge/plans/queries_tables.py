@@ -150,7 +150,7 @@ def located_files(spark, sf_dir):
     said = F.when(k % 3 == 0, F.concat(F.regexp_replace("path", "[^/]+$", ""), F.lit("gone.wav"))).otherwise(F.col("path"))
     rows = listing.select("k", F.when(k % 7 != 0, said).otherwise(" ").alias("file"), F.when(k % 7 == 0, " https://h.example/x.wav").alias("url"), F.when((k % 3 == 0) & (k % 7 != 0) & (k % 5 != 0), _s("song ", k)).otherwise("-").alias("title"))
     found = audio.resolve(rows.withColumn("file", F.nullif(F.trim("file"), F.lit(""))), [("file", ["file"])], ["url"], "Mount/", ["masters"])
-    out = audio.relocated(audio.verified(found, listing), listing, ["k"], "title")
+    out = audio.relocated(audio.verified(found, listing), listing, "title")
     return out.select("k", "exists", "found_path", F.when(F.col("audio.source") == "file", "file").otherwise("link").alias("source"))
 
 

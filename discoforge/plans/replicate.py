@@ -9,7 +9,7 @@ from discoforge.functions.text import clean, filename_key, isrc_lookup, joined
 from discoforge.functions.values import clock_of
 from discoforge.operators.keys import elsewhere, fill_blanks, first_wins, prioritised_join
 from discoforge.operators.rollups import first_value
-from discoforge.operators.writes import payload, upsert_by_any
+from discoforge.operators.writes import payload, upsert_in_order
 
 # Columns of a track and the target's field names.
 CATALOGUE_FIELDS = {
@@ -43,19 +43,29 @@ def as_fields(tracks: DataFrame) -> DataFrame:
     return tracks.withColumns(change) if change else tracks
 
 
-def replicate(source: DataFrame, target: DataFrame, fields: list[str] | None = None, names: dict[str, str] = CATALOGUE_FIELDS) -> DataFrame:
+def replicate(source: DataFrame, target: DataFrame, fields: list[str] | None = None, names: dict[str, str] = CATALOGUE_FIELDS, arrival: list | None = None) -> DataFrame:
     """W30, W35, J06, J07. source with action, record_id, other_catalogue and payload.
 
     A track updates the target's track of its catalogue with the same code, as written, else the same sequence
-    number; without anything to write it is skipped. Others whose code stands under another catalogue are left
-    there, and the rest are created. source: catalogue_no and track columns. target: record_id, catalogue_no,
-    isrc, sequence_no, ord.
+    number, as the target was before; without anything to write it is skipped. Others whose code stands under
+    another catalogue are left there, and the rest are created. A code that an earlier track of the batch, by
+    arrival, created is there for later ones: these are left to it, whatever its catalogue; tracks without a code
+    don't see each other. arrival is ord if there is one, else catalogue and number. source: catalogue_no and track
+    columns. target: record_id, catalogue_no, isrc, sequence_no, ord.
     """
+    arrival = arrival or (["ord"] if "ord" in source.columns else ["catalogue_no", "sequence_no"])
     both = lambda c: F.when(F.nullif(F.col(c).cast("string"), F.lit("")).isNotNull(), F.struct("catalogue_no", c))
     met = prioritised_join(source, target, [("isrc", both("isrc"), both("isrc")), ("sequence_no", both("sequence_no"), both("sequence_no"))], ["ord"])
-    asked = elsewhere(met.where("match is null").select("catalogue_no", "isrc").where("isrc <> ''").distinct(), target, "isrc", "catalogue_no").where("other_group is not null")
-    asked = asked.select(F.col("catalogue_no").alias("_c"), F.col("isrc").alias("_i"), F.col("other_group").alias("other_catalogue"))
+    loose = met.where("match is null and isrc <> ''")
+    asked = elsewhere(loose.select("catalogue_no", "isrc").distinct(), target, "isrc", "catalogue_no").where("other_group is not null")
+    asked = asked.select(F.col("catalogue_no").alias("_c"), F.col("isrc").alias("_i"), F.col("other_group").alias("_held"))
     out = met.join(asked, (F.col("catalogue_no") == F.col("_c")) & (F.col("isrc") == F.col("_i")), "left").drop("_c", "_i")
+    # the first of a new code creates it; least structs are taken in each task before the shuffle
+    at = F.struct(*[F.col(c) if isinstance(c, str) else c for c in arrival])
+    new = out.where("match is null and _held is null and isrc <> ''").groupBy(F.col("isrc").alias("_i")).agg(F.min(F.struct(at.alias("at"), F.col("catalogue_no").alias("c"))).alias("_new"))
+    out = out.join(new, F.col("isrc") == F.col("_i"), "left")
+    later = F.when(F.col("match").isNull() & (at > F.col("_new.at")), F.col("_new.c"))
+    out = out.withColumn("other_catalogue", F.coalesce("_held", later)).drop("_i", "_new", "_held")
     out = as_fields(out).withColumn("payload", payload(as_fields(out), names, fields))
     action = F.when(F.col("match").isNotNull(), F.when(F.size("payload") > 0, "updated").otherwise("skipped")).when(F.col("other_catalogue").isNotNull(), "exists-other-catalogue").otherwise("created")
     return out.withColumn("action", action).withColumn("record_id", F.col("match.record_id")).drop("match")
@@ -73,15 +83,15 @@ def ensure_replicated(source: DataFrame, target: DataFrame, force: bool = False)
     return source if force else source.join(target.select("catalogue_no").distinct(), "catalogue_no", "left_anti")
 
 
-def push(tracks: DataFrame, target: DataFrame) -> DataFrame:
-    """W31, W34. tracks with record_id and action, by code, else file name; rows with neither fail."""
-    return upsert_by_any(target, tracks, ["isrc", "filename"], ["ord"])
+def push(tracks: DataFrame, target: DataFrame, arrival: list = ("ord",)) -> DataFrame:
+    """W31, W34. tracks with record_id, created_by and action, by code, else file name, one after another by arrival; rows with neither fail."""
+    return upsert_in_order(target, tracks, ["isrc", "filename"], ["ord"], list(arrival))
 
 
-def sync(tracks: DataFrame, target: DataFrame) -> tuple[DataFrame, DataFrame]:
+def sync(tracks: DataFrame, target: DataFrame, arrival: list = ("ord",)) -> tuple[DataFrame, DataFrame]:
     """W33. Tracks with record_id and action, and the rows that fail for want of an asset number."""
     named = clean("asset_number").isNotNull()
-    return push(tracks.where(named), target), tracks.where(~named).withColumn("error", F.lit("no asset number"))
+    return push(tracks.where(named), target, arrival), tracks.where(~named).withColumn("error", F.lit("no asset number"))
 
 
 def hydrated(tracks: DataFrame, catalogue: DataFrame, columns: list[str], artwork: str = "artwork_url") -> DataFrame:

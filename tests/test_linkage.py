@@ -80,7 +80,7 @@ def test_relocation_and_listing(spark):
     found = audio.resolve(rows, [("file", ["file"])], [], "Mount/", ["b"])
     files = spark.createDataFrame([("/b/x/Song.wav", "Song.wav"), ("/b/x/Band_Gone.wav", "Band_Gone.wav")], "path string, name string")
     assert [r["exists"] for r in audio.verified(found, files).orderBy("id").collect()] == [True, None, False]
-    assert [r["found_path"] for r in audio.relocated(found, files, ["id"], "title").orderBy("id").collect()] == ["/b/x/Song.wav", None, "/b/x/Band_Gone.wav"]
+    assert [r["found_path"] for r in audio.relocated(found, files, "title").orderBy("id").collect()] == ["/b/x/Song.wav", None, "/b/x/Band_Gone.wav"]
 
 
 def test_guards(spark):
