@@ -33,11 +33,13 @@ class Kept(dict):
 
     def __init__(self, ids_of):
         self.ids_of, self.older = ids_of, {}
+        self.fresh: list[tuple[str, tuple[int, ...]]] = []  # worked out since the last check
 
     def __missing__(self, part: str) -> tuple[int, ...]:
         got = self.older.get(part)
         if got is None:
             got = tuple(self.ids_of(part))
+            self.fresh.append((part, got))
         if len(part) <= SHORT_CHARS:
             if len(self) >= PARTS_KEPT:
                 self.older = dict(self)
@@ -132,23 +134,38 @@ class Agenda:
         return list(chain.from_iterable(map(self.kept.__getitem__, self.parts(text))))
 
 
+    def check(self, whole: str = "") -> None:
+        """Hold all parts worked out since the last check, and one whole text, against the library."""
+        parts, self.kept.fresh = self.kept.fresh, []
+        texts = [part.removeprefix(MARK).replace(MARK, " ") for part, _ in parts]  # the library puts a mark in front
+        if self.library.normalize(" x") != f"{MARK}{MARK}x":
+            raise DifferentIds("the model doesn't put one mark in front of every text and keep all white space")
+        for (part, own), ids in zip(parts, self.library.encode(texts, num_threads=1) if texts else ()):
+            if list(own) != ids:
+                raise DifferentIds(f"a part of {len(part)} characters is encoded in another way by the library")
+        if whole and self.encode(whole) != self.library.encode(whole, num_threads=1):
+            raise DifferentIds(f"a text of {len(whole)} characters is encoded in another way by the library")
+
+
 @lru_cache(maxsize=2)
 def _agenda(model: bytes) -> Agenda:
     return Agenda(model)
 
 
+def _decoded_text(value) -> str:
+    return (value.as_py() or b"").decode("utf-8", "replace")
+
+
 def _encoded(model):
     def of_batches(batches):
         agenda = _agenda(model.value)
         for b in batches:
             rows = []
             for value in b.column(1):  # one text at a time: long ones don't add up
-                text = (value.as_py() or b"").decode("utf-8", "replace")
-                ids = agenda.encode(text)
-                if ids != agenda.library.encode(text, num_threads=1):
-                    raise DifferentIds(f"a text of {len(text)} characters is encoded in another way by the library")
+                ids = agenda.encode(_decoded_text(value))
                 decoded = agenda.library.decode(ids, num_threads=1)
                 rows.append((len(ids), hashlib.sha256(",".join(map(agenda.decimals.__getitem__, ids)).encode()).hexdigest(), hashlib.sha256(decoded.encode("utf-8")).hexdigest()))
+            agenda.check(next(map(_decoded_text, b.column(1)), ""))
             counts, of_ids, of_texts = zip(*rows) if rows else ((), (), ())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_texts, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -161,10 +178,8 @@ def _ids(model):
         for b in batches:
             for at in range(0, b.num_rows, 200):
                 part = b.slice(at, 200)
-                texts = [(v.as_py() or b"").decode("utf-8", "replace") for v in part.column(1)]
-                ids = [agenda.encode(t) for t in texts]
-                if ids != agenda.library.encode(texts, num_threads=1):
-                    raise DifferentIds("the library encodes a text of this batch in another way")
+                ids = [agenda.encode(_decoded_text(v)) for v in part.column(1)]
+                agenda.check(_decoded_text(part.column(1)[0]))
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return of_batches
@@ -189,8 +204,9 @@ def _shared(docs: DataFrame, path: str):
 def encode(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids) of each row by the model at path; a null text is empty and has no ids.
 
-    Without begin and end ids and without sampling. Every batch is checked against the sentencepiece library; a
-    difference raises DifferentIds, which models of another kind do (unigram, words, symbols of the user).
+    Without begin and end ids and without sampling. In every Arrow batch each part worked out anew, and one whole
+    text, is checked against the sentencepiece library; a difference raises DifferentIds, which models of another
+    kind do (unigram, words, symbols of the user).
     Repeated and id-less rows are rows like others, texts of any length are encoded whole, other columns are
     ignored, and an empty table gives an empty one.
     """

@@ -82,6 +82,14 @@ def test_agenda_equals_the_library():
         text = "".join(rng.choice(letters) for _ in range(rng.randrange(60)))
         assert own.encode(text) == own.library.encode(text), text
         assert own._merged_short(list(text)) == own._merged_long(list(text))
+    own.check()
+    own.kept["▁wrong"] = (5,)
+    with pytest.raises(pieces.DifferentIds):
+        own.check("wrong")
+    own.kept.clear()
+    own.kept.fresh = [("▁wrong", (5,))]
+    with pytest.raises(pieces.DifferentIds):
+        own.check()
     for text in ("ab" * 30000, "", " ", "▁" * 100, "x" * 5000, "internationalisation " * 500):
         assert own.encode(text) == own.library.encode(text)
 
