@@ -136,7 +136,7 @@ class Agenda:
 
     def check(self, whole: str = "") -> None:
         """Hold all parts worked out since the last check, and one whole text, against the library."""
-        parts, self.kept.fresh = self.kept.fresh, []
+        parts, self.kept.fresh = [x for x in self.kept.fresh if x[0] != MARK], []  # no text is a lone mark, a space at an end is
         texts = [part.removeprefix(MARK).replace(MARK, " ") for part, _ in parts]  # the library puts a mark in front
         if self.library.normalize(" x") != f"{MARK}{MARK}x":
             raise DifferentIds("the model doesn't put one mark in front of every text and keep all white space")
