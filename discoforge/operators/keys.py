@@ -7,7 +7,10 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from discoforge.functions.text import may_reach, similarity
+from discoforge.functions.text import may_reach, similarity, title_key
+
+from .cuts import written
+from .similar import alike_pairs
 
 
 def order_columns(order: list) -> list[Column]:
@@ -85,18 +88,39 @@ def or_key_join(left: DataFrame, right: DataFrame, pairs: list[tuple[str, str]])
     return reduce(DataFrame.unionByName, joins).distinct()
 
 
-def fuzzy_matches(left: DataFrame, right: DataFrame, block: list[str], left_title: str, right_title: str, order: list[str], threshold: float = 0.7, also: Column | None = None) -> DataFrame:
+#: Blocks with more right rows than this are matched by an index of pieces, smaller ones by comparing their rows.
+INDEXED_ROWS = 2000
+
+
+def fuzzy_matches(left: DataFrame, right: DataFrame, block: list[str], left_title: str, right_title: str, order: list[str], threshold: float = 0.7, also: Column | None = None, large_blocks: bool = True) -> DataFrame:
     """J09. For each left row its best right row of the same block with title similarity of threshold or more.
 
-    Equi-join on the block; lengths are tested before the edit distance, and what else pairs must meet. Of equal
-    scores the first by order wins. Columns of the right side come with the prefix r_. score is the similarity.
+    Within small blocks rows meet by an equi-join on the block, and lengths are tested before the edit distance;
+    within large ones titles meet by an index of pieces. Both give all pairs of the threshold or more. also: what else
+    pairs must meet. Of equal scores the first by order wins. Columns of the right side come with the prefix r_.
+    score is the similarity. Nulls in the block match nothing. Finding large blocks takes a job and writes the left rows;
+    large_blocks=False spares both where blocks are known to be small, and gives the same rows.
     """
     marked = left.withColumn("_row", F.monotonically_increasing_id())  # rows that are alike stay rows of their own
+    marked = written(marked) if large_blocks else marked
     named = right.select(*[F.col(c).alias(f"r_{c}") for c in right.columns])
     same = reduce(lambda a, b: a & b, [F.col(b) == F.col(f"r_{b}") for b in block])
-    same = same if also is None else same & also
-    met = marked.join(named, same & may_reach(left_title, f"r_{right_title}", round(10 * threshold)))
+    other = F.lit(True) if also is None else also
+    key = lambda prefix="": F.struct(*[F.col(f"{prefix}{b}").alias(f"k{n}") for n, b in enumerate(block)])
+    known = reduce(lambda a, b: a & b, [F.col(b).isNotNull() for b in block])
+    few, large = named, None
+    if large_blocks:
+        large = right.where(known).groupBy(key().alias("_large")).agg(F.count("*").alias("_n")).where(F.col("_n") > INDEXED_ROWS).select("_large")
+        few = named.withColumn("_in", key("r_")).join(large, F.col("_in") == F.col("_large"), "left_anti").drop("_in")
+    met = marked.join(few, same & other & may_reach(left_title, f"r_{right_title}", round(10 * threshold)))
     scored = met.withColumn("score", similarity(left_title, f"r_{right_title}")).where(F.col("score") >= threshold)
+    if large is not None and not large.isEmpty():
+        keyed = lambda df, c: df.where(known).select(key().alias("block"), title_key(c).alias("text")).join(large, F.col("block") == F.col("_large")).select("block", "text")
+        pairs = alike_pairs(keyed(left, left_title), keyed(right, right_title), threshold)
+        pairs = pairs.select(F.col("block").alias("_in"), F.col("a").alias("_a"), F.col("b").alias("_b"))
+        here = marked.join(pairs, (key() == F.col("_in")) & (title_key(left_title) == F.col("_a")))
+        many = here.join(named, same & (title_key(f"r_{right_title}") == F.col("_b")) & other).drop("_in", "_a", "_b")
+        scored = scored.unionByName(many.withColumn("score", similarity(left_title, f"r_{right_title}")))
     nth = F.row_number().over(Window.partitionBy("_row").orderBy(F.desc("score"), *[f"r_{c}" for c in order]))
     return scored.withColumn("_nth", nth).where("_nth = 1").drop("_nth", "_row")
 

@@ -30,6 +30,34 @@ def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     return rarest.join(postings, ["block", "gram"]).where(F.contains("whole", "part")).select("block", "part", "whole")
 
 
+def _edits(length: str, threshold: float) -> str:
+    """SQL: most edits between a key of a length and one that is alike."""
+    return f"cast(floor({1 - threshold:.6f}D * floor({length} / {threshold:.6f}D + 1e-9D) + 1e-9D) as int)"
+
+
+def alike_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    """(block, a, b): keys of left and right, both (block, text), of a block with 1 - distance / longer length >= threshold; each pair once.
+
+    A right key is cut into one piece more than it may have edits, so one piece of it stands unchanged in any
+    key that is alike, as many places off as there may be edits at most. Pieces with their place are the join
+    keys, and pairs that meet are measured.
+    """
+    pieces = f"""transform(sequence(0, {_edits('length(b)', threshold)}), i -> named_struct('l', length(b), 'i', i,
+      's', substring(b, cast(i * length(b) div ({_edits('length(b)', threshold)} + 1) as int) + 1,
+        cast((i + 1) * length(b) div ({_edits('length(b)', threshold)} + 1) - i * length(b) div ({_edits('length(b)', threshold)} + 1) as int))))"""
+    lengths = f"sequence(cast(ceil({threshold:.6f}D * length(a) - 1e-9D) as int), cast(floor(length(a) / {threshold:.6f}D + 1e-9D) as int))"
+    # a piece from `at`, of `n` letters, may stand from `low` to `high` of the other key
+    shapes = f"""flatten(transform({lengths}, l -> transform(sequence(0, {_edits('l', threshold)}), i -> named_struct('l', l, 'i', i, 'far', {_edits('l', threshold)},
+      'at', cast(i * l div ({_edits('l', threshold)} + 1) as int), 'n', cast((i + 1) * l div ({_edits('l', threshold)} + 1) - i * l div ({_edits('l', threshold)} + 1) as int)))))"""
+    low, high = "greatest(0, x.at - x.far)", "least(length(a) - x.n, x.at + x.far)"
+    probes = f"""flatten(transform(filter({shapes}, x -> {low} <= {high}), x -> transform(sequence({low}, {high}), p -> named_struct('l', x.l, 'i', x.i, 's', substring(a, p + 1, x.n)))))"""
+    held = right.select("block", F.col("text").alias("b")).distinct().select("block", "b", F.explode(F.expr(pieces)).alias("piece"))
+    asked = left.select("block", F.col("text").alias("a")).distinct().select("block", "a", F.explode(F.array_distinct(F.expr(probes))).alias("piece"))
+    met = asked.join(held, ["block", "piece"]).select("block", "a", "b").distinct()
+    longest = F.greatest(F.length("a"), F.length("b"))
+    return met.where((longest == 0) | (1 - F.levenshtein("a", "b") / longest >= threshold))
+
+
 def distance(a: str, b: str) -> int:
     """Edit distance, a column of the table at a time as the bits of two numbers."""
     if not a:

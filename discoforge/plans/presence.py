@@ -135,7 +135,7 @@ def matrix_by_keys(sources: dict[str, DataFrame]) -> DataFrame:
     own = F.concat(F.lit("seq:"), F.coalesce(F.col("sequence_no").cast("string"), F.lit("?")), F.lit(":"), "title_key")
     for rank in range(len(sources)):  # a source's rows without keys meet all keyed rows and those of the sources before
         loose = rows.where(F.col("key").isNull() & (F.col("rank") == rank))
-        near = fuzzy_matches(loose.select("group", "sequence_no", "title", "rank", "ord"), seen, ["group", "sequence_no"], "title", "title", ["at"], THRESHOLD)
+        near = fuzzy_matches(loose.select("group", "sequence_no", "title", "rank", "ord"), seen, ["group", "sequence_no"], "title", "title", ["at"], THRESHOLD, large_blocks=False)
         near = near.select("group", "rank", "ord", F.col("r_key").alias("near_key"))
         loose = loose.join(near, ["group", "rank", "ord"], "left").withColumn("key", F.coalesce("near_key", own))
         every = every.unionByName(loose.drop("near_key"))

@@ -397,10 +397,10 @@ def magic_bytes(spark, sf_dir):
     return pages.select("page_id", values.audio_format("content").alias("format"), values.is_wave("content").alias("wave"), values.md5_upper("html").alias("md5"))
 
 
-@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title from pages")
+@query("select page_id, nullif(trim(regexp_extract(html, '<title>([^<]*)</title>', 1)), '') as title from pages")
 def html_title(spark, sf_dir):
-    """One element of a marked-up text."""
-    return t(spark, sf_dir, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"))
+    """one element of a marked-up text, blank ones as null."""
+    return t(spark, sf_dir, "pages").select("page_id", text.clean(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"))
 
 
 @query("""
@@ -556,4 +556,4 @@ def merged_values(spark, sf_dir):
     return merged.join(every.groupBy(F.lower("p_brand").alias("k")).agg(F.count("*").alias("n")), "k")
 
 
-from . import queries_fields, queries_records, queries_tables  # noqa: E402, F401  they register theirs
+from . import queries_fields, queries_records, queries_stored, queries_tables  # noqa: E402, F401  they register theirs

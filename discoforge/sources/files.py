@@ -93,6 +93,11 @@ def sheet_rows(content: bytes, prefer: str | None = None) -> Iterator[tuple[int,
 
 def workbooks(spark: SparkSession, path: str, prefer: str | None = None) -> DataFrame:
     """S01, S02. path, ord, hidden and cells (header to text) of the rows of workbooks, a file a task at least."""
+    return workbooks_of(spark.read.format("binaryFile").load(path), prefer)
+
+
+def workbooks_of(books: DataFrame, prefer: str | None = None) -> DataFrame:
+    """S01, S02. The same of workbooks that lie in a table, as path and content; each is read whole, by one task."""
 
     def of_files(batches):
         for batch in batches:
@@ -100,8 +105,7 @@ def workbooks(spark: SparkSession, path: str, prefer: str | None = None) -> Data
                 rows = [(name, n, hidden, cells) for n, hidden, cells in sheet_rows(content, prefer)]
                 yield pd.DataFrame(rows, columns=["path", "ord", "hidden", "cells"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return found.mapInPandas(of_files, "path string, ord long, hidden boolean, cells map<string,string>")
+    return books.select("path", "content").mapInPandas(of_files, "path string, ord long, hidden boolean, cells map<string,string>")
 
 
 def as_sheet(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
@@ -113,6 +117,11 @@ def as_sheet(rows: DataFrame, names: list[str] | None = None) -> DataFrame:
 
 def packages(spark: SparkSession, path: str) -> DataFrame:
     """S19, J13. path, xml (bytes of the first .xml) and files (lower-case base name to size) of release archives."""
+    return packages_of(spark.read.format("binaryFile").load(path))
+
+
+def packages_of(archives: DataFrame) -> DataFrame:
+    """S19, J13. The same of archives that lie in a table, as path and content; each is opened by one task."""
 
     def of_files(batches):
         for batch in batches:
@@ -124,5 +133,4 @@ def packages(spark: SparkSession, path: str) -> DataFrame:
                 out.append((name, archive.read(message) if message else None, {e.filename.rsplit("/", 1)[-1].lower(): e.file_size for e in entries}))
             yield pd.DataFrame(out, columns=["path", "xml", "files"])
 
-    found = spark.read.format("binaryFile").load(path).select("path", "content")
-    return found.mapInPandas(of_files, "path string, xml binary, files map<string,bigint>")
+    return archives.select("path", "content").mapInPandas(of_files, "path string, xml binary, files map<string,bigint>")

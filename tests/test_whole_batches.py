@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from discoforge.operators import cuts, rollups, similar, writes
+from discoforge.operators import cuts, keys, rollups, similar, writes
 from discoforge.plans import audio, presence
 
 
@@ -181,3 +181,47 @@ def test_large_groups(spark):
     assert got.count() == n and got.where(f"track_ord + file_ord <> {n}").isEmpty()
     pairs = similar.contained(tracks.select(F.lit("g").alias("block"), F.col("title").alias("text")), files.select(F.lit("g").alias("block"), F.lower("name").alias("text")))
     assert pairs.count() == n
+
+
+@pytest.mark.parametrize("rows", [0, 10**6])
+def test_fuzzy_matches_with_and_without_the_index(spark, monkeypatch, rows):
+    monkeypatch.setattr(keys, "INDEXED_ROWS", rows)
+    rng = random.Random(9)
+    title = lambda: "".join(rng.choice("ab c") for _ in range(rng.randrange(13)))
+    left, right = [[(rng.choice(["x", "y", None]), title(), n) for n in range(120)] for _ in range(2)]
+    schema = "b string, title string, n int"
+    got = keys.fuzzy_matches(spark.createDataFrame(left, schema), spark.createDataFrame(right, schema), ["b"], "title", "title", ["n"])
+    want = []
+    for b, t, n in left:
+        key = t.replace(" ", "")
+        scored = [(1 - edits(key, u.replace(" ", "")) / max(len(key), len(u.replace(" ", "")), 1), -m) for c, u, m in right if b is not None and c == b]
+        best = max(scored, default=(0, 0))
+        if best[0] >= 0.7:
+            want.append((n, -best[1], round(best[0], 9)))
+    assert sorted((r["n"], r["r_n"], round(r["score"], 9)) for r in got.collect()) == want and len(want) > 40
+
+
+def test_stored_lookups_move_only_what_asks(spark, tmp_path):
+    from discoforge.sources import lookups
+
+    held = spark.range(1000).select((F.col("id") % 100).alias("k"), "id")
+    lookups.save_lookup(held, "lookup_of_test", "key", F.concat(F.lit("K"), F.col("k").cast("string")), ["id"], 4, path=str(tmp_path / "t"))
+    out = lookups.look_up(spark.createDataFrame([("K7",), ("K7",), ("none",), (None,)], "key string"), spark, "lookup_of_test", "key")
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "Bucketed: true" in plan
+    assert sorted(((r["key"], r["found_id"]) for r in out.collect()), key=str) == sorted([("K7", 907), ("K7", 907), ("none", None), (None, None)], key=str)
+
+
+def test_text_index_finds_what_a_scan_finds(spark, tmp_path):
+    from discoforge.sources import lookups
+
+    rng = random.Random(3)
+    rows = [(n, "".join(rng.choice("abé /") for _ in range(rng.randrange(12))), rng.choice([None, "", "Ab", "c/d"])) for n in range(400)]
+    df = spark.createDataFrame(rows, "id int, x string, y string")
+    lookups.text_index(df, "id", ["x", "y"]).write.parquet(str(tmp_path / "i"))
+    index = spark.read.parquet(str(tmp_path / "i"))
+    for terms in (["AB"], ["ab", "é"], ["a"], ["aba", "c/d"], ["zz"], ["b c"], []):
+        got = {r["id"] for r in lookups.search_index(df, index, "id", ["x", "y"], terms).collect()}
+        assert got == {n for n, x, y in rows if all(t.lower() in f"{x}\0{y or ''}".lower() for t in terms)}
+    found = lookups.search_index(df, index, "id", ["x", "y"], ["aba"])
+    assert "PushedFilters: [In(gram" in found._jdf.queryExecution().executedPlan().toString() or "EqualTo(gram" in found._jdf.queryExecution().executedPlan().toString()
