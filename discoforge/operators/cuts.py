@@ -22,15 +22,19 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back: what is drawn or numbered in it is drawn once. It goes when the application ends."""
-    spark = df.sparkSession
+def new_folder(spark: SparkSession) -> str:
+    """A name for a new folder in the shared one. It goes when the application ends."""
     folder = f"{shared_folder(spark).rstrip('/')}/tables-{spark.sparkContext.applicationId}"
-    path = f"{folder}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(root)
-    return spark.read.schema(df.schema).parquet(path)
+    return f"{folder}/{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back: what is drawn or numbered in it is drawn once."""
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def in_ranges(df: DataFrame, order: list, part: str, nth: str) -> DataFrame:

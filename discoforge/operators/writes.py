@@ -52,6 +52,12 @@ def save(df: DataFrame, folder: str, version: int) -> str:
     return path
 
 
+def save_sheets(report: DataFrame, folder: str, sheet: str = "sheet") -> DataFrame:
+    """W24. Write a report with a folder for each sheet, and read it back; a sheet alone is read without the others."""
+    report.write.mode("errorifexists").partitionBy(sheet).parquet(folder)
+    return report.sparkSession.read.schema(report.schema).parquet(folder)
+
+
 def as_seen(expect: dict[str, object]) -> Column:
     """W04. Whether a row's fields are as the editor saw them; null and empty are alike."""
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))

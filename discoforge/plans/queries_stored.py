@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import io
-import uuid
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -19,11 +18,6 @@ from .queries_fields import _s
 from .registry import query, t
 
 
-def _folder(spark) -> str:
-    """A new folder that all executors share."""
-    return f"{cuts.shared_folder(spark).rstrip('/')}/stored-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-
-
 @query("""
 select 'any' as what, p_partkey as id from part where contains(lower(p_name), 'wid') or contains(lower(p_type), 'wid')
 union all select 'two letters', p_partkey from part where contains(lower(p_name), 'ed') or contains(lower(p_type), 'ed')
@@ -49,7 +43,7 @@ select o_orderkey, n.low as first_key, n.high as last_key from orders left join
 """)
 def persisted_lookups(spark, sf_dir):
     """Orders look up stored indexes, of the first and of the last record of a key."""
-    customer, folder = t(spark, sf_dir, "customer"), _folder(spark)
+    customer, folder = t(spark, sf_dir, "customer"), cuts.new_folder(spark)
     for name, first in (("first", True), ("last", False)):
         lookups.save_lookup(customer.select("c_custkey", _s(" c", F.col("c_nationkey")).alias("isrc")), f"lookup_{folder[-32:]}_{name}", "code", F.upper(F.trim("isrc")), ["c_custkey"], 8, first, f"{folder}/{name}")
     asked = t(spark, sf_dir, "orders").select("o_orderkey", _s("C", F.col("o_orderkey") % 40).alias("code"))
@@ -69,7 +63,7 @@ union all select 'taken again', 0, null, null, null
 """)
 def drained_files(spark, sf_dir):
     """Files of customers by nation, listed with their sizes, and drained once with hashes and formats."""
-    folder = _folder(spark)
+    folder = cuts.new_folder(spark)
     lines = t(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("n"), F.concat_ws("|", "c_name", F.col("c_custkey").cast("string")).alias("line"))
     lines.repartition("n").sortWithinPartitions("n", "line").write.partitionBy("n").text(f"{folder}/in")
     row = lambda df, what, n, size, md5=F.lit(None), kind=F.lit(None): df.select(F.lit(what).alias("what"), n.cast("int").alias("n"), size.cast("long").alias("size"), md5.cast("string").alias("md5"), kind.cast("string").alias("format"))
@@ -88,7 +82,7 @@ select 1 as version, c_custkey as id, c_name as name from customer union all sel
 """)
 def stored_versions(spark, sf_dir):
     """A table of JSON records made into Parquet, and replaced by another version, the first of which stays as a backup."""
-    folder = _folder(spark)
+    folder = cuts.new_folder(spark)
     t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name")).write.json(f"{folder}/json")
     base = spark.read.parquet(writes.save(tables.json_table(spark, f"{folder}/json", "id long, name string"), folder, 1))
     news = base.where("id % 2 = 0").select(F.upper("name").alias("name"), "id", F.lit("x").alias("unknown"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from discoforge.operators import rollups, search, writes
+from discoforge.operators.cuts import new_folder
 from discoforge.plans import audio, presence
 from discoforge.sources import files, tables
 
@@ -35,7 +36,7 @@ def record_fields(spark, sf_dir):
 select 'point' as what, c_custkey::varchar as id from customer where c_custkey = 7
 union all (select 'first', min(c_custkey)::varchar from customer where c_nationkey > 3)
 union all select 'tagged', c_custkey::varchar from customer where c_custkey % 4 <> 0
-union all select 'exactly', c_custkey::varchar from customer where c_mktsegment = 'BUILDING' and c_custkey <= 150
+union all select 'exactly', c_custkey::varchar from customer where c_nationkey = 7
 union all select distinct 'value', c_mktsegment from customer
 union all select 'fallback', v from (values ('Afrikaans'), ('English')) x(v)
 union all select 'bounded', count(*)::varchar from (select * from customer limit 100)
@@ -49,7 +50,7 @@ def record_scans(spark, sf_dir):
         tag(tables.point(_customers(spark, sf_dir), "7"), "point", F.col("recordId")),
         tag(tables.first_match(customer.where("c_nationkey > 3"), ["c_custkey"]), "first", k),
         tag(tables.tagged(marked, "tag"), "tagged", k),
-        tag(tables.tagged(customer.where("c_custkey <= 150"), "c_mktsegment", "BUILDING"), "exactly", k),
+        tag(tables.tagged(customer.withColumn("tag", _s(" ", F.col("c_nationkey"))), "tag", "7"), "exactly", k),
         tag(tables.value_list(customer, "c_mktsegment", []), "value", F.col("c_mktsegment")),
         tag(tables.value_list(customer.select(F.lit(" ").alias("lang")), "lang", ["English", "Afrikaans"]), "fallback", F.col("lang")),
         tag(tables.bounded(customer, 100).agg(F.count("*").alias("n")), "bounded", F.col("n")),
@@ -248,11 +249,12 @@ def result_tallies(spark, sf_dir):
 select event_id, case event_id % 4 when 0 then 'No audio field' when 1 then 'Unparseable' else 'URL-based' end as sheet from events where event_id % 4 <> 3
 """)
 def problem_rows(spark, sf_dir):
-    """The rows of a problem report with the sheet that each belongs on."""
+    """The rows of a problem report, written a folder a sheet and read back."""
     r = F.col("event_id") % 4
     rows = t(spark, sf_dir, "events").select("event_id", F.when(r == 1, "nowhere").when(r == 2, "https://h.example/x").when(r == 3, "/masters/a/x.wav").alias("file"))
     found = audio.resolve(rows, [("file", ["file"])], [], "Mount/", ["masters"])
-    return rollups.problem_report(found, audio.bucket_of(), {"no-audio-field": "No audio field", "unparseable-path": "Unparseable", "url": "URL-based"}).select("event_id", "sheet")
+    report = rollups.problem_report(found, audio.bucket_of(), {"no-audio-field": "No audio field", "unparseable-path": "Unparseable", "url": "URL-based"}).select("event_id", "sheet")
+    return writes.save_sheets(report, new_folder(spark))
 
 
 @query("""

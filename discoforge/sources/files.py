@@ -7,6 +7,7 @@ import re
 import unicodedata
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -69,41 +70,64 @@ def _cells(row, strings: list[str]) -> dict[str, str]:
     return out
 
 
+def _streamed(book: zipfile.ZipFile, name: str, tag: str) -> Iterator:
+    """The elements of a tag in a part of a workbook, one at a time: each is let go when the next is asked for."""
+    with book.open(name) as part:
+        above = []
+        for event, element in ElementTree.iterparse(part, events=("start", "end")):
+            if event == "start":
+                above.append(element)
+                continue
+            above.pop()
+            if element.tag == tag:
+                yield element
+                above[-1].clear()
+
+
 def sheet_rows(content: bytes, prefer: str | None = None) -> Iterator[tuple[int, bool, dict[str, str]]]:
     """Rows (position, hidden, header to text) of a workbook's sheet: the preferred one if it has rows, else the first that has.
 
-    Cells keep the text that the file stores: numbers of dates and times as numbers.
+    Cells keep the text that the file stores: numbers of dates and times as numbers. Sheets are read row by row;
+    only the shared texts are held.
     """
     book = zipfile.ZipFile(io.BytesIO(content))
     strings = []
     if "xl/sharedStrings.xml" in book.namelist():
-        strings = ["".join(s.itertext()) for s in ElementTree.fromstring(book.read("xl/sharedStrings.xml")).iter(f"{_NS}si")]
+        strings = ["".join(s.itertext()) for s in _streamed(book, "xl/sharedStrings.xml", f"{_NS}si")]
     targets = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     sheets = [(s.get("name"), targets[s.get(_REL)].lstrip("/")) for s in ElementTree.fromstring(book.read("xl/workbook.xml")).iter(f"{_NS}sheet")]
     sheets.sort(key=lambda s: s[0].lower() != (prefer or "").lower())  # stable: others keep their order
     for _, target in sheets:
-        rows = list(ElementTree.fromstring(book.read(target if target.startswith("xl/") else f"xl/{target}")).iter(f"{_NS}row"))
-        names = _cells(rows[0], strings) if rows else {}
-        held = [(n, r.get("hidden") in ("1", "true"), {names[c]: v for c, v in _cells(r, strings).items() if c in names}) for n, r in enumerate(rows[1:])]
-        held = [h for h in held if h[2]]
-        if held:
-            yield from held
+        names, any_row = None, False
+        for n, row in enumerate(_streamed(book, target if target.startswith("xl/") else f"xl/{target}", f"{_NS}row"), -1):
+            cells = _cells(row, strings)
+            if names is None:
+                names = cells
+            elif held := {names[c]: v for c, v in cells.items() if c in names}:
+                any_row = True
+                yield n, row.get("hidden") in ("1", "true"), held
+        if any_row:
             return
 
 
+#: Rows of a workbook that a task hands on at once.
+ROWS_AT_ONCE = 10_000
+
+
 def workbooks(spark: SparkSession, path: str, prefer: str | None = None) -> DataFrame:
     """S01, S02. path, ord, hidden and cells (header to text) of the rows of workbooks, a file a task at least."""
     return workbooks_of(spark.read.format("binaryFile").load(path), prefer)
 
 
 def workbooks_of(books: DataFrame, prefer: str | None = None) -> DataFrame:
-    """S01, S02. The same of workbooks that lie in a table, as path and content; each is read whole, by one task."""
+    """S01, S02. The same of workbooks that lie in a table, as path and content. One task opens each and streams its rows."""
 
     def of_files(batches):
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"]):
-                rows = [(name, n, hidden, cells) for n, hidden, cells in sheet_rows(content, prefer)]
-                yield pd.DataFrame(rows, columns=["path", "ord", "hidden", "cells"])
+                rows = ((name, n, hidden, cells) for n, hidden, cells in sheet_rows(content, prefer))
+                while some := list(islice(rows, ROWS_AT_ONCE)):
+                    yield pd.DataFrame(some, columns=["path", "ord", "hidden", "cells"])
 
     return books.select("path", "content").mapInPandas(of_files, "path string, ord long, hidden boolean, cells map<string,string>")
 

@@ -107,3 +107,14 @@ def test_drain_takes_each_file_once(spark, tmp_path):
     draining.drain(*args, clean=False)
     rows = spark.read.parquet(str(tmp_path / "out")).collect()
     assert sorted((r["name"], r["size"]) for r in rows) == [("a.wav", 3), ("b.wav", 2)]
+
+
+def test_long_workbooks_stream(spark, monkeypatch):
+    from discoforge.plans import queries_stored
+
+    monkeypatch.setattr(files, "ROWS_AT_ONCE", 7)
+    sheet = queries_stored._sheet([["A", "B"], *[[n, None if n % 3 else "x"] for n in range(50)]], {4})
+    got = list(files.sheet_rows(queries_stored._workbook({"Empty": queries_stored._sheet([], set()), "One": sheet})))
+    assert [(n, hidden, cells.get("A"), cells.get("B")) for n, hidden, cells in got] == [(n, n == 2, str(n), None if n % 3 else "x") for n in range(50)]
+    books = spark.createDataFrame([("p", queries_stored._workbook({"One": sheet}))], "path string, content binary")
+    assert files.workbooks_of(books).count() == 50
