@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from discoforge.functions.text import basename, clean
 from discoforge.functions.values import iso_seconds, leading_float, nonzero_int, year
+from discoforge.operators import cuts
 
 _PARTY = "PartyName:struct<FullName:string>"
 _ARTIST = f"array<struct<_SequenceNumber:string,SequenceNumber:string,{_PARTY},ArtistRole:string>>"
@@ -20,6 +21,8 @@ _COMMON = f"DisplayArtist:{_ARTIST},DisplayArtistName:string,ResourceContributor
 _RECORDING = f"struct<SoundRecordingId:array<struct<ISRC:string>>,WorkId:array<struct<ISWC:string>>,ResourceReference:string,ReferenceTitle:struct<TitleText:string>,Duration:string,CreationDate:string,SequenceNumber:string,{_COMMON},SoundRecordingDetailsByTerritory:array<struct<{_COMMON}>>>"
 _RELEASE = f"struct<_IsMainRelease:string,ReleaseId:array<struct<ICPN:string,CatalogNumber:string>>,ReleaseReference:string,ReferenceTitle:struct<TitleText:string>,ReleaseType:string,ReleaseResourceReferenceList:struct<ReleaseResourceReference:array<string>>,TrackReleaseList:struct<TrackRelease:array<struct<ReleaseResourceReferenceList:struct<ReleaseResourceReference:array<string>>,LinkedReleaseResourceReference:string>>>,ReleaseDate:string,DisplayArtistName:string,DisplayArtist:{_ARTIST},ParentalWarningType:string,PLine:{_LINE},ReleaseDetailsByTerritory:array<struct<{_COMMON}>>>"
 _IMAGE = "struct<ImageType:string,TechnicalDetails:struct<File:struct<FileName:string>>,ImageDetailsByTerritory:array<struct<TechnicalImageDetails:struct<File:struct<FileName:string>>>>>"
+#: Columns of a track.
+_FIELDS = ["ref", "title", "version_title", "artist_name", "album_title", "isrc", "iswc", "barcode", "catalogue_no", "genre", "subgenre", "language", "duration_sec", "track_number", "explicit", "rights_holder", "rights_year", "year", "credits", "audio_file"]
 SCHEMA = f"struct<ResourceList:struct<SoundRecording:array<{_RECORDING}>,Image:array<{_IMAGE}>>,ReleaseList:struct<Release:array<{_RELEASE}>>>"
 
 
@@ -48,18 +51,62 @@ def tracks(messages: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     """
     m = parsed(messages, xml).select(key, "version", "m").repartition(key)  # releases and recordings read one shuffle, and one parse
     releases = m.select(key, "version", F.posexplode("m.ReleaseList.Release").alias("release_at", "_release"))
+    recordings = m.select(key, "version", F.explode("m.ResourceList.SoundRecording").alias("sr"))
+    return _named(key, releases, recordings).withColumn("ord", F.row_number().over(Window.partitionBy(key).orderBy("release_at", "ref_at"))).select(key, "ord", *_FIELDS)
+
+
+def chunks(spark: SparkSession, path: str) -> DataFrame:
+    """S20. Messages in files, in pieces that end with a recording: path, at (block and place), old and newer (whether
+    the piece names that form), sr (the recording) and releases (those that lie in the piece).
+
+    The text source splits a file at the end tags of recordings by byte ranges, so tasks share a message of any size; what
+    is parsed at once is a recording, or a release of the text behind the last one. Element names are taken to have no
+    prefix, as release messages have them, and end tags to stand in no comment.
+    """
+    text = spark.read.option("lineSep", "</SoundRecording>").option("recursiveFileLookup", "true").text(path)
+    value, options = F.col("value"), {"ignoreNamespace": "true"}
+    begin = F.regexp_instr(value, F.lit(r"<SoundRecording[\s>]"))  # 0 where the piece has none
+    recording = F.when(F.col("_begin") > 0, F.concat(value.substr(F.col("_begin"), F.length(value)), F.lit("</SoundRecording>")))
+    rest = F.when(F.col("_begin") > 0, value.substr(F.lit(1), F.col("_begin") - 1)).otherwise(value)
+    listed = F.regexp_extract_all(F.col("_rest"), F.lit(r"(?s)<Release[\s>].*?</Release>"), F.lit(0))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"))  # a block is read by one task, in its order
+    pieces = text.select(F.col("_metadata.file_path").alias("path"), at.alias("at"), "value", begin.alias("_begin")).withColumn("_rest", rest)
+    return pieces.select("path", "at", value.contains("ern/382").alias("old"), value.contains("ern/383").alias("newer"), F.from_xml(recording, _RECORDING, options).alias("sr"), F.transform(listed, lambda r: F.from_xml(r, _RELEASE, options)).alias("releases"))
+
+
+def tracks_of_files(spark: SparkSession, path: str) -> DataFrame:
+    """S20, P29-P33, J12, A10, A15. The rows of `tracks` for the messages in a folder, path being the key, for messages of any size.
+
+    Pieces of messages are parsed side by side and written once; recordings meet the references to them by a join,
+    and places come from ranges, so no message has to fit in one task.
+    """
+    held = cuts.written(chunks(spark, path))
+    form = held.groupBy("path").agg(F.when(F.max("old"), "382").when(F.max("newer"), "383").otherwise("41").alias("version"))
+    releases = held.select("path", "at", F.posexplode("releases").alias("n", "_release")).select("path", F.struct("at.block", "at.nth", "n").alias("release_at"), "_release").join(form, "path")
+    recordings = held.where("sr is not null").select("path", "sr").join(form, "path")
+    placed = cuts.positions(_named("path", releases, recordings), ["path", "release_at", "ref_at"], "_place")
+    first = placed.groupBy("path").agg(F.min("_place").alias("_first"))
+    return placed.join(first, "path").withColumn("ord", (F.col("_place") - F.col("_first") + 1).cast("int")).select("path", "ord", *_FIELDS)
+
+
+def _named(key: str, releases: DataFrame, recordings: DataFrame) -> DataFrame:
+    """A row for each recording (sr) that a release (_release at release_at) names, with release_at, ref_at and the track's fields."""
     album_like = (F.col("_release.ReleaseType") == "Album") | ((F.col("version") == "382") & (F.col("_release._IsMainRelease") == "true"))
-    first = F.row_number().over(Window.partitionBy(key).orderBy("release_at"))
-    albums = releases.where(F.coalesce(album_like, F.lit(False))).withColumn("_nth", first).where("_nth = 1").select(key, F.col("_release").alias("album"))
+    albums = releases.where(F.coalesce(album_like, F.lit(False))).groupBy(key).agg(F.min_by("_release", "release_at").alias("album"))
     inner = F.flatten(F.transform("_release.TrackReleaseList.TrackRelease", lambda t: F.coalesce(t["ReleaseResourceReferenceList"]["ReleaseResourceReference"], F.array(t["LinkedReleaseResourceReference"]))))
     untyped = F.coalesce(F.col("_release.ReleaseType"), F.lit("")) == ""
     nested = ((F.col("_release.ReleaseType") == "Album") | (untyped & (F.col("version") != "382"))) & (F.size(F.coalesce(inner, F.array().cast("array<string>"))) > 0)
-    refs = F.when(nested, inner).otherwise(F.col("_release.ReleaseResourceReferenceList.ReleaseResourceReference"))
-    named = releases.select(key, "release_at", "_release", nested.alias("nested"), F.posexplode(refs).alias("ref_at", "ref")).withColumn("ref", clean("ref"))
-    recordings = m.select(key, "version", F.explode("m.ResourceList.SoundRecording").alias("sr")).withColumn("ref", clean("sr.ResourceReference"))
-    met = named.join(recordings, [key, "ref"]).join(albums, key, "left")
+    own = "ReleaseResourceReferenceList.ReleaseResourceReference"
+    refs = F.when(nested, inner).otherwise(F.col(f"_release.{own}"))
+    # rows don't carry the lists of references along: these grow with the release
+    bare = lambda c: F.col(c).dropFields("ReleaseResourceReferenceList", "TrackReleaseList")
+    named = releases.select(key, "release_at", bare("_release").alias("_release"), nested.alias("nested"), F.posexplode(refs).alias("ref_at", "ref")).withColumn("ref", clean("ref"))
+    listed = albums.select(key, F.posexplode(f"album.{own}").alias("_at", "ref")).groupBy(key, clean("ref").alias("ref")).agg((F.min("_at") + 1).alias("album_at"))
+    recordings = recordings.select(key, "version", "sr", clean("sr.ResourceReference").alias("ref"))
+    met = named.join(recordings, [key, "ref"]).join(listed, [key, "ref"], "left")
     nth = F.row_number().over(Window.partitionBy(key, "ref").orderBy("release_at", "ref_at"))
-    met = met.withColumn("_nth", nth).where("_nth = 1").withColumn("rel", F.when(F.col("nested"), F.col("_release")).otherwise(F.coalesce("album", "_release")))
+    met = met.withColumn("_nth", nth).where("_nth = 1").join(albums.select(key, bare("album").alias("album"), F.col(f"album.{own}").isNotNull().alias("lists")), key, "left")
+    met = met.withColumn("rel", F.when(F.col("nested"), F.col("_release")).otherwise(F.coalesce("album", "_release")))
 
     sr, d, rel = F.col("sr"), F.get("sr.SoundRecordingDetailsByTerritory", F.lit(0)), F.col("rel")
     rel_d = F.get("rel.ReleaseDetailsByTerritory", F.lit(0))
@@ -81,7 +128,8 @@ def tracks(messages: DataFrame, key: str, xml: str = "xml") -> DataFrame:
     release_date = _text(sr["CreationDate"], d["ReleaseDate"], rel["ReleaseDate"])
     out = met.select(
         key,
-        F.row_number().over(Window.partitionBy(key).orderBy("release_at", "ref_at")).alias("ord"),
+        "release_at",
+        "ref_at",
         "ref",
         _text(sr["ReferenceTitle"]["TitleText"], _first(titles, lambda t: kind(t).isNull() | (kind(t) == "FormalTitle"), lambda t: t["TitleText"]), _first(titles, lambda t: F.lit(True), lambda t: t["TitleText"])).alias("title"),
         clean(_first(titles, lambda t: kind(t) == "AlternativeTitle", lambda t: t["SubTitle"])).alias("version_title"),
@@ -95,7 +143,7 @@ def tracks(messages: DataFrame, key: str, xml: str = "xml") -> DataFrame:
         clean(genre["SubGenre"]).alias("subgenre"),
         _text(sr["LanguageOfPerformance"], d["LanguageOfPerformance"]).alias("language"),
         iso_seconds(clean(sr["Duration"])).alias("duration_sec"),
-        F.coalesce(nonzero_int(clean(sr["SequenceNumber"])), (F.array_position(F.transform(F.col("album.ReleaseResourceReferenceList.ReleaseResourceReference"), lambda r: clean(r)), F.col("ref"))).cast("bigint"), F.when(F.col("nested"), F.col("ref_at") + 1).cast("bigint")).alias("track_number"),
+        F.coalesce(nonzero_int(clean(sr["SequenceNumber"])), F.when(F.col("lists"), F.coalesce("album_at", F.lit(0))).cast("bigint"), F.when(F.col("nested"), F.col("ref_at") + 1).cast("bigint")).alias("track_number"),
         (_text(sr["ParentalWarningType"], d["ParentalWarningType"], rel["ParentalWarningType"]) == "Explicit").alias("explicit"),
         clean(line["PLineText"]).alias("rights_holder"),
         rights_year.alias("rights_year"),

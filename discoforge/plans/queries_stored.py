@@ -9,6 +9,7 @@ from xml.sax.saxutils import escape
 import pandas as pd
 from pyspark.sql import functions as F
 
+from discoforge.functions.text import basename
 from discoforge.operators import cuts, keys, writes
 from discoforge.plans import payloads, replicate
 from discoforge.sources import files, lookups, tables
@@ -165,7 +166,7 @@ def _books(groups: pd.DataFrame) -> pd.DataFrame:
     hidden = {n for n, k in enumerate(own["c_custkey"], 2) if k % 7 == 0}
     nation = own["c_nationkey"].iloc[0]
     book = _workbook({"Empty": _sheet([["ISRC"]], set()), "Other": _sheet([["Note"], ["x"]], set()), "Ingest": _sheet(rows, hidden)})
-    return pd.DataFrame({"path": [f"/in/{nation}.xlsx"], "content": [book]})
+    return pd.DataFrame({"name": [f"{nation}.xlsx"], "content": [book]})
 
 
 @query("""
@@ -173,14 +174,16 @@ select 'ingest' as sheet, '/in/' || c_nationkey || '.xlsx' as path, (row_number(
 union all select 'first', '/in/' || c_nationkey || '.xlsx', 0, null, null, 'x' from customer group by c_nationkey
 """)
 def workbook_rows(spark, sf_dir):
-    """Workbooks of customers by nation, the sheet asked for without its hidden rows, and the first sheet that has any."""
-    books = cuts.written(t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name").groupBy("c_nationkey").applyInPandas(_books, "path string, content binary"))
+    """Workbook files of customers by nation, the sheet asked for without its hidden rows, and the first sheet that has any."""
+    folder = cuts.new_folder(spark)
+    files.written_files(t(spark, sf_dir, "customer").select("c_nationkey", "c_custkey", "c_name").groupBy("c_nationkey").applyInPandas(_books, "name string, content binary"), folder)
+    read = lambda prefer=None: files.workbooks(spark, folder, prefer).withColumn("path", F.concat(F.lit("/in/"), basename("path")))
     # the place among the rows that are shown
-    shown = files.workbooks_of(books, "ingest").where("not hidden").select("path", F.col("ord").alias("at"), F.col("cells")["ISRC"].alias("isrc"), F.col("cells")["Track Title"].alias("title"))
+    shown = read("ingest").where("not hidden").select("path", F.col("ord").alias("at"), F.col("cells")["ISRC"].alias("isrc"), F.col("cells")["Track Title"].alias("title"))
     seen = cuts.positions(shown, ["path", "at"], "_place")
     first = seen.groupBy("path").agg(F.min("_place").alias("_first"))
     shown = seen.join(first, "path").select(F.lit("ingest").alias("sheet"), "path", (F.col("_place") - F.col("_first")).alias("ord"), "isrc", "title", F.lit(None).cast("string").alias("note"))
-    return shown.union(files.workbooks_of(books).select(F.lit("first"), "path", "ord", F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("cells")["Note"]))
+    return shown.union(read().select(F.lit("first"), "path", "ord", F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("cells")["Note"]))
 
 
 @query("""
@@ -193,7 +196,8 @@ def archive_members(spark, sf_dir):
     def packed(n: pd.Series) -> pd.Series:
         return n.map(lambda x: _archive({"notes/": "", "R/A.WAV": "w" * x, "M.XML": f"<m>{x}</m>", "r/late.xml": "<x/>"}))
 
-    counted = t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
-    found = files.packages_of(counted.select(_s("/in/", F.col("c_nationkey"), ".zip").alias("path"), packed("n").alias("content")))
+    folder, counted = cuts.new_folder(spark), t(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.count("*").alias("n"))
+    files.written_files(counted.select(_s(F.col("c_nationkey"), ".zip").alias("name"), packed("n").alias("content")), folder)
+    found = files.packages(spark, folder)
     listed = F.array_join(F.array_sort(F.transform(F.map_entries("files"), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string")))), ",")
-    return found.select("path", F.col("xml").cast("string").alias("xml"), listed.alias("files"))
+    return found.select(F.concat(F.lit("/in/"), basename("path")).alias("path"), F.col("xml").cast("string").alias("xml"), listed.alias("files"))

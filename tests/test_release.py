@@ -94,3 +94,34 @@ def test_files_and_sidecar(spark, rendered):
     songs = spark.createDataFrame([("7", "Song", "o'band", "Al", "Jazz", 1996, None)], "record_id string, title string, artist string, album string, genre string, year int, p_line string")
     lines = release.sidecar(songs, "https://site", "the vault", "#Music").first()["text"].split("\n")
     assert lines[1] == "o'band – Song (1996)" and lines[12] == "#Music #Jazz #Oband" and lines[-1] == "o'band, Song, Jazz, 1996"
+
+
+def _message(version, tracks, album=True, ref=lambda n: f"A{n}"):
+    """A message with a recording a track, an album that names them in turn, and a release that names the first one again."""
+    recordings = "".join(f"<SoundRecording><SoundRecordingId><ISRC>ZAABC{n:07d}</ISRC></SoundRecordingId><ResourceReference>{ref(n)}</ResourceReference><ReferenceTitle><TitleText>Song &amp; {n}</TitleText></ReferenceTitle>"
+                         f"<DisplayArtist><PartyName><FullName>Artist {n}</FullName></PartyName></DisplayArtist><Duration>PT{n}M</Duration></SoundRecording>\n" for n in range(1, tracks + 1))
+    refs = "".join(f"<ReleaseResourceReference>{ref(n)}</ReleaseResourceReference>" for n in range(tracks, 0, -1))
+    whole = f"<Release IsMainRelease=\"true\"><ReleaseId><ICPN>60{tracks}</ICPN></ReleaseId><ReferenceTitle><TitleText>Album</TitleText></ReferenceTitle><ReleaseResourceReferenceList>{refs}</ReleaseResourceReferenceList>{'<ReleaseType>Album</ReleaseType>' if album else ''}</Release>"
+    single = f"<Release><ReleaseResourceReferenceList><ReleaseResourceReference>{ref(1)}</ReleaseResourceReference></ReleaseResourceReferenceList><ReleaseType>TrackRelease</ReleaseType></Release>"
+    return f'<ern:NewReleaseMessage xmlns:ern="http://x.example/ern/{version}"><ResourceList>{recordings}</ResourceList>\n<ReleaseList>{whole}{single}</ReleaseList></ern:NewReleaseMessage>'
+
+
+@pytest.mark.parametrize("block", ["512b", "128m"])
+def test_messages_in_files(spark, tmp_path, block):
+    given = {"old": _message("382", 40), "untyped": _message("382", 3, album=False), "newer": _message("383", 7), "new": _message("41", 25, album=False), "none": _message("41", 0)}
+    for name, xml in given.items():
+        (tmp_path / f"{name}.xml").write_text(xml)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        assert block != "512b" or messages.chunks(spark, str(tmp_path)).rdd.getNumPartitions() > 20
+        got = messages.tracks_of_files(spark, str(tmp_path)).withColumn("path", F.regexp_extract("path", r"(\w+)\.xml", 1)).collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    want = messages.tracks(spark.createDataFrame(list(given.items()), "path string, xml string"), "path").collect()
+    assert len(want) == 75 and sorted(map(str, got)) == sorted(map(str, want))
+
+
+def test_recordings_count_at_their_first_release(spark):
+    xml = _message("41", 4)
+    got = messages.tracks(spark.createDataFrame([("m", xml)], "id string, xml string"), "id").orderBy("ord").collect()
+    assert [(r["ord"], r["ref"], r["track_number"], r["album_title"]) for r in got] == [(n, f"A{5 - n}", n, "Album") for n in range(1, 5)]

@@ -118,3 +118,45 @@ def test_long_workbooks_stream(spark, monkeypatch):
     assert [(n, hidden, cells.get("A"), cells.get("B")) for n, hidden, cells in got] == [(n, n == 2, str(n), None if n % 3 else "x") for n in range(50)]
     books = spark.createDataFrame([("p", queries_stored._workbook({"One": sheet}))], "path string, content binary")
     assert files.workbooks_of(books).count() == 50
+
+
+def test_workbooks_by_ranges(spark, tmp_path, monkeypatch):
+    from discoforge.plans import queries_stored
+
+    sheet = queries_stored._sheet([["A", "B"], *[[n, None if n % 3 else "x & <row y"] for n in range(300)]], {4})
+    book = queries_stored._workbook({"Empty": queries_stored._sheet([["A"]], set()), "None": queries_stored._sheet([], set()), "One": sheet})
+    folder = tmp_path / "a b"
+    folder.mkdir()
+    (folder / "one.xlsx").write_bytes(book)
+    (folder / "two.xlsx").write_bytes(queries_stored._workbook({"Empty": queries_stored._sheet([["A"]], set())}))
+    whole = list(files.sheet_rows(book))
+    for size in (100, 997, 1 << 20):
+        monkeypatch.setattr(files, "RANGE_BYTES", size)
+        got = files.workbooks(spark, str(folder)).orderBy("ord").collect()
+        assert [(r["ord"], r["hidden"], r["cells"]) for r in got] == whole
+    for block in (1, 7, 64):
+        texts = list(files._row_texts(io.BytesIO(sheet.encode()), block))
+        assert b"".join(t for _, t in texts) == sheet.encode().removesuffix(b"</sheetData></worksheet>")
+        assert len(texts) == 302 and all(sheet.encode()[at:].startswith(t) for at, t in texts[1:])
+
+
+def test_shared_texts_by_ranges(spark, tmp_path, monkeypatch):
+    rows = HEAD + "".join(f'<row r="{n}"><c r="A{n}" t="s"><v>{n % 2}</v></c></row>' for n in range(2, 40))
+    (tmp_path / "a.xlsx").write_bytes(workbook([("One", rows)]))
+    monkeypatch.setattr(files, "RANGE_BYTES", 150)
+    got = files.workbooks(spark, str(tmp_path)).orderBy("ord").collect()
+    assert [(r["ord"], r["cells"]["Title"]) for r in got] == [(n - 2, "Artist" if n % 2 else "Title") for n in range(2, 40)]
+
+
+def test_archive_members(spark, tmp_path):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, text in (("d/", ""), ("x/A.wav", "1"), ("First.XML", "<a/>"), ("y/a.WAV", "123"), ("b.xml", "<b/>")):
+            z.writestr(name, text)
+    (tmp_path / "one.zip").write_bytes(out.getvalue())
+    with zipfile.ZipFile(tmp_path / "two.zip", "w") as z:
+        z.writestr("only.wav", "12")
+    got = {r["path"].rsplit("/", 1)[1]: (r["xml"] and bytes(r["xml"]), r["files"]) for r in files.packages(spark, str(tmp_path)).collect()}
+    assert got == {"one.zip": (b"<a/>", {"a.wav": 3, "first.xml": 4, "b.xml": 4}), "two.zip": (None, {"only.wav": 2})}
+    held = files.contents(files.members(spark, str(tmp_path)).where("lower(member) like '%.wav'")).orderBy("path", "nth").collect()
+    assert [(r["member"], bytes(r["content"])) for r in held] == [("x/A.wav", b"1"), ("y/a.WAV", b"123"), ("only.wav", b"12")]
