@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from discoforge.operators import keys, rollups, writes
+from discoforge.operators import cuts, keys, rollups, writes
 from discoforge.plans import messages, presence, records, release, replicate
-from discoforge.sources import sheets
+from discoforge.sources import files, sheets
 
 from .queries_fields import _s
 from .registry import query, t
@@ -125,13 +125,34 @@ def _lines(spark, sf_dir) -> DataFrame:
     return rows.withColumn("n", F.row_number().over(Window.partitionBy("release").orderBy("l_partkey")))
 
 
-@query(_MESSAGE_ROWS + """
+_TRACKS_SQL = """
 select release, n::int as ord, 'A' || n as ref, 'Song & ' || l_partkey as title, 'Artist ' || l_suppkey as artist_name, 'Album ' || release as album_title, 'ZAABC' || lpad((l_partkey % 10000000)::varchar, 7, '0') as isrc, '60' || release as barcode, 'CAT' || release as catalogue_no,
   (q * 60 + 7)::double as duration_sec, n::bigint as track_number, l_returnflag = 'R' as explicit, 2000 + (release % 20)::int as rights_year, 'Com ' || n || ':Composer' as credits, 't' || n || '.wav' as audio_file, case when release % 2 = 0 then '382' else '41' end as form
 from lines
-""")
+"""
+
+
+@query(_MESSAGE_ROWS + _TRACKS_SQL)
 def message_tracks(spark, sf_dir):
     """Messages in two forms as tracks."""
+    return _shown(messages.tracks(_messages(_lines(spark, sf_dir)).repartition("release"), "release"))
+
+
+@query("""
+with lines as (select c_custkey // 500 as release, row_number() over (partition by c_custkey // 500 order by c_custkey) as n, c_custkey as l_partkey, c_nationkey as l_suppkey, c_custkey % 50 as q, case when c_custkey % 3 = 0 then 'R' else 'N' end as l_returnflag from customer)
+""" + _TRACKS_SQL)
+def message_files(spark, sf_dir):
+    """Message files of five hundred recordings, which tasks share, as tracks."""
+    folder, k = cuts.new_folder(spark), F.col("c_custkey")
+    rows = t(spark, sf_dir, "customer").select(F.floor(k / 500).alias("release"), k.alias("l_partkey"), F.col("c_nationkey").alias("l_suppkey"), (k % 50).alias("q"), F.when(k % 3 == 0, "R").otherwise("N").alias("l_returnflag"))
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("release").orderBy("l_partkey")))
+    files.written_files(_messages(rows).select(_s(F.col("release"), ".xml").alias("name"), F.col("xml").cast("binary").alias("content")), folder)
+    found = messages.tracks_of_files(spark, folder).withColumn("release", F.regexp_extract("path", r"(\d+)\.xml$", 1).cast("long"))
+    return _shown(found)
+
+
+def _messages(rows: DataFrame) -> DataFrame:
+    """release and xml: a message for each release's tracks, in the older form for even ones."""
     n, old = F.col("n").cast("string"), F.col("release") % 2 == 0
     esc = lambda tag, *content: _s(f"<{tag}>", *content, f"</{tag.split()[0]}>")
     artist = lambda who: esc("PartyName", esc("FullName", who))
@@ -145,13 +166,16 @@ def message_tracks(spark, sf_dir):
     start = F.concat(esc("SoundRecordingId", esc("ISRC", _s("ZAABC", F.lpad((F.col("l_partkey") % 10000000).cast("string"), 7, "0")))), esc("ResourceReference", _s("A", n)), esc("Duration", _s("PT", F.col("q"), "M7S")))
     typed = F.concat(esc('Title TitleType="AlternativeTitle"', esc("TitleText", "no")), esc('Title TitleType="FormalTitle"', esc("TitleText", title)))
     recording = F.when(old, esc("SoundRecording", start, esc("ReferenceTitle", esc("TitleText", title)), esc("SoundRecordingDetailsByTerritory", body(F.lit(""))))).otherwise(esc("SoundRecording", start, body(typed)))
-    rows = _lines(spark, sf_dir).select("release", "n", recording.alias("x"), esc("ReleaseResourceReference", _s("A", n)).alias("r"))
+    rows = rows.select("release", "n", recording.alias("x"), esc("ReleaseResourceReference", _s("A", n)).alias("r"))
     listed = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", c))), lambda s: s[c]), "")
     rows = rows.groupBy("release").agg(listed("x").alias("x"), listed("r").alias("r"))
     old = F.col("release") % 2 == 0
     main = F.concat(esc("ReleaseId", esc("ICPN", _s("60", F.col("release"))), esc("CatalogNumber", _s("CAT", F.col("release")))), esc("ReferenceTitle", esc("TitleText", _s("Album ", F.col("release")))), esc("ReleaseResourceReferenceList", F.col("r")), esc("ReleaseType", "Album"))
     xml = F.concat(F.when(old, '<ern:NewReleaseMessage xmlns:ern="http://x.example/ern/382">').otherwise('<ern:NewReleaseMessage xmlns:ern="http://x.example/ern/41">'), esc("ResourceList", F.col("x")), esc("ReleaseList", esc("Release", main)), F.lit("</ern:NewReleaseMessage>"))
-    found = messages.tracks(rows.select("release", xml.alias("xml")).repartition("release"), "release")
+    return rows.select("release", xml.alias("xml"))
+
+
+def _shown(found: DataFrame) -> DataFrame:
     credits = F.array_join(F.transform("credits", lambda c: F.concat_ws(":", c["name"], c["role"])), "|")
     return found.select("release", "ord", "ref", "title", "artist_name", "album_title", "isrc", "barcode", "catalogue_no", "duration_sec", "track_number", "explicit", F.col("rights_year").cast("int").alias("rights_year"), credits.alias("credits"), "audio_file", F.when(F.col("release") % 2 == 0, "382").otherwise("41").alias("form"))
 

@@ -19,7 +19,7 @@ def test_query_equals_its_sql(spark, name):
 
 
 @pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no supplied tables")
-@pytest.mark.parametrize("name", ["null_seq_sort", "systematic_sample", "federated_search", "presence_exact", "pushed_tracks", "matched_files", "workbook_rows", "indexed_searches", "persisted_lookups"])
+@pytest.mark.parametrize("name", ["null_seq_sort", "systematic_sample", "federated_search", "presence_exact", "pushed_tracks", "matched_files", "workbook_rows", "archive_members", "message_files", "indexed_searches", "persisted_lookups"])
 def test_larger_tables_too(spark, name):
     """Queries that shuffle by ranges, pass rows in order or ask an index, on tables that a sampler doesn't read whole."""
     assert rows(QUERIES[name](spark, "/root/testdata/sf0.01").toPandas()) == rows(duck(ORACLE_SQL[name], "/root/testdata/sf0.01"))
