@@ -133,8 +133,8 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle_wo
     asked = met.join(kinds, "part").join(near(parts.select("part", F.explode("shingles").alias("h")).distinct()), "part")
     at = all_of([held.select("key", F.lit(k).alias("k"), F.posexplode(f"s{k}").alias("pos", "h")) for k in lengths])
     placed = asked.join(at, ["key", "k", "h"]).groupBy("key", "part", "k", "n_words", "n", "need").agg(F.sort_array(F.collect_set("pos")).alias("at")).where("size(at) >= need")
-    starts = placed.select("key", "k", "n_words", "n", F.explode(_starts("at", "n", "need")).alias("start")).distinct()
-    starts = starts.groupBy("key", "k", "n_words", "n").agg(F.collect_list("start").alias("starts")).groupBy("key").agg(F.collect_list(F.struct("k", "n_words", "n", "starts")).alias("asked"))
+    pairs = stash(placed.select("key", "part", "k", "n_words", "n", F.explode(_starts("at", "n", "need")).alias("start")))
+    starts = pairs.select("key", "k", "n_words", "n", "start").distinct().groupBy("key", "k", "n_words", "n").agg(F.collect_list("start").alias("starts")).groupBy("key").agg(F.collect_list(F.struct("k", "n_words", "n", "starts")).alias("asked"))
 
     rows = held.join(starts, "key").select("key", "doc_id", F.explode("asked").alias("q"), *[f"s{k}" for k in lengths])
     of_k = reduce(lambda out, k: F.when(F.col("q.k") == k, F.col(f"s{k}")).otherwise(out), lengths, F.array().cast("array<bigint>"))
@@ -143,13 +143,17 @@ def _matches(docs: DataFrame, benchmark: DataFrame, threshold: float, shingle_wo
     windows = stash(windows.withColumn("f", _fingerprint(F.col("s"))))
 
     items = stash(parts.dropDuplicates(["part"]).select("part", "k", "n_words", F.col("shingles").alias("t")).withColumn("g", _fingerprint(F.col("t"))))
-    left = windows.select("key", "k", "n_words", "start", "f").distinct().select("*", F.posexplode(_blocks(F.col("f"))).alias("b", "v"))
-    right = items.select("part", "k", "n_words", "g", F.posexplode(F.arrays_zip(_blocks(F.col("g")).alias("v"), F.array(*[F.array(*map(F.lit, m)) for m in probes]).alias("m"))).alias("b", "x"))
-    right = right.select("part", "k", "n_words", "g", "b", F.explode(F.transform("x.m", lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
-    found = left.join(beside(right), ["k", "n_words", "b", "v"])
+    # a window is looked up among the blocks of the parts whose shingles it holds; equal fingerprints ask once
+    at_window = ["key", "k", "n_words", "start"]
+    pairs = stash(pairs.join(windows.select(*at_window, "f").distinct(), at_window).select(*at_window, "part", "f"))
+    left = pairs.select("part", "f").distinct().select("*", F.posexplode(_blocks(F.col("f"))).alias("b", "v"))
+    right = items.select("part", "g", F.posexplode(F.arrays_zip(_blocks(F.col("g")).alias("v"), F.array(*[F.array(*map(F.lit, m)) for m in probes]).alias("m"))).alias("b", "x"))
+    right = right.select("part", "g", "b", F.explode(F.transform("x.m", lambda m: F.col("x.v").bitwiseXOR(m))).alias("v"))
+    found = left.join(beside(right), ["part", "b", "v"])
     alike = F.zip_with(_blocks(F.col("f")), _blocks(F.col("g")), lambda x, y: F.bit_count(x.bitwiseXOR(y)) <= radius // BLOCKS)
     once = F.array_position(alike, True) == F.col("b") + 1  # a pair that agrees in several blocks counts in the first
-    found = found.where(once & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)).select("key", "k", "n_words", "start", "part")
+    found = found.where(once & (F.bit_count(F.col("f").bitwiseXOR(F.col("g"))) <= radius)).select("part", "f")
+    found = pairs.join(found, ["part", "f"]).drop("f")
     found = found.join(near(items.select("part", "t")), "part").join(windows.select("key", "doc_id", "k", "n_words", "start", "s"), ["key", "k", "n_words", "start"])
     sure = found.select("key", "doc_id", "part", "start", "n_words", _similarity("s", "t").alias("similarity")).where(F.col("similarity") >= threshold)
     return sure.join(parts.select("part", "item_id").distinct(), "part").drop("part")
@@ -160,8 +164,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
 
     A window has as many words as the item, or as a part of a long item, and slides by a word. Every window that
     holds as many shingles of a part as the threshold asks for is fingerprinted, in whatever order they stand;
-    others can't reach it. Blocks of the fingerprint, with a few bits flipped, find all items of that length within
-    the radius; the weighted Jaccard similarity of the shingles, threshold or more, decides. Words are runs of
+    others can't reach it. Blocks of the fingerprint, with a few bits flipped, find those of the parts whose shingles it
+    holds that lie within the radius; the weighted Jaccard similarity of the shingles, threshold or more, decides. Words are runs of
     anything but ASCII white space, in lower case.
 
     Null, empty and wordless texts have no windows and wordless items no parts. Items of fewer words than a
