@@ -200,8 +200,8 @@ def release_messages(spark, sf_dir):
         *[none.alias(c) for c in ("label", "pline_text", "cline_text", "original_release_date", "release_date", "image_asset_number", "asset_number", "wav_filename", "resource_reference", "technical_resource")], F.lit("0123456789abcdef0123456789abcdef").alias("audio_hash_md5"),
     )
     parties = release.Parties("PADPIDA1", "Sender & Co", "PADPIDA2", "Store", "Label", "SOC")
-    plans = release.plan(tracks, "release", parties, "2024-05-06")
-    xml = release.render(plans, parties, _s("msg", k), F.lit("2024-05-06T07:08:09+00:00"), "2024-05-06").select("release", "duration", "xml").repartition("release")  # one shuffle that all readers share
+    plans = cuts.written(release.plan(tracks, "release", parties, "2024-05-06"))  # planned once for messages and file lists
+    xml = cuts.written(release.render(plans, parties, _s("msg", k), F.lit("2024-05-06T07:08:09+00:00"), "2024-05-06").select("release", "duration", "xml"))  # rendered once for all readers
     found = messages.tracks(xml.select("release", "xml"), "release").where(F.col("ref").startswith("A"))
     credits = F.array_join(F.transform("credits", lambda c: F.concat_ws(":", c["name"], c["role"])), "|")
     held = xml.select("release", F.size(F.split("xml", "<SoundRecording>")).alias("m"), F.regexp_extract("xml", "<MessageId>([^<]*)", 1).alias("message_id"), F.col("duration").alias("whole"))
@@ -224,7 +224,8 @@ def short_messages(spark, sf_dir):
         "release", n.alias("ord"), F.when(n % 3 != 0, n).alias("sequence_no"), _s("ZAABC", F.col("l_partkey")).alias("isrc"), _s("Song ", F.col("l_partkey")).alias("title"), F.when(n % 2 == 0, "").otherwise(_s("Artist ", F.col("l_suppkey"))).alias("artist_name"), (F.col("q") * 60).alias("duration_sec"), none.alias("year"), none.alias("genre"), F.lit("en").alias("language"), F.when(F.col("l_returnflag") == "R", True).alias("explicit"), none.alias("audio_filename"),
         _s("Album ", k).alias("album_title"), F.lit("Various").alias("album_artist"), F.lit("601").alias("barcode"), F.lit("CAT").alias("catalogue_no"), F.when(k % 3 != 0, "1999").alias("album_year"), F.lit("Pop").alias("album_genre"), F.when(k % 2 == 0, "c.jpg").alias("artwork_filename"),
     )
-    xml = release.render_simple(tracks, "release", _PARTIES, _s("m", k), F.lit("2024-05-06T07:08:09+00:00"), 2024).select("release", "xml").repartition("release")  # one shuffle that all readers share
+    xml = release.render_simple(tracks, "release", _PARTIES, _s("m", k), F.lit("2024-05-06T07:08:09+00:00"), 2024).select("release", "xml")
+    xml = cuts.written(xml)  # rendered once for all readers
     found = messages.tracks(xml.select("release", "xml"), "release").where("title is not null")
     held = xml.select("release", (F.size(F.split("xml", ">ARTWORK<")) - 1).alias("covers"), F.regexp_extract("xml", "<StartDate>([^<]*)", 1).alias("starts"))
     return found.join(held, "release").select("release", "ord", "ref", "title", "artist_name", "album_title", "duration_sec", "explicit", "audio_file", "covers", "starts")

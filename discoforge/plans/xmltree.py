@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from itertools import groupby
+from xml.sax.saxutils import escape
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -29,23 +31,29 @@ class Each:
     node: Callable[[Column], E]
 
 
-def _text(value: Column | str) -> Column:
-    return xml_escape(F.lit(value) if isinstance(value, str) else value)
+def _text(value: Column | str) -> Column | str:
+    return escape(value, {'"': "&quot;", "'": "&apos;"}) if isinstance(value, str) else xml_escape(value)
 
 
-def lines(node: E | Each, depth: int = 0) -> Column:
-    """The lines of a node, an array of texts."""
+def _pieces(node: E | Each, depth: int = 0) -> list[Column | str]:
+    """A node's text, each line led by a line break: what is fixed as Python texts, what comes from the data as columns."""
     if isinstance(node, Each):
-        return F.flatten(F.transform(node.items, lambda x: lines(node.node(x), depth)))
-    pad = "  " * depth
-    start = F.concat(F.lit(f"{pad}<{node.tag}"), *[x for k, v in node.attributes.items() for x in (F.lit(f' {k}="'), _text(v), F.lit('"'))], F.lit(">"))
+        return [F.array_join(F.transform(node.items, lambda x: _text_of(_pieces(node.node(x), depth))), "")]
+    pad = "\n" + "  " * depth
+    out = [f"{pad}<{node.tag}", *[x for k, v in node.attributes.items() for x in (f' {k}="', _text(v), '"')], ">"]
     if isinstance(node.content, list):
-        out = F.concat(F.array(start), *[lines(n, depth + 1) for n in node.content], F.array(F.lit(f"{pad}</{node.tag}>")))
+        out += [x for n in node.content for x in _pieces(n, depth + 1)] + [f"{pad}</{node.tag}>"]
     else:
-        out = F.array(F.concat(start, _text(node.content), F.lit(f"</{node.tag}>")))
-    return out if node.shown is None else F.when(node.shown, out).otherwise(F.array().cast("array<string>"))
+        out += [_text(node.content), f"</{node.tag}>"]
+    return out if node.shown is None else [F.when(node.shown, _text_of(out)).otherwise("")]
+
+
+def _text_of(pieces: list[Column | str]) -> Column:
+    """Pieces as one column; fixed ones that follow each other are one literal."""
+    runs = groupby(pieces, lambda p: isinstance(p, str))
+    return F.concat(*[x for fixed, run in runs for x in ([F.lit("".join(run))] if fixed else run)])
 
 
 def document(root: E) -> Column:
     """The text of a document, with its prolog."""
-    return F.concat(F.lit('<?xml version="1.0" encoding="UTF-8"?>\n'), F.array_join(lines(root), "\n"))
+    return _text_of(['<?xml version="1.0" encoding="UTF-8"?>', *_pieces(root)])
