@@ -193,15 +193,16 @@ BODY_SHARE = 0.5
 RANGE_CHARS, MOST_RANGES = 16_000_000, 10_000
 
 
-def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None, other: list[tuple[str, int]] | None = None) -> str:
+def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None, other: list[tuple[str, int]] | None = None, *more: list[tuple[str, int]]) -> str:
     """The page's text without the lines it shares with its neighbour and the lines beside the article.
 
     The lines of both pages are aligned; what is not shared is the page's own text, and lines beside the article by
     their markup are no part of it. A page that shares nearly all of its text with its neighbour is a copy or a
     short article on a large template: there only lines that a second page, if any, shares too count as shared, and
-    all stay if none would be left. If a declared article holds most of the own text, it is the body: the shared
-    lines in it come back, since articles quote each other, and own lines around it go. An article that holds
-    less is a card or a teaser, and its markup decides nothing.
+    all stay if none would be left. If a declared article holds most of the own text, it is the body, and own lines
+    around it go. Of the body's shared lines those go that the bodies of all pages beside it, two or more, start or end
+    with as well; the others come back, since articles quote each other. A body that is mostly shared is a copy's and
+    stays whole. An article that holds less of the own text is a card or a teaser, and its markup decides nothing.
     """
     size = np.array([len(t) for t, _ in page], np.int64)
     plain, main = (np.array([z == zone for _, z in page], bool) for zone in (PLAIN, MAIN))
@@ -211,12 +212,31 @@ def article(page: list[tuple[str, int]], neighbour: list[tuple[str, int]] | None
         same &= shared([t for t, _ in page], [t for t, _ in other])
     keep = open_ & ~same
     if main.any() and size[keep & main].sum() >= BODY_SHARE * size[keep].sum():
-        keep = main
+        keep = _body(page, size, main, same, [neighbour, *[p for p in (other, *more) if p is not None]])
     elif not keep.any():
         keep = open_ if open_.any() else np.ones(len(page), bool)  # a copy; or names misled: all of it is better than nothing
     return "\n".join(t for (t, _), k in zip(page, keep) if k)
 
 
+def _body(page: list, size: np.ndarray, main: np.ndarray, same: np.ndarray, beside: list) -> np.ndarray:
+    """The lines of a declared article without those that the articles of all pages beside it start or end with too."""
+    if len(beside) < 2 or not (main & ~same).any() or size[main & same].sum() >= BODY_SHARE * size[main].sum():
+        return main
+    at = np.flatnonzero(main)
+    mine = [page[n][0] for n in at]
+    theirs = [[t for t, z in other if z == MAIN] for other in beside]
+    lead = min(_alike(mine, x) for x in theirs)
+    tail = min(_alike(mine[lead:][::-1], x[lead:][::-1]) for x in theirs)
+    keep = main.copy()
+    keep[at[:lead]] = keep[at[len(at) - tail :]] = False
+    return keep if keep.any() else main
+
+
+def _alike(a: list, b: list) -> int:
+    """Items that a and b start with alike."""
+    return next((n for n, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+
+
 def nearness(a: str, b: str) -> int:
     """Path segments that two paths start with alike."""
     n = 0
@@ -235,7 +255,7 @@ def _difference(batches):
         nonlocal at
         row, mine = near[at]
         beside = lambda n: sorted((near[i] for i in (at - n, at + n) if 0 <= i < len(near) and near[i][0][4] == row[4]), key=lambda s: -nearness(s[0][5], row[5]))
-        sides = [*beside(1), *beside(2)][:2]
+        sides = [*beside(1), *beside(2)]
         text = article(mine, *[s[1] for s in sides] or [None]) if row[1] else None
         if at == 2:
             near.pop(0)
@@ -320,8 +340,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     Pages are put in order by host, path and the rest of the url, so that a page's neighbours by path stand next to
     it, and cut into ranges, so that a host of any size spreads over tasks; the pages at the ends of a range stand
     beside the next range too, so the cuts don't matter to the texts. Of the two neighbours the one with more of the
-    path in common is compared, and where the two share nearly all, the other one too. The first page of a host
-    has the two after it, the last one the two before. Lines are aligned by longest common subsequence.
+    path in common is compared, and where the two share nearly all, the other one too; what a declared article starts and
+    ends with is held against all pages up to two places away. The first page of a host has the two after it, the last one
+    the two before. Lines are aligned by longest common subsequence.
 
     Null and empty html give an empty text. A null url is a host and path of its own. Repeated rows and urls
     each give their row; copies of a page keep the text that not all pages beside them have. Other columns are ignored, an empty table gives an

@@ -31,3 +31,34 @@ def test_copies_keep_their_article(spark):
     assert got == {1: tale, 2: tale, 3: other}
     near = [(1, "https://x.example/a/1", page(tale, "printed in May")), (2, "https://x.example/a/2", page(tale, "printed in June")), (3, "https://x.example/b", page(other))]
     assert texts(spark, near) == {1: tale + "\nprinted in May", 2: tale + "\nprinted in June", 3: other}
+
+
+def declared(n, *tail, lead=("Latest offers",)):
+    own = [f"Report {n}: " + " ".join(f"w{n}x{j}" for j in range(30)), f"It ends on day {n}"]
+    lines = [*lead, *own, *tail]
+    return own, "<html><body><nav>Home</nav><main>" + "".join(f"<p>{x}</p>" for x in lines) + "</main></body></html>"
+
+
+def test_lines_of_the_site_within_a_declared_body_go(spark):
+    tail = ["Sign up to our weekly letter", "Copyright"]
+    made = [declared(n, *tail) for n in range(6)]
+    rows = [(n, f"https://x.example/news/{n}", html) for n, (_, html) in enumerate(made)]
+    assert texts(spark, rows) == {n: "\n".join(own) for n, (own, _) in enumerate(made)}
+    alone = texts(spark, rows[:1])[0]  # without pages beside it nothing tells them apart
+    assert alone.split("\n") == ["Latest offers", *made[0][0], *tail]
+
+
+def test_passages_that_articles_share_stay(spark):
+    quote = "A passage that many articles quote"
+    rows = [(n, f"https://x.example/news/{n}", declared(n, *([quote, f"Source {n}"] if n % 2 else [f"Source {n}", quote]), lead=())[1]) for n in range(6)]
+    assert all(quote in x.split("\n") for x in texts(spark, rows).values())
+    one = [(n, f"https://x.example/news/{n}", declared(n, *([quote] if n < 2 else []), lead=())[1]) for n in range(6)]
+    got = texts(spark, one)
+    assert all(got[n].endswith(quote) for n in (0, 1))
+
+
+def test_copies_of_a_declared_article_stay_whole(spark):
+    body = declared(1, "Copyright")[1]
+    rows = [(n, f"https://x.example/news/{n}", body) for n in range(4)] + [(9, "https://x.example/news/9", declared(2, "Copyright")[1])]
+    got = texts(spark, rows)
+    assert all("\n".join(declared(1)[0]) in got[n] for n in range(4))

@@ -44,7 +44,7 @@ def plain(rows, seal):
         for n in (1, 2):
             beside = [laid[j] for j in (i - n, i + n) if 0 <= j < len(laid) and laid[j][0][0] == key[0]]
             near += sorted(beside, key=lambda r: -pages.nearness(r[0][1], key[1]))
-        out.append((page_id, url, pages.article(pages.blocks(html), *[pages.blocks(r[3]) for r in near[:2]] or [None])))
+        out.append((page_id, url, pages.article(pages.blocks(html), *[pages.blocks(r[3]) for r in near] or [None])))
     return sorted(out, key=str)
 
 
