@@ -68,6 +68,7 @@ def linked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
     Rows without any key have null. The nodes are the distinct combinations of keys. Each round gives a
     combination the least number that any of its keys reaches and follows it once, so chains shorten by half; a
     round is written. Minima are taken before the shuffle, so a key of very many rows is one row a task.
+    Joins are by sorting: written files are small beside what they hold, and Spark would broadcast them by their size.
     """
     any_key = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in keys])
     distinct = rows.where(any_key).select(*keys).distinct()
@@ -77,17 +78,17 @@ def linked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         for n, k in enumerate(keys):
             least = nodes.where(F.col(k).isNotNull()).groupBy(k).agg(F.min("_least").alias(f"_low{n}")).select(F.struct(F.lit(False).alias("none"), F.col(k).cast("string").alias("k")).alias("_of"), f"_low{n}")
             own = F.struct(F.col(k).isNull().alias("none"), F.coalesce(F.col(k).cast("string"), F.col("_node").cast("string")).alias("k"))  # null keys go to as many tasks as nodes
-            reached = reached.join(least, own == F.col("_of"), "left").drop("_of")
+            reached = reached.join(least.hint("merge"), own == F.col("_of"), "left").drop("_of")
         low = F.least("_least", *[F.col(f"_low{n}") for n in range(len(keys))])
         reached = written(reached.select(*keys, "_node", F.col("_least").alias("_was"), low.alias("_least")))
         further = reached.select(F.col("_node").alias("_at"), F.col("_least").alias("_next"))
         moved = reached.where("_was <> _least").isEmpty()
         if moved:
             break
-        nodes = written(reached.join(further, F.col("_least") == F.col("_at"), "left").select(*keys, "_node", F.least("_least", "_next").alias("_least")))
+        nodes = written(reached.join(further.hint("merge"), F.col("_least") == F.col("_at"), "left").select(*keys, "_node", F.least("_least", "_next").alias("_least")))
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     numbers = reached.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_least").alias(name))
-    found = rows.where(any_key).join(numbers, same, "left").select(*rows.columns, name)
+    found = rows.where(any_key).join(numbers.hint("merge"), same, "left").select(*rows.columns, name)
     return found.unionByName(rows.where(~any_key).withColumn(name, F.lit(None).cast("long")))  # not all to one task
 
 

@@ -5,29 +5,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-GRAM = 3
-
-
-def _grams(text: Column, n: int) -> Column:
-    """The distinct runs of n characters of a text."""
-    starts = F.sequence(F.lit(1), F.length(text) - (n - 1))
-    return F.when(F.length(text) >= n, F.array_distinct(F.transform(starts, lambda i: F.substring(text, i, n))))
+def _grams(text: Column, n: Column | int) -> Column:
+    """The runs of n characters of a text."""
+    return F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda i: F.substring(text, i, n))
 
 
 def contained(parts: DataFrame, wholes: DataFrame) -> DataFrame:
     """(block, part, whole): each text of parts with the texts of wholes, both (block, text), that hold it; each pair once. Blank texts are in none.
 
-    A whole is indexed under its runs of three characters, and of one and two for the sake of shorter parts. A
-    part asks for one run only, the one that the fewest wholes of its block have, and what that finds is tested.
+    A part asks for one run of its characters, half of it at least: of the runs as long as the greatest power of two in its
+    length the one that the fewest wholes of its block have; what that finds is tested. So a whole is indexed under its
+    runs of the lengths that some part asks for, a few, and numbers in titles don't meet by a few digits.
+    Joins are by sorting: rows grow by their runs, which Spark's estimate for a broadcast leaves out.
     """
-    asked = parts.select("block", F.col("text").alias("part")).where("part <> ''").distinct()
-    held = wholes.select("block", F.col("text").alias("whole")).where("whole <> ''").distinct()
-    runs = F.array_compact(F.array(*[_grams(F.col("whole"), n) for n in range(1, GRAM + 1)]))
-    postings = held.select("block", "whole", F.explode(F.flatten(runs)).alias("gram"))
-    counts = postings.groupBy("block", "gram").agg(F.count("*").alias("n"))
-    tried = asked.select("block", "part", F.explode(F.coalesce(_grams(F.col("part"), GRAM), F.array("part"))).alias("gram"))
-    rarest = tried.join(counts, ["block", "gram"]).groupBy("block", "part").agg(F.min(F.struct("n", "gram"))["gram"].alias("gram"))
-    return rarest.join(postings, ["block", "gram"]).where(F.contains("whole", "part")).select("block", "part", "whole")
+    parts_of = int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    length = F.expr("cast(shiftleft(1, length(bin(length(part))) - 1) as int)")
+    asked = parts.select("block", F.col("text").alias("part")).where("part <> '' and block is not null").distinct().withColumn("n", length)
+    held = wholes.select("block", F.col("text").alias("whole")).where("whole <> '' and block is not null").distinct().repartition(parts_of, "block", "whole")  # small tables too: their runs are many
+    lengths = [r[0] for r in asked.select("n").distinct().collect()]  # 31 at most
+    keys = lambda grams: F.array_distinct(F.transform(grams, lambda g: F.xxhash64("block", g)))
+    runs = F.flatten(F.array(*[F.when(F.length("whole") >= n, _grams(F.col("whole"), n)).otherwise(F.array().cast("array<string>")) for n in lengths] or [F.array().cast("array<string>")]))
+    postings = held.select("block", "whole", F.explode(keys(runs)).alias("gram"))
+    counts = postings.groupBy("gram").agg(F.count("*").alias("held"))
+    tried = asked.repartition(parts_of, "block", "part").select("block", "part", F.explode(keys(_grams(F.col("part"), F.col("n")))).alias("gram"))
+    rarest = tried.join(counts.hint("merge"), "gram").groupBy("block", "part").agg(F.min_by("gram", F.struct("held", "gram")).alias("gram"))
+    found = postings.select(F.col("block").alias("_in"), "whole", "gram")
+    return rarest.join(found.hint("merge"), "gram").where((F.col("block") == F.col("_in")) & F.contains("whole", "part")).select("block", "part", "whole")
 
 
 def _edits(length: str, threshold: float) -> str:
@@ -53,7 +56,7 @@ def alike_pairs(left: DataFrame, right: DataFrame, threshold: float) -> DataFram
     probes = f"""flatten(transform(filter({shapes}, x -> {low} <= {high}), x -> transform(sequence({low}, {high}), p -> named_struct('l', x.l, 'i', x.i, 's', substring(a, p + 1, x.n)))))"""
     held = right.select("block", F.col("text").alias("b")).distinct().select("block", "b", F.explode(F.expr(pieces)).alias("piece"))
     asked = left.select("block", F.col("text").alias("a")).distinct().select("block", "a", F.explode(F.array_distinct(F.expr(probes))).alias("piece"))
-    met = asked.join(held, ["block", "piece"]).select("block", "a", "b").distinct()
+    met = asked.join(held.hint("merge"), ["block", "piece"]).select("block", "a", "b").distinct()
     longest = F.greatest(F.length("a"), F.length("b"))
     return met.where((longest == 0) | (1 - F.levenshtein("a", "b") / longest >= threshold))
 

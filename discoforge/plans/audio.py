@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from discoforge.functions.text import blank, title_words
 from discoforge.functions.values import bucket_and_key, mount_line
-from discoforge.operators.cuts import in_order, linked
+from discoforge.operators.cuts import in_order, linked, written
 from discoforge.operators.similar import contained
 
 
@@ -130,7 +130,7 @@ def match_files(tracks: DataFrame, files: DataFrame) -> DataFrame:
     block = F.coalesce(F.concat(F.lit("="), "group"), F.lit("")).alias("block")
     t = tracks.select("group", block, "ord", title_words("title").alias("text"))
     f = files.select("group", block, "ord", title_words("name").alias("text"))
-    pairs = _holding(t, f)
+    pairs = written(_holding(t, f))  # asked several times
     of = lambda c: F.concat("block", F.lit("\0"), c)
     pairs = linked(pairs.withColumn("_t", of("want")).withColumn("_f", of("name")), ["_t", "_f"], "_unit")
     none = lambda kind: F.lit(None).cast(kind)
