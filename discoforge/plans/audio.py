@@ -58,7 +58,7 @@ def bucket_of(audio: str = "audio") -> Column:
 def verified(df: DataFrame, files: DataFrame) -> DataFrame:
     """J21. df with exists: true or false by the listing, null for URLs, false if unresolved."""
     listed = files.select(F.col("path").alias("_path")).distinct().withColumn("_there", F.lit(True))
-    out = df.join(listed, F.col("audio.path") == F.col("_path"), "left")
+    out = df.join(listed.hint("merge"), F.col("audio.path") == F.col("_path"), "left")
     return out.withColumn("exists", F.when(~F.col("audio.ok"), F.lit(False)).when(F.col("audio.kind") == "store", F.coalesce("_there", F.lit(False)))).drop("_path", "_there")
 
 
@@ -71,9 +71,9 @@ def relocated(df: DataFrame, files: DataFrame, title: str) -> DataFrame:
     listed = files.select(folder(F.col("path")).alias("block"), F.col("path"), title_words("name").alias("text")).where("text <> ''").groupBy("block", "text").agg(F.min("path").alias("path"))
     asked = df.withColumn("_want", title_words(title)).withColumn("_in", folder(F.col("audio.path")))
     wanted = asked.select(F.col("_in").alias("block"), F.col("_want").alias("text")).where("block is not null")
-    met = _holding(wanted, listed).join(listed.select("block", F.col("text").alias("name"), "path"), ["block", "name"])
+    met = _holding(wanted, listed).join(listed.select("block", F.col("text").alias("name"), "path").hint("merge"), ["block", "name"])
     best = met.groupBy("block", "want").agg(F.min(F.struct((F.col("name") != F.col("want")).alias("loose"), "path"))["path"].alias("found_path"))
-    return asked.join(best, (F.col("_in") == F.col("block")) & (F.col("_want") == F.col("want")), "left").select(*df.columns, "found_path")
+    return asked.join(best.hint("merge"), (F.col("_in") == F.col("block")) & (F.col("_want") == F.col("want")), "left").select(*df.columns, "found_path")
 
 
 def _holding(wanted: DataFrame, listed: DataFrame) -> DataFrame:
