@@ -144,10 +144,13 @@ def pairs(left: DataFrame, right: DataFrame, given: DataFrame) -> DataFrame:
 def canonical_track(tracks: DataFrame, wanted: DataFrame) -> DataFrame:
     """J20, P06. For each wanted row (id, catalogue_no, sequence_no, isrc): the first track with its catalogue and number, or its code.
 
-    A union of two equi-joins; the first by ord of both counts.
+    Each place and each code is one row, its first track, before wanted rows meet it, so a place of many tracks and many
+    wanted rows is no product. The first by ord of both counts.
     """
-    by_place = wanted.select("id", "catalogue_no", "sequence_no").join(tracks, ["catalogue_no", "sequence_no"]).select("id", *tracks.columns)
-    by_code = wanted.select("id", "isrc").join(tracks, "isrc").select("id", *tracks.columns)
+    at_place = first_wins(tracks, ["catalogue_no", "sequence_no"], ["ord"])
+    of_code = first_wins(tracks, ["isrc"], ["ord"])
+    by_place = wanted.select("id", "catalogue_no", "sequence_no").join(at_place, ["catalogue_no", "sequence_no"]).select("id", *tracks.columns)
+    by_code = wanted.select("id", "isrc").join(of_code, "isrc").select("id", *tracks.columns)
     return first_wins(by_place.unionByName(by_code), ["id"], ["ord"])
 
 

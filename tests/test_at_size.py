@@ -2,8 +2,8 @@
 
 import random
 
-from discoforge.operators import similar
-from discoforge.plans import audio
+from discoforge.operators import keys, similar
+from discoforge.plans import audio, replicate
 
 
 def plan(df) -> str:
@@ -32,3 +32,13 @@ def test_listings_are_not_broadcast(spark):
     found = audio.relocated(audio.verified(audio.resolve(rows, [("file", ["file"])], [], "Mount/", ["masters"]), files), files, "title")
     assert "BroadcastHashJoin" not in plan(found)
     assert all(r["exists"] and r["found_path"] == r["file"] for r in found.collect())
+
+
+def test_a_place_of_many_tracks_and_many_wanted_rows_is_no_product(spark, monkeypatch):
+    chosen_from = []
+    monkeypatch.setattr(replicate, "first_wins", lambda df, *more: (chosen_from.append(df), keys.first_wins(df, *more))[1])
+    tracks = spark.range(300).selectExpr("'K' as catalogue_no", "1 as sequence_no", "concat('I', id % 3) as isrc", "id as ord")
+    wanted = spark.range(200).selectExpr("id", "case when id % 2 = 0 then 'K' end as catalogue_no", "1 as sequence_no", "concat('I', id % 4) as isrc")
+    found = {r["id"]: r["ord"] for r in replicate.canonical_track(tracks, wanted).collect()}
+    assert found == {n: 0 if n % 2 == 0 else 1 for n in range(200) if n % 4 != 3}
+    assert chosen_from[-1].count() <= 2 * 200
