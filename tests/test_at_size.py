@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import Row
+
 from discoforge.operators import keys, similar
 from discoforge.plans import audio, replicate
 from discoforge.sources import tables
@@ -49,3 +51,12 @@ def test_tagged_rows_are_all_there(spark):
     df = spark.range(3000).selectExpr("id", "' A ' as tag")
     assert tables.tagged(df, "tag", "A").count() == 3000
     assert tables.tagged(df, "tag", "A", 10).count() == 10
+
+
+def test_or_key_pairs_are_not_shuffled(spark):
+    left = spark.createDataFrame([(1, 1), (1, 1), (2, None), (3, 7), (None, 1)], "a int, b int")
+    right = spark.createDataFrame([(1, 1), (2, 1), (3, 7), (None, None), (3, 7)], "c int, d int")
+    met = keys.or_key_join(left, right, [("a", "c"), ("b", "d")])
+    want = {(x, y) for x in left.collect() for y in right.collect() if (x[0] == y[0] is not None) or (x[1] == y[1] is not None)}
+    assert sorted(map(str, met.collect())) == sorted(str(Row(**x.asDict(), **y.asDict())) for x, y in want)
+    assert plan(met).index("SortMergeJoin") < plan(met).index("HashAggregate")  # nothing is made distinct after a join
