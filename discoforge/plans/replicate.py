@@ -105,7 +105,7 @@ def hydrated(tracks: DataFrame, catalogue: DataFrame, columns: list[str], artwor
     keys = [("isrc", within(isrc_lookup("isrc")), within(isrc_lookup("isrc"))), ("filename", within(name("filename")), within(name("filename"))), ("sequence_no", within(F.col("sequence_no")), within(F.col("sequence_no")))]
     met = prioritised_join(tracks, catalogue, keys, ["ord"])
     covers = catalogue.where(clean(artwork).isNotNull()).groupBy("catalogue_no").agg(first_value(F.col(artwork), ["ord"]).alias("_cover"))
-    out = fill_blanks(met, "match", columns).join(covers, "catalogue_no", "left")
+    out = fill_blanks(met, "match", columns).join(covers.hint("merge"), "catalogue_no", "left")
     return out.withColumn(artwork, F.when(F.col("match").isNotNull(), F.coalesce(clean(artwork), F.col("_cover"))).otherwise(F.col(artwork))).select(*tracks.columns, "match_via")
 
 

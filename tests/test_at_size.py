@@ -1,8 +1,10 @@
 """Plans that must not depend on a table being small: no broadcast of rows that grow, no rows of null keys in one task."""
 
 import random
+from collections import Counter
 
 from pyspark.sql import Row
+from pyspark.sql import functions as F
 
 from discoforge.operators import keys, similar
 from discoforge.plans import audio, replicate
@@ -60,3 +62,16 @@ def test_or_key_pairs_are_not_shuffled(spark):
     want = {(x, y) for x in left.collect() for y in right.collect() if (x[0] == y[0] is not None) or (x[1] == y[1] is not None)}
     assert sorted(map(str, met.collect())) == sorted(str(Row(**x.asDict(), **y.asDict())) for x, y in want)
     assert plan(met).index("SortMergeJoin") < plan(met).index("HashAggregate")  # nothing is made distinct after a join
+
+
+def test_rows_without_a_key_meet_in_no_one_task(spark):
+    left = spark.range(2000).selectExpr("id", "case when id < 20 then id % 15 end as code", "map('a', id) as held")
+    right = spark.range(10).selectExpr("id as code", "id as ord", "id * 10 as value")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = keys.prioritised_join(left, right, [("code", F.col("code"), F.col("code"))], ["ord"]).withColumn("at", F.spark_partition_id())
+        rows = out.select("id", "match.value", "match_via", "at").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    assert sorted((r["id"], r["value"], r["match_via"]) for r in rows) == [(n, n % 15 * 10 if n < 20 and n % 15 < 10 else None, "code" if n < 20 and n % 15 < 10 else None) for n in range(2000)]
+    assert max(Counter(r["at"] for r in rows).values()) < 1000
