@@ -82,11 +82,11 @@ def tracks_of_files(spark: SparkSession, path: str) -> DataFrame:
     """
     held = cuts.written(chunks(spark, path))
     form = held.groupBy("path").agg(F.when(F.max("old"), "382").when(F.max("newer"), "383").otherwise("41").alias("version"))
-    releases = held.select("path", "at", F.posexplode("releases").alias("n", "_release")).select("path", F.struct("at.block", "at.nth", "n").alias("release_at"), "_release").join(form, "path")
-    recordings = held.where("sr is not null").select("path", "sr").join(form, "path")
+    releases = held.select("path", "at", F.posexplode("releases").alias("n", "_release")).select("path", F.struct("at.block", "at.nth", "n").alias("release_at"), "_release").join(form.hint("merge"), "path")
+    recordings = held.where("sr is not null").select("path", "sr").join(form.hint("merge"), "path")
     placed = cuts.positions(_named("path", releases, recordings), ["path", "release_at", "ref_at"], "_place")
     first = placed.groupBy("path").agg(F.min("_place").alias("_first"))
-    return placed.join(first, "path").withColumn("ord", (F.col("_place") - F.col("_first") + 1).cast("int")).select("path", "ord", *_FIELDS)
+    return placed.join(first.hint("merge"), "path").withColumn("ord", (F.col("_place") - F.col("_first") + 1).cast("int")).select("path", "ord", *_FIELDS)
 
 
 def _named(key: str, releases: DataFrame, recordings: DataFrame) -> DataFrame:
@@ -103,9 +103,9 @@ def _named(key: str, releases: DataFrame, recordings: DataFrame) -> DataFrame:
     named = releases.select(key, "release_at", bare("_release").alias("_release"), nested.alias("nested"), F.posexplode(refs).alias("ref_at", "ref")).withColumn("ref", clean("ref"))
     listed = albums.select(key, F.posexplode(f"album.{own}").alias("_at", "ref")).groupBy(key, clean("ref").alias("ref")).agg((F.min("_at") + 1).alias("album_at"))
     recordings = recordings.select(key, "version", "sr", clean("sr.ResourceReference").alias("ref"))
-    met = named.join(recordings, [key, "ref"]).join(listed, [key, "ref"], "left")
+    met = named.join(recordings.hint("merge"), [key, "ref"]).join(listed.hint("merge"), [key, "ref"], "left")
     nth = F.row_number().over(Window.partitionBy(key, "ref").orderBy("release_at", "ref_at"))
-    met = met.withColumn("_nth", nth).where("_nth = 1").join(albums.select(key, bare("album").alias("album"), F.col(f"album.{own}").isNotNull().alias("lists")), key, "left")
+    met = met.withColumn("_nth", nth).where("_nth = 1").join(albums.select(key, bare("album").alias("album"), F.col(f"album.{own}").isNotNull().alias("lists")).hint("merge"), key, "left")
     met = met.withColumn("rel", F.when(F.col("nested"), F.col("_release")).otherwise(F.coalesce("album", "_release")))
 
     sr, d, rel = F.col("sr"), F.get("sr.SoundRecordingDetailsByTerritory", F.lit(0)), F.col("rel")

@@ -1,14 +1,19 @@
 """Plans that must not depend on a table being small: no broadcast of rows that grow, no rows of null keys in one task."""
 
+import os
 import random
 from collections import Counter
 
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+import discoforge.plans.queries  # noqa: F401  registers all
 from discoforge.operators import keys, similar
-from discoforge.plans import audio, replicate
+from discoforge.plans import audio, messages, replicate
+from discoforge.plans.registry import ORACLE_SQL, QUERIES
 from discoforge.sources import tables
+from tests.comparing import SF, duck, rows
 
 
 def plan(df) -> str:
@@ -75,3 +80,12 @@ def test_rows_without_a_key_meet_in_no_one_task(spark):
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert sorted((r["id"], r["value"], r["match_via"]) for r in rows) == [(n, n % 15 * 10 if n < 20 and n % 15 < 10 else None, "code" if n < 20 and n % 15 < 10 else None) for n in range(2000)]
     assert max(Counter(r["at"] for r in rows).values()) < 1000
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="no supplied tables")
+def test_recordings_and_releases_are_not_broadcast(spark, monkeypatch):
+    plans, positions = [], messages.cuts.positions
+    monkeypatch.setattr(messages.cuts, "positions", lambda df, *more: (plans.append(plan(df)), positions(df, *more))[1])
+    got = QUERIES["message_files"](spark, SF).toPandas()
+    assert plans and not any("BroadcastHashJoin" in p for p in plans)
+    assert rows(got) == rows(duck(ORACLE_SQL["message_files"]))
