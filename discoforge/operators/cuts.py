@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -62,17 +63,21 @@ def positions(df: DataFrame, order: list, name: str = "position") -> DataFrame:
     return placed.withColumn(name, F.col("_before") + F.col("_nth") + 1).drop("_part", "_nth", "_before")
 
 
-def linked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """rows with a number that is the same for rows joined by equal keys, directly or over other rows; null keys join nothing.
+def components(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """The distinct combinations of keys in rows, with a number that is the same for combinations joined by equal keys, directly or over others.
 
-    Rows without any key have null. The nodes are the distinct combinations of keys. Each round gives a
-    combination the least number that any of its keys reaches and follows it once, so chains shorten by half; a
-    round is written. Minima are taken before the shuffle, so a key of very many rows is one row a task.
+    Null keys join nothing; combinations without any key are left out. Only combinations of several keys join others, so
+    only these go in rounds: each round gives one the least number that any of its keys reaches and follows it
+    once, so chains shorten by half; a round is written. A key alone then takes the number of those that hold it.
+    Minima are taken before the shuffle, so a key of very many rows is one row a task.
     Joins are by sorting: written files are small beside what they hold, and Spark would broadcast them by their size.
     """
-    any_key = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in keys])
-    distinct = rows.where(any_key).select(*keys).distinct()
-    nodes = written(distinct.withColumn("_node", F.monotonically_increasing_id()).withColumn("_least", F.col("_node")))
+    held = reduce(lambda a, b: a + b, [F.col(k).isNotNull().cast("int") for k in keys])
+    distinct = rows.where(held > 0).select(*keys).distinct()
+    all_nodes = written(distinct.withColumn("_node", F.monotonically_increasing_id()).withColumn("_least", F.col("_node")))
+    if len(keys) == 1:
+        return all_nodes.select(*keys, F.col("_least").alias(name))
+    nodes = all_nodes.where(held > 1)
     while True:
         reached = nodes
         for n, k in enumerate(keys):
@@ -86,32 +91,56 @@ def linked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
         if moved:
             break
         nodes = written(reached.join(further.hint("merge"), F.col("_least") == F.col("_at"), "left").select(*keys, "_node", F.least("_least", "_next").alias("_least")))
+    of = F.coalesce(*[F.when(F.col(k).isNotNull(), F.struct(F.lit(n).alias("n"), F.col(k).cast("string").alias("k"))) for n, k in enumerate(keys)])
+    each = F.explode(F.array(*[F.struct(F.lit(n).alias("n"), F.col(k).cast("string").alias("k")) for n, k in enumerate(keys)]))
+    ends = reached.select(each.alias("_of"), "_least").where("_of.k is not null").groupBy("_of").agg(F.min("_least").alias("_low"))
+    alone = all_nodes.where(held == 1).join(ends.hint("merge"), of == F.col("_of"), "left").select(*keys, F.coalesce("_low", "_least").alias(name))
+    return reached.select(*keys, F.col("_least").alias(name)).unionByName(alone)
+
+
+def by_keys(rows: DataFrame, held: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the other columns of held, one row a combination of keys; null keys are equal. A join by sorting."""
     same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
-    numbers = reached.select(*[F.col(k).alias(f"_of_{k}") for k in keys], F.col("_least").alias(name))
-    found = rows.where(any_key).join(numbers.hint("merge"), same, "left").select(*rows.columns, name)
+    more = [c for c in held.columns if c not in keys]
+    return rows.join(held.select(*[F.col(k).alias(f"_of_{k}") for k in keys], *more).hint("merge"), same, "left").select(*rows.columns, *more)
+
+
+def linked(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """rows with a number that is the same for rows joined by equal keys, directly or over other rows; null keys join nothing.
+
+    Rows without any key have null.
+    """
+    any_key = reduce(lambda a, b: a | b, [F.col(k).isNotNull() for k in keys])
+    found = by_keys(rows.where(any_key), components(rows, keys, name), keys)
     return found.unionByName(rows.where(~any_key).withColumn(name, F.lit(None).cast("long")))  # not all to one task
 
 
-def in_order(rows: DataFrame, unit: str, order: list, start: Callable[[], Callable], reads: list[str], schema: str) -> DataFrame:
+def in_order(rows: DataFrame, unit: str, order: list, start: Callable[[], Callable], reads: list[str], schema: str, keeps: list[str] = ()) -> DataFrame:
     """Rows of each unit passed one after another, in order, through a function that start() makes for the unit.
 
-    The function takes the columns `reads` of a row and returns a list of result rows. A task streams its units: it
-    holds one Arrow batch and what the function remembers, never a unit's rows. Spark sorts, and spills if it must.
+    The function takes the columns `reads` of a row and returns a list of result rows. The columns `keeps` of a row go
+    before each of its result rows, unread. A task streams its units: it holds one Arrow batch and what the function
+    remembers, never a unit's rows. Spark sorts, and spills if it must.
     """
     columns = [F.col(c) if isinstance(c, str) else c for c in order]
     laid = rows.repartition(F.col(unit)).sortWithinPartitions(unit, *columns)
     kind = rows.sparkSession.createDataFrame([], schema).schema
     fields = to_arrow_schema(kind)
+    kept, first = StructType([rows.schema[c] for c in keeps]), 1 + len(reads)
 
     def of_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, step = None, None
         for b in batches:
-            out = []
-            values = zip(*[b.column(n).to_pylist() for n in range(b.num_columns)])
-            for u, *row in values:
+            out, at = [], []
+            values = zip(*[b.column(n).to_pylist() for n in range(first)])
+            for n, (u, *row) in enumerate(values):
                 if step is None or u != last:
                     last, step = u, start()
-                out += step(*row)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(fields), fields)], schema=fields)
-
-    return laid.select(unit, *reads).mapInArrow(of_batches, kind)
+                found = step(*row)
+                out += found
+                at += [n] * len(found)
+            made = [pa.array(c, f.type) for c, f in zip(zip(*out) if out else [[]] * len(fields), fields)]
+            along = [b.column(n).take(pa.array(at, pa.int32())) for n in range(first, b.num_columns)]
+            yield pa.RecordBatch.from_arrays(along + made, schema=pa.schema([b.schema.field(n) for n in range(first, b.num_columns)] + list(fields)))
+
+    return laid.select(unit, *reads, *keeps).mapInArrow(of_batches, StructType(kept.fields + kind.fields))

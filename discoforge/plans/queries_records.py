@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from discoforge.operators import cuts, keys, rollups, writes
+from discoforge.operators import cuts, keys, writes
 from discoforge.plans import messages, presence, records, release, replicate
 from discoforge.sources import files, sheets
 
@@ -289,15 +289,13 @@ def pushed_tracks(spark, sf_dir):
     k, c, r = F.col("o_orderkey"), F.col("o_custkey"), F.col("o_orderkey") % 6
     base = t(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("ord"), _s("r", F.col("c_custkey")).alias("record_id"), _s("I", F.col("c_custkey")).alias("isrc"), _s("F", F.col("c_custkey")).alias("filename"), _s("K", F.col("c_custkey")).alias("catalogue_no"))
     tracks = t(spark, sf_dir, "orders").select("o_orderkey", F.when(r < 3, _s("I", c)).alias("isrc"), F.when(r.isin(3, 4), _s("F", c)).alias("filename"), F.when(r != 5, _s("K", c)).alias("catalogue_no"), F.when(r != 4, _s("AS", k)).alias("asset_number"), F.lit("T").alias("title"), F.when(r != 4, "A").alias("artist_name"), _s("K", c).alias("own"))
-    pushed = replicate.push(tracks, base, ["o_orderkey"])
-    synced, refused = replicate.sync(tracks, base, ["o_orderkey"])
-    nth = rollups.positions(tracks.select("o_orderkey"), ["o_orderkey"], "created_by").withColumnRenamed("o_orderkey", "created_by_order")
-    pushed = pushed.join(nth, "created_by", "left")
+    pushed = replicate.ready(replicate.push(tracks, base, ["o_orderkey"], numbers=False))
+    synced, refused = replicate.sync(tracks, base, ["o_orderkey"], numbers=False)
     both = synced.select("o_orderkey", F.lit(None).cast("string").alias("error")).union(refused.select("o_orderkey", "error"))
     held = t(spark, sf_dir, "customer").where("c_custkey % 3 = 0").select(_s("K", F.col("c_custkey")).alias("catalogue_no"))
     ensured = replicate.ensure_replicated(tracks.withColumn("catalogue_no", F.col("own")), held).select("o_orderkey", F.lit(True).alias("ensured"))
-    out = pushed.join(both, "o_orderkey").join(ensured, "o_orderkey", "left").join(replicate.ready(tracks).select("o_orderkey", "missing"), "o_orderkey")
-    return out.select("o_orderkey", F.col("action").alias("pushed"), "record_id", "created_by_order", "error", F.coalesce("ensured", F.lit(False)).alias("ensured"), F.array_join("missing", ",").alias("missing"))
+    out = pushed.join(both, "o_orderkey").join(ensured, "o_orderkey", "left")
+    return out.select("o_orderkey", F.col("action").alias("pushed"), "record_id", F.col("created_by").alias("created_by_order"), "error", F.coalesce("ensured", F.lit(False)).alias("ensured"), F.array_join("missing", ",").alias("missing"))
 
 
 @query("""

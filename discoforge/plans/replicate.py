@@ -83,15 +83,15 @@ def ensure_replicated(source: DataFrame, target: DataFrame, force: bool = False)
     return source if force else source.join(target.select("catalogue_no").distinct(), "catalogue_no", "left_anti")
 
 
-def push(tracks: DataFrame, target: DataFrame, arrival: list = ("ord",)) -> DataFrame:
-    """W31, W34. tracks with record_id, created_by and action, by code, else file name, one after another by arrival; rows with neither fail."""
-    return upsert_in_order(target, tracks, ["isrc", "filename"], ["ord"], list(arrival))
+def push(tracks: DataFrame, target: DataFrame, arrival: list = ("ord",), numbers: bool = True) -> DataFrame:
+    """W31, W34. tracks with record_id, created_by (a number, else the value of arrival) and action, by code, else file name, one after another by arrival; rows with neither fail."""
+    return upsert_in_order(target, tracks, ["isrc", "filename"], ["ord"], list(arrival), numbers)
 
 
-def sync(tracks: DataFrame, target: DataFrame, arrival: list = ("ord",)) -> tuple[DataFrame, DataFrame]:
-    """W33. Tracks with record_id and action, and the rows that fail for want of an asset number."""
+def sync(tracks: DataFrame, target: DataFrame, arrival: list = ("ord",), numbers: bool = True) -> tuple[DataFrame, DataFrame]:
+    """W33. Tracks with record_id, created_by and action, and the rows that fail for want of an asset number."""
     named = clean("asset_number").isNotNull()
-    return push(tracks.where(named), target, arrival), tracks.where(~named).withColumn("error", F.lit("no asset number"))
+    return push(tracks.where(named), target, arrival, numbers), tracks.where(~named).withColumn("error", F.lit("no asset number"))
 
 
 def hydrated(tracks: DataFrame, catalogue: DataFrame, columns: list[str], artwork: str = "artwork_url") -> DataFrame:

@@ -225,3 +225,46 @@ def test_text_index_finds_what_a_scan_finds(spark, tmp_path):
         assert got == {n for n, x, y in rows if all(t.lower() in f"{x}\0{y or ''}".lower() for t in terms)}
     found = lookups.search_index(df, index, "id", ["x", "y"], ["aba"])
     assert "PushedFilters: [In(gram" in found._jdf.queryExecution().executedPlan().toString() or "EqualTo(gram" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("numbers", [True, False])
+def test_rows_of_one_key_need_no_pass(spark, monkeypatch, numbers):
+    rng, passed, runs = random.Random(4), [], writes.in_order
+    monkeypatch.setattr(writes, "in_order", lambda both, *more: (passed.append(both), runs(both, *more))[1])
+    base = [(f"r{i}", rng.choice([None, f"I{i % 40}"]), rng.choice([None, f"F{i % 30}"])) for i in range(60)]
+    lone = [rng.choice([(f"I{n}", None), (" ", f"F{n}"), (None, None), ("", f"G{n}")]) for n in (rng.randrange(50) for _ in range(200))]
+    mixed = lone + [(rng.choice([None, f"I{n}"]), f"F{n}") for n in (rng.randrange(8) for _ in range(40))]
+    rng.shuffle(mixed)
+    stored = spark.createDataFrame([(*b, i) for i, b in enumerate(base)], "record_id string, isrc string, filename string, ord long")
+    for incoming in (lone, mixed):
+        rows = spark.createDataFrame([(10 * n, *x) for n, x in enumerate(incoming, 1)], "at long, isrc string, filename string").repartition(5)
+        got = writes.upsert_in_order(stored, rows, ["isrc", "filename"], ["ord"], ["at"], numbers)
+        wide = [(10 * n, rid, by if numbers or by is None else 10 * by, action) for n, rid, by, action in upserted(base, [(a and a.strip(), b) for a, b in incoming])]
+        assert sorted((r["at"], r["record_id"], r["created_by"], r["action"]) for r in got.collect()) == wide
+        assert len(passed) == (incoming is mixed)
+    assert 40 < passed[0].where("not _held").count() < 200
+
+
+@pytest.mark.parametrize("count", [1, 3])
+def test_only_combinations_of_several_keys_go_in_rounds(spark, monkeypatch, count):
+    rounds, keep = [], cuts.written
+    monkeypatch.setattr(cuts, "written", lambda df: (rounds.append(df), keep(df))[1])
+    rng = random.Random(2)
+    rows = [tuple(rng.choice([None, None, rng.randrange(12)]) for _ in range(count)) for _ in range(60)]
+    got = cuts.components(spark.createDataFrame(rows, ", ".join(f"k{n} int" for n in range(count))), [f"k{n}" for n in range(count)], "u").collect()
+    number = {tuple(r)[:count]: r["u"] for r in got}
+    nodes = sorted({r for r in rows if any(k is not None for k in r)}, key=str)
+    least = {r: n for n, r in enumerate(nodes)}
+    for _ in nodes:
+        for r in nodes:
+            least[r] = min(least[s] for s in nodes if s == r or any(a is not None and a == b for a, b in zip(r, s)))
+    assert len(got) == len(nodes) == len(number) and len({(least[r], number[r]) for r in nodes}) == len(set(least.values())) == len(set(number.values()))
+    assert all(df.where(" + ".join(f"int(k{n} is not null)" for n in range(count)) + " < 2").isEmpty() for df in rounds[1:])
+    assert len(rounds) > 1 if count > 1 else len(rounds) == 1
+
+
+def test_columns_go_along_with_each_result(spark):
+    rows = spark.range(2500).selectExpr("id % 7 as u", "id", "array(id, 1) as held", "map('a', id) as m").repartition(5)
+    twice = lambda: lambda n: [(n, "x")] * (n % 3)
+    got = cuts.in_order(rows, "u", ["id"], twice, ["id"], "n long, s string", ["held", "m"]).collect()
+    assert sorted((r["n"], tuple(r["held"]), r["m"]["a"], r["s"]) for r in got) == [(n, (n, 1), n, "x") for n in range(2500) for _ in range(n % 3)]
